@@ -132,8 +132,12 @@ def axis_split(x: Column, a: Axis, policy: str = "clamp") -> Column:
     raise ValueError(f"unknown policy {policy!r}; one of {POLICIES}")
 
 
-def axis_split_sql(x: str, a: Axis, policy: str = "clamp") -> str:
-    t = f"((({x}) - {sql_double(a.lo)}) * {sql_double(float(a.splits))}) / {sql_double(a.hi - a.lo)}"
+def axis_split_sql(x: str, a: Axis, policy: str = "clamp", lo: str | None = None, hi: str | None = None) -> str:
+    """SQL twin of :func:`axis_split`; ``lo``/``hi`` may name columns holding
+    bounds measured in the same query (then ``hi - lo`` is computed there)."""
+    width = f"(({hi}) - ({lo}))" if lo is not None else sql_double(a.hi - a.lo)
+    lo = f"({lo})" if lo is not None else sql_double(a.lo)
+    t = f"((({x}) - {lo}) * {sql_double(float(a.splits))}) / {width}"
     s = a.splits
     if policy == "clamp":
         return (

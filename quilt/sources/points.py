@@ -153,7 +153,7 @@ def _documents_sql(label: str) -> str:
         "CASE WHEN l.quality = 1 THEN 1 ELSE 0 END",
         [
             "d.n_chars",
-            "len(list_filter(string_split(d.text, ' '), w -> w <> ''))",
+            "len(list_filter(string_split(d.text, ' '), lambda w: w <> ''))",
             "len(string_split(d.text, chr(10)))",
         ],
         "documents d JOIN labels l ON d.doc_id = l.doc_id",

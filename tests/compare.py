@@ -1,0 +1,85 @@
+"""Run registered queries on Spark and their SQL twins on DuckDB, compare.
+
+Usage: python tests/compare.py [sf_dir] [key ...]
+"""
+
+from __future__ import annotations
+
+import math
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import duckdb  # noqa: E402
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def norm(v):
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return repr(v + 0.0)
+    return repr(v)
+
+
+def canon(rows, cols):
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    return sorted(tuple(norm(r[i]) for i in order) for r in rows)
+
+
+def compare(spark, con, name, fn, sql, sf_dir):
+    t0 = time.time()
+    df = fn(spark, sf_dir)
+    srows = [tuple(r) for r in df.collect()]
+    t1 = time.time()
+    scols = df.columns
+    if sql is None:
+        return name, "rows-only", len(srows), t1 - t0, 0.0
+    rel = con.execute(sql)
+    dcols = [d[0] for d in rel.description]
+    drows = rel.fetchall()
+    t2 = time.time()
+    if sorted(scols) != sorted(dcols):
+        return name, f"COLUMNS {scols} vs {dcols}", len(srows), t1 - t0, t2 - t1
+    if len(srows) != len(drows):
+        return name, f"ROWS {len(srows)} vs {len(drows)}", len(srows), t1 - t0, t2 - t1
+    a, b = canon(srows, scols), canon(drows, dcols)
+    if a != b:
+        diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
+        return name, f"VALUES {diff}", len(srows), t1 - t0, t2 - t1
+    return name, "ok", len(srows), t1 - t0, t2 - t1
+
+
+def main(argv):
+    sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
+    keys = [a for a in argv[1:] if not a.startswith("/")]
+    from quilt.session import build_session
+    import __spark_entry__ as E
+
+    spark = build_session()
+    con = duck(sf_dir)
+    qs, sqls = E.queries(), E.oracle_sql()
+    bad = 0
+    for name in keys or list(qs):
+        try:
+            res = compare(spark, con, name, qs[name], sqls.get(name), sf_dir)
+        except Exception as e:  # noqa: BLE001
+            res = (name, f"ERROR {type(e).__name__}: {str(e)[:300]}", -1, 0, 0)
+        bad += res[1] not in ("ok", "rows-only")
+        print(f"{res[0]:24s} {res[1][:400]:10s} rows={res[2]} spark={res[3]:.1f}s duck={res[4]:.1f}s", flush=True)
+    print("FAILED", bad)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(1 if main(sys.argv) else 0)
