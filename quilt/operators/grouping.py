@@ -22,6 +22,8 @@ tables, which are broadcast when their counted size allows.
 
 from __future__ import annotations
 
+import os
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +33,15 @@ from quilt.functions.grid import Grid, coordinate
 from quilt.session import broadcast_if_small, persist
 
 RUN_TYPE = "struct<s:bigint,e:bigint,tot:bigint>"
+_TRACE = bool(os.environ.get("QUILT_TRACE"))
+_T0 = [time.time()]
+
+
+def _trace(msg: str) -> None:
+    if _TRACE:
+        now = time.time()
+        print(f"  [grouping] {msg}: {now - _T0[0]:.2f}s", flush=True)
+        _T0[0] = now
 
 
 def divide_factor(n_groups: int, dims: int) -> float:
@@ -128,7 +139,9 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
         F.col(weight).cast("bigint").alias("w"), *[coordinate("bin_no", grid, i).alias(c) for i, c in enumerate(cs)]
     )
     base = persist(base)
+    _trace("start")
     total = base.agg(F.sum("w")).first()[0] or 0
+    _trace("total")
     targets = level_targets(total, n_groups, d)
 
     cur = base.withColumn("path", _bigint(0))
@@ -155,6 +168,7 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
             )
             seg = persist(seg)
             rows = seg.count()
+            _trace(f"level {lvl} segments")
             segments.append(seg)
             seg_rows.append(rows)
             cur = cur.join(
@@ -174,6 +188,7 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
     )
     groups = persist(groups)
     n_out = groups.count()
+    _trace("groups")
     last = d - 1
     last_seg = (
         runs_by_level[last]
@@ -187,6 +202,7 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
     )
     last_seg = persist(last_seg)
     seg_rows.append(last_seg.count())
+    _trace("last segments")
     segments.append(last_seg)
     base.unpersist()
     return Grouping(grid, n_groups, int(total), targets, segments, seg_rows, groups, n_out, runs_by_level)

@@ -5,8 +5,9 @@ fraction 1, no intercept and no regularization, from zero weights:
 
     w <- w - (step / sqrt(t)) * (sum_rows((sigmoid(w.x) - y) * x) / n)
 
-One Spark job per iteration serves every model: the points (persisted once)
-join a broadcast table of the current weights on ``model_id`` and one grouped
+One Spark job per iteration serves every model: the points (checkpointed and
+persisted once) join a small inline table of the current weights on
+``model_id`` (rows = models, so the planner broadcasts it) and one grouped
 aggregate returns, per model, the gradient sums. Only models x features
 numbers come back to the driver, whatever the data size; the aggregate is
 partial per task, so a model holding a third of all rows costs no more than
@@ -16,13 +17,14 @@ any other. Pieces with no rows get no model.
 from __future__ import annotations
 
 import math
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.functions.logistic import dot, sigmoid
-from quilt.session import broadcast_if_small, persist
+from quilt.session import cut_lineage, persist
 
 
 @dataclass
@@ -49,9 +51,28 @@ class Models:
         return spark.createDataFrame(self.rows(), self.schema(prefix))
 
 
-def _weights_table(spark: SparkSession, weights: dict[int, list[float]], k: int) -> DataFrame:
-    schema = "model_id bigint, " + ", ".join(f"__w{j} double" for j in range(k))
-    return spark.createDataFrame([(m, *w) for m, w in sorted(weights.items())], schema)
+def spark_double(v: float) -> str:
+    """A Spark SQL double literal that parses back to exactly ``v``."""
+    if math.isfinite(v):
+        return f"{v!r}D"
+    return f"CAST('{'NaN' if math.isnan(v) else ('Infinity' if v > 0 else '-Infinity')}' AS DOUBLE)"
+
+
+def gradient_sql(view: str, k: int, weights: dict[int, list[float]] | None) -> str:
+    """One gradient step for every model: per ``model_id`` the row count and
+    ``sum((sigmoid(w.x) - y) * x_j)``. The weights enter as an inline VALUES
+    relation (broadcast by the planner), so the statement is parsed once per
+    step and the generated code is the same from step to step."""
+    if weights is None:
+        margin, src = "0.0D", f"{view} t"
+    else:
+        vals = ", ".join("(" + ", ".join([str(m)] + [spark_double(v) for v in w]) + ")" for m, w in sorted(weights.items()))
+        cols = ", ".join(f"w{j}" for j in range(k))
+        margin = " + ".join(f"t.x{j} * w.w{j}" for j in range(k))
+        src = f"{view} t JOIN (VALUES {vals}) AS w(model_id, {cols}) ON t.model_id = w.model_id"
+    resid = f"(1.0D / (1.0D + exp(-({margin}))) - t.label)"
+    sums = ", ".join(f"sum({resid} * t.x{j}) AS g{j}" for j in range(k))
+    return f"SELECT t.model_id, count(1) AS n, {sums} FROM {src} GROUP BY t.model_id"
 
 
 def fit(
@@ -63,33 +84,29 @@ def fit(
 ) -> Models:
     """One model per distinct ``model_col`` value (one model overall
     when ``model_col`` is None). Rows with a null model id are not used."""
-    import time
-
     spark = points.sparkSession
     k = len(features)
     mid = (F.col(model_col) if model_col else F.lit(0)).cast("bigint")
+    # The training rows are written once to the shared checkpoint folder: every
+    # iteration then plans against a short lineage (a file scan, not the whole
+    # routing plan), and a lost executor's blocks come back from the files.
     data = persist(
-        points.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *features).where(
-            F.col("model_id").isNotNull()
+        cut_lineage(
+            points.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *features).where(
+                F.col("model_id").isNotNull()
+            )
         )
     )
-    xs = [F.col(c) for c in features]
+    view = f"__quilt_train_{uuid.uuid4().hex}"
+    data.select("model_id", "label", *[F.col(c).alias(f"x{j}") for j, c in enumerate(features)]).createOrReplaceTempView(view)
     weights: dict[int, list[float]] = {}
     counts: dict[int, int] = {}
     history = []
     try:
         for t in range(1, iterations + 1):
             t0 = time.time()
-            if t == 1:
-                # zero weights: sigmoid(0) = 0.5 for every row, no table needed
-                joined, ws = data, [F.lit(0.0)] * k
-            else:
-                wt = _weights_table(spark, weights, k)
-                joined = data.join(broadcast_if_small(wt, len(weights)), "model_id")
-                ws = [F.col(f"__w{j}") for j in range(k)]
-            resid = sigmoid(dot(xs, ws)) - F.col("label")
-            aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(resid * x).alias(f"g{j}") for j, x in enumerate(xs)]
-            rows = joined.groupBy("model_id").agg(*aggs).collect()
+            # step 1 starts from zero weights: sigmoid(0) = 0.5, no table needed
+            rows = spark.sql(gradient_sql(view, k, weights if t > 1 else None)).collect()
             rate = step / math.sqrt(t)
             for r in rows:
                 m = r["model_id"]
@@ -99,5 +116,6 @@ def fit(
                 weights[m] = [w[j] - rate * (r[f"g{j}"] / n) for j in range(k)]
             history.append(time.time() - t0)
     finally:
+        spark.catalog.dropTempView(view)
         data.unpersist()
     return Models(list(features), weights, counts, iterations, step, history)
