@@ -24,13 +24,13 @@ from __future__ import annotations
 
 import os
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quilt.functions.grid import Grid, coordinate
-from quilt.session import broadcast_if_small, persist
+from quilt.session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage
 
 RUN_TYPE = "struct<s:bigint,e:bigint,tot:bigint>"
 _TRACE = bool(os.environ.get("QUILT_TRACE"))
@@ -112,100 +112,129 @@ def axis_totals(per: DataFrame, key: str, coord: str, weight: str, splits: int)
 
 @dataclass
 class Grouping:
-    """Result of E6 plus the tables needed to route rows."""
+    """Result of E6 plus the tables needed to route rows.
+
+    ``levels[l]`` is the checkpointed table of level l with one row per
+    (path, coordinate) that has a run: ``(path, k, s, e, tot)``."""
 
     grid: Grid
     n_wanted: int
     total: int
     targets: list[float]
-    segments: list[DataFrame]  # level l: (p{l}, k{l}, np{l}); last level: (p, k, group_id)
-    segment_rows: list[int]
+    levels: list[DataFrame]
+    level_rows: list[int]  # upper bounds of the level tables' row counts
     groups: DataFrame  # (group_id, group_key, lo0, hi0, ..., total)
-    n_groups: int
-    runs: list[DataFrame] = field(default_factory=list)  # per level (path, s, e, tot)
 
-    def unpersist(self) -> None:
-        for df in self.segments + [self.groups] + self.runs:
-            df.unpersist()
+    @property
+    def n_groups(self) -> int:
+        if not hasattr(self, "_n_groups"):
+            self._n_groups = self.groups.count()
+        return self._n_groups
+
+    def runs(self, level: int) -> DataFrame:
+        """Runs of one level: ``(path, s, e, tot)``."""
+        return self.levels[level].where(F.col("k") == F.col("s")).select("path", "s", "e", "tot")
+
+    def segment(self, level: int) -> DataFrame:
+        """Routing table of a level: ``(p{l}, k{l}, np{l})``, the last level
+        ``(p{l}, k{l}, group_id)``."""
+        t = self.levels[level]
+        if level < self.grid.dims - 1:
+            return t.select(
+                F.col("path").alias(f"p{level}"),
+                F.col("k").alias(f"k{level}"),
+                (F.col("path") + F.col("s") * F.lit(self.grid.multipliers[level])).alias(f"np{level}"),
+            )
+        key = F.col("path") + F.col("s") * F.lit(self.grid.multipliers[level])
+        ids = self.groups.select(F.col("group_key").alias("__gk"), "group_id")
+        return t.join(broadcast_if_small(ids, self.level_rows[level]), key == F.col("__gk")).select(
+            F.col("path").alias(f"p{level}"), F.col("k").alias(f"k{level}"), "group_id"
+        )
+
+
+def _level_rows(grid: Grid, level: int, table: DataFrame) -> int:
+    """A proven upper bound of a level table's rows: the number of coordinate
+    prefixes (static); counted only when that bound is too large to trust."""
+    bound = grid.prefix_cells(level)
+    return bound if bound <= BROADCAST_MAX_ROWS else table.count()
 
 
 def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str = "n") -> Grouping:
     """Merge adjacent cells of ``cells (bin_no, weight)`` into about
-    ``n_groups`` boxes of about equal weight."""
+    ``n_groups`` boxes of about equal weight.
+
+    Every intermediate table is small (at most one row per coordinate prefix)
+    and is written to the checkpoint folder: later plans read it as a file
+    instead of re-planning the whole chain of levels."""
     d = grid.dims
     mult = grid.multipliers
     cs = [f"c{i}" for i in range(d)]
-    base = cells.where(F.col("bin_no").isNotNull()).select(
-        F.col(weight).cast("bigint").alias("w"), *[coordinate("bin_no", grid, i).alias(c) for i, c in enumerate(cs)]
-    )
-    base = persist(base)
     _trace("start")
+    base = cut_lineage(
+        cells.where(F.col("bin_no").isNotNull()).select(
+            F.col(weight).cast("bigint").alias("w"), *[coordinate("bin_no", grid, i).alias(c) for i, c in enumerate(cs)]
+        )
+    )
     total = base.agg(F.sum("w")).first()[0] or 0
-    _trace("total")
     targets = level_targets(total, n_groups, d)
+    _trace("cells and total")
 
-    cur = base.withColumn("path", _bigint(0))
-    boxes = cur.sparkSession.createDataFrame([(0,)], "path bigint")
-    segments, seg_rows, runs_by_level = [], [], []
+    levels: list[DataFrame] = []
+    rows: list[int] = []
     for lvl in range(d):
-        c = cs[lvl]
-        per = cur.groupBy("path", c).agg(F.sum("w").alias("w"))
-        totals = axis_totals(per, "path", c, "w", grid.splits[lvl])
+        # cells of this level: base routed through the earlier levels' tables
+        cur = base.withColumn("path", _bigint(0))
+        for j in range(lvl):
+            seg = broadcast_if_small(
+                levels[j].select(
+                    F.col("path").alias("__p"), F.col("k").alias("__k"),
+                    (F.col("path") + F.col("s") * F.lit(mult[j])).alias("__np"),
+                ),
+                rows[j],
+            )
+            cur = cur.join(seg, (F.col("path") == F.col("__p")) & (F.col(cs[j]) == F.col("__k"))).select(
+                F.col("__np").alias("path"), "w", *cs
+            )
+        per = cur.groupBy("path", cs[lvl]).agg(F.sum("w").alias("w"))
+        totals = axis_totals(per, "path", cs[lvl], "w", grid.splits[lvl])
         runs = totals.select("path", F.explode(axis_cut(F.col("totals"), grid.splits[lvl], targets[lvl])).alias("r"))
-        runs = persist(runs.select("path", "r.s", "r.e", "r.tot"))
-        runs_by_level.append(runs)
-        nxt = F.col("path") + F.col("s") * F.lit(mult[lvl])
-        bounds = [b for b in boxes.columns if b not in ("path", "tot")]
-        boxes = runs.join(boxes.drop("tot"), "path").select(
-            nxt.alias("path"), *bounds, F.col("s").alias(f"lo{lvl}"), F.col("e").alias(f"hi{lvl}"), "tot"
-        )
-        boxes = persist(boxes)
-        if lvl < d - 1:
-            seg = runs.select(
-                F.col("path").alias(f"p{lvl}"),
-                F.explode(F.sequence("s", "e")).alias(f"k{lvl}"),
-                nxt.alias(f"np{lvl}"),
+        table = cut_lineage(
+            runs.select("path", "r.s", "r.e", "r.tot").select(
+                "path", F.explode(F.sequence("s", "e")).alias("k"), "s", "e", "tot"
             )
-            seg = persist(seg)
-            rows = seg.count()
-            _trace(f"level {lvl} segments")
-            segments.append(seg)
-            seg_rows.append(rows)
-            cur = cur.join(
-                broadcast_if_small(seg, rows),
-                (F.col("path") == F.col(f"p{lvl}")) & (F.col(c) == F.col(f"k{lvl}")),
-            ).select(F.col(f"np{lvl}").alias("path"), "w", *cs)
-
-    # last level: the runs are the groups, numbered in depth-first order
-    by_key = Window.orderBy("group_key")
-    groups = boxes.select(
-        F.col("path").alias("group_key"), *[f for i in range(d) for f in (f"lo{i}", f"hi{i}")], "tot"
-    ).select(
-        (F.row_number().over(by_key) - 1).cast("bigint").alias("group_id"),
-        "group_key",
-        *[f for i in range(d) for f in (f"lo{i}", f"hi{i}")],
+        )
+        levels.append(table)
+        rows.append(_level_rows(grid, lvl, table))
+        _trace(f"level {lvl}")
+
+    # boxes of the last-level runs: walk back through the levels by corner id
+    box = levels[d - 1].where(F.col("k") == F.col("s")).select(
+        F.col("path").alias("__parent"),
+        (F.col("path") + F.col("s") * F.lit(mult[d - 1])).alias("group_key"),
+        F.col("s").alias(f"lo{d - 1}"),
+        F.col("e").alias(f"hi{d - 1}"),
         F.col("tot").alias("total"),
     )
-    groups = persist(groups)
-    n_out = groups.count()
-    _trace("groups")
-    last = d - 1
-    last_seg = (
-        runs_by_level[last]
-        .select(
-            F.col("path").alias(f"p{last}"),
-            F.explode(F.sequence("s", "e")).alias(f"k{last}"),
-            (F.col("path") + F.col("s") * F.lit(mult[last])).alias("group_key"),
+    for lvl in range(d - 2, -1, -1):
+        up = levels[lvl].where(F.col("k") == F.col("s")).select(
+            (F.col("path") + F.col("s") * F.lit(mult[lvl])).alias("__child"),
+            F.col("path").alias("__up"),
+            F.col("s").alias(f"lo{lvl}"),
+            F.col("e").alias(f"hi{lvl}"),
+        )
+        box = box.join(broadcast_if_small(up, rows[lvl]), F.col("__parent") == F.col("__child")).drop(
+            "__parent", "__child"
+        ).withColumnRenamed("__up", "__parent")
+    bounds = [f for i in range(d) for f in (f"lo{i}", f"hi{i}")]
+    # depth-first numbering = order of the corner ids; one row per group
+    by_key = Window.orderBy("group_key")
+    groups = cut_lineage(
+        box.select(
+            (F.row_number().over(by_key) - 1).cast("bigint").alias("group_id"), "group_key", *bounds, "total"
         )
-        .join(groups.select("group_key", "group_id"), "group_key")
-        .drop("group_key")
     )
-    last_seg = persist(last_seg)
-    seg_rows.append(last_seg.count())
-    _trace("last segments")
-    segments.append(last_seg)
-    base.unpersist()
-    return Grouping(grid, n_groups, int(total), targets, segments, seg_rows, groups, n_out, runs_by_level)
+    _trace("groups")
+    return Grouping(grid, n_groups, int(total), targets, levels, rows, groups)
 
 
 def route(df: DataFrame, grouping: Grouping, bin_col: str = "bin_no", compatible: bool = True) -> DataFrame:
@@ -217,7 +246,7 @@ def route(df: DataFrame, grouping: Grouping, bin_col: str = "bin_no", compatible
     cols = df.columns
     out = df.withColumn("__path", _bigint(0))
     for lvl in range(d):
-        seg = broadcast_if_small(grouping.segments[lvl], grouping.segment_rows[lvl])
+        seg = broadcast_if_small(grouping.segment(lvl), grouping.level_rows[lvl])
         cond = (F.col("__path") == F.col(f"p{lvl}")) & (coordinate(bin_col, grid, lvl) == F.col(f"k{lvl}"))
         out = out.join(seg, cond, "left")
         if lvl < d - 1:

@@ -431,8 +431,8 @@ def q_level_targets(spark, sf):
 def q_axis_cut(spark, sf):
     g = wb(spark, sf).grouping()
     out = None
-    for lv, runs in enumerate(g.runs):
-        r = runs.select(F.lit(lv).cast("bigint").alias("level"), "path", "s", "e", F.col("tot").alias("total"))
+    for lv in range(GRID.dims):
+        r = g.runs(lv).select(F.lit(lv).cast("bigint").alias("level"), "path", "s", "e", F.col("tot").alias("total"))
         out = r if out is None else out.unionByName(r)
     return out
 
