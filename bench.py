@@ -21,7 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from quilt.functions.grid import bin_no  # noqa: E402
 from quilt.operators import stats  # noqa: E402
-from quilt.operators.metrics import accuracy, auc  # noqa: E402
+from quilt.operators.metrics import class_summary  # noqa: E402
 from quilt.plans.ensembles import Config, Workbench  # noqa: E402
 from quilt.session import build_session  # noqa: E402
 from quilt.sources.points import points  # noqa: E402
@@ -51,11 +51,11 @@ def main() -> None:
     g = timed("equi_depth_groups", wb.grouping)
     timed("assign_bin_group", lambda: wb.routed().agg(F.count(F.lit(1))).collect())
     timed("train_per_group", wb.models_group)
-    timed("predict_routed_metrics", lambda: (accuracy(wb.scored_routed()).collect(), auc(wb.scored_routed()).collect()))
+    timed("predict_routed_metrics", lambda: class_summary(wb.scored_routed()).collect())
     timed("train_per_part", wb.models_part)
-    timed("predict_vote_metrics", lambda: (accuracy(wb.scored_vote()).collect(), auc(wb.scored_vote()).collect()))
+    timed("predict_vote_metrics", lambda: class_summary(wb.scored_vote()).collect())
     timed("train_global", wb.models_global)
-    timed("predict_global_metrics", lambda: (accuracy(wb.scored_global()).collect(), auc(wb.scored_global()).collect()))
+    timed("predict_global_metrics", lambda: class_summary(wb.scored_global()).collect())
     timed("strategy_report", lambda: wb.report().collect())
 
     total = round(sum(times.values()), 3)

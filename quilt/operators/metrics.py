@@ -51,3 +51,32 @@ def auc(df: DataFrame, score: str = "prediction", label: str = "label", by: list
         F.col("negatives").cast("bigint").alias("negatives"),
         F.when(den > 0, F.col("num").cast("double") / den).alias("auc"),
     )
+
+
+def class_summary(df: DataFrame, pred: str = "prediction", label: str = "label") -> DataFrame:
+    """Accuracy and AUC of 0/1 predictions in one pass: both follow from the
+    confusion counts. With P positives, N negatives, TP and FP the rows
+    predicted 1, the two-level ROC area is ``(FP*TP + (N-FP)*(TP+P)) / (2PN)``
+    (the general formula above with two score levels). Rows without a
+    prediction count for accuracy (as misses) but not for the AUC."""
+    y = F.col(label) > 0
+    p = F.col(pred)
+    agg = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.when(p == F.col(label), 1).otherwise(0)), F.lit(0)).cast("bigint").alias("correct"),
+        F.coalesce(F.sum(F.when(p.isNotNull() & y, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("positives"),
+        F.coalesce(F.sum(F.when(p.isNotNull() & ~y, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("negatives"),
+        F.coalesce(F.sum(F.when((p > 0) & y, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("tp"),
+        F.coalesce(F.sum(F.when((p > 0) & ~y, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("fp"),
+    )
+    P, N, TP, FP = (F.col(c).cast("decimal(38,0)") for c in ("positives", "negatives", "tp", "fp"))
+    num = FP * TP + (N - FP) * (TP + P)
+    den = F.lit(2.0) * F.col("positives").cast("double") * F.col("negatives").cast("double")
+    return agg.select(
+        "n",
+        "correct",
+        (F.try_divide(F.col("correct").cast("double"), F.col("n")) * F.lit(100.0)).alias("accuracy_pct"),
+        "positives",
+        "negatives",
+        F.when(den > 0, num.cast("double") / den).alias("auc"),
+    )

@@ -42,18 +42,22 @@ def predict_routed(df: DataFrame, models: Models, model_col: str, t: float | Non
     return out.withColumn("prediction", threshold(F.col("probability"), t)) if t is not None else out
 
 
-def vote_count(models: Models, t: float) -> Column:
-    """Number of models whose class is 1 for the row."""
+def vote_columns(models: Models, t: float) -> list[Column]:
+    """One 0/1 class indicator per model."""
     xs = [F.col(c) for c in models.features]
-    ones = F.lit(0)
-    for m in models.ids:
-        ones = ones + F.when(sigmoid(dot(xs, models.weights[m])) > F.lit(float(t)), 1).otherwise(0)
-    return ones
+    return [
+        F.when(sigmoid(dot(xs, models.weights[m])) > F.lit(float(t)), 1).otherwise(0).alias(f"__v{m}")
+        for m in models.ids
+    ]
 
 
 def predict_vote(df: DataFrame, models: Models, t: float = 0.5) -> DataFrame:
     """H3: majority vote of all present models; a tie gives 0."""
     m = len(models.weights)
-    return df.withColumn("ones", vote_count(models, t)).withColumn(
+    # The indicators go into one array, whose generated code is split into a
+    # method per element; a single nested sum of all models would be one
+    # method too large to compile quickly (or at all, for many models).
+    ones = F.aggregate(F.array(*vote_columns(models, t)), F.lit(0), lambda acc, v: acc + v)
+    return df.withColumn("ones", ones).withColumn(
         "prediction", F.when(F.col("ones") * 2 > F.lit(m), 1.0).otherwise(0.0)
     )

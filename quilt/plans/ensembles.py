@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quilt.functions.grid import Grid
 from quilt.operators.grouping import Grouping, equi_depth_groups, route
 from quilt.operators.histogram import bin_histogram, with_bin_no
-from quilt.operators.metrics import accuracy, auc
+from quilt.operators.metrics import class_summary
 from quilt.operators.partition import assign_random_part, sample_hash
 from quilt.operators.score import predict_global, predict_routed, predict_vote
 from quilt.operators.train import Models, fit
@@ -107,10 +107,8 @@ class Workbench:
             ("histogram", self.scored_routed(), self.models_group()),
             ("random", self.scored_vote(), self.models_part()),
         ):
-            acc = accuracy(scored)
-            a = auc(scored).select("auc")
             parts.append(
-                acc.crossJoin(a).select(
+                class_summary(scored).select(
                     F.lit(name).alias("strategy"),
                     F.lit(len(models.weights)).cast("bigint").alias("n_models"),
                     "n",

@@ -101,3 +101,18 @@ def test_metrics_edge_cases(spark):
     assert auc(one, score="score").first().auc is None
     same = spark.createDataFrame([(0.5, 1.0, 1.0), (0.5, 0.0, 1.0)], "score double, label double, prediction double")
     assert auc(same, score="score").first().auc == 0.5
+
+
+def test_class_summary_equals_separate_metrics(spark):
+    from quilt.operators.metrics import class_summary
+
+    rng = np.random.default_rng(9)
+    y = (rng.random(500) < 0.3).astype(float)
+    p = (rng.random(500) < 0.4).astype(float)
+    rows = [(float(a), float(b)) for a, b in zip(y, p)] + [(1.0, None)]
+    df = spark.createDataFrame(rows, "label double, prediction double")
+    s = class_summary(df).first()
+    a = accuracy(df).first()
+    u = auc(df).first()
+    assert (s.n, s.correct, s.accuracy_pct) == (a.n, a.correct, a.accuracy_pct)
+    assert (s.positives, s.negatives, s.auc) == (u.positives, u.negatives, u.auc)
