@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.session import cut_lineage, persist
+from quilt.session import cut_lineage, persist, spread
 
 
 @dataclass
@@ -92,8 +92,10 @@ def fit(
     # routing plan), and a lost executor's blocks come back from the files.
     data = persist(
         cut_lineage(
-            points.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *features).where(
-                F.col("model_id").isNotNull()
+            spread(
+                points.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *features).where(
+                    F.col("model_id").isNotNull()
+                )
             )
         )
     )

@@ -20,7 +20,7 @@ from quilt.operators.metrics import class_summary
 from quilt.operators.partition import assign_random_part, sample_hash
 from quilt.operators.score import predict_global, predict_routed, predict_vote
 from quilt.operators.train import Models, fit
-from quilt.session import ensure_checkpoint_dir, persist
+from quilt.session import ensure_checkpoint_dir, persist, spread
 from quilt.sources.points import points
 
 
@@ -97,7 +97,8 @@ class Workbench:
         return predict_routed(rows, self.models_group(), "group_id", self.cfg.threshold)
 
     def scored_vote(self, test: DataFrame | None = None) -> DataFrame:
-        return predict_vote(test if test is not None else self.points(), self.models_part(), self.cfg.threshold)
+        # every row is scored by every model: give the stage all cores
+        return predict_vote(spread(test if test is not None else self.points()), self.models_part(), self.cfg.threshold)
 
     def report(self) -> DataFrame:
         """Accuracy and AUC of the three strategies side by side."""

@@ -22,6 +22,7 @@ def build_session(master: str | None = None, app: str = "quilt") -> SparkSession
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -72,3 +73,11 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_MAX_ROWS
     """Broadcast hint only when the side's row count is known to be small;
     otherwise leave the choice to AQE, which measures the side at run time."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy stage at least one partition per core. A large input
+    already has far more partitions than cores and is left as it is; a small
+    file (one row group is one task) is dealt round-robin to all cores."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
