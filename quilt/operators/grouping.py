@@ -33,6 +33,7 @@ from quilt.functions.grid import Grid, coordinate
 from quilt.session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage
 
 RUN_TYPE = "struct<s:bigint,e:bigint,tot:bigint>"
+MEMBER_SPREAD = 100_000  # cells still to generate per row above which rows are reshuffled
 _TRACE = bool(os.environ.get("QUILT_TRACE"))
 _T0 = [time.time()]
 
@@ -152,6 +153,27 @@ class Grouping:
         )
 
 
+def rank_by(df: DataFrame, key: str, out: str) -> DataFrame:
+    """0-based position of each row in ``key`` order (keys unique), computed
+    without a window over the whole table: rows are range-partitioned on
+    ``key``, numbered inside each partition, and shifted by the row counts of
+    the partitions before (a table of one row per partition)."""
+    parted = df.repartitionByRange(key).withColumn("__pid", F.spark_partition_id())
+    local = parted.withColumn(
+        "__local", F.row_number().over(Window.partitionBy("__pid").orderBy(key)) - 1
+    )
+    sizes = parted.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(
+        "__pid",
+        F.coalesce(
+            F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("__off"),
+    )
+    return local.join(F.broadcast(before), "__pid").select(
+        *df.columns, (F.col("__off") + F.col("__local")).cast("bigint").alias(out)
+    )
+
+
 def _level_rows(grid: Grid, level: int, table: DataFrame) -> int:
     """A proven upper bound of a level table's rows: the number of coordinate
     prefixes (static); counted only when that bound is too large to trust."""
@@ -227,10 +249,9 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
         ).withColumnRenamed("__up", "__parent")
     bounds = [f for i in range(d) for f in (f"lo{i}", f"hi{i}")]
     # depth-first numbering = order of the corner ids; one row per group
-    by_key = Window.orderBy("group_key")
     groups = cut_lineage(
-        box.select(
-            (F.row_number().over(by_key) - 1).cast("bigint").alias("group_id"), "group_key", *bounds, "total"
+        rank_by(box.select("group_key", *bounds, "total"), "group_key", "group_id").select(
+            "group_id", "group_key", *bounds, "total"
         )
     )
     _trace("groups")
@@ -269,6 +290,10 @@ def group_members(grouping: Grouping, counts: DataFrame | None = None) -> DataFr
         out = out.select(
             "group_id", "bin_no", F.explode(F.sequence(f"lo{i}", f"hi{i}")).alias("__c"), *rest
         ).select("group_id", (F.col("bin_no") + F.col("__c") * F.lit(m)).alias("bin_no"), *rest)
+        if m > MEMBER_SPREAD:
+            # a big box would make all its cells in one task: deal the partly
+            # expanded rows out before the next axes multiply them
+            out = out.repartition("group_id", "bin_no")
     if counts is not None:
         out = out.join(counts.select("bin_no", "n"), "bin_no", "left").select(
             "group_id", "bin_no", F.coalesce(F.col("n"), _bigint(0)).alias("n")

@@ -29,12 +29,12 @@ def score_bucket(score: Column) -> Column:
     return F.floor(score * F.lit(float(SCORE_BUCKET))).cast("bigint")
 
 
-def auc(df: DataFrame, score: str = "prediction", label: str = "label", by: list[str] | None = None,
-        bucket: bool = False) -> DataFrame:
-    """``(by..., positives, negatives, auc)`` for a score column (class or
-    probability). ``bucket`` resolves raw probabilities to 1e-6 first."""
+def auc(df: DataFrame, score: str = "prediction", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """``(by..., positives, negatives, auc)`` for a score in [0, 1] (a class
+    or a probability), resolved to 1e-6: at most 1,000,001 score levels per
+    group reach the cumulative window, whatever the number of rows."""
     by = by or []
-    s = score_bucket(F.col(score)) if bucket else F.col(score)
+    s = score_bucket(F.col(score))
     pos = F.when(F.col(label) > 0, 1).otherwise(0)
     levels = df.where(F.col(score).isNotNull()).select(*by, s.alias("s"), pos.alias("y")).groupBy(*by, "s").agg(
         F.sum("y").cast("bigint").alias("tp"), F.sum(1 - F.col("y")).cast("bigint").alias("fp")

@@ -5,8 +5,7 @@ fraction 1, no intercept and no regularization, from zero weights:
 
     w <- w - (step / sqrt(t)) * (sum_rows((sigmoid(w.x) - y) * x) / n)
 
-One Spark job per iteration serves every model: the points (checkpointed and
-persisted once) join a small inline table of the current weights on
+One Spark job per iteration serves every model: the points (persisted once) join a small inline table of the current weights on
 ``model_id`` (rows = models, so the planner broadcasts it) and one grouped
 aggregate returns, per model, the gradient sums. Only models x features
 numbers come back to the driver, whatever the data size; the aggregate is
@@ -24,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.session import cut_lineage, persist, spread
+from quilt.session import persist, spread
 
 
 @dataclass
@@ -72,7 +71,8 @@ def gradient_sql(view: str, k: int, weights: dict[int, list[float]] | None) -> s
         src = f"{view} t JOIN (VALUES {vals}) AS w(model_id, {cols}) ON t.model_id = w.model_id"
     resid = f"(1.0D / (1.0D + exp(-({margin}))) - t.label)"
     sums = ", ".join(f"sum({resid} * t.x{j}) AS g{j}" for j in range(k))
-    return f"SELECT t.model_id, count(1) AS n, {sums} FROM {src} GROUP BY t.model_id"
+    hint = "/*+ BROADCAST(w) */ " if weights is not None else ""
+    return f"SELECT {hint}t.model_id, count(1) AS n, {sums} FROM {src} GROUP BY t.model_id"
 
 
 def fit(
@@ -87,15 +87,14 @@ def fit(
     spark = points.sparkSession
     k = len(features)
     mid = (F.col(model_col) if model_col else F.lit(0)).cast("bigint")
-    # The training rows are written once to the shared checkpoint folder: every
-    # iteration then plans against a short lineage (a file scan, not the whole
-    # routing plan), and a lost executor's blocks come back from the files.
+    # The training rows are kept in executor memory (spilling to disk) for all
+    # steps. Their lineage is narrow: a file scan plus broadcast lookups into
+    # small checkpointed tables, so a lost block is recomputed from its own
+    # input split only; no copy of the whole training table is written.
     data = persist(
-        cut_lineage(
-            spread(
-                points.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *features).where(
-                    F.col("model_id").isNotNull()
-                )
+        spread(
+            points.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *features).where(
+                F.col("model_id").isNotNull()
             )
         )
     )

@@ -562,7 +562,7 @@ def q_auc_class(spark, sf):
 
 @register("auc_score", with_base(**trained("wglob"), sg=SCORED_GLOBAL) + "\n" + auc_sql("sg", "probability", bucket=True))
 def q_auc_score(spark, sf):
-    return auc(wb(spark, sf).scored_global(), score="probability", bucket=True)
+    return auc(wb(spark, sf).scored_global(), score="probability")
 
 
 def _report_sql() -> str:

@@ -79,5 +79,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy stage at least one partition per core. A large input
     already has far more partitions than cores and is left as it is; a small
     file (one row group is one task) is dealt round-robin to all cores."""
+    if df.isStreaming:
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
