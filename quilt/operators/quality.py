@@ -16,19 +16,17 @@ from quilt.functions.grid import Grid, coordinate
 
 def group_balance(groups: DataFrame, low: float = 0.9, high: float = 1.1) -> DataFrame:
     """Each group's total against the integer mean of all totals:
-    ``(group_id, total, mean, lower, upper, balanced)``."""
-    mean = groups.agg(F.sum("total").cast("bigint").alias("__s"), F.count(F.lit(1)).alias("__g"))
-    mean = mean.select(F.when(F.col("__g") > 0, F.expr("__s div __g")).cast("double").alias("mean"))
-    out = groups.select("group_id", "total").crossJoin(F.broadcast(mean))
-    return out.select(
+    ``(group_id, total, mean, lower, upper, balanced)``. The mean is one
+    number (sum and count of the group table), passed back as a literal."""
+    s, g = groups.agg(F.sum("total").cast("bigint"), F.count(F.lit(1))).first()
+    mean = F.lit(float(s // g) if g else None).cast("double")
+    return groups.select(
         "group_id",
         "total",
-        "mean",
-        (F.col("mean") * F.lit(low)).alias("lower"),
-        (F.col("mean") * F.lit(high)).alias("upper"),
-        ((F.col("total") > F.col("mean") * F.lit(low)) & (F.col("total") < F.col("mean") * F.lit(high))).alias(
-            "balanced"
-        ),
+        mean.alias("mean"),
+        (mean * F.lit(low)).alias("lower"),
+        (mean * F.lit(high)).alias("upper"),
+        ((F.col("total") > mean * F.lit(low)) & (F.col("total") < mean * F.lit(high))).alias("balanced"),
     )
 
 

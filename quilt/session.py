@@ -36,10 +36,13 @@ def build_session(master: str | None = None, app: str = "quilt") -> SparkSession
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
     tests) take a fresh folder of our own."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a session without a driver-side context (Spark Connect)
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -81,5 +84,9 @@ def spread(df: DataFrame) -> DataFrame:
     file (one row group is one task) is dealt round-robin to all cores."""
     if df.isStreaming:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no driver-side context: leave partitioning to the planner
+        return df
+    return df.repartition(target) if parts < target else df
