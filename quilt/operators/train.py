@@ -60,19 +60,21 @@ def spark_double(v: float) -> str:
 def gradient_sql(view: str, k: int, weights: dict[int, list[float]] | None) -> str:
     """One gradient step for every model: per ``model_id`` the row count and
     ``sum((sigmoid(w.x) - y) * x_j)``. The weights enter as an inline VALUES
-    relation (broadcast by the planner), so the statement is parsed once per
-    step and the generated code is the same from step to step."""
+    relation (broadcast: one row per model), so the statement is parsed once
+    per step and the generated code is the same from step to step. The
+    residual is computed once per row in a subquery (size O(k), not O(k^2))."""
+    xs = ", ".join(f"t.x{j}" for j in range(k))
     if weights is None:
-        margin, src = "0.0D", f"{view} t"
+        margin, src, hint = "0.0D", f"{view} t", ""
     else:
         vals = ", ".join("(" + ", ".join([str(m)] + [spark_double(v) for v in w]) + ")" for m, w in sorted(weights.items()))
         cols = ", ".join(f"w{j}" for j in range(k))
         margin = " + ".join(f"t.x{j} * w.w{j}" for j in range(k))
         src = f"{view} t JOIN (VALUES {vals}) AS w(model_id, {cols}) ON t.model_id = w.model_id"
-    resid = f"(1.0D / (1.0D + exp(-({margin}))) - t.label)"
-    sums = ", ".join(f"sum({resid} * t.x{j}) AS g{j}" for j in range(k))
-    hint = "/*+ BROADCAST(w) */ " if weights is not None else ""
-    return f"SELECT {hint}t.model_id, count(1) AS n, {sums} FROM {src} GROUP BY t.model_id"
+        hint = "/*+ BROADCAST(w) */ "
+    rows = f"SELECT {hint}t.model_id, {xs}, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {src}"
+    sums = ", ".join(f"sum(r * x{j}) AS g{j}" for j in range(k))
+    return f"SELECT model_id, count(1) AS n, {sums} FROM ({rows}) GROUP BY model_id"
 
 
 def fit(

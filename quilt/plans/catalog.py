@@ -62,66 +62,85 @@ def r4(c):
 
 # ----------------------------------------------------------- SQL building
 
-PTS = points_sql(CFG.view)
-BASE = {
-    "pts": PTS,
-    "bins": f"SELECT *, {bin_no_sql(GRID, CFG.policy)} AS bin_no FROM pts",
-    "counts": "SELECT bin_no, count(*) AS n FROM bins WHERE bin_no IS NOT NULL GROUP BY bin_no",
-}
-
-
-def with_groups(**more: str) -> str:
-    parts = dict(BASE)
-    parts.update(grouping_sql("counts", GRID, CFG.n_groups))
-    parts["routed"] = route_sql("bins", GRID)
-    parts.update(more)
-    return cte(**parts)
-
-
-def with_base(**more: str) -> str:
-    parts = dict(BASE)
-    parts.update(more)
-    return cte(**parts)
-
-
-PART_EXPR = stable_part_sql(f"part{CFG.seed}", "key", CFG.n_parts)
-W_COLS = ", ".join(f"round(w{j}, 4) AS w{j}" for j in range(len(FEATS)))
-
-
-def trained(kind: str) -> dict[str, str]:
-    """Training CTEs for one strategy plus ``{kind}_final (model_id, n, w..)``."""
-    if kind == "wglob":
-        parts = train_sql("SELECT * FROM pts", FEATS, "0", CFG.iter_global, name=kind)
-        it = CFG.iter_global
-    elif kind == "wgrp":
-        parts = train_sql("SELECT * FROM routed", FEATS, "group_id", CFG.iter_ensemble, name=kind)
-        it = CFG.iter_ensemble
-    else:
-        parts = train_sql("SELECT * FROM pts", FEATS, PART_EXPR, CFG.iter_ensemble, name=kind)
-        it = CFG.iter_ensemble
-    ws = ", ".join(f"w.w{j}" for j in range(len(FEATS)))
-    parts[f"{kind}_final"] = f"SELECT w.model_id, CAST(c.n AS BIGINT) AS n, {ws} FROM {kind} w JOIN {kind}_n c ON c.model_id = w.model_id WHERE w.it = {it}"
-    return parts
+class Suite:
+    """SQL pieces for one configuration (view, grid, groups, parts, steps)."""
+
+    def __init__(self, cfg: Config):
+        self.cfg = cfg
+        self.grid = cfg.grid
+        self.feats = list(cfg.features)
+        self.pts = points_sql(cfg.view)
+        self.base = {
+            "pts": self.pts,
+            "bins": f"SELECT *, {bin_no_sql(cfg.grid, cfg.policy)} AS bin_no FROM pts",
+            "counts": "SELECT bin_no, count(*) AS n FROM bins WHERE bin_no IS NOT NULL GROUP BY bin_no",
+        }
+        self.part_expr = stable_part_sql(f"part{cfg.seed}", "key", cfg.n_parts)
+        self.w_cols = ", ".join(f"round(w{j}, 4) AS w{j}" for j in range(len(self.feats)))
+        t = cfg.threshold
+        self.scored_global = (
+            f"SELECT z.*, {self.prob('m')} AS probability, {threshold_sql(self.prob('m'), t)} AS prediction "
+            f"FROM pts z CROSS JOIN wglob_final m"
+        )
+        self.scored_routed = (
+            f"SELECT z.*, {self.prob('m')} AS probability, {threshold_sql(self.prob('m'), t)} AS prediction "
+            f"FROM routed z LEFT JOIN wgrp_final m ON m.model_id = z.group_id"
+        )
+        one = f"CASE WHEN {self.prob('m')} > {sql_double(t)} THEN 1 ELSE 0 END"
+        self.scored_vote = (
+            f"SELECT z.key, any_value(z.label) AS label, CAST(sum({one}) AS BIGINT) AS ones, "
+            f"CASE WHEN 2 * sum({one}) > (SELECT count(*) FROM wpart_final) "
+            f"THEN CAST('1.0' AS DOUBLE) ELSE CAST('0.0' AS DOUBLE) END AS prediction "
+            f"FROM pts z CROSS JOIN wpart_final m GROUP BY z.key"
+        )
 
+    def with_base(self, **more: str) -> str:
+        parts = dict(self.base)
+        parts.update(more)
+        return cte(**parts)
+
+    def with_groups(self, **more: str) -> str:
+        parts = dict(self.base)
+        parts.update(grouping_sql("counts", self.grid, self.cfg.n_groups))
+        parts["routed"] = route_sql("bins", self.grid)
+        parts.update(more)
+        return cte(**parts)
+
+    def trained(self, kind: str) -> dict[str, str]:
+        """Training CTEs for one strategy plus ``{kind}_final (model_id, n, w..)``."""
+        cfg = self.cfg
+        if kind == "wglob":
+            parts = train_sql("SELECT * FROM pts", self.feats, "0", cfg.iter_global, name=kind)
+            it = cfg.iter_global
+        elif kind == "wgrp":
+            parts = train_sql("SELECT * FROM routed", self.feats, "group_id", cfg.iter_ensemble, name=kind)
+            it = cfg.iter_ensemble
+        else:
+            parts = train_sql("SELECT * FROM pts", self.feats, self.part_expr, cfg.iter_ensemble, name=kind)
+            it = cfg.iter_ensemble
+        ws = ", ".join(f"w.w{j}" for j in range(len(self.feats)))
+        parts[f"{kind}_final"] = (
+            f"SELECT w.model_id, CAST(c.n AS BIGINT) AS n, {ws} FROM {kind} w "
+            f"JOIN {kind}_n c ON c.model_id = w.model_id WHERE w.it = {it}"
+        )
+        return parts
 
-def prob_sql(ws_alias: str) -> str:
-    return sigmoid_sql(dot_sql([f"z.x{j}" for j in range(len(FEATS))], [f"{ws_alias}.w{j}" for j in range(len(FEATS))]))
+    def prob(self, ws_alias: str) -> str:
+        k = len(self.feats)
+        return sigmoid_sql(dot_sql([f"z.x{j}" for j in range(k)], [f"{ws_alias}.w{j}" for j in range(k)]))
 
 
-SCORED_GLOBAL = (
-    f"SELECT z.*, {prob_sql('m')} AS probability, {threshold_sql(prob_sql('m'), CFG.threshold)} AS prediction "
-    f"FROM pts z CROSS JOIN wglob_final m"
-)
-SCORED_ROUTED = (
-    f"SELECT z.*, {prob_sql('m')} AS probability, {threshold_sql(prob_sql('m'), CFG.threshold)} AS prediction "
-    f"FROM routed z LEFT JOIN wgrp_final m ON m.model_id = z.group_id"
-)
-SCORED_VOTE = (
-    f"SELECT z.key, any_value(z.label) AS label, CAST(sum(CASE WHEN {prob_sql('m')} > {sql_double(CFG.threshold)} THEN 1 ELSE 0 END) AS BIGINT) AS ones, "
-    f"CASE WHEN 2 * sum(CASE WHEN {prob_sql('m')} > {sql_double(CFG.threshold)} THEN 1 ELSE 0 END) > (SELECT count(*) FROM wpart_final) "
-    f"THEN CAST('1.0' AS DOUBLE) ELSE CAST('0.0' AS DOUBLE) END AS prediction "
-    f"FROM pts z CROSS JOIN wpart_final m GROUP BY z.key"
-)
+MAIN = Suite(CFG)
+PTS = MAIN.pts
+BASE = MAIN.base
+with_groups = MAIN.with_groups
+with_base = MAIN.with_base
+trained = MAIN.trained
+PART_EXPR = MAIN.part_expr
+W_COLS = MAIN.w_cols
+SCORED_GLOBAL = MAIN.scored_global
+SCORED_ROUTED = MAIN.scored_routed
+SCORED_VOTE = MAIN.scored_vote
 
 
 def acc_sql(src: str, by: str = "") -> str:
@@ -650,3 +669,73 @@ def q_bin_distance(spark, sf):
             "dist2"
         ),
     )
+
+
+# ------------------------------------- the same operators on other data shapes
+# events: skewed values, so very uneven cells; embeddings: 64-wide features.
+
+EV_CFG = Config(
+    view="points_ev",
+    features=("x0", "x1", "x2"),
+    grid=Grid.of(("x0", 0.0, 500.0, 8), ("x1", 0.0, 150.0, 6), ("x2", 0.0, 24.0, 4)),
+    n_groups=10,
+    n_parts=8,
+)
+VEC_CFG = Config(
+    view="points_vec",
+    features=tuple(f"x{i}" for i in range(64)),
+    grid=Grid.of(("x0", -0.6, 0.5, 4), ("x1", -0.6, 0.5, 4), ("x2", -0.6, 0.5, 4)),
+    n_groups=8,
+    n_parts=4,
+)
+EV = Suite(EV_CFG)
+VEC = Suite(VEC_CFG)
+EV_BOUNDS = [f for i in range(EV_CFG.grid.dims) for f in (f"lo{i}", f"hi{i}")]
+
+
+def _weights(models, spark, k):
+    t = models.table(spark)
+    return t.select("model_id", "n", *[r4(F.col(f"w{j}")).alias(f"w{j}") for j in range(k)])
+
+
+@register("equi_depth_groups_events", EV.with_groups() + f"\nSELECT group_id, group_key, {', '.join(EV_BOUNDS)}, total FROM g_groups")
+def q_equi_depth_groups_events(spark, sf):
+    return workbench(spark, sf, EV_CFG).grouping().groups
+
+
+@register("assign_bin_group_events", EV.with_groups() + "\nSELECT key, bin_no, group_id FROM routed")
+def q_assign_bin_group_events(spark, sf):
+    return workbench(spark, sf, EV_CFG).routed().select("key", "bin_no", "group_id")
+
+
+@register("train_per_part_embeddings", VEC.with_base(**VEC.trained("wpart")) + f"\nSELECT model_id, n, {VEC.w_cols} FROM wpart_final")
+def q_train_per_part_embeddings(spark, sf):
+    return _weights(workbench(spark, sf, VEC_CFG).models_part(), spark, len(VEC_CFG.features))
+
+
+@register(
+    "predict_vote_embeddings",
+    VEC.with_base(**VEC.trained("wpart"), sv=VEC.scored_vote) + "\nSELECT key, label, ones, prediction FROM sv",
+)
+def q_predict_vote_embeddings(spark, sf):
+    scored = workbench(spark, sf, VEC_CFG).scored_vote()
+    return scored.select("key", "label", F.col("ones").cast("bigint").alias("ones"), "prediction")
+
+
+def _report_sql_for(suite: Suite) -> str:
+    parts = {}
+    for kind in ("wglob", "wgrp", "wpart"):
+        parts.update(suite.trained(kind))
+    parts.update(sg=suite.scored_global, sr=suite.scored_routed, sv=suite.scored_vote)
+    rows = []
+    for name, src, m in (("single", "sg", "wglob_final"), ("histogram", "sr", "wgrp_final"), ("random", "sv", "wpart_final")):
+        rows.append(
+            f"SELECT '{name}' AS strategy, (SELECT count(*) FROM {m}) AS n_models, a.n, a.correct, a.accuracy_pct, u.auc "
+            f"FROM ({acc_sql(src)}) a CROSS JOIN ({auc_sql(src)}) u"
+        )
+    return suite.with_groups(**parts) + "\n" + "\nUNION ALL\n".join(rows)
+
+
+@register("strategy_report_embeddings", _report_sql_for(VEC))
+def q_strategy_report_embeddings(spark, sf):
+    return workbench(spark, sf, VEC_CFG).report()
