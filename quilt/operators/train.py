@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.session import persist, spread
+from quilt.session import fit_partitions, persist
 
 
 @dataclass
@@ -94,7 +94,7 @@ def fit(
     # small checkpointed tables, so a lost block is recomputed from its own
     # input split only; no copy of the whole training table is written.
     data = persist(
-        spread(
+        fit_partitions(
             points.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *features).where(
                 F.col("model_id").isNotNull()
             )

@@ -90,3 +90,23 @@ def spread(df: DataFrame) -> DataFrame:
     except Exception:  # no driver-side context: leave partitioning to the planner
         return df
     return df.repartition(target) if parts < target else df
+
+
+def fit_partitions(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Partitioning for a table read many times (every training step): at
+    least one partition per core, and at most ``per_core`` per core. A scan of
+    a huge table has far more splits than cores (100 TB in 128 MB splits is
+    ~800k tasks per pass); merging neighbouring splits without a shuffle
+    (``coalesce``) makes each step schedule a few tasks per core instead."""
+    if df.isStreaming:
+        return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    if parts < cores:
+        return df.repartition(cores)
+    if parts > per_core * cores:
+        return df.coalesce(per_core * cores)
+    return df
