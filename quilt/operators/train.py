@@ -57,24 +57,30 @@ def spark_double(v: float) -> str:
     return f"CAST('{'NaN' if math.isnan(v) else ('Infinity' if v > 0 else '-Infinity')}' AS DOUBLE)"
 
 
-def gradient_sql(view: str, k: int, weights: dict[int, list[float]] | None) -> str:
-    """One gradient step for every model: per ``model_id`` the row count and
-    ``sum((sigmoid(w.x) - y) * x_j)``. The weights enter as an inline VALUES
-    relation (broadcast: one row per model), so the statement is parsed once
-    per step and the generated code is the same from step to step. The
-    residual is computed once per row in a subquery (size O(k), not O(k^2))."""
+def gradient_sql(view: str, k: int, weights: dict[tuple[int, int], list[float]] | None) -> str:
+    """One gradient step for every model of every family: per ``(family,
+    model_id)`` the row count and ``sum((sigmoid(w.x) - y) * x_j)``. The
+    weights enter as an inline VALUES relation (broadcast: one row per model),
+    so the statement is parsed once per step and the generated code is the same
+    from step to step; rows of models absent from it are dropped by the join.
+    The residual is computed once per row in a subquery (size O(k), not O(k^2))."""
     xs = ", ".join(f"t.x{j}" for j in range(k))
     if weights is None:
         margin, src, hint = "0.0D", f"{view} t", ""
     else:
-        vals = ", ".join("(" + ", ".join([str(m)] + [spark_double(v) for v in w]) + ")" for m, w in sorted(weights.items()))
+        vals = ", ".join(
+            "(" + ", ".join([str(f), str(m)] + [spark_double(v) for v in w]) + ")" for (f, m), w in sorted(weights.items())
+        )
         cols = ", ".join(f"w{j}" for j in range(k))
         margin = " + ".join(f"t.x{j} * w.w{j}" for j in range(k))
-        src = f"{view} t JOIN (VALUES {vals}) AS w(model_id, {cols}) ON t.model_id = w.model_id"
+        src = (
+            f"{view} t JOIN (VALUES {vals}) AS w(family, model_id, {cols}) "
+            f"ON t.family = w.family AND t.model_id = w.model_id"
+        )
         hint = "/*+ BROADCAST(w) */ "
-    rows = f"SELECT {hint}t.model_id, {xs}, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {src}"
+    rows = f"SELECT {hint}t.family, t.model_id, {xs}, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {src}"
     sums = ", ".join(f"sum(r * x{j}) AS g{j}" for j in range(k))
-    return f"SELECT model_id, count(1) AS n, {sums} FROM ({rows}) GROUP BY model_id"
+    return f"SELECT family, model_id, count(1) AS n, {sums} FROM ({rows}) GROUP BY family, model_id"
 
 
 def fit(
@@ -86,39 +92,62 @@ def fit(
 ) -> Models:
     """One model per distinct ``model_col`` value (one model overall
     when ``model_col`` is None). Rows with a null model id are not used."""
-    spark = points.sparkSession
+    return fit_together([(points, model_col, iterations)], features, step)[0]
+
+
+def fit_together(
+    families: list[tuple[DataFrame, str | None, int]], features: list[str], step: float = 1.0
+) -> list[Models]:
+    """Several families of models (e.g. the per-group, per-part and single
+    models) fitted by one aggregate per step over the union of their keyed
+    rows; a family stops taking part after its own number of steps. Each
+    model follows exactly the update it would follow alone."""
+    spark = families[0][0].sparkSession
     k = len(features)
-    mid = (F.col(model_col) if model_col else F.lit(0)).cast("bigint")
+    keyed = None
+    for f, (df, model_col, _) in enumerate(families):
+        mid = (F.col(model_col) if model_col else F.lit(0)).cast("bigint")
+        part = df.select(
+            F.lit(f).alias("family"),
+            mid.alias("model_id"),
+            F.col("label").cast("double").alias("label"),
+            *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)],
+        ).where(F.col("model_id").isNotNull())
+        keyed = part if keyed is None else keyed.unionByName(part)
     # The training rows are kept in executor memory (spilling to disk) for all
     # steps. Their lineage is narrow: a file scan plus broadcast lookups into
     # small checkpointed tables, so a lost block is recomputed from its own
     # input split only; no copy of the whole training table is written.
-    data = persist(
-        fit_partitions(
-            points.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *features).where(
-                F.col("model_id").isNotNull()
-            )
-        )
-    )
+    data = persist(fit_partitions(keyed))
     view = f"__quilt_train_{uuid.uuid4().hex}"
-    data.select("model_id", "label", *[F.col(c).alias(f"x{j}") for j, c in enumerate(features)]).createOrReplaceTempView(view)
-    weights: dict[int, list[float]] = {}
-    counts: dict[int, int] = {}
+    data.createOrReplaceTempView(view)
+    steps = [it for _, _, it in families]
+    weights: dict[tuple[int, int], list[float]] = {}
+    counts: dict[tuple[int, int], int] = {}
     history = []
     try:
-        for t in range(1, iterations + 1):
+        for t in range(1, max(steps) + 1):
             t0 = time.time()
+            active = {f for f, it in enumerate(steps) if it >= t}
             # step 1 starts from zero weights: sigmoid(0) = 0.5, no table needed
-            rows = spark.sql(gradient_sql(view, k, weights if t > 1 else None)).collect()
+            current = None if t == 1 else {fm: w for fm, w in weights.items() if fm[0] in active}
+            rows = spark.sql(gradient_sql(view, k, current)).collect()
             rate = step / math.sqrt(t)
             for r in rows:
-                m = r["model_id"]
+                fm = (r["family"], r["model_id"])
+                if fm[0] not in active:
+                    continue
                 n = r["n"]
-                counts[m] = n
-                w = weights.get(m, [0.0] * k)
-                weights[m] = [w[j] - rate * (r[f"g{j}"] / n) for j in range(k)]
+                counts[fm] = n
+                w = weights.get(fm, [0.0] * k)
+                weights[fm] = [w[j] - rate * (r[f"g{j}"] / n) for j in range(k)]
             history.append(time.time() - t0)
     finally:
         spark.catalog.dropTempView(view)
         data.unpersist()
-    return Models(list(features), weights, counts, iterations, step, history)
+    out = []
+    for f, it in enumerate(steps):
+        ws = {m: w for (g, m), w in weights.items() if g == f}
+        ns = {m: n for (g, m), n in counts.items() if g == f}
+        out.append(Models(list(features), ws, ns, it, step, history[:it]))
+    return out

@@ -19,7 +19,7 @@ from quilt.operators.histogram import bin_histogram, with_bin_no
 from quilt.operators.metrics import class_summary
 from quilt.operators.partition import assign_random_part, sample_hash
 from quilt.operators.score import predict_global, predict_routed, predict_vote
-from quilt.operators.train import Models, fit
+from quilt.operators.train import Models, fit, fit_together
 from quilt.session import ensure_checkpoint_dir, persist, spread
 from quilt.sources.points import points
 
@@ -88,6 +88,23 @@ class Workbench:
             "m_part", lambda: fit(self.parted(), list(self.cfg.features), "part_id", self.cfg.iter_ensemble)
         )
 
+    def fit_all(self) -> None:
+        """The three strategies' models in one loop: one aggregate per step
+        over the union of their keyed rows (the single model stops after its
+        own, smaller, number of steps)."""
+        if all(k in self._memo for k in ("m_global", "m_group", "m_part")):
+            return
+        feats = list(self.cfg.features)
+        g, r, s = fit_together(
+            [
+                (self.routed(), "group_id", self.cfg.iter_ensemble),
+                (self.parted(), "part_id", self.cfg.iter_ensemble),
+                (self.points(), None, self.cfg.iter_global),
+            ],
+            feats,
+        )
+        self._memo.update(m_group=g, m_part=r, m_global=s)
+
     # ----------------------------------------------------------- scoring
     def scored_global(self, test: DataFrame | None = None) -> DataFrame:
         return predict_global(test if test is not None else self.points(), self.models_global(), self.cfg.threshold)
@@ -102,6 +119,7 @@ class Workbench:
 
     def report(self) -> DataFrame:
         """Accuracy and AUC of the three strategies side by side."""
+        self.fit_all()
         parts = []
         for name, scored, models in (
             ("single", self.scored_global(), self.models_global()),

@@ -116,3 +116,17 @@ def test_class_summary_equals_separate_metrics(spark):
     u = auc(df).first()
     assert (s.n, s.correct, s.accuracy_pct) == (a.n, a.correct, a.accuracy_pct)
     assert (s.positives, s.negatives, s.auc) == (u.positives, u.negatives, u.auc)
+
+
+def test_fit_together_equals_separate_fits(spark, toy):
+    from quilt.operators.train import fit_together
+
+    df, x, y, grp = toy
+    a, b = fit_together([(df, "g", 6), (df, None, 3)], ["x0", "x1", "x2"])
+    sep_a = fit(df, ["x0", "x1", "x2"], "g", iterations=6)
+    sep_b = fit(df, ["x0", "x1", "x2"], None, iterations=3)
+    for m in sep_a.ids:
+        assert np.allclose(a.weights[m], sep_a.weights[m], rtol=1e-13, atol=1e-15)
+    assert np.allclose(b.weights[0], sep_b.weights[0], rtol=1e-13, atol=1e-15)
+    assert np.allclose(b.weights[0], numpy_gd(x, y, 3), rtol=1e-12, atol=1e-14)
+    assert a.counts == sep_a.counts and b.counts == sep_b.counts

@@ -49,9 +49,9 @@ def test_scan_prunes_columns(spark, queries):
 
 
 def test_gradient_step_plan(spark):
-    df = spark.createDataFrame([(0, 1.0, 0.5), (1, 0.0, 1.5)], "model_id bigint, label double, x0 double")
+    df = spark.createDataFrame([(0, 0, 1.0, 0.5), (0, 1, 0.0, 1.5)], "family int, model_id bigint, label double, x0 double")
     df.createOrReplaceTempView("__plan_train")
-    p = plan(spark.sql(gradient_sql("__plan_train", 1, {0: [0.1], 1: [0.2]})))
+    p = plan(spark.sql(gradient_sql("__plan_train", 1, {(0, 0): [0.1], (0, 1): [0.2]})))
     assert "BroadcastHashJoin" in p and "partial_sum" in p
     assert "Python" not in p
 
