@@ -57,30 +57,69 @@ def spark_double(v: float) -> str:
     return f"CAST('{'NaN' if math.isnan(v) else ('Infinity' if v > 0 else '-Infinity')}' AS DOUBLE)"
 
 
-def gradient_sql(view: str, k: int, weights: dict[tuple[int, int], list[float]] | None) -> str:
-    """One gradient step for every model of every family: per ``(family,
-    model_id)`` the row count and ``sum((sigmoid(w.x) - y) * x_j)``. The
-    weights enter as an inline VALUES relation (broadcast: one row per model),
-    so the statement is parsed once per step and the generated code is the same
-    from step to step; rows of models absent from it are dropped by the join.
-    The residual is computed once per row in a subquery (size O(k), not O(k^2))."""
+# Largest weight array passed as one literal; more weights go through a join.
+ARRAY_MAX_WEIGHTS = 100_000
+
+
+def _residual_rows(view: str, k: int, margin: str, src: str, key: str, hint: str = "", where: str = "") -> str:
     xs = ", ".join(f"t.x{j}" for j in range(k))
-    if weights is None:
-        margin, src, hint = "0.0D", f"{view} t", ""
-    else:
-        vals = ", ".join(
-            "(" + ", ".join([str(f), str(m)] + [spark_double(v) for v in w]) + ")" for (f, m), w in sorted(weights.items())
-        )
-        cols = ", ".join(f"w{j}" for j in range(k))
-        margin = " + ".join(f"t.x{j} * w.w{j}" for j in range(k))
-        src = (
-            f"{view} t JOIN (VALUES {vals}) AS w(family, model_id, {cols}) "
-            f"ON t.family = w.family AND t.model_id = w.model_id"
-        )
-        hint = "/*+ BROADCAST(w) */ "
-    rows = f"SELECT {hint}t.family, t.model_id, {xs}, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {src}"
+    rows = f"SELECT {hint}{key} AS mkey, {xs}, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {src}{where}"
     sums = ", ".join(f"sum(r * x{j}) AS g{j}" for j in range(k))
-    return f"SELECT family, model_id, count(1) AS n, {sums} FROM ({rows}) GROUP BY family, model_id"
+    return f"SELECT mkey, count(1) AS n, {sums} FROM ({rows}) GROUP BY mkey"
+
+
+def gradient_sql(view: str, k: int, weights: dict[tuple[int, int], list[float]] | None) -> str:
+    """One gradient step for every model of every family, keyed ``mkey =
+    struct(family, model_id)``: the row count and ``sum((sigmoid(w.x) - y) *
+    x_j)``. The weights enter as an inline VALUES relation (broadcast: one
+    row per model); rows of models absent from it are dropped by the join.
+    The statement is parsed once per step and its generated code is the same
+    from step to step; the residual is computed once per row (O(k) terms)."""
+    key = "named_struct('family', t.family, 'model_id', t.model_id)"
+    if weights is None:
+        return _residual_rows(view, k, "0.0D", f"{view} t", key)
+    vals = ", ".join(
+        "(" + ", ".join([str(f), str(m)] + [spark_double(v) for v in w]) + ")" for (f, m), w in sorted(weights.items())
+    )
+    cols = ", ".join(f"w{j}" for j in range(k))
+    margin = " + ".join(f"t.x{j} * w.w{j}" for j in range(k))
+    src = f"{view} t JOIN (VALUES {vals}) AS w(family, model_id, {cols}) ON t.family = w.family AND t.model_id = w.model_id"
+    return _residual_rows(view, k, margin, src, key, hint="/*+ BROADCAST(w) */ ")
+
+
+def gradient_sql_dense(view: str, k: int, weights: dict[tuple[int, int], list[float]], offsets: dict[int, int],
+                       size: int) -> str:
+    """The same step when model ids are dense per family: the model's index is
+    ``offset[family] + model_id`` and weight j is read from a literal array
+    of all models' weight j (a constant held once per task, not compiled into
+    the code and not copied into rows), so a row costs k array reads instead
+    of a hash-join probe, and the aggregate has one int key."""
+    cols = [[0.0] * size for _ in range(k)]
+    for (f, m), w in weights.items():
+        for j in range(k):
+            cols[j][offsets[f] + m] = w[j]
+    fams = sorted({f for f, _ in weights})
+    off = "CASE t.family " + " ".join(f"WHEN {f} THEN {offsets[f]}" for f in fams) + " END" if len(offsets) > 1 else "0"
+    idx = f"({off} + t.model_id)"
+    margin = " + ".join(
+        f"t.x{j} * element_at(array({', '.join(spark_double(v) for v in cols[j])}), CAST({idx} + 1 AS INT))"
+        for j in range(k)
+    )
+    where = f" WHERE t.family IN ({', '.join(map(str, fams))})" if len(offsets) > 1 else ""
+    return _residual_rows(view, k, margin, f"{view} t", idx, where=where)
+
+
+def _dense_layout(ids: list[tuple[int, int]], k: int) -> tuple[dict[int, int], int] | None:
+    """Offsets per family when every family's ids are 0..max with few gaps."""
+    offsets, size = {}, 0
+    for f in sorted({f for f, _ in ids}):
+        ms = [m for g, m in ids if g == f]
+        lo, hi = min(ms), max(ms)
+        if lo < 0 or hi + 1 > 4 * len(ms):
+            return None
+        offsets[f] = size
+        size += hi + 1
+    return (offsets, size) if size * k <= ARRAY_MAX_WEIGHTS else None
 
 
 def fit(
@@ -125,16 +164,29 @@ def fit_together(
     weights: dict[tuple[int, int], list[float]] = {}
     counts: dict[tuple[int, int], int] = {}
     history = []
+    layout, index = None, {}
     try:
         for t in range(1, max(steps) + 1):
             t0 = time.time()
             active = {f for f, it in enumerate(steps) if it >= t}
             # step 1 starts from zero weights: sigmoid(0) = 0.5, no table needed
             current = None if t == 1 else {fm: w for fm, w in weights.items() if fm[0] in active}
-            rows = spark.sql(gradient_sql(view, k, current)).collect()
+            if current is None:
+                sql = gradient_sql(view, k, None)
+            elif layout is not None:
+                sql = gradient_sql_dense(view, k, current, *layout)
+            else:
+                sql = gradient_sql(view, k, current)
+            rows = spark.sql(sql).collect()
+            if t == 1:
+                layout = _dense_layout(sorted((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows), k)
+                index = {} if layout is None else {
+                    layout[0][f] + m: (f, m) for f, m in ((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows)
+                }
             rate = step / math.sqrt(t)
             for r in rows:
-                fm = (r["family"], r["model_id"])
+                key = r["mkey"]
+                fm = (key["family"], key["model_id"]) if t == 1 or layout is None else index[key]
                 if fm[0] not in active:
                     continue
                 n = r["n"]

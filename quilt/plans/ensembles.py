@@ -19,7 +19,7 @@ from quilt.operators.histogram import bin_histogram, with_bin_no
 from quilt.operators.metrics import class_summary
 from quilt.operators.partition import assign_random_part, sample_hash
 from quilt.operators.score import predict_global, predict_routed, predict_vote
-from quilt.operators.train import Models, fit, fit_together
+from quilt.operators.train import Models, fit
 from quilt.session import ensure_checkpoint_dir, persist, spread
 from quilt.sources.points import points
 
@@ -89,21 +89,13 @@ class Workbench:
         )
 
     def fit_all(self) -> None:
-        """The three strategies' models in one loop: one aggregate per step
-        over the union of their keyed rows (the single model stops after its
-        own, smaller, number of steps)."""
-        if all(k in self._memo for k in ("m_global", "m_group", "m_part")):
-            return
-        feats = list(self.cfg.features)
-        g, r, s = fit_together(
-            [
-                (self.routed(), "group_id", self.cfg.iter_ensemble),
-                (self.parted(), "part_id", self.cfg.iter_ensemble),
-                (self.points(), None, self.cfg.iter_global),
-            ],
-            feats,
-        )
-        self._memo.update(m_group=g, m_part=r, m_global=s)
+        """The three strategies' models, one after the other. (Fitting them in
+        one loop over the union of their rows, ``fit_together``, halves the
+        number of jobs but not the time: each step's cost is the pass over
+        the rows, so three passes cost the same either way.)"""
+        self.models_group()
+        self.models_part()
+        self.models_global()
 
     # ----------------------------------------------------------- scoring
     def scored_global(self, test: DataFrame | None = None) -> DataFrame:

@@ -93,11 +93,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def fit_partitions(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """Partitioning for a table read many times (every training step): at
-    least one partition per core, and at most ``per_core`` per core. A scan of
-    a huge table has far more splits than cores (100 TB in 128 MB splits is
-    ~800k tasks per pass); merging neighbouring splits without a shuffle
-    (``coalesce``) makes each step schedule a few tasks per core instead."""
+    """Partitioning for a table read many times (every training step).
+
+    Fewer than two partitions per core: the rows are dealt round-robin to one
+    partition per core. This is one shuffle of the table against the many
+    passes that follow, and the only way to use all cores when an input file
+    is a single row group (one busy task, whatever the split count says).
+    Far more partitions than cores (100 TB in 128 MB splits is ~800k tasks
+    per pass): neighbouring splits are merged without a shuffle
+    (``coalesce``) to ``per_core`` per core, so each step schedules a few
+    tasks per core."""
     if df.isStreaming:
         return df
     try:
@@ -105,7 +110,7 @@ def fit_partitions(df: DataFrame, per_core: int = 4) -> DataFrame:
         parts = df.rdd.getNumPartitions()
     except Exception:
         return df
-    if parts < cores:
+    if parts < 2 * cores:
         return df.repartition(cores)
     if parts > per_core * cores:
         return df.coalesce(per_core * cores)

@@ -4,13 +4,15 @@ from quilt.session import broadcast_if_small, fit_partitions, spread
 def test_fit_partitions_bounds(spark):
     cores = spark.sparkContext.defaultParallelism
     many = spark.range(10_000, numPartitions=cores * 10)
-    assert fit_partitions(many).rdd.getNumPartitions() == 4 * cores
     few = spark.range(10_000, numPartitions=1)
+    ok = spark.range(10_000, numPartitions=3 * cores)
     assert fit_partitions(few).rdd.getNumPartitions() == cores
     assert spread(few).rdd.getNumPartitions() == cores
-    ok = spark.range(10_000, numPartitions=2 * cores)
-    assert fit_partitions(ok).rdd.getNumPartitions() == 2 * cores
-    assert fit_partitions(many).count() == 10_000
+    merged = fit_partitions(many)
+    assert merged.rdd.getNumPartitions() == 4 * cores
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert fit_partitions(ok).rdd.getNumPartitions() == 3 * cores
+    assert merged.count() == 10_000
 
 
 def test_broadcast_only_below_the_bound(spark):
