@@ -157,8 +157,10 @@ def rank_by(df: DataFrame, key: str, out: str) -> DataFrame:
     """0-based position of each row in ``key`` order (keys unique), computed
     without a window over the whole table: rows are range-partitioned on
     ``key``, numbered inside each partition, and shifted by the row counts of
-    the partitions before (a table of one row per partition)."""
-    parted = df.repartitionByRange(key).withColumn("__pid", F.spark_partition_id())
+    the partitions before (a table of one row per partition). The partition
+    id is stored with the rows (checkpoint) before it is read twice, so both
+    reads see the same partitioning whatever the runtime re-planning does."""
+    parted = cut_lineage(df.repartitionByRange(key).withColumn("__pid", F.spark_partition_id()))
     local = parted.withColumn(
         "__local", F.row_number().over(Window.partitionBy("__pid").orderBy(key)) - 1
     )

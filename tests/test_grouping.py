@@ -134,3 +134,12 @@ def test_tree_invariants(spark):
     assert bad == 0
     dense = dense_histogram(spark, df.where("n > 0"), grid)
     assert dense.count() == 512 and dense.agg(F.sum("n")).first()[0] == sum(cells.values())
+
+
+def test_rank_by_is_a_dense_order(spark):
+    from quilt.operators.grouping import rank_by
+
+    keys = random.Random(5).sample(range(10**9), 5000)
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(13)
+    got = {r.k: r.i for r in rank_by(df, "k", "i").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
