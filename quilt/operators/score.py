@@ -51,13 +51,41 @@ def vote_columns(models: Models, t: float) -> list[Column]:
     ]
 
 
-def predict_vote(df: DataFrame, models: Models, t: float = 0.5) -> DataFrame:
+# Above this many weights the vote is evaluated by a compact loop over
+# literal weight arrays instead of one compiled expression per model.
+UNROLL_MAX_WEIGHTS = 2048
+
+
+def vote_count_loop(models: Models, t: float) -> Column:
+    """Number of models voting 1, as one higher-order loop over the models:
+    weight j of model i is element i of a literal array (one per feature).
+    The expression stays the same size for any number of models; it runs
+    interpreted, so it serves only where unrolling would not compile."""
+    ids = models.ids
+    xs = [F.col(c) for c in models.features]
+    arrays = [F.lit([float(models.weights[m][j]) for m in ids]) for j in range(len(xs))]
+
+    def one(acc: Column, i: Column) -> Column:
+        margin = xs[0] * F.element_at(arrays[0], i + 1)
+        for x, arr in zip(xs[1:], arrays[1:]):
+            margin = margin + x * F.element_at(arr, i + 1)
+        return acc + F.when(sigmoid(margin) > F.lit(float(t)), 1).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(ids) - 1)), F.lit(0), one)
+
+
+def predict_vote(df: DataFrame, models: Models, t: float = 0.5, unroll: bool | None = None) -> DataFrame:
     """H3: majority vote of all present models; a tie gives 0."""
     m = len(models.weights)
-    # The indicators go into one array, whose generated code is split into a
-    # method per element; a single nested sum of all models would be one
-    # method too large to compile quickly (or at all, for many models).
-    ones = F.aggregate(F.array(*vote_columns(models, t)), F.lit(0), lambda acc, v: acc + v)
+    if unroll is None:
+        unroll = m * len(models.features) <= UNROLL_MAX_WEIGHTS
+    if unroll:
+        # The indicators go into one array, whose generated code is split into
+        # a method per element (one nested sum of all models would be one
+        # method too large to compile quickly).
+        ones = F.aggregate(F.array(*vote_columns(models, t)), F.lit(0), lambda acc, v: acc + v)
+    else:
+        ones = vote_count_loop(models, t)
     return df.withColumn("ones", ones).withColumn(
         "prediction", F.when(F.col("ones") * 2 > F.lit(m), 1.0).otherwise(0.0)
     )

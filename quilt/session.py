@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
-def build_session(master: str | None = None, app: str = "quilt") -> SparkSession:
+def build_session(master: str | None = None, app: str = "quilt", conf: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests and the bench; a cluster passes its own."""
     master = master or os.environ.get("QUILT_MASTER", "local[8]")
+    builder = SparkSession.builder
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -130,3 +130,11 @@ def test_fit_together_equals_separate_fits(spark, toy):
     assert np.allclose(b.weights[0], sep_b.weights[0], rtol=1e-13, atol=1e-15)
     assert np.allclose(b.weights[0], numpy_gd(x, y, 3), rtol=1e-12, atol=1e-14)
     assert a.counts == sep_a.counts and b.counts == sep_b.counts
+
+
+def test_vote_loop_equals_unrolled(spark, toy):
+    df, x, y, grp = toy
+    m = fit(df, ["x0", "x1", "x2"], "g", iterations=4)
+    a = {r.key: (r.ones, r.prediction) for r in predict_vote(df, m, 0.5, unroll=True).collect()}
+    b = {r.key: (r.ones, r.prediction) for r in predict_vote(df, m, 0.5, unroll=False).collect()}
+    assert a == b
