@@ -14,26 +14,27 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+LOCAL_DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.shuffle.partitions": "8",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.driver.memory": "16g",
+}
+
+
 def build_session(master: str | None = None, app: str = "quilt", conf: dict[str, str] | None = None) -> SparkSession:
-    """Local session for tests and the bench; a cluster passes its own."""
+    """Local session for tests and the bench (``conf`` overrides the local
+    defaults); on a cluster the caller builds its own session."""
     master = master or os.environ.get("QUILT_MASTER", "local[8]")
-    builder = SparkSession.builder
-    for k, v in (conf or {}).items():
+    builder = SparkSession.builder.master(master).appName(app)
+    for k, v in {**LOCAL_DEFAULTS, **(conf or {})}.items():
         builder = builder.config(k, v)
-    spark = (
-        builder.master(master)
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
-        .getOrCreate()
-    )
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
