@@ -143,3 +143,20 @@ def test_rank_by_is_a_dense_order(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(13)
     got = {r.k: r.i for r in rank_by(df, "k", "i").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_invariants_on_lineitem(spark):
+    from conftest import SF001
+    from quilt.plans.ensembles import Config, Workbench
+
+    wb = Workbench(spark, SF001, Config())
+    g = wb.grouping()
+    rows = wb.points().count()
+    members = group_members(g, wb.counts())
+    # each cell in at most one group; group totals add up to the row count
+    assert members.count() == members.select("bin_no").distinct().count()
+    assert g.groups.agg(F.sum("total")).first()[0] == rows
+    assert members.agg(F.sum("n")).first()[0] == rows
+    # the tree's root holds every row; every routed point has a group
+    assert histogram_tree(wb.counts(), wb.cfg.grid).where("level = 0").first().subtotal == rows
+    assert route(wb.binned(), g, compatible=False).where("group_id IS NULL").count() == 0
