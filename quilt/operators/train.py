@@ -57,8 +57,11 @@ def spark_double(v: float) -> str:
     return f"CAST('{'NaN' if math.isnan(v) else ('Infinity' if v > 0 else '-Infinity')}' AS DOUBLE)"
 
 
-# Largest weight array passed as one literal; more weights go through a join.
+# Largest weight array passed as literals; more weights go through a join.
 ARRAY_MAX_WEIGHTS = 100_000
+# Literal arrays pay off for narrow rows; with many features the k array
+# reads cost more than one hash-join probe (measured: 64 features).
+ARRAY_MAX_FEATURES = 16
 
 
 def _residual_rows(view: str, k: int, margin: str, src: str, key: str, hint: str = "", where: str = "") -> str:
@@ -111,6 +114,8 @@ def gradient_sql_dense(view: str, k: int, weights: dict[tuple[int, int], list[fl
 
 def _dense_layout(ids: list[tuple[int, int]], k: int) -> tuple[dict[int, int], int] | None:
     """Offsets per family when every family's ids are 0..max with few gaps."""
+    if k > ARRAY_MAX_FEATURES:
+        return None
     offsets, size = {}, 0
     for f in sorted({f for f, _ in ids}):
         ms = [m for g, m in ids if g == f]
