@@ -64,11 +64,14 @@ ARRAY_MAX_WEIGHTS = 100_000
 ARRAY_MAX_FEATURES = 16
 
 
-def _residual_rows(view: str, k: int, margin: str, src: str, key: str, hint: str = "", where: str = "") -> str:
+def _residual_rows(view: str, k: int, margin: str, src: str, key: str, hint: str = "", where: str = "",
+                   check_labels: bool = False) -> str:
     xs = ", ".join(f"t.x{j}" for j in range(k))
-    rows = f"SELECT {hint}{key} AS mkey, {xs}, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {src}{where}"
+    lab = ", t.label" if check_labels else ""
+    rows = f"SELECT {hint}{key} AS mkey, {xs}{lab}, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {src}{where}"
     sums = ", ".join(f"sum(r * x{j}) AS g{j}" for j in range(k))
-    return f"SELECT mkey, count(1) AS n, {sums} FROM ({rows}) GROUP BY mkey"
+    bad = ", sum(CASE WHEN label = 0.0D OR label = 1.0D THEN 0 ELSE 1 END) AS bad" if check_labels else ""
+    return f"SELECT mkey, count(1) AS n, {sums}{bad} FROM ({rows}) GROUP BY mkey"
 
 
 def gradient_sql(view: str, k: int, weights: dict[tuple[int, int], list[float]] | None) -> str:
@@ -80,7 +83,8 @@ def gradient_sql(view: str, k: int, weights: dict[tuple[int, int], list[float]]
     from step to step; the residual is computed once per row (O(k) terms)."""
     key = "named_struct('family', t.family, 'model_id', t.model_id)"
     if weights is None:
-        return _residual_rows(view, k, "0.0D", f"{view} t", key)
+        # first step: zero weights, and the labels are checked in the same pass
+        return _residual_rows(view, k, "0.0D", f"{view} t", key, check_labels=True)
     vals = ", ".join(
         "(" + ", ".join([str(f), str(m)] + [spark_double(v) for v in w]) + ")" for (f, m), w in sorted(weights.items())
     )
@@ -183,6 +187,8 @@ def fit_together(
             else:
                 sql = gradient_sql(view, k, current)
             rows = spark.sql(sql).collect()
+            if t == 1 and any(r["bad"] for r in rows):
+                raise ValueError("training labels must be 0 or 1 (binary logistic models)")
             if t == 1:
                 layout = _dense_layout(sorted((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows), k)
                 index = {} if layout is None else {

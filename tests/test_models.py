@@ -138,3 +138,9 @@ def test_vote_loop_equals_unrolled(spark, toy):
     a = {r.key: (r.ones, r.prediction) for r in predict_vote(df, m, 0.5, unroll=True).collect()}
     b = {r.key: (r.ones, r.prediction) for r in predict_vote(df, m, 0.5, unroll=False).collect()}
     assert a == b
+
+
+def test_labels_must_be_binary(spark):
+    df = spark.createDataFrame([("a", 2.0, 1.0), ("b", 0.0, 1.0)], "key string, label double, x0 double")
+    with pytest.raises(ValueError):
+        fit(df, ["x0"], None, iterations=2)
