@@ -8,5 +8,6 @@ majority vote of all models.
 """
 
 from quilt.functions.grid import Axis, Grid
+from quilt.plans.api import HistogramEnsemble, RandomEnsemble, SingleModel, evaluate
 
-__all__ = ["Axis", "Grid"]
+__all__ = ["Axis", "Grid", "HistogramEnsemble", "RandomEnsemble", "SingleModel", "evaluate"]
