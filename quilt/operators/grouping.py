@@ -22,6 +22,7 @@ tables, which are broadcast when their counted size allows.
 
 from __future__ import annotations
 
+import math
 import os
 import time
 from dataclasses import dataclass
@@ -153,14 +154,25 @@ class Grouping:
         )
 
 
-def rank_by(df: DataFrame, key: str, out: str) -> DataFrame:
+ROWS_PER_PARTITION = 500_000
+
+
+def _compact(df: DataFrame, bound: int) -> DataFrame:
+    """A table with a proven row bound gets one partition per 500k bounded
+    rows (no shuffle): its checkpoint is a few files, not one per shuffle
+    partition of the cluster."""
+    return df.coalesce(max(1, math.ceil(bound / ROWS_PER_PARTITION)))
+
+
+def rank_by(df: DataFrame, key: str, out: str, bound: int | None = None) -> DataFrame:
     """0-based position of each row in ``key`` order (keys unique), computed
     without a window over the whole table: rows are range-partitioned on
     ``key``, numbered inside each partition, and shifted by the row counts of
     the partitions before (a table of one row per partition). The partition
     id is stored with the rows (checkpoint) before it is read twice, so both
     reads see the same partitioning whatever the runtime re-planning does."""
-    parted = cut_lineage(df.repartitionByRange(key).withColumn("__pid", F.spark_partition_id()))
+    ranged = df.repartitionByRange(max(1, math.ceil(bound / ROWS_PER_PARTITION)), key) if bound else df.repartitionByRange(key)
+    parted = cut_lineage(ranged.withColumn("__pid", F.spark_partition_id()))
     local = parted.withColumn(
         "__local", F.row_number().over(Window.partitionBy("__pid").orderBy(key)) - 1
     )
@@ -195,8 +207,11 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
     cs = [f"c{i}" for i in range(d)]
     _trace("start")
     base = cut_lineage(
-        cells.where(F.col("bin_no").isNotNull()).select(
-            F.col(weight).cast("bigint").alias("w"), *[coordinate("bin_no", grid, i).alias(c) for i, c in enumerate(cs)]
+        _compact(
+            cells.where(F.col("bin_no").isNotNull()).select(
+                F.col(weight).cast("bigint").alias("w"), *[coordinate("bin_no", grid, i).alias(c) for i, c in enumerate(cs)]
+            ),
+            grid.cells,
         )
     )
     total = base.agg(F.sum("w")).first()[0] or 0
@@ -223,8 +238,11 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
         totals = axis_totals(per, "path", cs[lvl], "w", grid.splits[lvl])
         runs = totals.select("path", F.explode(axis_cut(F.col("totals"), grid.splits[lvl], targets[lvl])).alias("r"))
         table = cut_lineage(
-            runs.select("path", "r.s", "r.e", "r.tot").select(
-                "path", F.explode(F.sequence("s", "e")).alias("k"), "s", "e", "tot"
+            _compact(
+                runs.select("path", "r.s", "r.e", "r.tot").select(
+                    "path", F.explode(F.sequence("s", "e")).alias("k"), "s", "e", "tot"
+                ),
+                grid.prefix_cells(lvl),
             )
         )
         levels.append(table)
@@ -252,7 +270,7 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
     bounds = [f for i in range(d) for f in (f"lo{i}", f"hi{i}")]
     # depth-first numbering = order of the corner ids; one row per group
     groups = cut_lineage(
-        rank_by(box.select("group_key", *bounds, "total"), "group_key", "group_id").select(
+        rank_by(box.select("group_key", *bounds, "total"), "group_key", "group_id", grid.prefix_cells(d - 1)).select(
             "group_id", "group_key", *bounds, "total"
         )
     )
