@@ -294,7 +294,10 @@ def route(df: DataFrame, grouping: Grouping, bin_col: str = "bin_no", compatible
             out = out.select(*cols, F.col(f"np{lvl}").alias("__path"))
     gid = F.col("group_id")
     if compatible:
-        gid = F.coalesce(gid, _bigint(0))
+        # cells outside every group read group 0, as the reference's lookup
+        # array does; a row without a cell (null feature, or out of range
+        # under the null policy) stays unrouted
+        gid = F.when(F.col(bin_col).isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce(gid, _bigint(0)))
     return out.select(*cols, gid.alias("group_id"))
 
 

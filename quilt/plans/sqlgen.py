@@ -143,5 +143,5 @@ def route_sql(rows: str, grid: Grid, pre: str = "g", compatible: bool = True, bi
     joins.append(
         f"LEFT JOIN {pre}_segl rl ON rl.p = {path} AND rl.k = {coordinate_sql('z.' + bin_col, grid, d - 1)}"
     )
-    gid = "COALESCE(rl.group_id, 0)" if compatible else "rl.group_id"
+    gid = f"CASE WHEN z.{bin_col} IS NULL THEN NULL ELSE COALESCE(rl.group_id, 0) END" if compatible else "rl.group_id"
     return f"SELECT z.*, CAST({gid} AS BIGINT) AS group_id FROM {rows} z " + " ".join(joins)

@@ -160,3 +160,10 @@ def test_invariants_on_lineitem(spark):
     # the tree's root holds every row; every routed point has a group
     assert histogram_tree(wb.counts(), wb.cfg.grid).where("level = 0").first().subtotal == rows
     assert route(wb.binned(), g, compatible=False).where("group_id IS NULL").count() == 0
+
+
+def test_unroutable_rows_stay_unrouted(spark):
+    grid, _, g = grouped(spark, {c: 1 for c in range(16)}, [4, 4], 4)
+    df = spark.createDataFrame([(5,), (None,)], "bin_no bigint")
+    got = [r.group_id for r in route(df, g, compatible=True).orderBy(F.col("bin_no").asc_nulls_last()).collect()]
+    assert got[0] is not None and got[1] is None
