@@ -188,9 +188,5 @@ def points_sql(view: str = "points_li", label: str | None = None) -> str:
     return v.sql(label or v.default_label)
 
 
-def feature_names(width: int) -> list[str]:
-    return [f"x{i}" for i in range(width)]
-
-
 def features(df: DataFrame) -> list[str]:
     return sorted((c for c in df.columns if c[:1] == "x" and c[1:].isdigit()), key=lambda c: int(c[1:]))
