@@ -20,13 +20,18 @@ def with_bin_no(points: DataFrame, grid: Grid, policy: str = "clamp", out: str =
 
 def bin_histogram(points: DataFrame, grid: Grid, policy: str = "clamp") -> DataFrame:
     """Rows per non-empty cell, ``(bin_no, n)``. Rows whose cell is null
-    (null feature, or out of range under the ``null`` policy) are not counted."""
-    return (
-        points.select(bin_no(grid, policy).alias("bin_no"))
-        .where(F.col("bin_no").isNotNull())
-        .groupBy("bin_no")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    (null feature, or out of range under the ``null`` policy) are not counted.
+    Under ``clamp``/``raw`` a cell is null exactly when a grid feature is, so
+    the test is on the features (pushed to the scan) rather than on the cell
+    expression (which the optimizer would otherwise evaluate twice per row)."""
+    if policy in ("clamp", "raw"):
+        present = F.lit(True)
+        for a in grid.axes:
+            present = present & F.col(a.column).isNotNull()
+        rows = points.where(present).select(bin_no(grid, policy).alias("bin_no"))
+    else:
+        rows = points.select(bin_no(grid, policy).alias("bin_no")).where(F.col("bin_no").isNotNull())
+    return rows.groupBy("bin_no").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dense_histogram(spark: SparkSession, counts: DataFrame, grid: Grid) -> DataFrame:
