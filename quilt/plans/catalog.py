@@ -57,7 +57,9 @@ def wb(spark: SparkSession, sf: str):
 
 
 def r4(c):
-    return F.round(c, 4)
+    # + 0.0 turns a rounded -0.0 into 0.0 (engines differ on the sign of a
+    # value rounded to zero)
+    return F.round(c, 4) + F.lit(0.0)
 
 
 # ----------------------------------------------------------- SQL building
@@ -76,7 +78,7 @@ class Suite:
             "counts": "SELECT bin_no, count(*) AS n FROM bins WHERE bin_no IS NOT NULL GROUP BY bin_no",
         }
         self.part_expr = stable_part_sql(f"part{cfg.seed}", "key", cfg.n_parts)
-        self.w_cols = ", ".join(f"round(w{j}, 4) AS w{j}" for j in range(len(self.feats)))
+        self.w_cols = ", ".join(f"round(w{j}, 4) + CAST(0.0 AS DOUBLE) AS w{j}" for j in range(len(self.feats)))
         t = cfg.threshold
         self.scored_global = (
             f"SELECT z.*, {self.prob('m')} AS probability, {threshold_sql(self.prob('m'), t)} AS prediction "

@@ -28,7 +28,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return repr(v + 0.0)
+        return repr(v)  # strict: -0.0 and 0.0 differ
     return repr(v)
 
 
