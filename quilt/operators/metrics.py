@@ -41,7 +41,11 @@ def auc(df: DataFrame, score: str = "prediction", label: str = "label", by: list
     )
     w = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
     above = F.coalesce(F.sum("tp").over(w), F.lit(0)).cast("bigint")
-    area = levels.select(*by, "tp", "fp", (F.col("fp") * (F.lit(2) * above + F.col("tp"))).alias("num"))
+    # exact in decimal(38,0): the products reach (rows)^2, beyond bigint at 10^10 rows
+    wide = "decimal(38,0)"
+    area = levels.select(
+        *by, "tp", "fp", (F.col("fp").cast(wide) * (F.lit(2).cast(wide) * above.cast(wide) + F.col("tp").cast(wide))).alias("num")
+    )
     agg = [F.sum("tp").alias("positives"), F.sum("fp").alias("negatives"), F.sum("num").alias("num")]
     g = area.groupBy(*by).agg(*agg) if by else area.agg(*agg)
     den = F.lit(2.0) * F.col("positives").cast("double") * F.col("negatives").cast("double")
