@@ -19,7 +19,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from quilt.functions.grid import bin_no  # noqa: E402
 from quilt.operators import stats  # noqa: E402
 from quilt.operators.metrics import class_summary  # noqa: E402
 from quilt.plans.ensembles import Config, Workbench  # noqa: E402

@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.functions.grid import Grid, ancestor, ancestor_sql, axis_split, axis_split_sql, bin_no_sql, coordinate, coordinate_sql, sql_double
+from quilt.functions.grid import Grid, ancestor, ancestor_sql, axis_split, axis_split_sql, bin_no_sql, coordinate_sql, sql_double
 from quilt.functions.hashing import stable_part_sql, stable_uniform_sql
 from quilt.functions.logistic import dot_sql, sigmoid_sql, threshold_sql
 from quilt.operators import quality, stats

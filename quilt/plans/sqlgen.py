@@ -8,9 +8,8 @@ order of floating-point operations, as on the Spark side.
 
 from __future__ import annotations
 
-from quilt.functions.grid import Grid, axis_split_sql, bin_no_sql, coordinate_sql, sql_double
-from quilt.functions.hashing import stable_part_sql, stable_uniform_sql
-from quilt.functions.logistic import dot_sql, sigmoid_sql, threshold_sql
+from quilt.functions.grid import Grid, coordinate_sql, sql_double
+from quilt.functions.logistic import dot_sql, sigmoid_sql
 from quilt.operators.grouping import divide_factor
 
 

@@ -6,7 +6,6 @@ cell), recursing axis by axis; returns {group_id: sorted cell ids}.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 

@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quilt.operators.metrics import accuracy, auc
 from quilt.operators.score import predict_global, predict_routed, predict_vote
