@@ -17,7 +17,7 @@ from quilt.operators.metrics import class_summary
 from quilt.operators.partition import assign_random_part
 from quilt.operators.score import predict_global, predict_routed, predict_vote
 from quilt.operators.train import Models, fit
-from quilt.session import persist
+from quilt.session import cut_lineage
 
 
 class HistogramEnsemble:
@@ -33,7 +33,7 @@ class HistogramEnsemble:
         self.counts: DataFrame | None = None
 
     def fit(self, points: DataFrame, features: list[str]) -> "HistogramEnsemble":
-        self.counts = persist(bin_histogram(points, self.grid, self.policy))
+        self.counts = cut_lineage(bin_histogram(points, self.grid, self.policy))
         self.grouping = equi_depth_groups(self.counts, self.grid, self.n_groups)
         routed = route(with_bin_no(points, self.grid, self.policy), self.grouping, compatible=self.compatible)
         self.models = fit(routed, features, "group_id", self.iterations)

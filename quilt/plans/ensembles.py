@@ -3,7 +3,7 @@
 ``Workbench`` holds the pieces one dataset needs across several queries: the
 cell counts, the grouping and the fitted models are computed once per session
 and data folder, then reused (models are a few numbers on the driver; the
-grouping tables are small persisted DataFrames).
+grouping tables and cell counts are small checkpointed DataFrames).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from quilt.operators.metrics import class_summary
 from quilt.operators.partition import assign_random_part, sample_hash
 from quilt.operators.score import predict_global, predict_routed, predict_vote
 from quilt.operators.train import Models, fit
-from quilt.session import ensure_checkpoint_dir, persist, spread
+from quilt.session import cut_lineage, ensure_checkpoint_dir, spread
 from quilt.sources.points import points
 
 
@@ -70,7 +70,9 @@ class Workbench:
         return with_bin_no(self.points(), self.cfg.grid, self.cfg.policy)
 
     def counts(self) -> DataFrame:
-        return self._get("counts", lambda: persist(bin_histogram(self.points(), self.cfg.grid, self.cfg.policy)))
+        # the cell table is small (<= cells rows) but costs a full pass: keep it
+        # in the shared checkpoint folder rather than only in executor memory
+        return self._get("counts", lambda: cut_lineage(bin_histogram(self.points(), self.cfg.grid, self.cfg.policy)))
 
     def grouping(self) -> Grouping:
         return self._get("grouping", lambda: equi_depth_groups(self.counts(), self.cfg.grid, self.cfg.n_groups))
