@@ -36,8 +36,12 @@ def test_routing_does_not_shuffle_points(spark, queries):
     assert "hashpartitioning" not in p
 
 
-def test_histogram_is_partial_then_final(spark, queries):
-    p = plan(queries["bin_histogram"](spark, SF001))
+def test_histogram_is_partial_then_final(spark):
+    from quilt.operators.histogram import bin_histogram
+    from quilt.plans.ensembles import Config
+    from quilt.sources.points import points
+
+    p = plan(bin_histogram(points(spark, SF001, "points_li"), Config().grid))
     assert "partial_count" in p and "Exchange hashpartitioning(bin_no" in p
 
 
