@@ -18,3 +18,18 @@ def test_api_matches_workbench(spark):
     assert s.models.weights == wb.models_global().weights
     for mine, theirs in ((h.predict(pts), wb.scored_routed()), (r.predict(pts), wb.scored_vote()), (s.predict(pts), wb.scored_global())):
         assert evaluate(mine).first() == evaluate(theirs).first()
+
+
+def test_null_policy_end_to_end(spark):
+    from quilt import Grid
+
+    rows = [(str(i), float(i % 2), float(i % 10) / 10.0, float((i * 7) % 10) / 10.0) for i in range(200)]
+    rows += [("out", 1.0, 5.0, 0.5), ("nan", 0.0, float("nan"), 0.5)]
+    df = spark.createDataFrame(rows, "key string, label double, x0 double, x1 double")
+    grid = Grid.of(("x0", 0.0, 1.0, 4), ("x1", 0.0, 1.0, 4))
+    h = HistogramEnsemble(grid, 4, iterations=3, policy="null").fit(df, ["x0", "x1"])
+    assert h.counts.agg({"n": "sum"}).first()[0] == 200  # the two unroutable rows are not counted
+    got = {r.key: r for r in h.predict(df).collect()}
+    assert got["out"].group_id is None and got["out"].prediction is None
+    assert got["nan"].group_id is None and got["nan"].prediction is None
+    assert all(got[str(i)].prediction is not None for i in range(200))
