@@ -5,12 +5,15 @@ fraction 1, no intercept and no regularization, from zero weights:
 
     w <- w - (step / sqrt(t)) * (sum_rows((sigmoid(w.x) - y) * x) / n)
 
-One Spark job per iteration serves every model: the points (persisted once) join a small inline table of the current weights on
-``model_id`` (rows = models, so the planner broadcasts it) and one grouped
-aggregate returns, per model, the gradient sums. Only models x features
-numbers come back to the driver, whatever the data size; the aggregate is
-partial per task, so a model holding a third of all rows costs no more than
-any other. Pieces with no rows get no model.
+One Spark job per iteration serves every model: the training rows (persisted
+once) meet the current weights and one grouped aggregate returns, per model,
+the gradient sums. The weights reach the executors as literal arrays indexed
+by a dense model id (few features, dense ids), as an inline VALUES table
+joined with a broadcast hint, or, for very many models, as a DataFrame built
+from the driver's numbers and joined (broadcast when its size allows). Only
+models x features numbers come back to the driver, whatever the data size;
+the aggregate is partial per task, so a model holding a third of all rows
+costs no more than any other. Pieces with no rows get no model.
 """
 
 from __future__ import annotations
@@ -116,6 +119,29 @@ def gradient_sql_dense(view: str, k: int, weights: dict[tuple[int, int], list[fl
     return _residual_rows(view, k, margin, f"{view} t", idx, where=where)
 
 
+def gradient_frame(data: DataFrame, k: int, weights: dict[tuple[int, int], list[float]]) -> DataFrame:
+    """The same step for very many models: the weights are a DataFrame
+    (created once per step from the driver's numbers, no SQL text to parse)
+    joined on (family, model_id), broadcast when its row count allows."""
+    from quilt.session import broadcast_if_small
+
+    spark = data.sparkSession
+    schema = "family int, model_id bigint, " + ", ".join(f"__w{j} double" for j in range(k))
+    wt = spark.createDataFrame([(f, m, *w) for (f, m), w in sorted(weights.items())], schema)
+    joined = data.join(broadcast_if_small(wt, len(weights)), ["family", "model_id"])
+    margin = F.col("x0") * F.col("__w0")
+    for j in range(1, k):
+        margin = margin + F.col(f"x{j}") * F.col(f"__w{j}")
+    rows = joined.select(
+        F.struct("family", "model_id").alias("mkey"),
+        *[F.col(f"x{j}") for j in range(k)],
+        (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("label")).alias("r"),
+    )
+    return rows.groupBy("mkey").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col("r") * F.col(f"x{j}")).alias(f"g{j}") for j in range(k)]
+    )
+
+
 def _dense_layout(ids: list[tuple[int, int]], k: int) -> tuple[dict[int, int], int] | None:
     """Offsets per family when every family's ids are 0..max with few gaps."""
     if k > ARRAY_MAX_FEATURES:
@@ -137,14 +163,19 @@ def fit(
     model_col: str | None = None,
     iterations: int = 100,
     step: float = 1.0,
+    mode: str | None = None,
 ) -> Models:
     """One model per distinct ``model_col`` value (one model overall
-    when ``model_col`` is None). Rows with a null model id are not used."""
-    return fit_together([(points, model_col, iterations)], features, step)[0]
+    when ``model_col`` is None). Rows with a null model id are not used.
+    ``mode`` forces how weights reach the executors (``dense`` literal arrays,
+    ``values`` inline table, ``frame`` DataFrame join); by default it is
+    chosen from the model ids, the number of features and of weights."""
+    return fit_together([(points, model_col, iterations)], features, step, mode)[0]
 
 
 def fit_together(
-    families: list[tuple[DataFrame, str | None, int]], features: list[str], step: float = 1.0
+    families: list[tuple[DataFrame, str | None, int]], features: list[str], step: float = 1.0,
+    mode: str | None = None,
 ) -> list[Models]:
     """Several families of models (e.g. the per-group, per-part and single
     models) fitted by one aggregate per step over the union of their keyed
@@ -181,16 +212,18 @@ def fit_together(
             # step 1 starts from zero weights: sigmoid(0) = 0.5, no table needed
             current = None if t == 1 else {fm: w for fm, w in weights.items() if fm[0] in active}
             if current is None:
-                sql = gradient_sql(view, k, None)
+                rows = spark.sql(gradient_sql(view, k, None)).collect()
             elif layout is not None:
-                sql = gradient_sql_dense(view, k, current, *layout)
+                rows = spark.sql(gradient_sql_dense(view, k, current, *layout)).collect()
+            elif mode == "frame" or (mode is None and len(current) * k > ARRAY_MAX_WEIGHTS):
+                rows = gradient_frame(data, k, current).collect()
             else:
-                sql = gradient_sql(view, k, current)
-            rows = spark.sql(sql).collect()
+                rows = spark.sql(gradient_sql(view, k, current)).collect()
             if t == 1 and any(r["bad"] for r in rows):
                 raise ValueError("training labels must be 0 or 1 (binary logistic models)")
             if t == 1:
-                layout = _dense_layout(sorted((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows), k)
+                ids = sorted((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows)
+                layout = _dense_layout(ids, k) if mode in (None, "dense") else None
                 index = {} if layout is None else {
                     layout[0][f] + m: (f, m) for f, m in ((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows)
                 }

@@ -143,3 +143,12 @@ def test_labels_must_be_binary(spark):
     df = spark.createDataFrame([("a", 2.0, 1.0), ("b", 0.0, 1.0)], "key string, label double, x0 double")
     with pytest.raises(ValueError):
         fit(df, ["x0"], None, iterations=2)
+
+
+def test_weight_passing_modes_agree(spark, toy):
+    df, x, y, grp = toy
+    fits = {mode: fit(df, ["x0", "x1", "x2"], "g", iterations=5, mode=mode) for mode in ("dense", "values", "frame")}
+    for mode in ("values", "frame"):
+        for m in fits["dense"].ids:
+            assert np.allclose(fits[mode].weights[m], fits["dense"].weights[m], rtol=1e-13, atol=1e-15)
+    assert fits["dense"].counts == fits["frame"].counts
