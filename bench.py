@@ -58,6 +58,11 @@ def main() -> None:
     timed("strategy_report", lambda: wb.report().collect())
 
     total = round(sum(times.values()), 3)
+
+    def median_step(m):
+        h = sorted(m.history)
+        return round(h[len(h) // 2], 3) if h else None
+
     print(
         json.dumps(
             {
@@ -69,6 +74,11 @@ def main() -> None:
                 "rows": n_rows,
                 "groups": g.n_groups,
                 "cpus": int(cpus),
+                "train_step_median_sec": {
+                    "per_group": median_step(wb.models_group()),
+                    "per_part": median_step(wb.models_part()),
+                    "global": median_step(wb.models_global()),
+                },
             }
         )
     )
