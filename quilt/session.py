@@ -68,15 +68,10 @@ def persist(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder. The source is
-    persisted for the duration, so it is computed once (not once to count and
-    again to write the files); the result reads from the files."""
+    """Reliable checkpoint into the shared checkpoint folder: one job computes
+    the rows once and writes them; the result reads from the files."""
     ensure_checkpoint_dir(df.sparkSession)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return src.checkpoint(eager=True)
-    finally:
-        src.unpersist()
+    return df.checkpoint(eager=True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
