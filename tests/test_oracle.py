@@ -31,3 +31,13 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert rows and set(df.columns) == {"group_id", "n", "correct", "accuracy_pct"}
+
+
+def test_queries_read_whole_tables():
+    import re
+
+    for name, sql in SQL.items():
+        upper = sql.upper()
+        assert not re.search(r"\bLIMIT\b|\bTABLESAMPLE\b|USING\s+SAMPLE", upper), name
+        if not name.startswith("sample"):
+            assert not re.search(r"WHERE[^;]*\bMOD\(|%\s*\d+\s*=", upper), name
