@@ -221,6 +221,8 @@ def fit_together(
                 rows = spark.sql(gradient_sql(view, k, current)).collect()
             if t == 1 and any(r["bad"] for r in rows):
                 raise ValueError("training labels must be 0 or 1 (binary logistic models)")
+            if t == 1 and not rows:
+                break  # no rows: no piece has a model
             if t == 1:
                 ids = sorted((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows)
                 layout = _dense_layout(ids, k) if mode in (None, "dense") else None

@@ -152,3 +152,9 @@ def test_weight_passing_modes_agree(spark, toy):
         for m in fits["dense"].ids:
             assert np.allclose(fits[mode].weights[m], fits["dense"].weights[m], rtol=1e-13, atol=1e-15)
     assert fits["dense"].counts == fits["frame"].counts
+
+
+def test_no_rows_no_models(spark):
+    df = spark.createDataFrame([], "key string, label double, x0 double, g bigint")
+    m = fit(df, ["x0"], "g", iterations=3)
+    assert m.weights == {} and m.counts == {}
