@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quilt.llm import toxicity
 from quilt.llm.chunk_dedup import exact_dedup
-from quilt.llm.common import read_table
+from quilt.llm.common import read_table, utf8
+from quilt.llm.hilbert import hilbert_shards
+from quilt.llm.mixing import mix_to_targets
 from quilt.llm.ngram_join import Jaccard, jaccard_components
+from quilt.llm.packing import pack
+from quilt.llm.permutation_index import permutation_search
+from quilt.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +36,38 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), Jaccard(width=3, num=90, den=100))
 
 
+@query("op4_hilbert_shards")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = utf8(F.col("text"))
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+    )
+    docs = docs.withColumn("magnitude", F.floor(F.log2("size") * 4))
+    out = hilbert_shards(
+        docs, ["source", "lang", "magnitude"], 40, "doc_id", ties=["text_crc32"], carry=["size", "text_crc32"]
+    )
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "cell",
+    )
+
+
+@query("op5_permutation_index")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op7_raking_mix")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(read_table(spark, sf_dir, "documents"))
+
+
+@query("op8_binary_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+
+
 @query("op9_chunk_recipes", """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -42,3 +81,11 @@ FROM t
 """)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity_channel")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, toxicity.fold() != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
