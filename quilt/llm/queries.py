@@ -14,7 +14,9 @@ from quilt.llm.hilbert import hilbert_shards
 from quilt.llm.mixing import mix_to_targets
 from quilt.llm.ngram_join import Jaccard, jaccard_components
 from quilt.llm.packing import pack
+from quilt.llm.pii import find_pii
 from quilt.llm.permutation_index import permutation_search
+from quilt.llm.token_store import read_documents, write_store
 from quilt.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), Jaccard(width=3, num=90, den=100))
 
 
+@query("op2_token_store")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    store = write_store(docs, public_path("byte_bpe_50k.json"))
+    return read_documents(spark, store, docs)
+
+
+@query("op3_pii_disclosure")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 @query("op4_hilbert_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = utf8(F.col("text"))
