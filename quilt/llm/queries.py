@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quilt.llm import toxicity
 from quilt.llm.chunk_dedup import exact_dedup
 from quilt.llm.common import read_table, utf8
+from quilt.llm.fuzzy_lines import fuzzy_lines
 from quilt.llm.hilbert import hilbert_shards
 from quilt.llm.mixing import mix_to_targets
 from quilt.llm.ngram_join import Jaccard, jaccard_components
@@ -72,6 +73,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op6_fuzzy_lines")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(read_table(spark, sf_dir, "documents"))
+
+
 @query("op7_raking_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(read_table(spark, sf_dir, "documents"))
