@@ -362,6 +362,20 @@ def score(
     )
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that ``score`` predicts as 0."""
+
+    def run(batches):
+        restore = _restorer(model)
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(text_col).to_pylist()
+                sums = [math.fsum(sorted(restore(t).values())) if t else 0.0 for t in texts]
+                yield batch.filter(pa.array([model.intercept + model.slope * x < 0 for x in sums]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 5
