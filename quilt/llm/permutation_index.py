@@ -35,6 +35,8 @@ def choose_pivots(vectors: DataFrame, n_pivots: int) -> np.ndarray:
     """Pivots of unit length from a bounded sample (the rows of least hash),
     each next one the farthest from those before among a few hundred."""
     sample = vectors.orderBy(F.xxhash64("_vid"), "_vid").limit(PIVOT_SAMPLE).select("_v").collect()
+    if not sample:
+        return np.zeros((0, 0))
     x = np.array([r[0] for r in sample], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x = np.unique(x, axis=0)
