@@ -43,7 +43,7 @@ def main() -> None:
     n_rows = timed("count_points", lambda: pts.count())
     mm = timed("feature_min_max", lambda: stats.feature_min_max(pts, feats).collect())
     grid = stats.grid_from_min_max(mm, feats, [10, 10, 10, 10])
-    cfg = Config(grid=grid, n_groups=32, n_parts=32, iter_global=10, iter_ensemble=100)
+    cfg = Config(grid=grid, n_groups=32, n_parts=32, iter_global=10, iter_ensemble=100, partitions=int(cpus))
     wb = Workbench(spark, sf_dir, cfg)
 
     timed("bin_histogram", lambda: wb.counts().count())

@@ -3,6 +3,10 @@
 The dot product is a left-deep sum in feature order; the probability is
 ``1 / (1 + exp(-w.x))``; a class is 1 when the probability is strictly above
 the threshold.
+
+One rule for rows that cannot be scored, in training, in every scorer and in
+the SQL twins: a row with a null or non-finite feature is not usable. It takes
+no part in training, and its probability, class and vote are null.
 """
 
 from __future__ import annotations
@@ -26,6 +30,19 @@ def dot(xs: Sequence[Column], ws: Sequence[float | Column]) -> Column:
     return out
 
 
+def usable(xs: Sequence[Column]) -> Column:
+    """All features present and finite (NaN sorts above infinity, so it fails
+    the comparison; a null makes the conjunction null, taken as false)."""
+    out = F.lit(True)
+    for x in xs:
+        out = out & (F.abs(x.cast("double")) < F.lit(float("inf")))
+    return F.coalesce(out, F.lit(False))
+
+
+def usable_sql(xs: Sequence[str]) -> str:
+    return "COALESCE(" + " AND ".join(f"(NOT isnan({x}) AND abs({x}) < CAST('Infinity' AS DOUBLE))" for x in xs) + ", FALSE)"
+
+
 def sigmoid(margin: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 

@@ -12,7 +12,7 @@ group is therefore a box: one coordinate interval per axis.
 
 Plan: one level at a time on the sparse cell table.
   level l: cells (path, c_l, n) --sum--> per path an array of S_l totals
-           --fold (higher-order ``aggregate``, JVM side)--> runs (path, s, e, tot)
+           --one linear walk per row--> runs (path, s, e, tot)
            --explode--> segment table (path, c) -> next path
   A path is the id of the box's lowest corner cell, so it is one bigint and
   its numeric order is the depth-first order of the runs.
@@ -23,27 +23,18 @@ tables, which are broadcast when their counted size allows.
 from __future__ import annotations
 
 import math
-import os
-import time
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quilt.functions.grid import Grid, coordinate
-from quilt.session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage
+from quilt.session import broadcast_if_small, cut_lineage
 
-RUN_TYPE = "struct<s:bigint,e:bigint,tot:bigint>"
 MEMBER_SPREAD = 100_000  # cells still to generate per row above which rows are reshuffled
-_TRACE = bool(os.environ.get("QUILT_TRACE"))
-_T0 = [time.time()]
-
-
-def _trace(msg: str) -> None:
-    if _TRACE:
-        now = time.time()
-        print(f"  [grouping] {msg}: {now - _T0[0]:.2f}s", flush=True)
-        _T0[0] = now
+# Beyond this many coordinate prefixes a level table is counted, not bounded.
+STATIC_ROWS = 2_000_000
 
 
 def divide_factor(n_groups: int, dims: int) -> float:
@@ -73,43 +64,40 @@ def _bigint(v: int | Column) -> Column:
     return (v if isinstance(v, Column) else F.lit(v)).cast("bigint")
 
 
-def axis_cut(totals: Column, splits: int, target: float | Column) -> Column:
-    """E5: runs of one axis, ``array<struct<s, e, tot>>``, from ``totals``, an
-    ``array<bigint>`` of length ``splits + 1`` (last entry 0)."""
-    q = target if isinstance(target, Column) else F.lit(float(target))
-
-    def run(s: Column, e: Column, tot: Column) -> Column:
-        return F.struct(s.alias("s"), e.alias("e"), tot.alias("tot"))
-
-    def state(t: Column, s: Column, runs: Column) -> Column:
-        return F.struct(t.alias("t"), s.alias("s"), runs.alias("runs"))
-
-    def step(acc: Column, i: Column) -> Column:
-        t = acc["t"] + F.get(totals, i.cast("int"))
-        x = F.get(totals, (i + 1).cast("int"))
-        close = (t > q) | ((t <= q) & (q < t + x) & ((q - t) < (t + x - q)))
-        closed = state(_bigint(0), i + 1, F.concat(acc["runs"], F.array(run(acc["s"], i, t))))
-        return F.when(close, closed).otherwise(state(t, acc["s"], acc["runs"]))
-
-    def finish(acc: Column) -> Column:
-        last = F.concat(acc["runs"], F.array(run(acc["s"], _bigint(splits - 1), acc["t"])))
-        return F.when(acc["t"] > 0, last).otherwise(acc["runs"])
-
-    init = state(_bigint(0), _bigint(0), F.array().cast(f"array<{RUN_TYPE}>"))
-    return F.aggregate(F.sequence(_bigint(0), _bigint(splits - 1)), init, step, finish)
+def cut_axis(totals: list[int], q: float) -> list[tuple[int, int, int]]:
+    """E5: runs (first, last, total) of one axis from its totals by coordinate.
+    One walk, linear in the splits."""
+    runs, t, s = [], 0, 0
+    for i, a in enumerate(totals):
+        t += a
+        x = totals[i + 1] if i + 1 < len(totals) else 0
+        if t > q or (q < t + x and q - t < t + x - q):
+            runs.append((s, i, t))
+            t, s = 0, i + 1
+    if t > 0:
+        runs.append((s, len(totals) - 1, t))
+    return runs
+
+
+def axis_runs(per: DataFrame, coord: str, splits: int, target: float) -> DataFrame:
+    """Runs ``(path, s, e, tot)`` from the totals ``(path, coord, w)``. A row holds
+    the occupied coordinates of one box along one axis, at most ``splits``; the
+    greedy walk depends on all before it, so it runs inside the row."""
+    boxes = per.groupBy("path").agg(F.collect_list(F.struct(F.col(coord).alias("c"), F.col("w").alias("w"))).alias("cells"))
+
+    def cut(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for path, cells in zip(batch.column("path").to_pylist(), batch.column("cells").to_pylist()):
+                totals = [0] * splits
+                for cell in cells:
+                    totals[cell["c"]] = cell["w"]
+                out += [(path, *run) for run in cut_axis(totals, target)]
+            yield pa.RecordBatch.from_pydict(
+                {name: pa.array([r[j] for r in out], pa.int64()) for j, name in enumerate(("path", "s", "e", "tot"))}
+            )
 
-
-def axis_totals(per: DataFrame, key: str, coord: str, weight: str, splits: int) -> DataFrame:
-    """Per ``key``, the gap-filled array of totals over coordinates
-    ``0..splits-1`` plus a trailing 0; one entry per coordinate, bounded."""
-    m = F.map_from_entries(F.collect_list(F.struct(F.col(coord), F.col(weight))))
-    return per.groupBy(key).agg(m.alias("m")).select(
-        key,
-        F.transform(
-            F.sequence(_bigint(0), _bigint(splits)),
-            lambda i: F.coalesce(F.element_at(F.col("m"), i), _bigint(0)),
-        ).alias("totals"),
-    )
+    return boxes.mapInArrow(cut, "path bigint, s bigint, e bigint, tot bigint")
 
 
 @dataclass
@@ -138,19 +126,19 @@ class Grouping:
         return self.levels[level].where(F.col("k") == F.col("s")).select("path", "s", "e", "tot")
 
     def segment(self, level: int) -> DataFrame:
-        """Routing table of a level: ``(p{l}, k{l}, np{l})``, the last level
-        ``(p{l}, k{l}, group_id)``."""
+        """Routing table of a level: ``(__q_path, __q_k, __q_next)``, the last
+        level ``(__q_path, __q_k, __q_group)``; names no input column has."""
         t = self.levels[level]
         if level < self.grid.dims - 1:
             return t.select(
-                F.col("path").alias(f"p{level}"),
-                F.col("k").alias(f"k{level}"),
-                (F.col("path") + F.col("s") * F.lit(self.grid.multipliers[level])).alias(f"np{level}"),
+                F.col("path").alias("__q_path"),
+                F.col("k").alias("__q_k"),
+                (F.col("path") + F.col("s") * F.lit(self.grid.multipliers[level])).alias("__q_next"),
             )
         key = F.col("path") + F.col("s") * F.lit(self.grid.multipliers[level])
         ids = self.groups.select(F.col("group_key").alias("__gk"), "group_id")
         return t.join(broadcast_if_small(ids, self.level_rows[level]), key == F.col("__gk")).select(
-            F.col("path").alias(f"p{level}"), F.col("k").alias(f"k{level}"), "group_id"
+            F.col("path").alias("__q_path"), F.col("k").alias("__q_k"), F.col("group_id").alias("__q_group")
         )
 
 
@@ -192,7 +180,7 @@ def _level_rows(grid: Grid, level: int, table: DataFrame) -> int:
     """A proven upper bound of a level table's rows: the number of coordinate
     prefixes (static); counted only when that bound is too large to trust."""
     bound = grid.prefix_cells(level)
-    return bound if bound <= BROADCAST_MAX_ROWS else table.count()
+    return bound if bound <= STATIC_ROWS else table.count()
 
 
 def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str = "n") -> Grouping:
@@ -205,7 +193,6 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
     d = grid.dims
     mult = grid.multipliers
     cs = [f"c{i}" for i in range(d)]
-    _trace("start")
     base = cut_lineage(
         _compact(
             cells.where(F.col("bin_no").isNotNull()).select(
@@ -216,7 +203,6 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
     )
     total = base.agg(F.sum("w")).first()[0] or 0
     targets = level_targets(total, n_groups, d)
-    _trace("cells and total")
 
     levels: list[DataFrame] = []
     rows: list[int] = []
@@ -235,19 +221,15 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
                 F.col("__np").alias("path"), "w", *cs
             )
         per = cur.groupBy("path", cs[lvl]).agg(F.sum("w").alias("w"))
-        totals = axis_totals(per, "path", cs[lvl], "w", grid.splits[lvl])
-        runs = totals.select("path", F.explode(axis_cut(F.col("totals"), grid.splits[lvl], targets[lvl])).alias("r"))
+        runs = axis_runs(per, cs[lvl], grid.splits[lvl], targets[lvl])
         table = cut_lineage(
             _compact(
-                runs.select("path", "r.s", "r.e", "r.tot").select(
-                    "path", F.explode(F.sequence("s", "e")).alias("k"), "s", "e", "tot"
-                ),
+                runs.select("path", F.explode(F.sequence("s", "e")).alias("k"), "s", "e", "tot"),
                 grid.prefix_cells(lvl),
             )
         )
         levels.append(table)
         rows.append(_level_rows(grid, lvl, table))
-        _trace(f"level {lvl}")
 
     # boxes of the last-level runs: walk back through the levels by corner id
     box = levels[d - 1].where(F.col("k") == F.col("s")).select(
@@ -274,7 +256,6 @@ def equi_depth_groups(cells: DataFrame, grid: Grid, n_groups: int, weight: str =
             "group_id", "group_key", *bounds, "total"
         )
     )
-    _trace("groups")
     return Grouping(grid, n_groups, int(total), targets, levels, rows, groups)
 
 
@@ -284,15 +265,15 @@ def route(df: DataFrame, grouping: Grouping, bin_col: str = "bin_no", compatible
     (the reference's default lookup value)."""
     grid = grouping.grid
     d = grid.dims
-    cols = df.columns
-    out = df.withColumn("__path", _bigint(0))
+    cols = [c for c in df.columns if c != "group_id"]  # an older group is replaced
+    out = df.select(*cols, _bigint(0).alias("__q_at"))
     for lvl in range(d):
         seg = broadcast_if_small(grouping.segment(lvl), grouping.level_rows[lvl])
-        cond = (F.col("__path") == F.col(f"p{lvl}")) & (coordinate(bin_col, grid, lvl) == F.col(f"k{lvl}"))
+        cond = (F.col("__q_at") == F.col("__q_path")) & (coordinate(bin_col, grid, lvl) == F.col("__q_k"))
         out = out.join(seg, cond, "left")
         if lvl < d - 1:
-            out = out.select(*cols, F.col(f"np{lvl}").alias("__path"))
-    gid = F.col("group_id")
+            out = out.select(*cols, F.col("__q_next").alias("__q_at"))
+    gid = F.col("__q_group")
     if compatible:
         # cells outside every group read group 0, as the reference's lookup
         # array does; a row without a cell (null feature, or out of range

@@ -1,20 +1,20 @@
 """Evaluation (I1-I2) over one DataFrame that carries both prediction and
 label (no positional zip of two lists).
 
-AUC is computed exactly in integers: with distinct scores in descending
-order, ``tp_i``/``fp_i`` the positives/negatives at score i and ``TP_<i`` the
-positives above it, the trapezoid area under the ROC curve is
-``sum(fp_i * (2 * TP_<i + tp_i)) / (2 * P * N)``. The cumulative sum runs over
-the table of distinct scores only (two rows for thresholded classes; scores
-are bucketed to 1e-6, so never more than about a million rows).
+AUC is exact: with the distinct scores in descending order, ``tp_i``/``fp_i``
+the positives/negatives at score i and ``TP_<i`` the positives above it, the
+trapezoid area under the ROC curve is ``sum(fp_i * (2 * TP_<i + tp_i)) / (2 * P
+* N)``, in integers. The distinct scores are range-partitioned; positives above
+are counted inside each partition and shifted by those of the partitions before
+it, so no task sees more than its range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORE_BUCKET = 1_000_000
+from quilt.session import cut_lineage
 
 
 def accuracy(df: DataFrame, by: list[str] | None = None, pred: str = "prediction", label: str = "label") -> DataFrame:
@@ -25,35 +25,44 @@ def accuracy(df: DataFrame, by: list[str] | None = None, pred: str = "prediction
     return g.withColumn("accuracy_pct", F.try_divide(F.col("correct").cast("double"), F.col("n")) * F.lit(100.0))
 
 
-def score_bucket(score: Column) -> Column:
-    return F.floor(score * F.lit(float(SCORE_BUCKET))).cast("bigint")
-
-
 def auc(df: DataFrame, score: str = "prediction", label: str = "label", by: list[str] | None = None) -> DataFrame:
-    """``(by..., positives, negatives, auc)`` for a score in [0, 1] (a class
-    or a probability), resolved to 1e-6: at most 1,000,001 score levels per
-    group reach the cumulative window, whatever the number of rows."""
+    """``(by..., positives, negatives, auc)`` for a score (a class or a
+    probability). Rows with a null or NaN score are left out; without both
+    classes the AUC is null. One row per distinct score is sorted, a few bytes
+    each; equal scores are merged before the shuffle."""
     by = by or []
-    s = score_bucket(F.col(score))
+    s = F.col(score).cast("double") + F.lit(0.0)  # -0.0 is 0.0
     pos = F.when(F.col(label) > 0, 1).otherwise(0)
-    levels = df.where(F.col(score).isNotNull()).select(*by, s.alias("s"), pos.alias("y")).groupBy(*by, "s").agg(
-        F.sum("y").cast("bigint").alias("tp"), F.sum(1 - F.col("y")).cast("bigint").alias("fp")
+    levels = (
+        df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+        .select(*by, s.alias("__s"), pos.alias("__y")).groupBy(*by, "__s")
+        .agg(F.sum("__y").cast("bigint").alias("__tp"), F.sum(1 - F.col("__y")).cast("bigint").alias("__fp"))
     )
-    w = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    above = F.coalesce(F.sum("tp").over(w), F.lit(0)).cast("bigint")
+    # the partition number is stored before it is read twice
+    ranged = cut_lineage(levels.repartitionByRange(F.desc("__s")).withColumn("__pid", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "__pid").agg(F.sum("__tp").alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__pid").alias("__p"),
+                          F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast("bigint").alias("__shift"))
+    same = F.col("__pid") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    within = Window.partitionBy(*by, "__pid").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum("__tp").over(within), F.lit(0)).cast("bigint")
+    counted = ranged.withColumn("__above", above).join(shift, same)
     # exact in decimal(38,0): the products reach (rows)^2, beyond bigint at 10^10 rows
     wide = "decimal(38,0)"
-    area = levels.select(
-        *by, "tp", "fp", (F.col("fp").cast(wide) * (F.lit(2).cast(wide) * above.cast(wide) + F.col("tp").cast(wide))).alias("num")
+    num = F.col("__fp").cast(wide) * (
+        F.lit(2).cast(wide) * (F.col("__above") + F.col("__shift")).cast(wide) + F.col("__tp").cast(wide)
     )
-    agg = [F.sum("tp").alias("positives"), F.sum("fp").alias("negatives"), F.sum("num").alias("num")]
-    g = area.groupBy(*by).agg(*agg) if by else area.agg(*agg)
+    agg = [F.sum("__tp").alias("positives"), F.sum("__fp").alias("negatives"), F.sum(num).alias("__num")]
+    g = counted.groupBy(*by).agg(*agg) if by else counted.agg(*agg)
     den = F.lit(2.0) * F.col("positives").cast("double") * F.col("negatives").cast("double")
     return g.select(
         *by,
         F.col("positives").cast("bigint").alias("positives"),
         F.col("negatives").cast("bigint").alias("negatives"),
-        F.when(den > 0, F.col("num").cast("double") / den).alias("auc"),
+        F.when(den > 0, F.col("__num").cast("double") / den).alias("auc"),
     )
 
 

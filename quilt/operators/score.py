@@ -12,80 +12,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quilt.functions.logistic import dot, sigmoid, threshold
+from quilt.functions.logistic import dot, sigmoid, threshold, usable
 from quilt.operators.train import Models
 from quilt.session import broadcast_if_small
 
 
-def probability_global(models: Models, xs: list[Column] | None = None, model_id: int | None = None) -> Column:
-    mid = model_id if model_id is not None else models.ids[0]
-    xs = xs or [F.col(c) for c in models.features]
-    return sigmoid(dot(xs, models.weights[mid]))
+def _null() -> Column:
+    return F.lit(None).cast("double")
+
+
+def _features(models: Models) -> list[Column]:
+    return [F.col(c) for c in models.features]
 
 
 def predict_global(df: DataFrame, models: Models, t: float | None = 0.5) -> DataFrame:
-    """H1: probability of the single model and, with a threshold, the class."""
-    p = probability_global(models)
+    """H1: probability of the single model and, with a threshold, the class.
+    Both are null for a row that is not usable, and where no model was fitted."""
+    xs = _features(models)
+    p = F.when(usable(xs), sigmoid(dot(xs, models.weights[models.ids[0]]))) if models.weights else _null()
     out = df.withColumn("probability", p)
     return out.withColumn("prediction", threshold(F.col("probability"), t)) if t is not None else out
 
 
 def predict_routed(df: DataFrame, models: Models, model_col: str, t: float | None = 0.5) -> DataFrame:
-    """H2: score each row with the model of its piece; rows whose piece has no
-    model get a null probability and prediction."""
+    """H2: score each row with the model of its piece; rows that are not usable
+    and rows whose piece has no model get a null probability and prediction."""
     spark = df.sparkSession
     mt = models.table(spark, prefix="__w").withColumnRenamed("model_id", "__mid").drop("n")
-    joined = df.join(broadcast_if_small(mt, len(models.weights)), F.col(model_col) == F.col("__mid"), "left")
-    xs = [F.col(c) for c in models.features]
+    joined = df.join(
+        broadcast_if_small(mt, len(models.weights), len(models.features) + 1), F.col(model_col) == F.col("__mid"), "left"
+    )
+    xs = _features(models)
     ws = [F.col(f"__w{j}") for j in range(len(models.features))]
-    out = joined.select(*[F.col(c) for c in df.columns], sigmoid(dot(xs, ws)).alias("probability"))
+    p = F.when(usable(xs), sigmoid(dot(xs, ws)))
+    out = joined.select(*[F.col(c) for c in df.columns if c != "probability"], p.alias("probability"))
     return out.withColumn("prediction", threshold(F.col("probability"), t)) if t is not None else out
 
 
-def vote_columns(models: Models, t: float) -> list[Column]:
-    """One 0/1 class indicator per model."""
-    xs = [F.col(c) for c in models.features]
-    return [
-        F.when(sigmoid(dot(xs, models.weights[m])) > F.lit(float(t)), 1).otherwise(0).alias(f"__v{m}")
-        for m in models.ids
-    ]
-
-
-# Above this many weights the vote is evaluated by a compact loop over
-# literal weight arrays instead of one compiled expression per model.
-UNROLL_MAX_WEIGHTS = 2048
-
-
-def vote_count_loop(models: Models, t: float) -> Column:
-    """Number of models voting 1, as one higher-order loop over the models:
-    weight j of model i is element i of a literal array (one per feature).
-    The expression stays the same size for any number of models; it runs
-    interpreted, so it serves only where unrolling would not compile."""
-    ids = models.ids
-    xs = [F.col(c) for c in models.features]
-    arrays = [F.lit([float(models.weights[m][j]) for m in ids]) for j in range(len(xs))]
+# Terms of one compiled sum; longer votes are sums of such sums.
+VOTE_CHUNK = 32
 
-    def one(acc: Column, i: Column) -> Column:
-        margin = xs[0] * F.element_at(arrays[0], i + 1)
-        for x, arr in zip(xs[1:], arrays[1:]):
-            margin = margin + x * F.element_at(arr, i + 1)
-        return acc + F.when(sigmoid(margin) > F.lit(float(t)), 1).otherwise(0)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(ids) - 1)), F.lit(0), one)
+def vote_count(models: Models, t: float) -> Column:
+    """Number of models that vote 1: one 0/1 term per model, summed in an array
+    of partial sums so that no generated method grows with the models."""
+    xs = _features(models)
+    votes = [F.when(sigmoid(dot(xs, models.weights[m])) > F.lit(float(t)), 1).otherwise(0) for m in models.ids]
+    chunks = []
+    for i in range(0, len(votes), VOTE_CHUNK):
+        one = votes[i]
+        for v in votes[i + 1 : i + VOTE_CHUNK]:
+            one = one + v
+        chunks.append(one)
+    return F.aggregate(F.array(*chunks), F.lit(0), lambda acc, v: acc + v)
 
 
-def predict_vote(df: DataFrame, models: Models, t: float = 0.5, unroll: bool | None = None) -> DataFrame:
-    """H3: majority vote of all present models; a tie gives 0."""
+def predict_vote(df: DataFrame, models: Models, t: float = 0.5) -> DataFrame:
+    """H3: ``ones``, the models that vote 1, and the majority of all present
+    models; a tie gives 0. Both are null for a row that is not usable, and
+    where no model was fitted."""
     m = len(models.weights)
-    if unroll is None:
-        unroll = m * len(models.features) <= UNROLL_MAX_WEIGHTS
-    if unroll:
-        # The indicators go into one array, whose generated code is split into
-        # a method per element (one nested sum of all models would be one
-        # method too large to compile quickly).
-        ones = F.aggregate(F.array(*vote_columns(models, t)), F.lit(0), lambda acc, v: acc + v)
-    else:
-        ones = vote_count_loop(models, t)
-    return df.withColumn("ones", ones).withColumn(
-        "prediction", F.when(F.col("ones") * 2 > F.lit(m), 1.0).otherwise(0.0)
+    if not m:
+        return df.withColumn("ones", F.lit(None).cast("int")).withColumn("prediction", _null())
+    out = df.withColumn("ones", F.when(usable(_features(models)), vote_count(models, t)))
+    return out.withColumn(
+        "prediction", F.when(F.col("ones").isNotNull(), F.when(F.col("ones") * 2 > F.lit(m), 1.0).otherwise(0.0))
     )

@@ -7,13 +7,16 @@ fraction 1, no intercept and no regularization, from zero weights:
 
 One Spark job per iteration serves every model: the training rows (persisted
 once) meet the current weights and one grouped aggregate returns, per model,
-the gradient sums. The weights reach the executors as literal arrays indexed
-by a dense model id (few features, dense ids), as an inline VALUES table
-joined with a broadcast hint, or, for very many models, as a DataFrame built
-from the driver's numbers and joined (broadcast when its size allows). Only
-models x features numbers come back to the driver, whatever the data size;
-the aggregate is partial per task, so a model holding a third of all rows
-costs no more than any other. Pieces with no rows get no model.
+the gradient sums. Only models x features numbers come back to the driver,
+whatever the data size; the aggregate is partial per task, so a model holding a
+third of all rows costs no more than any other. Pieces with no rows get no
+model, and rows that are not usable (see ``functions.logistic``) take no part.
+
+Narrow rows (up to 16 features, model ids dense) stay in generated code: the
+weights are literal arrays indexed by the model id. Otherwise a step is one
+vectorized pass: the features are one array column, and each task multiplies
+its batches by the weight matrix and returns a partial sum per model. In both
+the weights live on the driver between steps, 8 bytes each.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.session import fit_partitions, persist
+from quilt.functions.logistic import usable
+from quilt.session import persist, spread
 
 
 @dataclass
@@ -60,101 +66,67 @@ def spark_double(v: float) -> str:
     return f"CAST('{'NaN' if math.isnan(v) else ('Infinity' if v > 0 else '-Infinity')}' AS DOUBLE)"
 
 
-# Largest weight array passed as literals; more weights go through a join.
+# Literal weight arrays: most weights, and most features per row.
 ARRAY_MAX_WEIGHTS = 100_000
-# Literal arrays pay off for narrow rows; with many features the k array
-# reads cost more than one hash-join probe (measured: 64 features).
 ARRAY_MAX_FEATURES = 16
 
 
-def _residual_rows(view: str, k: int, margin: str, src: str, key: str, hint: str = "", where: str = "",
-                   check_labels: bool = False) -> str:
+def gradient_sql(view: str, k: int, weights: dict[int, list[float]] | None, size: int = 0) -> str:
+    """One step for every model: rows and ``sum((sigmoid(w.x) - y) * x_j)``, the
+    residual computed once per row. Weight j of model i is element i of a
+    literal array of ``size`` (a constant held once per task: the generated code
+    is the same from step to step). ``None`` is the first step, from zero
+    weights, which also counts the labels that are not 0 or 1."""
     xs = ", ".join(f"t.x{j}" for j in range(k))
-    lab = ", t.label" if check_labels else ""
-    rows = f"SELECT {hint}{key} AS mkey, {xs}{lab}, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {src}{where}"
-    sums = ", ".join(f"sum(r * x{j}) AS g{j}" for j in range(k))
-    bad = ", sum(CASE WHEN label = 0.0D OR label = 1.0D THEN 0 ELSE 1 END) AS bad" if check_labels else ""
-    return f"SELECT mkey, count(1) AS n, {sums}{bad} FROM ({rows}) GROUP BY mkey"
-
-
-def gradient_sql(view: str, k: int, weights: dict[tuple[int, int], list[float]] | None) -> str:
-    """One gradient step for every model of every family, keyed ``mkey =
-    struct(family, model_id)``: the row count and ``sum((sigmoid(w.x) - y) *
-    x_j)``. The weights enter as an inline VALUES relation (broadcast: one
-    row per model); rows of models absent from it are dropped by the join.
-    The statement is parsed once per step and its generated code is the same
-    from step to step; the residual is computed once per row (O(k) terms)."""
-    key = "named_struct('family', t.family, 'model_id', t.model_id)"
     if weights is None:
-        # first step: zero weights, and the labels are checked in the same pass
-        return _residual_rows(view, k, "0.0D", f"{view} t", key, check_labels=True)
-    vals = ", ".join(
-        "(" + ", ".join([str(f), str(m)] + [spark_double(v) for v in w]) + ")" for (f, m), w in sorted(weights.items())
-    )
-    cols = ", ".join(f"w{j}" for j in range(k))
-    margin = " + ".join(f"t.x{j} * w.w{j}" for j in range(k))
-    src = f"{view} t JOIN (VALUES {vals}) AS w(family, model_id, {cols}) ON t.family = w.family AND t.model_id = w.model_id"
-    return _residual_rows(view, k, margin, src, key, hint="/*+ BROADCAST(w) */ ")
-
-
-def gradient_sql_dense(view: str, k: int, weights: dict[tuple[int, int], list[float]], offsets: dict[int, int],
-                       size: int) -> str:
-    """The same step when model ids are dense per family: the model's index is
-    ``offset[family] + model_id`` and weight j is read from a literal array
-    of all models' weight j (a constant held once per task, not compiled into
-    the code and not copied into rows), so a row costs k array reads instead
-    of a hash-join probe, and the aggregate has one int key."""
-    cols = [[0.0] * size for _ in range(k)]
-    for (f, m), w in weights.items():
-        for j in range(k):
-            cols[j][offsets[f] + m] = w[j]
-    fams = sorted({f for f, _ in weights})
-    off = "CASE t.family " + " ".join(f"WHEN {f} THEN {offsets[f]}" for f in fams) + " END" if len(offsets) > 1 else "0"
-    idx = f"({off} + t.model_id)"
-    margin = " + ".join(
-        f"t.x{j} * element_at(array({', '.join(spark_double(v) for v in cols[j])}), CAST({idx} + 1 AS INT))"
-        for j in range(k)
-    )
-    where = f" WHERE t.family IN ({', '.join(map(str, fams))})" if len(offsets) > 1 else ""
-    return _residual_rows(view, k, margin, f"{view} t", idx, where=where)
-
-
-def gradient_frame(data: DataFrame, k: int, weights: dict[tuple[int, int], list[float]]) -> DataFrame:
-    """The same step for very many models: the weights are a DataFrame
-    (created once per step from the driver's numbers, no SQL text to parse)
-    joined on (family, model_id), broadcast when its row count allows."""
-    from quilt.session import broadcast_if_small
-
-    spark = data.sparkSession
-    schema = "family int, model_id bigint, " + ", ".join(f"__w{j} double" for j in range(k))
-    wt = spark.createDataFrame([(f, m, *w) for (f, m), w in sorted(weights.items())], schema)
-    joined = data.join(broadcast_if_small(wt, len(weights)), ["family", "model_id"])
-    margin = F.col("x0") * F.col("__w0")
-    for j in range(1, k):
-        margin = margin + F.col(f"x{j}") * F.col(f"__w{j}")
-    rows = joined.select(
-        F.struct("family", "model_id").alias("mkey"),
-        *[F.col(f"x{j}") for j in range(k)],
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("label")).alias("r"),
-    )
-    return rows.groupBy("mkey").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col("r") * F.col(f"x{j}")).alias(f"g{j}") for j in range(k)]
-    )
-
-
-def _dense_layout(ids: list[tuple[int, int]], k: int) -> tuple[dict[int, int], int] | None:
-    """Offsets per family when every family's ids are 0..max with few gaps."""
-    if k > ARRAY_MAX_FEATURES:
-        return None
-    offsets, size = {}, 0
-    for f in sorted({f for f, _ in ids}):
-        ms = [m for g, m in ids if g == f]
-        lo, hi = min(ms), max(ms)
-        if lo < 0 or hi + 1 > 4 * len(ms):
-            return None
-        offsets[f] = size
-        size += hi + 1
-    return (offsets, size) if size * k <= ARRAY_MAX_WEIGHTS else None
+        margin = "0.0D"
+    else:
+        cols = [[0.0] * size for _ in range(k)]
+        for m, w in weights.items():
+            for j in range(k):
+                cols[j][m] = w[j]
+        margin = " + ".join(
+            f"t.x{j} * element_at(array({', '.join(spark_double(v) for v in cols[j])}), CAST(t.model_id + 1 AS INT))"
+            for j in range(k)
+        )
+    rows = f"SELECT t.model_id, {xs}, t.label, (1.0D / (1.0D + exp(-({margin}))) - t.label) AS r FROM {view} t"
+    sums = ", ".join(f"sum(r * x{j}) AS g{j}" for j in range(k))
+    bad = ", sum(CASE WHEN label = 0.0D OR label = 1.0D THEN 0 ELSE 1 END) AS bad" if weights is None else ""
+    return f"SELECT model_id, count(1) AS n, {sums}{bad} FROM ({rows}) GROUP BY model_id"
+
+
+def gradient_vectorized(data: DataFrame, k: int, weights: dict[int, list[float]] | None) -> DataFrame:
+    """The same step over ``(model_id, label, x array)``: a row per model and
+    position, ``(model_id, pos, g, n, bad)``. A task holds one matrix of the
+    models it meets."""
+    known = np.array(sorted(weights or {}), np.int64)
+    table = np.array([weights[m] for m in known.tolist()]) if weights else np.zeros((0, k))
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("model_id").to_numpy(zero_copy_only=False)
+            y = batch.column("label").to_numpy(zero_copy_only=False)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), k)
+            margin = np.einsum("ij,ij->i", x, table[np.searchsorted(known, ids)]) if weights else np.zeros(len(ids))
+            with np.errstate(over="ignore"):
+                r = 1.0 / (1.0 + np.exp(-margin)) - y
+            order = np.argsort(ids, kind="stable")
+            found, first = np.unique(ids[order], return_index=True)
+            bad = ((y != 0) & (y != 1)).astype(float)
+            part = np.add.reduceat(np.column_stack((r[:, None] * x, np.ones(len(ids)), bad))[order], first, axis=0)
+            for m, g in zip(found.tolist(), part, strict=True):
+                sums[m] = sums[m] + g if m in sums else g
+        for m, g in sums.items():
+            yield pa.RecordBatch.from_pydict({
+                "model_id": pa.array(np.full(k, m)), "pos": pa.array(np.arange(k, dtype=np.int32)), "g": pa.array(g[:k]),
+                "n": pa.array(np.full(k, int(g[k]))), "bad": pa.array(np.full(k, int(g[k + 1]))),
+            })
+
+    parts = data.mapInArrow(run, "model_id bigint, pos int, g double, n bigint, bad bigint")
+    return parts.groupBy("model_id", "pos").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
 def fit(
@@ -163,89 +135,70 @@ def fit(
     model_col: str | None = None,
     iterations: int = 100,
     step: float = 1.0,
-    mode: str | None = None,
+    partitions: int | None = None,
+    vectorized: bool | None = None,
 ) -> Models:
     """One model per distinct ``model_col`` value (one model overall
-    when ``model_col`` is None). Rows with a null model id are not used.
-    ``mode`` forces how weights reach the executors (``dense`` literal arrays,
-    ``values`` inline table, ``frame`` DataFrame join); by default it is
-    chosen from the model ids, the number of features and of weights."""
-    return fit_together([(points, model_col, iterations)], features, step, mode)[0]
-
-
-def fit_together(
-    families: list[tuple[DataFrame, str | None, int]], features: list[str], step: float = 1.0,
-    mode: str | None = None,
-) -> list[Models]:
-    """Several families of models (e.g. the per-group, per-part and single
-    models) fitted by one aggregate per step over the union of their keyed
-    rows; a family stops taking part after its own number of steps. Each
-    model follows exactly the update it would follow alone."""
-    spark = families[0][0].sparkSession
+    when ``model_col`` is None). Rows with a null model id, and rows that are
+    not usable, are not used. ``partitions`` deals the training rows to so many
+    partitions once, for inputs with fewer splits than cores; by default the
+    splits of the input stay as they are (they bound the bytes of a cached
+    block). ``vectorized`` forces how a step is computed."""
+    spark = points.sparkSession
     k = len(features)
-    keyed = None
-    for f, (df, model_col, _) in enumerate(families):
-        mid = (F.col(model_col) if model_col else F.lit(0)).cast("bigint")
-        part = df.select(
-            F.lit(f).alias("family"),
-            mid.alias("model_id"),
-            F.col("label").cast("double").alias("label"),
-            *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)],
-        ).where(F.col("model_id").isNotNull())
-        keyed = part if keyed is None else keyed.unionByName(part)
+    mid = (F.col(model_col) if model_col else F.lit(0)).cast("bigint")
+    cols = [F.col(c).cast("double") for c in features]
+    rows = points.where(mid.isNotNull() & usable(cols))
+    wide = k > ARRAY_MAX_FEATURES if vectorized is None else vectorized
+    xs = [F.array(*cols).alias("x")] if wide else [c.alias(f"x{j}") for j, c in enumerate(cols)]
     # The training rows are kept in executor memory (spilling to disk) for all
     # steps. Their lineage is narrow: a file scan plus broadcast lookups into
     # small checkpointed tables, so a lost block is recomputed from its own
     # input split only; no copy of the whole training table is written.
-    data = persist(fit_partitions(keyed))
+    data = persist(spread(rows.select(mid.alias("model_id"), F.col("label").cast("double").alias("label"), *xs), partitions))
     view = f"__quilt_train_{uuid.uuid4().hex}"
     data.createOrReplaceTempView(view)
-    steps = [it for _, _, it in families]
-    weights: dict[tuple[int, int], list[float]] = {}
-    counts: dict[tuple[int, int], int] = {}
+    weights: dict[int, list[float]] = {}
+    counts: dict[int, int] = {}
     history = []
-    layout, index = None, {}
     try:
-        for t in range(1, max(steps) + 1):
+        for t in range(1, iterations + 1):
             t0 = time.time()
-            active = {f for f, it in enumerate(steps) if it >= t}
-            # step 1 starts from zero weights: sigmoid(0) = 0.5, no table needed
-            current = None if t == 1 else {fm: w for fm, w in weights.items() if fm[0] in active}
-            if current is None:
-                rows = spark.sql(gradient_sql(view, k, None)).collect()
-            elif layout is not None:
-                rows = spark.sql(gradient_sql_dense(view, k, current, *layout)).collect()
-            elif mode == "frame" or (mode is None and len(current) * k > ARRAY_MAX_WEIGHTS):
-                rows = gradient_frame(data, k, current).collect()
+            current = weights if t > 1 else None
+            if t == 2 and not wide and not _dense(weights, k):
+                # ids with wide gaps: from here on as one array per row
+                wide = True
+                xs = F.array(*[F.col(f"x{j}") for j in range(k)]).alias("x")
+            grads: dict[int, list[float]] = {}
+            bad = 0
+            if wide:
+                table = data if "x" in data.columns else data.select("model_id", "label", xs)
+                for r in gradient_vectorized(table, k, current).collect():
+                    grads.setdefault(r["model_id"], [0.0] * k)[r["pos"]] = r["g"]
+                    counts[r["model_id"]] = r["n"]
+                    bad += r["bad"]
             else:
-                rows = spark.sql(gradient_sql(view, k, current)).collect()
-            if t == 1 and any(r["bad"] for r in rows):
+                size = max(weights) + 1 if weights else 0
+                for r in spark.sql(gradient_sql(view, k, current, size)).collect():
+                    grads[r["model_id"]] = [r[f"g{j}"] for j in range(k)]
+                    counts[r["model_id"]] = r["n"]
+                    bad += r["bad"] if t == 1 else 0
+            if bad:
                 raise ValueError("training labels must be 0 or 1 (binary logistic models)")
-            if t == 1 and not rows:
+            if not grads:
                 break  # no rows: no piece has a model
-            if t == 1:
-                ids = sorted((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows)
-                layout = _dense_layout(ids, k) if mode in (None, "dense") else None
-                index = {} if layout is None else {
-                    layout[0][f] + m: (f, m) for f, m in ((r["mkey"]["family"], r["mkey"]["model_id"]) for r in rows)
-                }
             rate = step / math.sqrt(t)
-            for r in rows:
-                key = r["mkey"]
-                fm = (key["family"], key["model_id"]) if t == 1 or layout is None else index[key]
-                if fm[0] not in active:
-                    continue
-                n = r["n"]
-                counts[fm] = n
-                w = weights.get(fm, [0.0] * k)
-                weights[fm] = [w[j] - rate * (r[f"g{j}"] / n) for j in range(k)]
+            for m, g in grads.items():
+                w = weights.get(m, [0.0] * k)
+                weights[m] = [w[j] - rate * (g[j] / counts[m]) for j in range(k)]
             history.append(time.time() - t0)
     finally:
         spark.catalog.dropTempView(view)
         data.unpersist()
-    out = []
-    for f, it in enumerate(steps):
-        ws = {m: w for (g, m), w in weights.items() if g == f}
-        ns = {m: n for (g, m), n in counts.items() if g == f}
-        out.append(Models(list(features), ws, ns, it, step, history[:it]))
-    return out
+    return Models(list(features), weights, counts, iterations, step, history)
+
+
+def _dense(weights: dict[int, list[float]], k: int) -> bool:
+    """Ids 0..max with few gaps, and few enough weights for literal arrays."""
+    lo, hi = min(weights), max(weights)
+    return lo >= 0 and hi + 1 <= 4 * len(weights) and (hi + 1) * k <= ARRAY_MAX_WEIGHTS

@@ -13,21 +13,24 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.functions.grid import Grid, ancestor, ancestor_sql, axis_split, axis_split_sql, bin_no_sql, coordinate_sql, sql_double
+from quilt.functions.grid import Grid, ancestor, ancestor_sql, axis_split, axis_split_sql, bin_no, bin_no_sql, coordinate_sql, sql_double
 from quilt.functions.hashing import stable_part_sql, stable_uniform_sql
-from quilt.functions.logistic import dot_sql, sigmoid_sql, threshold_sql
+from quilt.functions.logistic import dot_sql, sigmoid_sql, threshold_sql, usable_sql
 from quilt.operators import quality, stats
-from quilt.operators.grouping import group_members, level_target_cols
+from quilt.operators.grouping import group_members, level_target_cols, route
 from quilt.operators.histogram import dense_histogram, histogram_tree, tree_children, with_cell_coordinates
 from quilt.operators.metrics import accuracy, auc
 from quilt.operators.partition import filter_part, random_part_sizes, sample_hash, sample_native
 from quilt.plans.ensembles import Config, workbench
 from quilt.plans.sqlgen import cte, grouping_sql, route_sql, targets_sql, train_sql
 from quilt.session import broadcast_if_small
-from quilt.sources.points import VIEWS, points, points_sql, read_table
+from quilt.sources.points import VIEWS, points, points_sql, read_table, unit_scaled_sql
 from quilt.sources.text import document_lines, drop_marker_lines, parse_points, render_lines
 
-CFG = Config()
+CFG = Config(
+    label="price", scaled=True, train_share=0.7, partitions=8,
+    grid=Grid.of(("x0", 0.0, 1.0, 8), ("x1", 0.0, 1.0, 8), ("x2", 0.0, 1.0, 8)),
+)
 GRID = CFG.grid
 FEATS = list(CFG.features)
 MARKER = "the"
@@ -71,29 +74,42 @@ class Suite:
         self.cfg = cfg
         self.grid = cfg.grid
         self.feats = list(cfg.features)
-        self.pts = points_sql(cfg.view)
+        raw = points_sql(cfg.view, cfg.label)
+        draw = stable_uniform_sql(f"split{cfg.seed}", "key")
+        share = sql_double(float(cfg.train_share)) if cfg.train_share is not None else None
+        split = f"{draw} < {share} AS fit, {draw} >= {share} AS test" if share else "TRUE AS fit, TRUE AS test"
+        bounds = ", ".join(
+            f"min(CASE WHEN NOT isnan({c}) THEN {c} END) AS lo_{c}, max(CASE WHEN NOT isnan({c}) THEN {c} END) AS hi_{c}"
+            for c in self.feats
+        )
+        unit = unit_scaled_sql("raw", "mm", self.feats) if cfg.scaled else "SELECT * FROM raw"
         self.base = {
-            "pts": self.pts,
+            "raw": raw,
+            "mm": f"SELECT {bounds} FROM raw",
+            "pts": f"SELECT *, {split} FROM ({unit})",
             "bins": f"SELECT *, {bin_no_sql(cfg.grid, cfg.policy)} AS bin_no FROM pts",
-            "counts": "SELECT bin_no, count(*) AS n FROM bins WHERE bin_no IS NOT NULL GROUP BY bin_no",
+            "counts": "SELECT bin_no, count(*) AS n FROM bins WHERE fit AND bin_no IS NOT NULL GROUP BY bin_no",
         }
         self.part_expr = stable_part_sql(f"part{cfg.seed}", "key", cfg.n_parts)
         self.w_cols = ", ".join(f"round(w{j}, 4) + CAST(0.0 AS DOUBLE) AS w{j}" for j in range(len(self.feats)))
         t = cfg.threshold
+        ok = usable_sql([f"z.{c}" for c in self.feats])
+        prob = f"CASE WHEN {ok} THEN {self.prob('m')} END"
         self.scored_global = (
-            f"SELECT z.*, {self.prob('m')} AS probability, {threshold_sql(self.prob('m'), t)} AS prediction "
-            f"FROM pts z CROSS JOIN wglob_final m"
+            f"SELECT key, label, probability, {threshold_sql('probability', t)} AS prediction FROM ("
+            f"SELECT z.key, z.label, {prob} AS probability FROM pts z LEFT JOIN wglob_final m ON TRUE WHERE z.test)"
         )
         self.scored_routed = (
-            f"SELECT z.*, {self.prob('m')} AS probability, {threshold_sql(self.prob('m'), t)} AS prediction "
-            f"FROM routed z LEFT JOIN wgrp_final m ON m.model_id = z.group_id"
+            f"SELECT key, label, group_id, probability, {threshold_sql('probability', t)} AS prediction FROM ("
+            f"SELECT z.key, z.label, z.group_id, {prob} AS probability "
+            f"FROM routed z LEFT JOIN wgrp_final m ON m.model_id = z.group_id WHERE z.test)"
         )
         one = f"CASE WHEN {self.prob('m')} > {sql_double(t)} THEN 1 ELSE 0 END"
         self.scored_vote = (
-            f"SELECT z.key, any_value(z.label) AS label, CAST(sum({one}) AS BIGINT) AS ones, "
-            f"CASE WHEN 2 * sum({one}) > (SELECT count(*) FROM wpart_final) "
-            f"THEN CAST('1.0' AS DOUBLE) ELSE CAST('0.0' AS DOUBLE) END AS prediction "
-            f"FROM pts z CROSS JOIN wpart_final m GROUP BY z.key"
+            "SELECT key, label, ones, CASE WHEN ones IS NULL THEN NULL WHEN 2 * ones > (SELECT count(*) FROM wpart_final) "
+            "THEN CAST('1.0' AS DOUBLE) ELSE CAST('0.0' AS DOUBLE) END AS prediction FROM ("
+            f"SELECT z.key, any_value(z.label) AS label, CAST(sum(CASE WHEN {ok} THEN {one} END) AS BIGINT) AS ones "
+            f"FROM pts z CROSS JOIN wpart_final m WHERE z.test GROUP BY z.key)"
         )
 
     def with_base(self, **more: str) -> str:
@@ -112,13 +128,13 @@ class Suite:
         """Training CTEs for one strategy plus ``{kind}_final (model_id, n, w..)``."""
         cfg = self.cfg
         if kind == "wglob":
-            parts = train_sql("SELECT * FROM pts", self.feats, "0", cfg.iter_global, name=kind)
+            parts = train_sql("SELECT * FROM pts WHERE fit", self.feats, "0", cfg.iter_global, name=kind)
             it = cfg.iter_global
         elif kind == "wgrp":
-            parts = train_sql("SELECT * FROM routed", self.feats, "group_id", cfg.iter_ensemble, name=kind)
+            parts = train_sql("SELECT * FROM routed WHERE fit", self.feats, "group_id", cfg.iter_ensemble, name=kind)
             it = cfg.iter_ensemble
         else:
-            parts = train_sql("SELECT * FROM pts", self.feats, self.part_expr, cfg.iter_ensemble, name=kind)
+            parts = train_sql("SELECT * FROM pts WHERE fit", self.feats, self.part_expr, cfg.iter_ensemble, name=kind)
             it = cfg.iter_ensemble
         ws = ", ".join(f"w.w{j}" for j in range(len(self.feats)))
         parts[f"{kind}_final"] = (
@@ -133,7 +149,7 @@ class Suite:
 
 
 MAIN = Suite(CFG)
-PTS = MAIN.pts
+PTS = points_sql(CFG.view)  # as the table has them
 BASE = MAIN.base
 with_groups = MAIN.with_groups
 with_base = MAIN.with_base
@@ -155,10 +171,9 @@ def acc_sql(src: str, by: str = "") -> str:
     )
 
 
-def auc_sql(src: str, score: str = "prediction", bucket: bool = False) -> str:
-    s = f"CAST(floor({score} * CAST('1000000.0' AS DOUBLE)) AS BIGINT)" if bucket else score
+def auc_sql(src: str, score: str = "prediction") -> str:
     lv = (
-        f"SELECT {s} AS s, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN label > 0 THEN 0 ELSE 1 END) AS fp "
+        f"SELECT {score} AS s, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN label > 0 THEN 0 ELSE 1 END) AS fp "
         f"FROM {src} WHERE {score} IS NOT NULL GROUP BY 1"
     )
     ar = (
@@ -215,6 +230,33 @@ def q_parse_points(spark, sf):
     return parse_points(lines, len(FEATS), keep=["key"])
 
 
+# lines with a field too few, a field too many, and a field that is no number
+BROKEN_SQL = (
+    "CASE WHEN CAST(split_part(key, '|', 4) AS INT) = 1 THEN regexp_replace(line, ',[^,]*$', '') "
+    "WHEN CAST(split_part(key, '|', 4) AS INT) = 2 THEN line || ',7' "
+    "WHEN CAST(split_part(key, '|', 4) AS INT) = 3 THEN 'n/a' || line ELSE line END"
+)
+
+
+def _parse_permissive_sql() -> str:
+    fields = ", ".join(["CAST(label AS VARCHAR)"] + [f"CAST(x{j} AS VARCHAR)" for j in range(len(FEATS))])
+    lines = f"SELECT key, concat_ws(',', {fields}) AS line FROM pts"
+    broken = f"SELECT key, {BROKEN_SQL} AS line FROM lines"
+    split = "SELECT key, string_split(regexp_replace(line, ',+$', ''), ',') AS p FROM broken"
+    names = ["label"] + FEATS
+    cols = ", ".join(f"TRY_CAST(trim(p[{j + 1}]) AS DOUBLE) AS {c}" for j, c in enumerate(names))
+    missing = " OR ".join(f"{c} IS NULL" for c in names)
+    return cte(pts=PTS, lines=lines, broken=broken, parts=split, got=f"SELECT key, len(p) AS m, {cols} FROM parts") + (
+        f"\nSELECT key, {', '.join(names)}, (m <> {len(names)} OR {missing}) AS bad FROM got"
+    )
+
+
+@register("parse_points_permissive", _parse_permissive_sql())
+def q_parse_points_permissive(spark, sf):
+    lines = render_lines(points(spark, sf, CFG.view), len(FEATS), keep=["key"])
+    return parse_points(lines.select("key", F.expr(BROKEN_SQL).alias("line")), len(FEATS), keep=["key"], mode="permissive")
+
+
 @register(
     "sample_hash",
     cte(pts=PTS) + f"\nSELECT * FROM pts WHERE {stable_uniform_sql(f'sample{CFG.seed}', 'key')} < {sql_double(SAMPLE_FRACTION)}",
@@ -223,9 +265,29 @@ def q_sample_hash(spark, sf):
     return sample_hash(points(spark, sf, CFG.view), SAMPLE_FRACTION, CFG.seed)
 
 
-@register("sample_native")
+# A Bernoulli sample has no twin row by row (its draws follow the partitions);
+# its checkable facts are: it holds rows of the table, none of them twice, and
+# about the wanted share of all (within six standard deviations).
+@register(
+    "sample_native",
+    cte(pts=PTS) + "\nSELECT count(*) AS n_all, CAST(0 AS BIGINT) AS n_foreign, CAST(0 AS BIGINT) AS n_repeated, "
+    "TRUE AS share_holds FROM pts",
+)
 def q_sample_native(spark, sf):
-    return sample_native(points(spark, sf, CFG.view), SAMPLE_FRACTION, CFG.seed)
+    pts = points(spark, sf, CFG.view)
+    drawn = sample_native(pts, SAMPLE_FRACTION, CFG.seed).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    both = pts.select("key").join(drawn, "key", "full_outer").join(
+        pts.select("key", F.lit(True).alias("known")), "key", "left"
+    )
+    got = both.agg(
+        F.count(F.when(F.col("known"), 1)).alias("n_all"),
+        F.count(F.when(F.col("known").isNull(), 1)).alias("n_foreign"),
+        F.count(F.when(F.col("n") > 1, 1)).alias("n_repeated"),
+        F.sum(F.coalesce("n", F.lit(0))).alias("n"),
+    )
+    spread6 = 6 * F.sqrt(F.col("n_all") * F.lit(SAMPLE_FRACTION * (1 - SAMPLE_FRACTION)))
+    holds = F.abs(F.col("n") - F.col("n_all") * F.lit(SAMPLE_FRACTION)) <= spread6
+    return got.select("n_all", "n_foreign", "n_repeated", holds.alias("share_holds"))
 
 
 # ------------------------------------------------------ B: projections
@@ -342,17 +404,15 @@ def q_grid_from_min_max(spark, sf):
     pts = points(spark, sf, CFG.view)
     rows = stats.feature_min_max(pts, FEATS).collect()
     g = stats.grid_from_min_max(rows, FEATS, MEASURED_SPLITS)
-    from quilt.functions.grid import bin_no
-
     return pts.select("key", bin_no(g, CFG.policy).alias("bin_no"))
 
 
 @register(
     "axis_split",
-    cte(pts=PTS) + "\nSELECT key, " + ", ".join(f"{axis_split_sql(a.column, a, CFG.policy)} AS s{i}" for i, a in enumerate(GRID.axes)) + " FROM pts",
+    with_base() + "\nSELECT key, " + ", ".join(f"{axis_split_sql(a.column, a, CFG.policy)} AS s{i}" for i, a in enumerate(GRID.axes)) + " FROM pts",
 )
 def q_axis_split(spark, sf):
-    pts = points(spark, sf, CFG.view)
+    pts = wb(spark, sf).points()
     return pts.select("key", *[axis_split(F.col(a.column), a, CFG.policy).alias(f"s{i}") for i, a in enumerate(GRID.axes)])
 
 
@@ -581,27 +641,26 @@ def q_auc_class(spark, sf):
     return auc(wb(spark, sf).scored_routed())
 
 
-@register("auc_score", with_base(**trained("wglob"), sg=SCORED_GLOBAL) + "\n" + auc_sql("sg", "probability", bucket=True))
+@register("auc_score", with_base(**trained("wglob"), sg=SCORED_GLOBAL) + "\n" + auc_sql("sg", "probability"))
 def q_auc_score(spark, sf):
     return auc(wb(spark, sf).scored_global(), score="probability")
 
 
-def _report_sql() -> str:
+def _report_sql(suite: Suite) -> str:
     parts = {}
-    parts.update(trained("wglob"))
-    parts.update(trained("wgrp"))
-    parts.update(trained("wpart"))
-    parts.update(sg=SCORED_GLOBAL, sr=SCORED_ROUTED, sv=SCORED_VOTE)
+    for kind in ("wglob", "wgrp", "wpart"):
+        parts.update(suite.trained(kind))
+    parts.update(sg=suite.scored_global, sr=suite.scored_routed, sv=suite.scored_vote)
     rows = []
     for name, src, m in (("single", "sg", "wglob_final"), ("histogram", "sr", "wgrp_final"), ("random", "sv", "wpart_final")):
         rows.append(
             f"SELECT '{name}' AS strategy, (SELECT count(*) FROM {m}) AS n_models, a.n, a.correct, a.accuracy_pct, u.auc "
             f"FROM ({acc_sql(src)}) a CROSS JOIN ({auc_sql(src)}) u"
         )
-    return with_groups(**parts) + "\n" + "\nUNION ALL\n".join(rows)
+    return suite.with_groups(**parts) + "\n" + "\nUNION ALL\n".join(rows)
 
 
-@register("strategy_report", _report_sql())
+@register("strategy_report", _report_sql(MAIN))
 def q_strategy_report(spark, sf):
     return wb(spark, sf).report()
 
@@ -658,8 +717,6 @@ def _distance_sql() -> str:
 
 @register("bin_distance", _distance_sql())
 def q_bin_distance(spark, sf):
-    from quilt.operators.grouping import route
-
     w = wb(spark, sf)
     cells = route(w.counts().select("bin_no"), w.grouping(), compatible=False).where(F.col("group_id").isNotNull())
     g = w.grouping().groups.select(F.col("group_id").alias("gid"), "group_key")
@@ -677,19 +734,31 @@ def q_bin_distance(spark, sf):
 # events: skewed values, so very uneven cells; embeddings: 64-wide features.
 
 EV_CFG = Config(
-    view="points_ev",
-    features=("x0", "x1", "x2"),
-    grid=Grid.of(("x0", 0.0, 500.0, 8), ("x1", 0.0, 150.0, 6), ("x2", 0.0, 24.0, 4)),
+    view="points_ev", features=("x0", "x1", "x2"), scaled=True, train_share=0.7, partitions=8,
+    grid=Grid.of(("x0", 0.0, 1.0, 8), ("x1", 0.0, 1.0, 6), ("x2", 0.0, 1.0, 4)),
     n_groups=10,
     n_parts=8,
 )
 VEC_CFG = Config(
-    view="points_vec",
-    features=tuple(f"x{i}" for i in range(64)),
-    grid=Grid.of(("x0", -0.6, 0.5, 4), ("x1", -0.6, 0.5, 4), ("x2", -0.6, 0.5, 4)),
+    view="points_vec", features=tuple(f"x{i}" for i in range(64)), scaled=True, train_share=0.7, partitions=8,
+    grid=Grid.of(("x0", 0.0, 1.0, 4), ("x1", 0.0, 1.0, 4), ("x2", 0.0, 1.0, 4)),
     n_groups=8,
     n_parts=4,
 )
+# far more cells than the training rows fill, and many groups: empty cells,
+# and held-out rows in cells of no group
+SPARSE_CFG = Config(
+    view="points_ev", features=("x0", "x1", "x2"), scaled=True, train_share=0.02, partitions=8,
+    grid=Grid.of(("x0", 0.0, 1.0, 24), ("x1", 0.0, 1.0, 12), ("x2", 0.0, 1.0, 8)),
+    n_groups=60,
+)
+# rows with null and NaN features
+DIRTY_CFG = Config(
+    view="points_dirty", scaled=True, train_share=0.7, partitions=8, iter_ensemble=30,
+    grid=Grid.of(("x0", 0.0, 1.0, 6), ("x3", 0.0, 1.0, 6)), n_groups=4, n_parts=5,
+)
+SPARSE = Suite(SPARSE_CFG)
+DIRTY = Suite(DIRTY_CFG)
 EV = Suite(EV_CFG)
 VEC = Suite(VEC_CFG)
 EV_BOUNDS = [f for i in range(EV_CFG.grid.dims) for f in (f"lo{i}", f"hi{i}")]
@@ -724,20 +793,94 @@ def q_predict_vote_embeddings(spark, sf):
     return scored.select("key", "label", F.col("ones").cast("bigint").alias("ones"), "prediction")
 
 
-def _report_sql_for(suite: Suite) -> str:
-    parts = {}
-    for kind in ("wglob", "wgrp", "wpart"):
-        parts.update(suite.trained(kind))
-    parts.update(sg=suite.scored_global, sr=suite.scored_routed, sv=suite.scored_vote)
-    rows = []
-    for name, src, m in (("single", "sg", "wglob_final"), ("histogram", "sr", "wgrp_final"), ("random", "sv", "wpart_final")):
-        rows.append(
-            f"SELECT '{name}' AS strategy, (SELECT count(*) FROM {m}) AS n_models, a.n, a.correct, a.accuracy_pct, u.auc "
-            f"FROM ({acc_sql(src)}) a CROSS JOIN ({auc_sql(src)}) u"
-        )
-    return suite.with_groups(**parts) + "\n" + "\nUNION ALL\n".join(rows)
-
-
-@register("strategy_report_embeddings", _report_sql_for(VEC))
+@register("strategy_report_embeddings", _report_sql(VEC))
 def q_strategy_report_embeddings(spark, sf):
     return workbench(spark, sf, VEC_CFG).report()
+
+
+@register("predict_routed_embeddings", VEC.with_groups(**VEC.trained("wgrp"), sr=VEC.scored_routed) + "\nSELECT key, group_id, label, prediction FROM sr")
+def q_predict_routed_embeddings(spark, sf):
+    return workbench(spark, sf, VEC_CFG).scored_routed().select("key", "group_id", "label", "prediction")
+
+
+@register("train_per_group_events", EV.with_groups(**EV.trained("wgrp")) + f"\nSELECT model_id, n, {EV.w_cols} FROM wgrp_final")
+def q_train_per_group_events(spark, sf):
+    return _weights(workbench(spark, sf, EV_CFG).models_group(), spark, len(EV_CFG.features))
+
+
+@register("predict_routed_events", EV.with_groups(**EV.trained("wgrp"), sr=EV.scored_routed) + "\nSELECT key, group_id, label, prediction FROM sr")
+def q_predict_routed_events(spark, sf):
+    return workbench(spark, sf, EV_CFG).scored_routed().select("key", "group_id", "label", "prediction")
+
+
+SPARSE_BOUNDS = [f for i in range(SPARSE_CFG.grid.dims) for f in (f"lo{i}", f"hi{i}")]
+
+
+@register("equi_depth_groups_sparse", SPARSE.with_groups() + f"\nSELECT group_id, group_key, {', '.join(SPARSE_BOUNDS)}, total FROM g_groups")
+def q_equi_depth_groups_sparse(spark, sf):
+    return workbench(spark, sf, SPARSE_CFG).grouping().groups
+
+
+@register("assign_bin_group_sparse", SPARSE.with_groups() + "\nSELECT key, bin_no, group_id FROM routed")
+def q_assign_bin_group_sparse(spark, sf):
+    return workbench(spark, sf, SPARSE_CFG).routed().select("key", "bin_no", "group_id")
+
+
+@register(
+    "unassigned_rows_sparse",
+    SPARSE.with_groups(strict=route_sql("bins", SPARSE_CFG.grid, compatible=False))
+    + "\nSELECT count(*) AS n, count(*) FILTER (WHERE group_id IS NULL) AS n_unassigned FROM strict",
+)
+def q_unassigned_rows_sparse(spark, sf):
+    """Rows in cells of no group, which compatible routing sends to group 0."""
+    w = workbench(spark, sf, SPARSE_CFG)
+    strict = route(w.binned(), w.grouping(), compatible=False)
+    return strict.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("group_id").isNull(), 1)).alias("n_unassigned"))
+
+
+@register("train_global_dirty", DIRTY.with_base(**DIRTY.trained("wglob")) + f"\nSELECT model_id, n, {DIRTY.w_cols} FROM wglob_final")
+def q_train_global_dirty(spark, sf):
+    return _weights(workbench(spark, sf, DIRTY_CFG).models_global(), spark, len(DIRTY_CFG.features))
+
+
+@register(
+    "predict_global_dirty",
+    DIRTY.with_base(**DIRTY.trained("wglob"), sg=DIRTY.scored_global) + "\nSELECT key, round(probability, 6) AS probability, prediction FROM sg",
+)
+def q_predict_global_dirty(spark, sf):
+    return workbench(spark, sf, DIRTY_CFG).scored_global().select("key", F.round("probability", 6).alias("probability"), "prediction")
+
+
+@register("predict_vote_dirty", DIRTY.with_base(**DIRTY.trained("wpart"), sv=DIRTY.scored_vote) + "\nSELECT key, label, ones, prediction FROM sv")
+def q_predict_vote_dirty(spark, sf):
+    scored = workbench(spark, sf, DIRTY_CFG).scored_vote()
+    return scored.select("key", "label", F.col("ones").cast("bigint").alias("ones"), "prediction")
+
+
+@register("strategy_report_dirty", _report_sql(DIRTY))
+def q_strategy_report_dirty(spark, sf):
+    return workbench(spark, sf, DIRTY_CFG).report()
+
+
+# the other split policies, over bounds that many rows lie outside of
+OUT_GRID = Grid.of(("x0", 5.0, 45.0, 8), ("x1", 5000.0, 60000.0, 7))
+
+
+def _policy_sql(policy: str) -> str:
+    splits = ", ".join(f"{axis_split_sql(a.column, a, policy)} AS s{i}" for i, a in enumerate(OUT_GRID.axes))
+    return cte(pts=PTS) + f"\nSELECT key, {splits}, {bin_no_sql(OUT_GRID, policy)} AS bin_no FROM pts"
+
+
+def _policy_rows(spark, sf, policy: str) -> DataFrame:
+    splits = [axis_split(F.col(a.column), a, policy).alias(f"s{i}") for i, a in enumerate(OUT_GRID.axes)]
+    return points(spark, sf, CFG.view).select("key", *splits, bin_no(OUT_GRID, policy).alias("bin_no"))
+
+
+@register("axis_split_raw", _policy_sql("raw"))
+def q_axis_split_raw(spark, sf):
+    return _policy_rows(spark, sf, "raw")
+
+
+@register("axis_split_null", _policy_sql("null"))
+def q_axis_split_null(spark, sf):
+    return _policy_rows(spark, sf, "null")

@@ -2,8 +2,12 @@
 
 ``Workbench`` holds the pieces one dataset needs across several queries: the
 cell counts, the grouping and the fitted models are computed once per session
-and data folder, then reused (models are a few numbers on the driver; the
-grouping tables and cell counts are small checkpointed DataFrames).
+and state of the data files, then reused (models are a few numbers on the
+driver; the grouping tables and cell counts are small checkpointed DataFrames).
+
+With ``train_share`` the rows are split by a hash of their key: counts, groups
+and models come from the training rows, scoring and evaluation run on the
+others, and cells, groups and parts are assigned to all of them.
 """
 
 from __future__ import annotations
@@ -14,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quilt.functions.grid import Grid
+from quilt.functions.hashing import stable_uniform
 from quilt.operators.grouping import Grouping, equi_depth_groups, route
 from quilt.operators.histogram import bin_histogram, with_bin_no
 from quilt.operators.metrics import class_summary
 from quilt.operators.partition import assign_random_part, sample_hash
 from quilt.operators.score import predict_global, predict_routed, predict_vote
+from quilt.operators.stats import feature_min_max
 from quilt.operators.train import Models, fit
 from quilt.session import cut_lineage, ensure_checkpoint_dir, spread
-from quilt.sources.points import points
+from quilt.sources.points import points, source_state, unit_scaled
 
 
 # Fixed values, as the reference's harness and tests set them:
@@ -48,6 +54,10 @@ class Config:
     threshold: float = 0.499999
     policy: str = "clamp"
     sample: float | None = None  # hash sample of the training rows (A4), None = all
+    label: str | None = None  # label of the view, None = its default
+    scaled: bool = False  # features moved to [0, 1] by their measured bounds
+    train_share: float | None = None  # None: train and score on all rows
+    partitions: int | None = None  # of training and vote rows, for inputs with few splits
 
 
 class Workbench:
@@ -62,17 +72,38 @@ class Workbench:
         return self._memo[name]
 
     # -------------------------------------------------------------- data
+    def bounds(self) -> dict[str, tuple[float, float]]:
+        def measure():
+            raw = points(self.spark, self.sf_dir, self.cfg.view, self.cfg.label)
+            rows = feature_min_max(raw, list(self.cfg.features)).collect()
+            return {r["feature"]: (r["min_value"], r["max_value"]) for r in rows}
+
+        return self._get("bounds", measure)
+
     def points(self) -> DataFrame:
-        df = points(self.spark, self.sf_dir, self.cfg.view)
+        df = points(self.spark, self.sf_dir, self.cfg.view, self.cfg.label)
+        if self.cfg.scaled:
+            df = unit_scaled(df, self.bounds())
         return sample_hash(df, self.cfg.sample, self.cfg.seed) if self.cfg.sample else df
 
+    def _in_train(self):
+        return stable_uniform(f"split{self.cfg.seed}", F.col("key")) < F.lit(float(self.cfg.train_share))
+
+    def train(self, rows: DataFrame | None = None) -> DataFrame:
+        rows = self.points() if rows is None else rows
+        return rows if self.cfg.train_share is None else rows.where(self._in_train())
+
+    def held_out(self, rows: DataFrame | None = None) -> DataFrame:
+        rows = self.points() if rows is None else rows
+        return rows if self.cfg.train_share is None else rows.where(~self._in_train())
+
     def binned(self) -> DataFrame:
         return with_bin_no(self.points(), self.cfg.grid, self.cfg.policy)
 
     def counts(self) -> DataFrame:
         # the cell table is small (<= cells rows) but costs a full pass: keep it
         # in the shared checkpoint folder rather than only in executor memory
-        return self._get("counts", lambda: cut_lineage(bin_histogram(self.points(), self.cfg.grid, self.cfg.policy)))
+        return self._get("counts", lambda: cut_lineage(bin_histogram(self.train(), self.cfg.grid, self.cfg.policy)))
 
     def grouping(self) -> Grouping:
         return self._get("grouping", lambda: equi_depth_groups(self.counts(), self.cfg.grid, self.cfg.n_groups))
@@ -85,38 +116,35 @@ class Workbench:
 
     # ------------------------------------------------------------ models
     def models_global(self) -> Models:
-        return self._get("m_global", lambda: fit(self.points(), list(self.cfg.features), None, self.cfg.iter_global))
+        return self._get("m_global", lambda: fit(self.train(), list(self.cfg.features), None, self.cfg.iter_global, partitions=self.cfg.partitions))
 
     def models_group(self) -> Models:
         return self._get(
-            "m_group", lambda: fit(self.routed(), list(self.cfg.features), "group_id", self.cfg.iter_ensemble)
+            "m_group", lambda: fit(self.train(self.routed()), list(self.cfg.features), "group_id", self.cfg.iter_ensemble, partitions=self.cfg.partitions)
         )
 
     def models_part(self) -> Models:
         return self._get(
-            "m_part", lambda: fit(self.parted(), list(self.cfg.features), "part_id", self.cfg.iter_ensemble)
+            "m_part", lambda: fit(self.train(self.parted()), list(self.cfg.features), "part_id", self.cfg.iter_ensemble, partitions=self.cfg.partitions)
         )
 
     def fit_all(self) -> None:
-        """The three strategies' models, one after the other. (Fitting them in
-        one loop over the union of their rows, ``fit_together``, halves the
-        number of jobs but not the time: each step's cost is the pass over
-        the rows, so three passes cost the same either way.)"""
+        """The three strategies' models, one after the other (each step is a
+        pass over the rows; three passes cost the same either way)."""
         self.models_group()
         self.models_part()
         self.models_global()
 
     # ----------------------------------------------------------- scoring
-    def scored_global(self, test: DataFrame | None = None) -> DataFrame:
-        return predict_global(test if test is not None else self.points(), self.models_global(), self.cfg.threshold)
+    def scored_global(self) -> DataFrame:
+        return predict_global(self.held_out(), self.models_global(), self.cfg.threshold)
 
-    def scored_routed(self, test: DataFrame | None = None) -> DataFrame:
-        rows = route(with_bin_no(test, self.cfg.grid, self.cfg.policy), self.grouping()) if test is not None else self.routed()
-        return predict_routed(rows, self.models_group(), "group_id", self.cfg.threshold)
+    def scored_routed(self) -> DataFrame:
+        return predict_routed(self.held_out(self.routed()), self.models_group(), "group_id", self.cfg.threshold)
 
-    def scored_vote(self, test: DataFrame | None = None) -> DataFrame:
+    def scored_vote(self) -> DataFrame:
         # every row is scored by every model: give the stage all cores
-        return predict_vote(spread(test if test is not None else self.points()), self.models_part(), self.cfg.threshold)
+        return predict_vote(spread(self.held_out(), self.cfg.partitions), self.models_part(), self.cfg.threshold)
 
     def report(self) -> DataFrame:
         """Accuracy and AUC of the three strategies side by side."""
@@ -147,8 +175,10 @@ _BENCHES: dict = {}
 
 
 def workbench(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> Workbench:
-    """One workbench per (session, folder, config) in this process."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, cfg)
-    if key not in _BENCHES:
-        _BENCHES[key] = Workbench(spark, sf_dir, cfg)
-    return _BENCHES[key]
+    """One workbench per session, folder, configuration and state of the data
+    files; files that have changed since get a new one."""
+    key = (spark.sparkContext.applicationId, sf_dir, cfg)
+    state = source_state(spark, sf_dir, cfg.view)
+    if key not in _BENCHES or _BENCHES[key][0] != state:
+        _BENCHES[key] = (state, Workbench(spark, sf_dir, cfg))
+    return _BENCHES[key][1]

@@ -1,7 +1,7 @@
 """The reference's end-to-end runs, from delimited text files.
 
 Read the training and test lines, drop every line containing the header
-marker, take a Bernoulli sample of the lines, parse ``label,x1,...``, fit one
+marker, take a Bernoulli sample of the lines if asked to, parse ``label,x1,...``, fit one
 strategy, score the test lines and report accuracy and AUC, with the time
 of each phase. The strategies and defaults are those of the reference's
 three programs; everything runs as Spark jobs, nothing is collected.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quilt.functions.grid import Grid
 from quilt.plans.api import HistogramEnsemble, RandomEnsemble, SingleModel, evaluate
@@ -19,13 +20,14 @@ from quilt.sources.text import drop_marker_lines, parse_points, read_lines
 
 
 def load_points(spark: SparkSession, path: str, width: int, marker: str | None = "Id",
-                fraction: float | None = 0.1, seed: int = 11, mode: str = "strict") -> DataFrame:
-    lines = drop_marker_lines(read_lines(spark, path), marker)
+                fraction: float | None = None, seed: int = 11, mode: str = "strict") -> DataFrame:
+    # every line has a place of its own (file and number in it), so that equal
+    # lines are drawn apart, as each row is in the reference
+    place = F.concat_ws("|", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string"))
+    lines = drop_marker_lines(read_lines(spark, path).withColumn("key", place), marker)
     if fraction is not None:
         lines = lines.sample(withReplacement=False, fraction=fraction, seed=seed)
-    # the line itself is the key of the random parts' stable hash (identical
-    # lines share a part; the draw does not depend on how files are split)
-    return parse_points(lines, width, mode=mode, keep=["line"]).withColumnRenamed("line", "key")
+    return parse_points(lines, width, mode=mode, keep=["key"])
 
 
 def run_text_flow(spark: SparkSession, train_path: str, test_path: str, width: int, strategy: str,

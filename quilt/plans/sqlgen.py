@@ -9,7 +9,7 @@ order of floating-point operations, as on the Spark side.
 from __future__ import annotations
 
 from quilt.functions.grid import Grid, coordinate_sql, sql_double
-from quilt.functions.logistic import dot_sql, sigmoid_sql
+from quilt.functions.logistic import dot_sql, sigmoid_sql, usable_sql
 from quilt.operators.grouping import divide_factor
 
 
@@ -33,7 +33,7 @@ def train_sql(points: str, features: list[str], model_expr: str, iterations: int
     zeros = ", ".join(f"CAST(0.0 AS DOUBLE) AS w{j}" for j in range(k))
     return {
         p: f"SELECT CAST({model_expr} AS BIGINT) AS model_id, label, {', '.join(features)} FROM ({points}) "
-        f"WHERE {model_expr} IS NOT NULL",
+        f"WHERE {model_expr} IS NOT NULL AND {usable_sql(features)}",
         n: f"SELECT model_id, count(*) AS n FROM {p} GROUP BY model_id",
         name: f"SELECT 0 AS it, model_id, {zeros} FROM {n}\nUNION ALL\n"
         f"SELECT {name}.it + 1, {name}.model_id,\n    {upd}\n"

@@ -10,8 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of a side that may be broadcast when its row count is known exactly.
-BROADCAST_MAX_ROWS = 2_000_000
+# Bytes of a side that may be broadcast when its row count is known exactly.
+BROADCAST_MAX_BYTES = 128 << 20
 
 
 LOCAL_DEFAULTS = {
@@ -43,10 +43,7 @@ def build_session(master: str | None = None, app: str = "quilt", conf: dict[str,
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
     tests) take a fresh folder of our own."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # a session without a driver-side context (Spark Connect)
-        return spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -58,6 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
             # a machine-local folder would not survive the loss of an executor
             raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         configured = tempfile.mkdtemp(prefix="quilt-ckpt-", dir="/tmp")
+    # (a file: folder on a cluster may be a shared mount, as the cluster names it)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -74,46 +72,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the side's row count is known to be small;
-    otherwise leave the choice to AQE, which measures the side at run time."""
-    return F.broadcast(df) if rows <= limit else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy stage at least one partition per core. A large input
-    already has far more partitions than cores and is left as it is; a small
-    file (one row group is one task) is dealt round-robin to all cores."""
-    if df.isStreaming:
-        return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no driver-side context: leave partitioning to the planner
-        return df
-    return df.repartition(target) if parts < target else df
-
-
-def fit_partitions(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """Partitioning for a table read many times (every training step).
-
-    Fewer than two partitions per core: the rows are dealt round-robin to one
-    partition per core. This is one shuffle of the table against the many
-    passes that follow, and the only way to use all cores when an input file
-    is a single row group (one busy task, whatever the split count says).
-    Far more partitions than cores (100 TB in 128 MB splits is ~800k tasks
-    per pass): neighbouring splits are merged without a shuffle
-    (``coalesce``) to ``per_core`` per core, so each step schedules a few
-    tasks per core."""
-    if df.isStreaming:
-        return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:
-        return df
-    if parts < 2 * cores:
-        return df.repartition(cores)
-    if parts > per_core * cores:
-        return df.coalesce(per_core * cores)
-    return df
+def broadcast_if_small(df: DataFrame, rows: int, width: int = 8, limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the side's size, ``rows`` of ``width`` values of
+    8 bytes, is known to be small; otherwise leave the choice to AQE, which
+    measures the side at run time."""
+    return F.broadcast(df) if rows * width * 8 <= limit else df
+
+
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows to ``partitions`` partitions, for a CPU-heavy or often
+    repeated stage over an input with fewer splits than cores; None leaves the
+    input's own splits, which is right for large inputs. Nothing runs here."""
+    return df.repartition(partitions) if partitions and not df.isStreaming else df

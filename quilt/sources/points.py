@@ -38,8 +38,7 @@ def _sql(key: str, label: str, xs: list[str], source: str) -> str:
 # ------------------------------------------------------------------ views
 
 
-def _lineitem(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
+def _lineitem_points(li: DataFrame, lab: Column, price: Column, discount: Column) -> DataFrame:
     key = F.concat_ws(
         "|",
         _s(F.col("l_orderkey")),
@@ -50,29 +49,35 @@ def _lineitem(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
         _s(F.round(F.col("l_extendedprice") * 100).cast("bigint")),
         _s(F.col("l_shipdate").cast("date")),
     )
+    return li.select(*_points(key, lab, [F.col("l_quantity"), price, discount, F.col("l_tax")]))
+
+
+LINEITEM_KEY_SQL = (
+    "concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), "
+    "CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
+    "CAST(CAST(round(l_quantity * 100) AS BIGINT) AS VARCHAR), "
+    "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), "
+    "CAST(CAST(l_shipdate AS DATE) AS VARCHAR))"
+)
+
+
+def _lineitem(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     lab = (
         F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
         if label == "returnflag"
         else F.when(F.col("l_extendedprice") > 50000.0, 1.0).otherwise(0.0)
     )
-    xs = [F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")]
-    return li.select(*_points(key, lab, xs))
+    li = read_table(spark, sf_dir, "lineitem")
+    return _lineitem_points(li, lab, F.col("l_extendedprice"), F.col("l_discount"))
 
 
 def _lineitem_sql(label: str) -> str:
-    key = (
-        "concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), "
-        "CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
-        "CAST(CAST(round(l_quantity * 100) AS BIGINT) AS VARCHAR), "
-        "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), "
-        "CAST(CAST(l_shipdate AS DATE) AS VARCHAR))"
-    )
     lab = (
         "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"
         if label == "returnflag"
         else "CASE WHEN l_extendedprice > CAST('50000.0' AS DOUBLE) THEN 1 ELSE 0 END"
     )
-    return _sql(key, lab, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")
+    return _sql(LINEITEM_KEY_SQL, lab, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "lineitem")
 
 
 def _orders(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
@@ -120,7 +125,11 @@ EMBED_DIM = 64
 
 def _embeddings(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     v = read_table(spark, sf_dir, "embeddings")
-    xs = [F.get(F.col("embedding"), i) for i in range(EMBED_DIM)]
+    # another width fails the job (a null vector has null features)
+    wrong = F.raise_error(F.concat(F.lit("embedding width: "), F.size("embedding").cast("string")))
+    first = F.when(F.size("embedding") != EMBED_DIM, wrong).otherwise(F.get(F.col("embedding"), 0))
+    first = F.when(F.col("embedding").isNotNull(), first)
+    xs = [first] + [F.get(F.col("embedding"), i) for i in range(1, EMBED_DIM)]
     return v.select(*_points(_s(F.col("vec_id")), F.when(F.col("label") >= 5, 1.0).otherwise(0.0), xs))
 
 
@@ -160,6 +169,28 @@ def _documents_sql(label: str) -> str:
     )
 
 
+def _dirty(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Lineitem points of which some lack a feature and some hold NaN."""
+    price = F.when(F.col("l_linenumber") != 2, F.col("l_extendedprice"))
+    discount = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    lab = F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0)
+    return _lineitem_points(read_table(spark, sf_dir, "lineitem"), lab, price, discount)
+
+
+def _dirty_sql(label: str) -> str:
+    return _sql(
+        LINEITEM_KEY_SQL,
+        "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END",
+        [
+            "l_quantity",
+            "CASE WHEN l_linenumber <> 2 THEN l_extendedprice END",
+            "CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) ELSE l_discount END",
+            "l_tax",
+        ],
+        "lineitem",
+    )
+
+
 @dataclass(frozen=True)
 class View:
     name: str
@@ -167,14 +198,16 @@ class View:
     build: Callable[[SparkSession, str, str], DataFrame]
     sql: Callable[[str], str]
     default_label: str = "default"
+    tables: tuple[str, ...] = ("lineitem",)
 
 
 VIEWS: dict[str, View] = {
     "points_li": View("points_li", 4, _lineitem, _lineitem_sql, "returnflag"),
-    "points_ord": View("points_ord", 2, _orders, _orders_sql),
-    "points_ev": View("points_ev", 3, _events, _events_sql),
-    "points_vec": View("points_vec", EMBED_DIM, _embeddings, _embeddings_sql),
-    "points_doc": View("points_doc", 3, _documents, _documents_sql),
+    "points_ord": View("points_ord", 2, _orders, _orders_sql, tables=("orders",)),
+    "points_ev": View("points_ev", 3, _events, _events_sql, tables=("events",)),
+    "points_vec": View("points_vec", EMBED_DIM, _embeddings, _embeddings_sql, tables=("embeddings",)),
+    "points_doc": View("points_doc", 3, _documents, _documents_sql, tables=("documents", "labels")),
+    "points_dirty": View("points_dirty", 4, _dirty, _dirty_sql),
 }
 
 
@@ -183,6 +216,34 @@ def points(spark: SparkSession, sf_dir: str, view: str = "points_li", label: str
     return v.build(spark, sf_dir, label or v.default_label)
 
 
+def unit_scaled(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """Features moved to [0, 1] by measured bounds; a constant feature is 0."""
+    return df.select(*[
+        F.when(F.lit(bounds[c][1] > bounds[c][0]), (F.col(c) - F.lit(bounds[c][0])) / F.lit(bounds[c][1] - bounds[c][0]))
+        .otherwise(F.lit(0.0)).alias(c) if c in bounds else F.col(c)
+        for c in df.columns
+    ])
+
+
+def unit_scaled_sql(rows: str, bounds: str, columns: list[str]) -> str:
+    """The same over CTEs ``rows`` and ``bounds`` (one row: lo_x0, hi_x0, ..)."""
+    cols = ", ".join(
+        f"CASE WHEN b.hi_{c} > b.lo_{c} THEN (p.{c} - b.lo_{c}) / (b.hi_{c} - b.lo_{c}) ELSE CAST('0.0' AS DOUBLE) END AS {c}"
+        for c in columns
+    )
+    return f"SELECT p.key, p.label, {cols} FROM {rows} p CROSS JOIN {bounds} b"
+
+
+def source_state(spark: SparkSession, sf_dir: str, view: str) -> tuple:
+    """Files of a view's tables with size and time of change: what results that
+    are kept between queries depend on."""
+    state = []
+    for t in VIEWS[view].tables:
+        m = read_table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        state += sorted(tuple(map(str, r)) for r in m.distinct().collect())
+    return tuple(state)
+
+
 def points_sql(view: str = "points_li", label: str | None = None) -> str:
     v = VIEWS[view]
     return v.sql(label or v.default_label)

@@ -5,7 +5,8 @@ every line containing the marker (a header, and any data line that happens to
 contain it). Parsing splits on ',' after dropping trailing commas (trailing
 empty fields vanish, as in a Java split); fields are trimmed and cast to
 double. ``strict`` fails the job on a bad field, like the reference's
-``parseDouble``; ``permissive`` yields nulls and a ``bad`` flag instead.
+``parseDouble``, and on a line with too few or too many fields; ``permissive``
+yields nulls and flags such lines as ``bad`` instead.
 """
 
 from __future__ import annotations
@@ -38,19 +39,30 @@ def _field(parts: Column, i: int, strict: bool) -> Column:
 
 def parse_points(lines: DataFrame, width: int, col: str = "line", mode: str = "strict",
                  keep: list[str] | None = None) -> DataFrame:
-    """A3: ``label, x0..x{width-1}`` from delimited lines. A line with fewer
-    fields gives nulls for the missing ones (and ``bad`` in permissive mode)."""
+    """A3: ``label, x0..x{width-1}`` from delimited lines. In strict mode a line
+    without exactly ``width + 1`` fields fails; in permissive mode its missing
+    fields are null and it is ``bad``."""
+    if mode not in ("strict", "permissive"):
+        raise ValueError(f"unknown mode {mode!r}")
     strict = mode == "strict"
     parts = F.split(F.regexp_replace(F.col(col), ",+$", ""), ",", -1)
     keep = keep or []
+    fits = F.size("__p") == width + 1
+    label = _field(F.col("__p"), 0, strict)
+    if strict:
+        # (the check rides on the label, which every reader of points needs)
+        wrong = F.concat(F.lit(f"a line of {width + 1} fields expected, got "), F.size("__p").cast("string"))
+        label = F.when(~fits, F.raise_error(wrong)).otherwise(label)
     out = lines.select(*keep, parts.alias("__p")).select(
         *keep,
-        _field(F.col("__p"), 0, strict).alias("label"),
+        label.alias("label"),
         *[_field(F.col("__p"), i + 1, strict).alias(f"x{i}") for i in range(width)],
+        *([] if strict else [fits.alias("__fits")]),
     )
     if not strict:
         cols = ["label"] + [f"x{i}" for i in range(width)]
-        out = out.withColumn("bad", F.exists(F.array(*[F.col(c) for c in cols]), lambda v: v.isNull()))
+        missing = F.exists(F.array(*[F.col(c) for c in cols]), lambda v: v.isNull())
+        out = out.withColumn("bad", F.coalesce(~F.col("__fits"), F.lit(True)) | missing).drop("__fits")
     return out
 
 

@@ -11,12 +11,12 @@ counts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quilt.functions.grid import Grid
 from quilt.operators.grouping import Grouping, route
 from quilt.operators.histogram import with_bin_no
+from quilt.operators.metrics import class_summary
 from quilt.operators.score import predict_global, predict_routed, predict_vote
 from quilt.operators.train import Models
 from quilt.session import ensure_checkpoint_dir
@@ -51,28 +51,11 @@ def score_stream(
 
 
 def running_summary(scored: DataFrame) -> DataFrame:
-    """Streaming aggregate of the confusion counts, accuracy and class AUC."""
-    y = F.col("label") > 0
-    p = F.col("prediction")
-    agg = scored.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(p == F.col("label"), 1).otherwise(0)).alias("correct"),
-        F.sum(F.when(p.isNotNull() & y, 1).otherwise(0)).alias("positives"),
-        F.sum(F.when(p.isNotNull() & ~y, 1).otherwise(0)).alias("negatives"),
-        F.sum(F.when((p > 0) & y, 1).otherwise(0)).alias("tp"),
-        F.sum(F.when((p > 0) & ~y, 1).otherwise(0)).alias("fp"),
-    )
-    P, N, TP, FP = (F.col(c).cast("decimal(38,0)") for c in ("positives", "negatives", "tp", "fp"))
-    den = F.lit(2.0) * F.col("positives").cast("double") * F.col("negatives").cast("double")
-    return agg.select(
-        "n",
-        "correct",
-        (F.try_divide(F.col("correct").cast("double"), F.col("n")) * F.lit(100.0)).alias("accuracy_pct"),
-        F.when(den > 0, (FP * TP + (N - FP) * (TP + P)).cast("double") / den).alias("auc"),
-    )
+    """Streaming aggregate of the rows, accuracy and class AUC."""
+    return class_summary(scored).select("n", "correct", "accuracy_pct", "auc")
 
 
-def start(df: DataFrame, name: str, checkpoint: str | None = None, sink: str = "memory",
+def start(df: DataFrame, name: str, sink: str, checkpoint: str | None = None,
           mode: str = "append", path: str | None = None) -> StreamingQuery:
     """Start a query; its checkpoint goes under the shared checkpoint folder
     unless given, so a restarted query continues where it stopped."""

@@ -68,9 +68,12 @@ def main(argv):
 
     spark = build_session()
     con = duck(sf_dir)
+    from quilt.plans import catalog
+
     qs, sqls = E.queries(), E.oracle_sql()
+    keys = keys or list(catalog.SPARK)
     bad = 0
-    for name in keys or list(qs):
+    for name in keys:
         try:
             res = compare(spark, con, name, qs[name], sqls.get(name), sf_dir)
         except Exception as e:  # noqa: BLE001

@@ -6,15 +6,43 @@ from pyspark.sql import functions as F
 
 from dense_groups import box_of, dense_groups
 from quilt.functions.grid import Grid
-from quilt.operators.grouping import axis_cut, equi_depth_groups, group_members, route
+from quilt.operators.grouping import cut_axis, equi_depth_groups, group_members, route
 from quilt.operators.histogram import dense_histogram, histogram_tree, tree_children
 from quilt.operators.quality import group_adjacency, group_balance
 
 
 def cut(spark, totals, q):
-    df = spark.createDataFrame([(totals + [0],)], "a array<bigint>")
-    runs = df.select(axis_cut(F.col("a"), len(totals), q).alias("r")).first().r
-    return [(r.s, r.e, r.tot) for r in runs]
+    return cut_axis(totals, q)
+
+
+def test_axis_cut_is_linear_in_the_splits():
+    import time
+
+    def took(n):
+        totals = [(i * 7919) % 13 for i in range(n)]
+        t = time.perf_counter()
+        for _ in range(5):
+            cut_axis(totals, 20.0)
+        return time.perf_counter() - t
+
+    took(1000)
+    assert took(160_000) < 8 * took(40_000)
+
+
+def test_one_long_axis(spark):
+    df = spark.createDataFrame([(i, 1 + i % 3) for i in range(16_000)], "bin_no bigint, n bigint")
+    g = equi_depth_groups(df, Grid.of(("x0", 0.0, 1.0, 16_000)), 100)
+    assert 90 <= g.n_groups <= 110 and g.groups.agg({"total": "sum"}).first()[0] == g.total
+
+
+def test_route_with_the_users_own_column_names(spark):
+    grid, _, g = grouped(spark, {k: 1 + k for k in range(12)}, [4, 3], 4)
+    names = ["k0", "p0", "np0", "group_id", "path", "s", "__path"]
+    df = spark.createDataFrame([(k, *["mine"] * len(names)) for k in range(12)], "bin_no bigint, " + ", ".join(f"{n} string" for n in names))
+    got = {r.bin_no: r for r in route(df, g).collect()}
+    plain = {r.bin_no: r.group_id for r in route(df.select("bin_no"), g).collect()}
+    assert {k: r.group_id for k, r in got.items()} == plain
+    assert all(r[n] == "mine" for r in got.values() for n in names if n != "group_id")
 
 
 def test_axis_cut_empty_run_then_dropped_tail(spark):

@@ -117,26 +117,60 @@ def test_class_summary_equals_separate_metrics(spark):
     assert (s.positives, s.negatives, s.auc) == (u.positives, u.negatives, u.auc)
 
 
-def test_fit_together_equals_separate_fits(spark, toy):
-    from quilt.operators.train import fit_together
+def test_a_long_vote(spark):
+    ids = range(100)
+    m = Models(["x0"], {i: [1.0 if i % 3 else -1.0] for i in ids}, dict.fromkeys(ids, 1), 1)
+    r = predict_vote(spark.createDataFrame([("a", 2.0)], "key string, x0 double"), m, 0.5).first()
+    assert (r.ones, r.prediction) == (66, 1.0)
 
-    df, x, y, grp = toy
-    a, b = fit_together([(df, "g", 6), (df, None, 3)], ["x0", "x1", "x2"])
-    sep_a = fit(df, ["x0", "x1", "x2"], "g", iterations=6)
-    sep_b = fit(df, ["x0", "x1", "x2"], None, iterations=3)
-    for m in sep_a.ids:
-        assert np.allclose(a.weights[m], sep_a.weights[m], rtol=1e-13, atol=1e-15)
-    assert np.allclose(b.weights[0], sep_b.weights[0], rtol=1e-13, atol=1e-15)
-    assert np.allclose(b.weights[0], numpy_gd(x, y, 3), rtol=1e-12, atol=1e-14)
-    assert a.counts == sep_a.counts and b.counts == sep_b.counts
 
+NAN, INF = float("nan"), float("inf")
 
-def test_vote_loop_equals_unrolled(spark, toy):
-    df, x, y, grp = toy
-    m = fit(df, ["x0", "x1", "x2"], "g", iterations=4)
-    a = {r.key: (r.ones, r.prediction) for r in predict_vote(df, m, 0.5, unroll=True).collect()}
-    b = {r.key: (r.ones, r.prediction) for r in predict_vote(df, m, 0.5, unroll=False).collect()}
-    assert a == b
+
+def test_rows_that_are_not_usable_do_not_train(spark):
+    good = [("a", 1.0, 1.0, 0.5, 0), ("b", 0.0, -1.0, 0.25, 0), ("c", 1.0, 2.0, -0.5, 0), ("d", 0.0, -0.5, 1.0, 0)]
+    bad = [(str(i), float(i % 2), *x, 0) for i, x in enumerate([(None, 1.0), (1.0, None), (NAN, 1.0), (1.0, NAN), (INF, 1.0), (1.0, -INF)] * 2)]
+    schema = "key string, label double, x0 double, x1 double, g bigint"
+    for how in (False, True):
+        clean = fit(spark.createDataFrame(good, schema), ["x0", "x1"], "g", iterations=4, vectorized=how)
+        mixed = fit(spark.createDataFrame(good + bad, schema), ["x0", "x1"], "g", iterations=4, vectorized=how)
+        assert np.allclose(clean.weights[0], mixed.weights[0], rtol=1e-13) and mixed.counts == {0: 4}
+
+
+def test_rows_that_are_not_usable_score_null_everywhere(spark):
+    df = spark.createDataFrame(
+        [("ok", 1.0, 0), ("null", None, 0), ("nan", NAN, 0), ("inf", INF, 0)], "key string, x0 double, g bigint"
+    )
+    one = Models(["x0"], {0: [1.0]}, {0: 1}, 1)
+    three = Models(["x0"], {i: [1.0] for i in range(3)}, dict.fromkeys(range(3), 1), 1)
+    for out in (predict_global(df, one), predict_routed(df, one, "g"), predict_vote(df, three)):
+        got = {r.key: r.prediction for r in out.collect()}
+        assert got == {"ok": 1.0, "null": None, "nan": None, "inf": None}
+
+
+def test_without_models_every_scorer_gives_null(spark):
+    none = Models(["x0"], {}, {}, 1)
+    df = spark.createDataFrame([("a", 1.0, 0)], "key string, x0 double, g bigint")
+    for out in (predict_global(df, none), predict_routed(df, none, "g"), predict_vote(df, none)):
+        assert out.first().prediction is None
+
+
+def test_auc_of_scores_that_lie_close(spark):
+    s = [i * 1e-9 for i in range(100)]
+    y = [float(i % 5 != 0 and i > 20) for i in range(100)]
+    df = spark.createDataFrame(list(zip(s, y)), "score double, label double")
+    assert auc(df, score="score").first().auc == pytest.approx(brute_auc(s, y), abs=1e-15)
+
+
+def test_auc_by_group_over_many_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g) if g else None, float(a), float(a + rng.normal() > 0.5)) for g, a in zip(rng.integers(0, 3, 600), rng.random(600).round(2))]
+    rows += [(1, float("nan"), 1.0), (1, None, 0.0)]
+    df = spark.createDataFrame(rows, "g bigint, score double, label double").repartition(9)
+    got = {r.g: r.auc for r in auc(df, score="score", by=["g"]).collect()}
+    for g in (None, 1, 2):
+        part = [(a, y) for k, a, y in rows if k == g and a is not None and a == a]
+        assert got[g] == pytest.approx(brute_auc(*zip(*part)), abs=1e-14)
 
 
 def test_labels_must_be_binary(spark):
@@ -145,13 +179,33 @@ def test_labels_must_be_binary(spark):
         fit(df, ["x0"], None, iterations=2)
 
 
-def test_weight_passing_modes_agree(spark, toy):
+def test_generated_and_vectorized_steps_agree(spark, toy):
+    df, x, y, grp = toy
+    a, b = (fit(df, ["x0", "x1", "x2"], "g", iterations=5, vectorized=how, partitions=3) for how in (False, True))
+    for m in a.ids:
+        assert np.allclose(a.weights[m], b.weights[m], rtol=1e-12, atol=1e-14)
+    assert a.counts == b.counts
+
+
+def test_model_ids_with_gaps(spark, toy):
     df, x, y, grp = toy
-    fits = {mode: fit(df, ["x0", "x1", "x2"], "g", iterations=5, mode=mode) for mode in ("dense", "values", "frame")}
-    for mode in ("values", "frame"):
-        for m in fits["dense"].ids:
-            assert np.allclose(fits[mode].weights[m], fits["dense"].weights[m], rtol=1e-13, atol=1e-15)
-    assert fits["dense"].counts == fits["frame"].counts
+    far = df.withColumn("g", df.g * 10**12 - 5)
+    m = fit(far, ["x0", "x1", "x2"], "g", iterations=5)
+    for i in range(3):
+        assert np.allclose(m.weights[i * 10**12 - 5], numpy_gd(x[grp == i], y[grp == i], 5), rtol=1e-12, atol=1e-14)
+
+
+def test_the_registered_models_predict_something(spark):
+    """Both classes by every strategy, and probabilities that differ."""
+    from conftest import SF01
+    from quilt.plans.catalog import wb
+
+    w = wb(spark, SF01)
+    for scored in (w.scored_global(), w.scored_routed(), w.scored_vote()):
+        assert {r[0] for r in scored.select("prediction").distinct().collect()} == {0.0, 1.0}
+    assert w.scored_global().select("probability").distinct().count() > 1000
+    n = w.points().count()
+    assert w.train().count() + w.held_out().count() == n and w.held_out().count() > 0.2 * n
 
 
 def test_no_rows_no_models(spark):

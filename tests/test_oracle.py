@@ -7,9 +7,10 @@ from compare import compare, duck
 from conftest import SF001
 
 import __spark_entry__ as E
+from quilt.plans import catalog
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.SPARK
+SQL = catalog.SQL
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +24,20 @@ def test_matches_oracle(spark, con, name):
     assert res[1] in ("ok", "rows-only"), res
 
 
-def test_every_key_has_sql_but_the_native_sample():
-    assert set(QUERIES) - set(SQL) == {"sample_native"}
+def test_every_key_has_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
+
+
+def test_appended_rows_are_seen(spark, tmp_path):
+    from quilt.plans.ensembles import Config, workbench
+
+    rows = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    rows.limit(1000).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = workbench(spark, str(tmp_path), Config()).counts().agg({"n": "sum"}).first()[0]
+    rows.limit(500).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    w = workbench(spark, str(tmp_path), Config())
+    assert before == 1000 and w.counts().agg({"n": "sum"}).first()[0] == 1500 == w.points().count()
 
 
 def test_entry_runs(spark):

@@ -7,7 +7,7 @@ import pytest
 from conftest import SF001
 from quilt.operators.train import gradient_sql
 
-import __spark_entry__ as E
+from quilt.plans import catalog
 
 
 def plan(df) -> str:
@@ -16,7 +16,7 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def queries():
-    return E.queries()
+    return catalog.SPARK
 
 
 def test_no_python_in_any_registered_plan(spark, queries):
@@ -53,10 +53,10 @@ def test_scan_prunes_columns(spark, queries):
 
 
 def test_gradient_step_plan(spark):
-    df = spark.createDataFrame([(0, 0, 1.0, 0.5), (0, 1, 0.0, 1.5)], "family int, model_id bigint, label double, x0 double")
+    df = spark.createDataFrame([(0, 1.0, 0.5), (1, 0.0, 1.5)], "model_id bigint, label double, x0 double")
     df.createOrReplaceTempView("__plan_train")
-    p = plan(spark.sql(gradient_sql("__plan_train", 1, {(0, 0): [0.1], (0, 1): [0.2]})))
-    assert "BroadcastHashJoin" in p and "partial_sum" in p
+    p = plan(spark.sql(gradient_sql("__plan_train", 1, {0: [0.1], 1: [0.2]}, 2)))
+    assert "Join" not in p and "partial_sum" in p
     assert "Python" not in p
 
 

@@ -1,18 +1,15 @@
-from quilt.session import broadcast_if_small, fit_partitions, spread
+from quilt.session import broadcast_if_small, spread
 
 
-def test_fit_partitions_bounds(spark):
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(10_000, numPartitions=cores * 10)
+def test_spread_runs_nothing_and_is_asked_for(spark):
     few = spark.range(10_000, numPartitions=1)
-    ok = spark.range(10_000, numPartitions=3 * cores)
-    assert fit_partitions(few).rdd.getNumPartitions() == cores
-    assert spread(few).rdd.getNumPartitions() == cores
-    merged = fit_partitions(many)
-    assert merged.rdd.getNumPartitions() == 4 * cores
-    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
-    assert fit_partitions(ok).rdd.getNumPartitions() == 3 * cores
-    assert merged.count() == 10_000
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spread", "no job may run")
+    assert spread(few, None) is few
+    dealt = spread(few.groupBy("id").count(), 5)
+    assert list(tracker.getJobIdsForGroup("spread")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "RoundRobinPartitioning(5)" in dealt._jdf.queryExecution().executedPlan().toString()
 
 
 def test_broadcast_only_below_the_bound(spark):

@@ -57,3 +57,27 @@ def test_random_parts_are_stable_and_whole(spark):
     assert sum(r.n for r in sizes) == pts.count() and {r.part_id for r in sizes} <= set(range(32))
     s1 = sample_hash(pts, 0.1).count()
     assert s1 == sample_hash(pts.repartition(5), 0.1).count() and 0 < s1 < pts.count()
+
+
+def test_lines_with_too_few_or_too_many_fields(spark):
+    df = spark.createDataFrame([("1,2",), ("0,2,3,4,5",), ("1,2,3",), (None,)], "line string")
+    assert [r.bad for r in parse_points(df, 2, mode="permissive").collect()] == [True, True, False, True]
+    for line in ("1,2", "0,2,3,4,5"):
+        with pytest.raises(Exception):
+            parse_points(df.where(F.col("line") == line), 2).collect()
+    assert [tuple(r) for r in parse_points(df.where("line = '1,2,3'"), 2).collect()] == [(1.0, 2.0, 3.0)]
+
+
+def test_equal_lines_are_drawn_apart(spark):
+    from quilt.plans.harness import load_points
+
+    path = tempfile.mkdtemp(prefix="quilt-equal-", dir="/tmp") + "/lines"
+    spark.range(1000).select(F.lit("1,2").alias("value")).write.text(path)
+    parts = assign_random_part(load_points(spark, path, 1), 32)
+    assert parts.select("part_id").distinct().count() > 20
+
+
+def test_embeddings_of_another_width_fail(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0] * 65, 3)], "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(Exception):
+        points(spark, str(tmp_path), "points_vec").collect()

@@ -22,7 +22,7 @@ def test_stream_scoring_matches_batch(spark):
     ):
         stream = read_points_stream(spark, src, schema, max_files=1)
         scored = score_stream(stream, models, kind, wb.cfg.threshold, wb.grouping(), wb.cfg.grid)
-        q = start(running_summary(scored), f"sum_{kind}", checkpoint=tempfile.mkdtemp(prefix="quilt-ck-", dir="/tmp"), mode="complete")
+        q = start(running_summary(scored), f"sum_{kind}", "memory", checkpoint=tempfile.mkdtemp(prefix="quilt-ck-", dir="/tmp"), mode="complete")
         q.processAllAvailable()
         got = spark.sql(f"SELECT * FROM sum_{kind}").first()
         q.stop()
