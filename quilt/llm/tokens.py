@@ -10,6 +10,7 @@ its ids are kept in a bounded per-process memo:
   before it, or the white space in between, cut as the pattern cuts it;
 * word tokenizers that drop white space: a unit is a run of other characters.
 
+Texts of ASCII and Latin letters are cut finer, by the tokenizers' own patterns.
 Any other tokenizer file encodes whole texts. Special strings in a text are
 ordinary text.
 """
@@ -19,18 +20,51 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from itertools import chain
 
 import numpy as np
 
+def _class(*ranges: int) -> str:
+    """A character class's inside, from pairs of code points."""
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(ranges[::2], ranges[1::2], strict=True))
+
+
 # White_Space of Unicode, as the library's \s (fixed values).
-_WS = r"\x09-\x0d\x20\x85\xa0  -     　"
+_WS = _class(
+    0x09, 0x0D, 0x20, 0x20, 0x85, 0x85, 0xA0, 0xA0, 0x1680, 0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x202F,
+    0x205F, 0x205F, 0x3000, 0x3000,
+)
 _UNITS = {
     "byte": re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
     "word": re.compile(f"[^{_WS}]+"),
 }
-# Unit memo of a process: about 60 MB at most.
-MEMO_UNITS = 400_000
+# Texts of ASCII and the Latin letters of these ranges (letters to both
+# libraries, unchanged by composition, lower-cased one to one within the ranges)
+# can be cut as the tokenizers' own patterns cut them: far fewer different units.
+_LATIN = _class(0xC0, 0xD6, 0xD8, 0xF6, 0xF8, 0x12F, 0x131, 0x17F)
+_NOT_LATIN = re.compile(rf"[^\x00-\x7f{_LATIN}]")
+_CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
+_OTHER = rf"[^{_WS}0-9A-Za-z{_LATIN}]+"
+_LATIN_UNITS = {
+    "byte": re.compile(rf"{_CLITICS}| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?{_OTHER}|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
+    "word": re.compile(rf"{_CLITICS}|[A-Za-z{_LATIN}]+|[0-9]|{_OTHER}"),
+}
+# Units that a process remembers: some 200 MB at most.
+MEMO_UNITS = 800_000
+
+
+def _byte_letters() -> list[str]:
+    """The character that byte-level tokenizers write for each byte: itself where
+    printable, else the next one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [letters[b] for b in range(256)]
+
+
+_LETTERS = _byte_letters()
 
 
 def public_path(name: str) -> str:
@@ -65,8 +99,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
-            self.units = _UNITS.get(_kind(json.load(f)))
-        self.memo: dict[str, bytes] = {}
+            spec = json.load(f)
+        self.kind = _kind(spec)
+        self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
+        self.memo: dict[str, bytes] = {}  # of larger units
+        self.pieces: dict[str, bytes] = {}  # of units of the tokenizer's pattern
 
     def _library(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -75,21 +112,35 @@ class Encoder:
         ends = np.cumsum([4 * len(x) for x in ids]).tolist()
         return [flat[e - 4 * len(x) : e] for e, x in zip(ends, ids, strict=True)]
 
+    def _pieces(self, units: list[str]) -> list[bytes]:
+        """Ids of units of the tokenizer's own pattern: its model is all that is
+        left to run."""
+        tokenize, letter = self.tokenizer.model.tokenize, _LETTERS.__getitem__
+        ids = [[t.id for t in tokenize("".join(map(letter, u.encode())))] for u in units]
+        out = [array("I", x) for x in ids]
+        if sys.byteorder == "big":
+            for x in out:
+                x.byteswap()
+        return [x.tobytes() for x in out]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.units is None:
+        if self.kind is None:
             return self._library(texts)
-        cut = self.units.findall
+        cut, cut_latin = _UNITS[self.kind].findall, _LATIN_UNITS[self.kind].findall
         out = []
         for text in texts:
-            units = cut(text)
-            if len(self.memo) > MEMO_UNITS:
-                self.memo.clear()
+            if _NOT_LATIN.search(text):
+                units, memo, learn = cut(text), self.memo, self._library
+            else:
+                units, memo, learn = cut_latin(text.lower() if self.lower else text), self.pieces, self._pieces
+            if len(memo) > MEMO_UNITS:
+                memo.clear()
             try:
-                out.append(b"".join(map(self.memo.__getitem__, units)))
+                out.append(b"".join(map(memo.__getitem__, units)))
             except KeyError:
-                new = list(set(units).difference(self.memo))
-                self.memo.update(zip(new, self._library(new), strict=True))
-                out.append(b"".join(map(self.memo.__getitem__, units)))
+                new = list(set(units).difference(memo))
+                memo.update(zip(new, learn(new), strict=True))
+                out.append(b"".join(map(memo.__getitem__, units)))
         return out
 
 
