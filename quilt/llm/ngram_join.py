@@ -37,15 +37,13 @@ from pyspark.sql import functions as F
 
 from quilt.llm.common import join_ids, map_batches, save
 from quilt.llm.components import connected_components
+from quilt.llm.segments import links_within
 from quilt.llm.shingles import mix, shingle_sets
 
 # Chance that a shingle of one text is found in another, unrelated text of the
 # band. Only the cost estimate uses it, never the result.
 COMMON_SHINGLE = 0.05
 
-# Sets of one segment that a task compares at a time are at most about twice this.
-BLOCK = 128
-
 
 POSTS = pa.list_(pa.struct([
     ("_band", pa.int32()), ("_drop", pa.int32()), ("_sigs", pa.list_(pa.int64())),
@@ -205,70 +203,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, spec: Jaccard) -> DataFrame:
     )
 
 
-def _links_within(nodes, roots, sets, spec: Jaccard) -> list[tuple[int, int]]:
+def _finder(spec: Jaccard):
     """Links between sets of different components, by counting the shingles
     that each two sets share (a product of 0/1 matrices, in column slices)."""
-    n = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), n)
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    column = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1])))
-    both = np.zeros((len(sets), len(sets)), np.int64)
-    width = 1 << 15
-    for at in range(0, int(column[-1]) + 1, width):
-        lo, hi = np.searchsorted(column, (at, at + width))
-        table = np.zeros((len(sets), width), np.float32)
-        table[owner[lo:hi], column[lo:hi] - at] = 1
-        both += (table @ table.T).astype(np.int64)
-    union = n[:, None] + n[None, :] - both
-    roots, nodes = np.asarray(roots), np.asarray(nodes)
-    found = (spec.den * both >= spec.num * union) & (roots[:, None] != roots[None, :])
-    return [(int(nodes[i]), int(nodes[j])) for i, j in np.argwhere(found) if nodes[i] < nodes[j]]
-
-
-def _across(members: DataFrame, spec: Jaccard) -> DataFrame:
-    """Links between members of a segment that lie in different components.
-    Members of a large segment are dealt to blocks, and every two blocks meet
-    in a group of their own; only links leave the task."""
-    own = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = (
-        members.withColumn("_own", own).withColumn("_other", other)
-        .select(
-            F.col("_sig"), F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-            "_node", "_root", "_set",
-        )
-    )
-    keys = ["_sig", "_i", "_j"]
-
-    def run(batches):
-        key, held = None, []
-
-        def flush():
-            links = []
-            if len({r[4] for r in held}) > 1:
-                _, _, _, nodes, roots, sets = zip(*held, strict=True)
-                links = _links_within(nodes, roots, sets, spec)
-            return pa.RecordBatch.from_pydict({
-                "a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64()),
-            })
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*keys, "_node", "_root")]
-            arrays = batch.column("_set")
-            flat = arrays.values.to_numpy(zero_copy_only=False)
-            ends = arrays.offsets.to_numpy(zero_copy_only=False)
-            for i, row in enumerate(zip(*columns, strict=True)):
-                if row[:3] != key:
-                    if held:
-                        yield flush()
-                    key, held = row[:3], []
-                held.append((*row, flat[ends[i] : ends[i + 1]]))
-        if held:
-            yield flush()
-
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+
+    def find(nodes, roots, sets):
+        n = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), n)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        column = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1])))
+        both = np.zeros((len(sets), len(sets)), np.int64)
+        width = 1 << 15
+        for at in range(0, int(column[-1]) + 1, width):
+            lo, hi = np.searchsorted(column, (at, at + width))
+            table = np.zeros((len(sets), width), np.float32)
+            table[owner[lo:hi], column[lo:hi] - at] = 1
+            both += (table @ table.T).astype(np.int64)
+        union = n[:, None] + n[None, :] - both
+        r, x = np.asarray(roots), np.asarray(nodes)
+        found = (spec.den * both >= spec.num * union) & (r[:, None] != r[None, :])
+        return [(int(x[i]), int(x[j])) for i, j in np.argwhere(found) if x[i] < x[j]]
+
+    return find
 
 
 def jaccard_components(
@@ -345,26 +303,9 @@ def jaccard_components(
         .groupBy("_node").agg(F.first("_set").alias("_set"))
     )
 
-    # each member against the least member of its segment
-    tried = save(
-        members.where("_node > _hub")
-        .select(F.col("_hub").alias("a"), F.col("_node").alias("b")).distinct()
-    )
-    links = save(_verify(tried, sets, spec))
-    roots = connected_components(links, "a", "b")
-
-    # members that share a segment, but no component so far
-    placed = save(
-        members.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
-        .select("_sig", "_node", F.coalesce("root", "_node").alias("_root"))
-    )
-    mixed = save(
-        placed.groupBy("_sig")
-        .agg(F.min("_root").alias("lo"), F.max("_root").alias("hi"), F.count(F.lit(1)).alias("_size"))
-        .where("lo < hi").select("_sig", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
+    links = links_within(
+        members, sets.withColumnRenamed("_set", "_load"), lambda p: _verify(p, sets, spec), _finder(spec)
     )
-    open_ = save(join_ids(placed, mixed, ["_sig"], mixed.count()))
-    links = links.unionByName(_across(open_.join(sets, "_node"), spec))
     roots = save(connected_components(links, "a", "b"))
 
     # the least id of a component; a row without links is its own

@@ -78,8 +78,10 @@ def links_within(
     tried = save((tried if more is None else tried.unionByName(more)).distinct())
     links = save(verify(tried))
     roots = connected_components(links, "a", "b")
+    # (the hub has met everybody: only the others can still be apart)
+    others = members.where("_node > _hub").select("_sig", "_node")
     placed = save(
-        members.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+        others.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
         .select("_sig", "_node", F.coalesce("root", "_node").alias("_root"))
     )
     # segments with several components; of those with the same members, one is enough

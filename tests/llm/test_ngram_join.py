@@ -6,6 +6,7 @@ from conftest import SF001
 from pyspark.sql import functions as F
 
 from quilt.llm import ngram_join as N
+from quilt.llm import segments
 from quilt.llm.components import connected_components
 from quilt.llm.shingles import shingle_sets
 
@@ -85,7 +86,7 @@ def test_against_brute_force(spark, spec):
 
 def test_one_deletion_scheme_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "allocate", lambda spec, sizes: frozenset(range(len(N.BOUNDS))))
-    monkeypatch.setattr(N, "BLOCK", 3)
+    monkeypatch.setattr(segments, "BLOCK", 3)
     rows = near_rows(7)
     spec = N.Jaccard(3, 90, 100)
     assert run(spark, rows, spec) == brute(rows, 3, 90, 100)
