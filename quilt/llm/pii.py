@@ -140,40 +140,56 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= MIN_LINES)
         .join(entities, "entity")
     )
-    candidates = save(together.select("term").distinct())
-    counted = None
-    for block in _blocks(candidates, ["term"]):
-        found = save(texts.mapInArrow(_lines_with(frozenset(block)), "term string, line bigint").distinct())
-        counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-        counted = counts if counted is None else counted.unionByName(counts)
-    if counted is None:
-        return docs.sparkSession.createDataFrame([], "term string, disclosure double")
     lines = texts.select(F.explode(F.split("_text", "\n")).alias("line"))
     total = float(lines.agg(F.approx_count_distinct("line")).first()[0])
     n = F.lit(max(total, 2.0))
     # every line of an entity is a line, so an estimate below n(c) is raised
-    pmi = F.log(F.greatest(n, F.col("n_c") + 1) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    known = F.log(F.greatest(n, F.col("n_c") + 1) / F.col("n_c"))
+    known = F.greatest(n, F.col("n_c") + 1) / F.col("n_c")
+    # PMI >= GENERALISE * IC means n(t) <= n(c,t) * (N / n(c)) ** (1 - GENERALISE):
+    # a term on more lines than that discloses nothing, whatever its exact count
+    most = F.ceil(F.col("n_ct") * F.pow(known, F.lit(1 - GENERALISE))) + 1
+    candidates = save(together.groupBy("term").agg(F.max(most).cast("long").alias("most")))
+    counted = None
+    for block in _blocks(candidates, ["term", "most"]):
+        found = save(texts.mapInArrow(_lines_with(block), "term string, line bigint").distinct())
+        counts = found.groupBy("term").agg(
+            F.count("line").alias("n_t"), F.max(F.col("line").isNull()).alias("common")
+        ).where("not common").drop("common")
+        counted = counts if counted is None else counted.unionByName(counts)
+    if counted is None:
+        return docs.sparkSession.createDataFrame([], "term string, disclosure double")
+    share = F.log(known * F.col("n_ct") / F.col("n_t")) / F.log(known)
     return save(
-        together.join(counted, "term").withColumn("share", pmi / known)
+        together.join(counted, "term").withColumn("share", share)
         .groupBy("term").agg(F.max("share").alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
     )
 
 
-def _lines_with(terms: frozenset):
+def _lines_with(terms: dict):
+    """(term, line) for the lines that hold each term; a term with more distinct
+    lines in one task than ``terms`` allows gets one row with a null line."""
+
     def run(batches):
+        seen: dict[str, set | None] = {}
         for batch in batches:
-            rows = []
             for text in batch.column(0).to_pylist():
-                if terms.isdisjoint(TERM.findall(text.lower())):
+                if terms.keys().isdisjoint(TERM.findall(text.lower())):
                     continue
                 for line in text.split("\n"):
-                    hit = terms.intersection(w.lower() for w in TERM.findall(line))
-                    if hit:
+                    hit = terms.keys() & {w.lower() for w in TERM.findall(line)}
+                    open_ = [t for t in hit if seen.get(t, ()) is not None]
+                    if open_:
                         digest = _digest(line)
-                        rows += [(t, digest) for t in hit]
+                        for t in open_:
+                            held = seen.setdefault(t, set())
+                            held.add(digest)
+                            if len(held) > terms[t][0]:
+                                seen[t] = None
+        rows = [(t, x) for t, held in seen.items() for x in ([None] if held is None else held)]
+        for i in range(0, len(rows), 100_000):
+            part = rows[i : i + 100_000]
             yield pa.RecordBatch.from_pydict({
-                "term": pa.array([r[0] for r in rows], pa.string()), "line": pa.array([r[1] for r in rows], pa.int64()),
+                "term": pa.array([r[0] for r in part], pa.string()), "line": pa.array([r[1] for r in part], pa.int64()),
             })
 
     return run
