@@ -204,23 +204,27 @@ def _verify(pairs: DataFrame, sets: DataFrame, spec: Jaccard) -> DataFrame:
 
 
 def _finder(spec: Jaccard):
-    """Links between sets of different components, by counting the shingles
-    that each two sets share (a product of 0/1 matrices, in column slices)."""
+    """Pairs of sets of different components that can be links, by counting the
+    shingles that each two sets share (a product of 0/1 matrices, in column
+    slices). The sets come as 32-bit images, half the bytes; each image that a
+    set holds twice hides one shingle at most, which the bound allows for."""
 
     def find(nodes, roots, sets):
         n = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), n)
-        flat = np.concatenate(sets)
+        images = [np.unique(s) for s in sets]
+        hidden = n - np.array([len(s) for s in images])
+        owner = np.repeat(np.arange(len(sets)), n - hidden)
+        flat = np.concatenate(images)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         column = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1])))
-        both = np.zeros((len(sets), len(sets)), np.int64)
+        both = np.minimum(hidden[:, None], hidden[None, :])
         width = 1 << 15
         for at in range(0, int(column[-1]) + 1, width):
             lo, hi = np.searchsorted(column, (at, at + width))
             table = np.zeros((len(sets), width), np.float32)
             table[owner[lo:hi], column[lo:hi] - at] = 1
-            both += (table @ table.T).astype(np.int64)
+            both = both + (table @ table.T).astype(np.int64)
         union = n[:, None] + n[None, :] - both
         r, x = np.asarray(roots), np.asarray(nodes)
         found = (spec.den * both >= spec.num * union) & (r[:, None] != r[None, :])
@@ -303,8 +307,13 @@ def jaccard_components(
         .groupBy("_node").agg(F.first("_set").alias("_set"))
     )
 
+    images = F.transform("_set", lambda x: F.shiftright(x, 32).cast("int"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _verify(pairs, sets, spec)
+
     links = links_within(
-        members, sets.withColumnRenamed("_set", "_load"), lambda p: _verify(p, sets, spec), _finder(spec)
+        members, sets.select("_node", images.alias("_load")), verify, _finder(spec), verify_found=verify
     )
     roots = save(connected_components(links, "a", "b"))
 
