@@ -75,7 +75,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_fuzzy_lines")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines(read_table(spark, sf_dir, "documents"))
+    return fuzzy_lines(read_table(spark, sf_dir, "documents"), near="edit")
 
 
 @query("op7_raking_mix")
