@@ -7,6 +7,12 @@ pivots, what each posting takes off the footrule distance between the two
 permutations (a pivot missing from a prefix counts as ranked just after it);
 the vectors at the least distance are reranked by exact inner product.
 
+Pivots order by direction, but nearness is the inner product, which favours
+long vectors. So vectors are ordered as points of one sphere: with M the largest
+norm, a vector v gets the further component sqrt(M^2 - |v|^2) and a query 0;
+angles between these are in the order of the inner products. Where all norms
+are alike the component is zero and nothing changes.
+
 The index is cut by document into blocks of bounded size, each with inverted
 files of its own, and a block of queries meets a block of vectors in one task;
 blocks add up over a cluster, and no task holds more than one of each.
@@ -31,15 +37,28 @@ def valid_vector(v: Column) -> Column:
     return v.isNotNull() & ~wrong & F.exists(v, lambda x: x != 0)
 
 
-def choose_pivots(vectors: DataFrame, n_pivots: int) -> np.ndarray:
+def lifted(x: np.ndarray, largest: float) -> np.ndarray:
+    """Rows of norm 1: x / largest and the component that is missing to 1. Norms
+    within rounding of the largest one miss nothing."""
+    x = x / largest
+    missing = 1 - np.einsum("ij,ij->i", x, x)
+    return np.column_stack((x, np.sqrt(np.where(missing > 1e-6, missing, 0.0))))
+
+
+def as_queries(x: np.ndarray) -> np.ndarray:
+    """Rows of norm 1 without the further component."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.column_stack((x, np.zeros(len(x))))
+
+
+def choose_pivots(vectors: DataFrame, n_pivots: int, largest: float) -> np.ndarray:
     """Pivots of unit length from a bounded sample (the rows of least hash),
     each next one the farthest from those before among a few hundred."""
     sample = vectors.orderBy(F.xxhash64("_vid"), "_vid").limit(PIVOT_SAMPLE).select("_v").collect()
     if not sample:
         return np.zeros((0, 0))
-    x = np.array([r[0] for r in sample], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.unique(x, axis=0)
+    x = np.unique(lifted(np.array([r[0] for r in sample], float), largest), axis=0)
     near, picked = np.full(len(x), -np.inf), []
     for _ in range(min(n_pivots, len(x))):
         picked.append(int(np.argmin(near)))
@@ -94,7 +113,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def permutation_search(
     table: DataFrame, is_query: Column, k: int = 20, n_pivots: int = 256, prefix: int = 96,
-    share: float = 0.06, least: int = 400, id_col: str = "vec_id", vector_col: str = "embedding",
+    share: float = 0.10, least: int = 400, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank (from 1), the id and ``score`` of the nearest rows found
     for every row where ``is_query``; ties go to the smaller id.
@@ -108,22 +127,30 @@ def permutation_search(
         F.col(id_col).alias("_vid"), F.col(vector_col).cast("array<double>").alias("_v"),
         is_query.alias("_query"),
     ).where(F.col("_vid").isNotNull() & valid_vector(F.col("_v")))
-    pivots = choose_pivots(rows, n_pivots)
+    top = F.array_max(F.transform("_v", F.abs))
+    norm = top * F.sqrt(F.aggregate(F.transform("_v", lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x))
+    largest = rows.agg(F.max(norm)).first()[0] or 1.0
+    pivots = choose_pivots(rows, n_pivots, largest)
     schema = f"query_id bigint, {id_col} bigint, score double"
     if not len(pivots):
         return table.sparkSession.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
 
     def represent(batch):
         x = _matrix(batch.column("_v"))
-        p = permutation_prefixes(x, pivots, prefix)
+        asks = batch.column("_query").fill_null(False).to_numpy(zero_copy_only=False)
+        p = permutation_prefixes(lifted(x, largest), pivots, prefix)
+        own = permutation_prefixes(as_queries(x[asks]), pivots, prefix) if asks.any() else p[:0]
+
+        def nested(prefixes, counts):
+            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32) * np.int32(p.shape[1])
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(prefixes.ravel()))
+
         return {
             "_vid": batch.column("_vid"), "_query": batch.column("_query"), "_v": batch.column("_v"),
-            "_p": pa.ListArray.from_arrays(
-                pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel())
-            ),
+            "_p": nested(p, np.ones(len(p), np.int32)), "_own": nested(own, asks.astype(np.int32)),
         }
 
-    kind = "_vid bigint, _query boolean, _v array<double>, _p array<smallint>"
+    kind = "_vid bigint, _query boolean, _v array<double>, _p array<smallint>, _own array<smallint>"
     indexed = save(map_batches(rows, represent, kind))
     n, n_queries = indexed.agg(F.count(F.lit(1)), F.count(F.when(F.col("_query"), 1))).first()
     v_blocks, q_blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
@@ -134,7 +161,7 @@ def permutation_search(
     )
     queries = indexed.where("_query").select(
         F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("vb"),
-        F.pmod(salted, F.lit(q_blocks)).cast("int").alias("qb"), "_vid", "_v", "_p",
+        F.pmod(salted, F.lit(q_blocks)).cast("int").alias("qb"), "_vid", "_v", F.col("_own").alias("_p"),
     )
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:

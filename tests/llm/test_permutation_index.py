@@ -1,6 +1,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from conftest import SF001
 from pyspark.sql import functions as F
 
@@ -70,3 +73,21 @@ def test_empty_and_single(spark):
     assert P.permutation_search(df, F.lit(True)).count() == 0
     one = spark.createDataFrame([(20, [1.0])], "vec_id bigint, embedding array<double>")
     assert P.permutation_search(one, F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.25, 0.5])
+def test_recall_on_full_blocks_of_varying_norms(spark, tmp_path, sigma):
+    """The production parameters and block size; the largest inner product."""
+    rng = np.random.default_rng(4)
+    n = 2 * P.VECTOR_BLOCK + 4000  # three blocks, none so small that ``least`` decides
+    x = rng.normal(size=(n, 64))
+    x *= np.exp(sigma * rng.normal(size=(n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))})
+    pq.write_table(table, tmp_path / "v.parquet")
+    asked = np.arange(0, n, 400)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = {int(q): set(np.argsort(-s)[:20].tolist()) for q, s in zip(asked, scores)}
+    got = P.permutation_search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 400 == 0).collect()
+    hits = sum(r["vec_id"] in want[r["query_id"]] for r in got)
+    assert hits >= 0.9 * 20 * len(want), hits / (20 * len(want))
