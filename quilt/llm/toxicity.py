@@ -35,8 +35,10 @@ LOOKALIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "*": "aeiou", "#": "aeiou",
 }
+WORDS_OF_ONE = set("aeiouyàéó")  # letters that are words in some language (fixed values)
 SEPARATORS = set(" .-_*~'`^:,")
 COST_SIGN, COST_DROP_REPEAT, COST_DROP_SEPARATOR = -0.7, -0.7, -0.2
+COST_WORD_END = -1.0  # of a blank in a spaced run that is a blank after all
 
 CLASSES = 64  # 0: no letter; 1..26: a..z; the rest: other letters, by code point
 FEATURE_LENGTHS = (4, 5, 6)
@@ -49,11 +51,13 @@ _LETTER = r"[^\W\d_]"
 _WORDS = re.compile(rf"{_LETTER}+")
 _SIGNS = re.escape("0123456789@$!|+€£¡(*#")
 _EDGE = ".,;:?\"')]}<>"
+# A letter beside a sign that may stand for one or part two, or beside itself;
+# whether it is a disguise is for the decoder to weigh.
 _SUSPICIOUS = re.compile(
-    rf"{_LETTER}[{_SIGNS}]{{1,3}}{_LETTER}|^[{_SIGNS}]{{1,2}}{_LETTER}{{2}}|{_LETTER}{{2}}[{_SIGNS}]{{1,2}}$"
-    rf"|({_LETTER})\1\1|(?:{_LETTER}[.\-_*~'`^:,]){{2}}{_LETTER}"
+    rf"{_LETTER}[{_SIGNS}.\-_~'`^:,]|[{_SIGNS}.\-_~'`^:,]{_LETTER}|({_LETTER})\1"
 )
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_GAP = re.compile(r"\s+")
 
 
 def _class_table() -> np.ndarray:
@@ -124,9 +128,10 @@ class Decoder:
     def __getstate__(self):
         return {"log_p": self.log_p, "lists": None}
 
-    def decode(self, token: str) -> str:
+    def decode(self, token: str, split: bool = False) -> str:
         """The most probable word behind a lower-case token; '' if it holds no
-        letter. Linear in the token's length."""
+        letter. With ``split`` a blank may also end a word, and the words come
+        joined by blanks. Linear in the token's length."""
         if self.lists is None:
             self.lists = self.log_p.tolist()
         log_p = self.lists
@@ -138,6 +143,8 @@ class Decoder:
         before = ""
         for ch in token:
             options = [(ch, 0.0)] if ch.isalpha() else [(c, COST_SIGN) for c in LOOKALIKE.get(ch, "")]
+            if split and ch == " ":
+                options = [(ch, COST_WORD_END)]
             drop = COST_DROP_REPEAT if ch == before and ch.isalpha() else (
                 COST_DROP_SEPARATOR if ch in SEPARATORS else None
             )
@@ -187,6 +194,21 @@ class Restorer:
             words.add(self.decoder.decode(core.strip("#%&*$!")))
         return tuple((w, v) for w in words if w and (v := self.keep(w)) is not None)
 
+    def _run_words(self, run: str) -> set:
+        """The words of a run of single signs: of each part between its wider
+        gaps the letters as one word, without a word of one letter at either
+        end, and as the words that the model reads."""
+        gaps = set(map(len, _GAP.findall(run)))
+        parts = re.split(rf"\s{{{min(gaps) + 1},}}", run) if len(gaps) > 1 else [run]
+        words = set()
+        for part in parts:
+            part = _GAP.sub(" ", part)
+            words.add(self.decoder.decode(part))
+            if len(part) >= 7:
+                words.update(self.decoder.decode(x) for x, end in ((part[2:], part[0]), (part[:-2], part[-1])) if end in WORDS_OF_ONE)
+            words.update(self.decoder.decode(part, split=True).split(" "))
+        return {x for w in words for x in (w, *_WORDS.findall(w)) if x}
+
     def __call__(self, text: str) -> dict:
         text = text.lower()
         memo, found = self.memo, {}
@@ -200,8 +222,7 @@ class Restorer:
             if got:
                 found.update(got)
         for run in _SPACED.findall(text):
-            word = self.decoder.decode(run)
-            for w in {word, *_WORDS.findall(word)}:
+            for w in self._run_words(run):
                 if (v := self.keep(w)) is not None:
                     found[w] = v
         return found

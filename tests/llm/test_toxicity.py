@@ -132,3 +132,24 @@ def test_documents_held_out(spark):
     labels = spark.read.parquet(f"{SF01}/labels.parquet").collect()
     held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in labels if got[r["doc_id"]]["held_out"]]
     assert np.mean([p == y for p, y in held]) >= 0.9
+
+
+def test_disguises_reach_the_decoder(spark, model):
+    """Each variant is scored in a text, and must not read as clean."""
+    around = "the table stands near {} and people walk"
+    variants = [
+        "stu-pid idi-ot", "st_upid id_iot", "stu.pid mo.ron", "stuupid idiiot", "mor0on stu+pid", "1d10+ $cum", "5tupid m0ron",
+        "s  t  u  p  i  d and m  o  r  o  n", "s\tt\tu\tp\ti\td and m\to\tr\to\tn", "s\nt\nu\np\ni\nd and i\nd\ni\no\nt",
+        "a s t u p i d and a m o r o n", "s t u p i d   i d i o t",
+    ]
+    plain = {"-": "well-known book.keeper", "+": "c++ tree, moon (a) b. c"}
+    rows = list(enumerate(around.format(v) for v in variants))
+    got = scores(spark, model, rows + [(100 + i, around.format(v)) for i, v in enumerate(plain.values())])
+    assert [variants[i] for i in range(len(variants)) if not got[i]["predicted"]] == []
+    assert [got[100 + i]["predicted"] for i in range(len(plain))] == [0] * len(plain)
+
+
+def test_short_tokens_and_spaced_short_words(model):
+    seen = lambda text: set(T.Restorer(T.Decoder(model.log_p), lambda w: True)(text))
+    assert "ass" in seen("a$$") and "ass" in seen("a55") and "ass" in seen("you a s s")
+    assert "scum" in seen("s c u m") and "stupid" in seen("are a s t u p i d")
