@@ -11,8 +11,9 @@ its ids are kept in a bounded per-process memo:
 * word tokenizers that drop white space: a unit is a run of other characters.
 
 Texts of ASCII and Latin letters are cut finer, by the tokenizers' own patterns.
-Any other tokenizer file encodes whole texts. Special strings in a text are
-ordinary text.
+Any other tokenizer file encodes whole texts, and so does the library any text
+that holds the string of an added token: all ids are those of the library's
+``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -96,11 +97,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.kind = _kind(spec)
+        added = spec.get("added_tokens") or []
+        # (strings that are looked for in the normalised text cannot be told beforehand)
+        self.kind = None if any(t.get("normalized") for t in added) else _kind(spec)
+        strings = [re.escape(t["content"]) for t in added if t["content"]]
+        self.added = re.compile("|".join(strings)).search if strings else lambda text: None
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.memo: dict[str, bytes] = {}  # of larger units
         self.pieces: dict[str, bytes] = {}  # of units of the tokenizer's pattern
@@ -129,6 +133,9 @@ class Encoder:
         cut, cut_latin = _UNITS[self.kind].findall, _LATIN_UNITS[self.kind].findall
         out = []
         for text in texts:
+            if self.added(text):
+                out += self._library([text])
+                continue
             if _NOT_LATIN.search(text):
                 units, memo, learn = cut(text), self.memo, self._library
             else:

@@ -129,3 +129,14 @@ def test_store_documents(spark):
         want.append((x, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == want
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_in_a_text_are_the_librarys(path):
+    """Against a tokenizer of its own, as the file gives it."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "A <|startoftext|> b\n<|endoftext|><|endoftext|>", "é 中<|endoftext|> ß", "<|ENDOFTEXT|> <|endof text|>", "plain"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)] == want
