@@ -2,9 +2,8 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its rows are written as
 Parquet and read again as the next stage's documents. All stages but the last
-return the columns of ``documents``. Decisions hold for whole rows: rows without
-an id cannot be told apart by the later stages, so near-duplicate removal leaves
-them; every stage takes an empty table to an empty result.
+return the columns of ``documents``. Decisions hold for whole rows, told apart by
+id and text; every stage takes an empty table to an empty result.
 """
 
 from __future__ import annotations
@@ -48,10 +47,14 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (word shingles of five, similarity 0.8)
-    the document with the smallest id."""
-    groups = jaccard_components(docs, Jaccard(width=5, num=80, den=100))
-    gone = save(groups.where("doc_id != component_id").select("doc_id").distinct())
-    return join_ids(docs, gone, ["doc_id"], gone.count(), "left_anti").select(docs.columns)
+    the row with the smallest id. Rows are told apart by id and text, as in
+    ``drop_exact``; a row without an id stays only where no other does."""
+    sha = F.sha2(F.encode(normalise(F.col("text")), "UTF-8"), 256)
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), sha.alias("s"))
+    rows = docs.withColumn("_key", key)
+    groups = jaccard_components(rows, Jaccard(width=5, num=80, den=100), id_col="_key")
+    gone = save(groups.where("_key != component_id").select("_key").distinct())
+    return join_ids(rows, gone, ["_key"], gone.count(), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,3 +88,14 @@ def test_odd_rows_through_all_stages(spark):
 
 def test_oracle_is_declared():
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] and re.fullmatch(r"[a-z -]+", P.STAGES[0][0])
+
+
+def test_near_copies_with_repeated_ids(spark):
+    text, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [
+        (1, text), (2, text + " more"), (2, "a clean text of its own that has the id of a copy"),
+        (5, other), (5, other + " more"), (None, third), (None, third + " more"), (None, text + " less"), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in P.drop_near(spark, docs, SF001).collect()), key=repr)
+    assert got == sorted([(1, "x0"), (2, "a "), (5, "y0"), (None, "z0"), (None, "")], key=repr)
