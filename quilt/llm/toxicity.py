@@ -145,27 +145,25 @@ class Decoder:
             options = [(ch, 0.0)] if ch.isalpha() else [(c, COST_SIGN) for c in LOOKALIKE.get(ch, "")]
             if split and ch == " ":
                 options = [(ch, COST_WORD_END)]
+            options = [(letter, cost, char_class(letter)) for letter, cost in options]
             drop = COST_DROP_REPEAT if ch == before and ch.isalpha() else (
                 COST_DROP_SEPARATOR if ch in SEPARATORS else None
             )
             if not options and drop is None:
-                options = [("", 0.0)]  # an unknown sign ends nothing and says nothing
+                options = [("", 0.0, 0)]  # an unknown sign ends nothing and says nothing
             following: dict = {}
-
-            def offer(state, score, link, following=following):
-                held = following.get(state)
-                if held is None or score > held[0]:
-                    following[state] = (score, link)
-
             for state, (score, link) in states.items():
                 if drop is not None:
-                    offer(state, score + drop, link)
-                for letter, cost in options:
-                    if not letter:
-                        offer(state, score, link)
-                        continue
-                    k = char_class(letter)
-                    offer((state[1], k), score + cost + log_p[state[0]][state[1]][k], (link, letter))
+                    held = following.get(state)
+                    if held is None or score + drop > held[0]:
+                        following[state] = (score + drop, link)
+                last = log_p[state[0]][state[1]]
+                for letter, cost, k in options:
+                    after = (state[1], k) if letter else state
+                    total = score + cost + last[k] if letter else score
+                    held = following.get(after)
+                    if held is None or total > held[0]:
+                        following[after] = (total, (link, letter) if letter else link)
             states, before = following, ch
         best = max(states.items(), key=lambda s: s[1][0] + log_p[s[0][0]][s[0][1]][0])
         out, link = [], best[1][1]
@@ -190,8 +188,7 @@ class Restorer:
         words = set(_WORDS.findall(token))
         core = token.strip(_EDGE)
         if _SUSPICIOUS.search(core):
-            words.add(self.decoder.decode(core))
-            words.add(self.decoder.decode(core.strip("#%&*$!")))
+            words.update(map(self.decoder.decode, {core, core.strip("#%&*$!")}))
         return tuple((w, v) for w in words if w and (v := self.keep(w)) is not None)
 
     def _run_words(self, run: str) -> set:
@@ -259,19 +256,45 @@ def _restorer(model: ToxicityModel) -> Restorer:
     return _RESTORERS[model.key]
 
 
+RIDGE = 0.1  # of the slope per standard deviation of the evidence
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps, with a weak pull towards 1 and -4."""
-    a, b = 1.0, -4.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(w * (p - y) * x).sum() + 0.1 * (a - 1), (w * (p - y)).sum() + 0.1 * (b + 4)])
-        r = w * p * (1 - p)
-        h = np.array([[(r * x * x).sum() + 0.1, (r * x).sum()], [(r * x).sum(), r.sum() + 0.1]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-9:
+    """Slope and intercept of the weighted logistic curve of ``y`` over ``x``.
+    Newton steps on the standardised evidence, halved until the penalised loss
+    falls: the loss is strictly convex, so the fit always settles, on separable
+    and overlapping labels alike. Evidence that is the same everywhere, or that
+    falls with the label, gets slope 0 and the share of the labels."""
+    mean, sd = float(np.average(x, weights=w)), float(np.sqrt(np.cov(x, aweights=w, ddof=0)))
+    share = float(np.average(y, weights=w))
+    flat = math.log((share * w.sum() + 0.5) / ((1 - share) * w.sum() + 0.5))
+    if not sd > 1e-12 * (1 + abs(mean)):
+        return 0.0, flat
+    z = np.column_stack(((x - mean) / sd, np.ones(len(x))))
+    ridge = np.diag([RIDGE, 1e-3])
+
+    def loss(v):
+        m = z @ v
+        return float((w * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * v @ ridge @ v)
+
+    v = np.array([0.0, flat])
+    held = loss(v)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(z @ v, -500, 500)))
+        g = z.T @ (w * (p - y)) + ridge @ v
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, g)
+        size = 1.0
+        while size > 1e-10 and loss(v - size * step) > held - 1e-4 * size * float(g @ step):
+            size /= 2
+        if size <= 1e-10:
+            break  # no lower loss within rounding
+        v = v - size * step
+        held = loss(v)
+        if np.abs(size * step).max() < 1e-10:
             break
-    return float(a), float(b)
+    if v[0] <= 0:
+        return 0.0, flat
+    return float(v[0] / sd), float(v[1] - v[0] * mean / sd)
 
 
 def fit(

@@ -153,3 +153,55 @@ def test_short_tokens_and_spaced_short_words(model):
     seen = lambda text: set(T.Restorer(T.Decoder(model.log_p), lambda w: True)(text))
     assert "ass" in seen("a$$") and "ass" in seen("a55") and "ass" in seen("you a s s")
     assert "scum" in seen("s c u m") and "stupid" in seen("are a s t u p i d")
+
+
+@pytest.mark.parametrize("kind", ["overlapping", "long-tailed", "separable", "constant", "rare", "reversed"])
+@pytest.mark.parametrize("scale", [1.0, 1.2, 1.5, 2.0, 50.0])
+@pytest.mark.parametrize("weighting", [(1.0, 1.0), (25.0, 1.0), (1.0, 40.0)])
+def test_the_curve_settles_on_any_evidence(kind, scale, weighting):
+    rng = np.random.default_rng(5)
+    n = 4000
+    y = (rng.random(n) < (0.01 if kind == "rare" else 0.12)).astype(float)
+    x = {
+        "overlapping": lambda: rng.gamma(1.5, 2, n) + 1.5 * y,
+        "long-tailed": lambda: rng.lognormal(0, 1.6, n) * (1 + 2 * y),
+        "separable": lambda: rng.random(n) + 3 * y,
+        "constant": lambda: np.full(n, 2.5),
+        "rare": lambda: rng.gamma(2.0, 1.0, n) + 6 * y,
+        "reversed": lambda: rng.gamma(2.0, 1.0, n) - y,
+    }[kind]() * scale
+    w = np.array(weighting)[y.astype(int)]
+    slope, intercept = T._logistic(x, y, w)
+    assert np.isfinite([slope, intercept]).all() and 0 <= slope * x.std() < 60 and abs(intercept) < 60
+    # no worse than the best constant, and at a minimum of the penalised loss
+    def loss(a, b):
+        m = a * x + b
+        return (w * (np.logaddexp(0, m) - y * m)).sum()
+    share = np.average(y, weights=w)
+    assert loss(slope, intercept) <= loss(0, np.log(share / (1 - share))) + 0.5
+    if kind not in ("constant", "reversed"):
+        assert slope > 0
+        if kind == "separable":
+            p = 1 / (1 + np.exp(-(slope * x + intercept)))
+            assert (p[y == 1] >= 0.5).mean() > 0.8 and (p[y == 0] < 0.5).mean() > 0.95
+    else:
+        assert slope == 0
+
+
+def test_overlapping_labels_give_a_prediction_that_varies(spark):
+    """A third of the toxic documents hold no toxic word and some clean ones do."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(900):
+        words = [rng.choice(CLEAN) for _ in range(30)]
+        toxic = int(i % 6 == 0)
+        if toxic and i % 3 == 0 and i % 18 or i % 41 == 0:
+            words.insert(rng.randrange(30), rng.choice(BAD))
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = T.fit(d, spark.createDataFrame(labels, "doc_id bigint, toxic int"), T.fold() != 0)
+    got = [r["predicted"] for r in T.score(d, model).collect()]
+    assert 0 < sum(got) < 300
+    empty = {r["doc_id"]: r for r in T.score(spark.createDataFrame([(1, ""), (2, None)], "doc_id bigint, text string"), model).collect()}
+    assert all(r["predicted"] == 0 for r in empty.values())
