@@ -11,6 +11,7 @@ from quilt.llm import toxicity
 from quilt.llm.chunk_dedup import exact_dedup
 from quilt.llm.common import read_table, utf8
 from quilt.llm.fuzzy_lines import fuzzy_lines
+from quilt.llm.hard_negatives import hard_negatives
 from quilt.llm.hilbert import hilbert_shards
 from quilt.llm.mixing import mix_to_targets
 from quilt.llm.ngram_join import Jaccard, jaccard_components
@@ -109,3 +110,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels, toxicity.fold() != 0)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op11_hard_negatives", """
+WITH t AS (
+  SELECT CAST(vec_id AS BIGINT) AS id,
+         CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM t a JOIN t b ON a.id <> b.id WHERE a.id % 100 = 0),
+pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k
+  FROM s WHERE same),
+neg AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, n.id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS k
+  FROM pos p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+  WHERE p.k <= 5)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM neg WHERE k <= 5
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
