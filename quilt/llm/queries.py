@@ -18,6 +18,7 @@ from quilt.llm.ngram_join import Jaccard, jaccard_components
 from quilt.llm.packing import pack
 from quilt.llm.pii import find_pii
 from quilt.llm.permutation_index import permutation_search
+from quilt.llm.token_alignment import align_tokens
 from quilt.llm.token_store import read_documents, write_store
 from quilt.llm.tokens import public_path
 
@@ -140,3 +141,9 @@ FROM neg WHERE k <= 5
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return align_tokens(docs, public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
