@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.llm import toxicity
+from quilt.llm import language_id, toxicity
 from quilt.llm.chunk_dedup import exact_dedup
 from quilt.llm.common import read_table, utf8
 from quilt.llm.fuzzy_lines import fuzzy_lines
@@ -147,3 +147,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return align_tokens(docs, public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    trees = language_id.fit(docs, toxicity.fold() != 0)
+    held_out = (toxicity.fold() == 0).alias("held_out")
+    return language_id.predict(docs, trees, [held_out]).select("doc_id", "held_out", "lang_pred", "score")
