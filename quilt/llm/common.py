@@ -14,6 +14,8 @@ from quilt.session import cut_lineage, ensure_checkpoint_dir
 # 64 MB in an executor); beyond it the join is left to shuffle.
 BROADCAST_IDS = 1_000_000
 
+SLICE_ROWS = 1024
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,17 +34,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str
 ) -> DataFrame:
-    """``fn`` over Arrow batches; a batch without rows is skipped."""
+    """``fn`` over Arrow batches, cut to SLICE_ROWS rows, so that what a worker
+    holds beside a batch is a small part of it; no rows, no call."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        for batch in slices(batches):
+            out = fn(batch)
+            if out is not None:
+                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
     return df.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import save
+from quilt.llm.common import save, slices
 
 ORDER = 4
 MAX_NODES, MAX_CELLS = 1_000_000, 4_000_000
@@ -204,7 +204,7 @@ def count_contexts(texts: DataFrame) -> DataFrame:
             held.clear()
 
         chars = 0
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
                 held[lang].update(runs_of(text))
                 chars += len(text)
@@ -259,7 +259,7 @@ def predict(
 
     def run(batches):
         speller = Speller(held.value) if held.value else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
             names, scores = [], []
             for i in range(0, len(texts), 256):

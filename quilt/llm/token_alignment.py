@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import map_batches, save
+from quilt.llm.common import map_batches, save, slices
 from quilt.llm.tokens import _kind, _LETTERS
 
 # Pair counts that may be broadcast: 17 bytes each.
@@ -220,7 +220,7 @@ def pair_counts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"pair": pa.array(pairs[kept]), "n": pa.array(totals[: len(pairs)][kept])})
 
         units = Units(aligner(a_path, b_path), place)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
@@ -296,7 +296,7 @@ def _by_broadcast(rows: DataFrame, pairs: DataFrame, a_path: str, b_path: str, k
 
     def run(batches):
         units = Units(aligner(a_path, b_path), value)
-        for batch in batches:
+        for batch in slices(batches):
             sums, digests = [], []
             for text in batch.column("_text").to_pylist():
                 got = units(text) if text else []

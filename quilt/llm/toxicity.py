@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import map_batches, save
+from quilt.llm.common import save, slices
 
 # Look-alikes of letters (fixed values). '*' and '#' mask any vowel.
 LOOKALIKE = {
@@ -96,7 +96,7 @@ def fit_char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(batches):
         total = np.zeros(CLASSES**3, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t for t in batch.column(0).to_pylist() if t]
             for i in range(0, len(texts), 256):
                 total += trigram_counts(texts[i : i + 256])
@@ -233,7 +233,6 @@ class ToxicityModel:
     weights: dict[str, float]
     slope: float
     intercept: float
-    key: str
 
     def evidence(self, word: str) -> float | None:
         """Of the word's features, the strongest evidence."""
@@ -245,15 +244,10 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-# One model's memo at a time in each process.
-_RESTORERS: dict[str, Restorer] = {}
-
-
-def _restorer(model: ToxicityModel) -> Restorer:
-    if model.key not in _RESTORERS:
-        _RESTORERS.clear()
-        _RESTORERS[model.key] = Restorer(Decoder(model.log_p), model.evidence)
-    return _RESTORERS[model.key]
+def _summer(model: ToxicityModel):
+    """The summed evidence of texts; what it remembers goes with the task."""
+    restore = Restorer(Decoder(model.log_p), model.evidence)
+    return lambda texts: [math.fsum(sorted(restore(t).values())) if t else 0.0 for t in texts]
 
 
 RIDGE = 0.1  # of the slope per standard deviation of the evidence
@@ -305,8 +299,6 @@ def fit(
     count. At most MAX_ROWS_PER_LABEL rows of each label, drawn by a hash of the
     id, train the scorer; the character model counts all texts. Without usable
     rows of both labels no word is evidence, and every text scores low."""
-    import uuid
-
     log_p = fit_char_model(docs, text_col)
     known = labels.where(usable & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")
@@ -325,7 +317,7 @@ def fit(
     def count(batches):
         restore = Restorer(decoder, lambda w: True)
         toxic, clean, n = Counter(), Counter(), [0, 0]
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(batch.column("_text").to_pylist(), batch.column("_y").to_pylist(), strict=True):
                 n[y] += 1
                 (toxic if y else clean).update({f for w in restore(text or "") for f in features_of(w)})
@@ -341,9 +333,8 @@ def fit(
         .groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3 or f = ''")
     )
     n_toxic, n_clean = next(((r.t, r.c) for r in counts.where("f = ''").collect()), (0, 0))
-    key = uuid.uuid4().hex
     if not n_toxic or not n_clean:
-        return ToxicityModel(log_p, {}, 1.0, -4.0, key)
+        return ToxicityModel(log_p, {}, 1.0, -4.0)
     # twice the log-likelihood ratio, against chance over all tried features
     t, c, nt, nc = F.col("t"), F.col("c"), F.lit(float(n_toxic)), F.lit(float(n_clean))
     rate, all_ = (t + c) / (nt + nc), F.col("t") + F.col("c")
@@ -363,7 +354,7 @@ def fit(
         .where((F.col("g") > bar) & (F.col("w") > 1.0))
         .orderBy(F.desc("g"), "f").limit(MAX_FEATURES).select("f", "w").collect()
     )
-    model = ToxicityModel(log_p, {r.f: r.w for r in best}, 1.0, -4.0, key)
+    model = ToxicityModel(log_p, {r.f: r.w for r in best}, 1.0, -4.0)
     scored = _evidence(rows, model, ["_y"]).select("_y", "evidence").collect()  # bounded as the drawn rows
     x = np.array([r.evidence for r in scored])
     y = np.array([r._y for r in scored], float)
@@ -375,13 +366,14 @@ def fit(
 def _evidence(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     """``keep`` and the summed evidence of ``_text``."""
 
-    def score(batch):
-        restore = _restorer(model)
-        sums = [math.fsum(sorted(restore(t).values())) if t else 0.0 for t in batch.column("_text").to_pylist()]
-        return {**{c: batch.column(c) for c in keep}, "evidence": pa.array(sums, pa.float64())}
+    def run(batches):
+        sums = _summer(model)
+        for batch in slices(batches):
+            found = pa.array(sums(batch.column("_text").to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in keep}, "evidence": found})
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(rows.select(*keep, "_text"), score, f"{kinds}, evidence double")
+    return rows.select(*keep, "_text").mapInArrow(run, f"{kinds}, evidence double")
 
 
 def score(
@@ -410,12 +402,10 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     """The rows of ``docs``, whole, that ``score`` predicts as 0."""
 
     def run(batches):
-        restore = _restorer(model)
-        for batch in batches:
-            if batch.num_rows:
-                texts = batch.column(text_col).to_pylist()
-                sums = [math.fsum(sorted(restore(t).values())) if t else 0.0 for t in texts]
-                yield batch.filter(pa.array([model.intercept + model.slope * x < 0 for x in sums]))
+        sums = _summer(model)
+        for batch in slices(batches):
+            found = sums(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([model.intercept + model.slope * x < 0 for x in found]))
 
     return docs.mapInArrow(run, docs.schema)
 
