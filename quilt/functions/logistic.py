@@ -39,6 +39,18 @@ def usable(xs: Sequence[Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def dot_array(x: Column, w: Column) -> Column:
+    """The same sum over one array column: the plan is as small for thousands of
+    features as for two."""
+    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
+
+
+def usable_array(x: Column, width: int) -> Column:
+    """``usable`` for features in one array column: all ``width`` of them."""
+    finite = F.forall(x, lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False)))
+    return F.coalesce((F.size(x) == width) & finite, F.lit(False))
+
+
 def usable_sql(xs: Sequence[str]) -> str:
     return "COALESCE(" + " AND ".join(f"(NOT isnan({x}) AND abs({x}) < CAST('Infinity' AS DOUBLE))" for x in xs) + ", FALSE)"
 

@@ -66,26 +66,36 @@ def auc(df: DataFrame, score: str = "prediction", label: str = "label", by: list
     )
 
 
-def class_summary(df: DataFrame, pred: str = "prediction", label: str = "label") -> DataFrame:
-    """Accuracy and AUC of 0/1 predictions in one pass: both follow from the
-    confusion counts. With P positives, N negatives, TP and FP the rows
-    predicted 1, the two-level ROC area is ``(FP*TP + (N-FP)*(TP+P)) / (2PN)``
-    (the general formula above with two score levels). Rows without a
-    prediction count for accuracy (as misses) but not for the AUC."""
+def class_summaries(df: DataFrame, preds: dict[str, str], label: str = "label") -> DataFrame:
+    """Accuracy and AUC of several 0/1 predictions of the same rows, one pass:
+    ``(name, n, correct, accuracy_pct, positives, negatives, auc)``, a row for
+    each name in ``preds`` (name: column). Both figures follow from the confusion
+    counts. With P positives, N negatives, TP and FP the rows predicted 1, the
+    two-level ROC area is ``(FP*TP + (N-FP)*(TP+P)) / (2PN)`` (the general formula
+    above with two score levels). Rows without a prediction count for accuracy
+    (as misses) but not for the AUC."""
     y = F.col(label) > 0
-    p = F.col(pred)
-    agg = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.when(p == F.col(label), 1).otherwise(0)), F.lit(0)).cast("bigint").alias("correct"),
-        F.coalesce(F.sum(F.when(p.isNotNull() & y, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("positives"),
-        F.coalesce(F.sum(F.when(p.isNotNull() & ~y, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("negatives"),
-        F.coalesce(F.sum(F.when((p > 0) & y, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("tp"),
-        F.coalesce(F.sum(F.when((p > 0) & ~y, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("fp"),
-    )
+
+    def count(condition, name):
+        return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("bigint").alias(name)
+
+    sums = [F.count(F.lit(1)).alias("n")]
+    for i, column in enumerate(preds.values()):
+        p = F.col(column)
+        sums += [
+            count(p == F.col(label), f"correct{i}"), count(p.isNotNull() & y, f"positives{i}"),
+            count(p.isNotNull() & ~y, f"negatives{i}"), count((p > 0) & y, f"tp{i}"), count((p > 0) & ~y, f"fp{i}"),
+        ]
+    each = [
+        F.struct(F.lit(name).alias("name"), *[F.col(f"{c}{i}").alias(c) for c in ("correct", "positives", "negatives", "tp", "fp")])
+        for i, name in enumerate(preds)
+    ]
+    agg = df.agg(*sums).select("n", F.inline(F.array(*each)))
     P, N, TP, FP = (F.col(c).cast("decimal(38,0)") for c in ("positives", "negatives", "tp", "fp"))
     num = FP * TP + (N - FP) * (TP + P)
     den = F.lit(2.0) * F.col("positives").cast("double") * F.col("negatives").cast("double")
     return agg.select(
+        "name",
         "n",
         "correct",
         (F.try_divide(F.col("correct").cast("double"), F.col("n")) * F.lit(100.0)).alias("accuracy_pct"),
@@ -93,3 +103,8 @@ def class_summary(df: DataFrame, pred: str = "prediction", label: str = "label")
         "negatives",
         F.when(den > 0, num.cast("double") / den).alias("auc"),
     )
+
+
+def class_summary(df: DataFrame, pred: str = "prediction", label: str = "label") -> DataFrame:
+    """Accuracy and AUC of one 0/1 prediction (see ``class_summaries``)."""
+    return class_summaries(df, {"": pred}, label).drop("name")

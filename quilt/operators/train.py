@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.functions.logistic import usable
+from quilt.functions.logistic import usable, usable_array
 from quilt.session import persist, spread
 
 
@@ -43,6 +43,7 @@ class Models:
     iterations: int
     step: float = 1.0
     history: list[float] = field(default_factory=list)  # seconds per iteration
+    array: str | None = None  # the column that holds the features, if they are one array
 
     @property
     def ids(self) -> list[int]:
@@ -58,6 +59,13 @@ class Models:
         """``(model_id, n, w0..wk)``: one row per fitted model."""
         return spark.createDataFrame(self.rows(), self.schema(prefix))
 
+    def array_table(self, spark: SparkSession, id_name: str, name: str) -> DataFrame:
+        """One row per fitted model: its id and its weights as one array."""
+        return spark.createDataFrame([(m, self.weights[m]) for m in self.ids], f"{id_name} bigint, {name} array<double>")
+
+    def matrix(self) -> np.ndarray:
+        return np.array([self.weights[m] for m in self.ids], float).reshape(len(self.ids), len(self.features))
+
 
 def spark_double(v: float) -> str:
     """A Spark SQL double literal that parses back to exactly ``v``."""
@@ -137,20 +145,25 @@ def fit(
     step: float = 1.0,
     partitions: int | None = None,
     vectorized: bool | None = None,
+    array: str | None = None,
 ) -> Models:
     """One model per distinct ``model_col`` value (one model overall
     when ``model_col`` is None). Rows with a null model id, and rows that are
     not usable, are not used. ``partitions`` deals the training rows to so many
     partitions once, for inputs with fewer splits than cores; by default the
     splits of the input stay as they are (they bound the bytes of a cached
-    block). ``vectorized`` forces how a step is computed."""
+    block). ``vectorized`` forces how a step is computed. ``array`` names a
+    column that holds all ``features`` as one array."""
     spark = points.sparkSession
     k = len(features)
     mid = (F.col(model_col) if model_col else F.lit(0)).cast("bigint")
-    cols = [F.col(c).cast("double") for c in features]
-    rows = points.where(mid.isNotNull() & usable(cols))
-    wide = k > ARRAY_MAX_FEATURES if vectorized is None else vectorized
-    xs = [F.array(*cols).alias("x")] if wide else [c.alias(f"x{j}") for j, c in enumerate(cols)]
+    wide = array is not None or (k > ARRAY_MAX_FEATURES if vectorized is None else vectorized)
+    if array is not None:
+        ok, xs = usable_array(F.col(array), k), [F.col(array).cast("array<double>").alias("x")]
+    else:
+        cols = [F.col(c).cast("double") for c in features]
+        ok, xs = usable(cols), [F.array(*cols).alias("x")] if wide else [c.alias(f"x{j}") for j, c in enumerate(cols)]
+    rows = points.where(mid.isNotNull() & ok)
     # The training rows are kept in executor memory (spilling to disk) for all
     # steps. Their lineage is narrow: a file scan plus broadcast lookups into
     # small checkpointed tables, so a lost block is recomputed from its own
@@ -195,7 +208,7 @@ def fit(
     finally:
         spark.catalog.dropTempView(view)
         data.unpersist()
-    return Models(list(features), weights, counts, iterations, step, history)
+    return Models(list(features), weights, counts, iterations, step, history, array)
 
 
 def _dense(weights: dict[int, list[float]], k: int) -> bool:

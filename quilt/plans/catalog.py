@@ -8,6 +8,7 @@ two engines sum in different orders and agree to about 1e-12 relative.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,9 @@ CFG = Config(
     label="price", scaled=True, train_share=0.7, partitions=8,
     grid=Grid.of(("x0", 0.0, 1.0, 8), ("x1", 0.0, 1.0, 8), ("x2", 0.0, 1.0, 8)),
 )
+# cells, their counts and groups are of the whole table; only what trains, scores
+# and evaluates splits it
+HIST_CFG = replace(CFG, train_share=None)
 GRID = CFG.grid
 FEATS = list(CFG.features)
 MARKER = "the"
@@ -59,6 +63,10 @@ def wb(spark: SparkSession, sf: str):
     return workbench(spark, sf, CFG)
 
 
+def whole(spark: SparkSession, sf: str):
+    return workbench(spark, sf, HIST_CFG)
+
+
 def r4(c):
     # + 0.0 turns a rounded -0.0 into 0.0 (engines differ on the sign of a
     # value rounded to zero)
@@ -149,6 +157,7 @@ class Suite:
 
 
 MAIN = Suite(CFG)
+HIST = Suite(HIST_CFG)
 PTS = points_sql(CFG.view)  # as the table has them
 BASE = MAIN.base
 with_groups = MAIN.with_groups
@@ -313,9 +322,9 @@ def q_assign_random_part(spark, sf):
     return wb(spark, sf).parted().select("key", "part_id")
 
 
-@register("filter_bin_group", with_groups() + f"\nSELECT key, bin_no, group_id FROM routed WHERE group_id = {FILTER_GROUP}")
+@register("filter_bin_group", HIST.with_groups() + f"\nSELECT key, bin_no, group_id FROM routed WHERE group_id = {FILTER_GROUP}")
 def q_filter_bin_group(spark, sf):
-    return wb(spark, sf).routed().where(F.col("group_id") == FILTER_GROUP).select("key", "bin_no", "group_id")
+    return whole(spark, sf).routed().where(F.col("group_id") == FILTER_GROUP).select("key", "bin_no", "group_id")
 
 
 @register("filter_random_part", cte(pts=PTS) + f"\nSELECT key, part_id FROM (SELECT key, {PART_EXPR} AS part_id FROM pts) WHERE part_id = {FILTER_PART}")
@@ -418,15 +427,15 @@ def q_axis_split(spark, sf):
 
 @register(
     "bin_coordinates",
-    with_base() + "\nSELECT bin_no, " + ", ".join(f"{coordinate_sql('bin_no', GRID, i)} AS c{i}" for i in range(GRID.dims)) + " FROM counts",
+    HIST.with_base() + "\nSELECT bin_no, " + ", ".join(f"{coordinate_sql('bin_no', GRID, i)} AS c{i}" for i in range(GRID.dims)) + " FROM counts",
 )
 def q_bin_coordinates(spark, sf):
-    return with_cell_coordinates(wb(spark, sf).counts().select("bin_no"), GRID)
+    return with_cell_coordinates(whole(spark, sf).counts().select("bin_no"), GRID)
 
 
 @register(
     "bin_ancestors",
-    with_base()
+    HIST.with_base()
     + "\n"
     + "\nUNION ALL\n".join(
         f"SELECT bin_no, CAST({lv} AS BIGINT) AS level, {ancestor_sql('bin_no', GRID, lv)} AS ancestor_id FROM counts"
@@ -434,7 +443,7 @@ def q_bin_coordinates(spark, sf):
     ),
 )
 def q_bin_ancestors(spark, sf):
-    cells = wb(spark, sf).counts().select("bin_no")
+    cells = whole(spark, sf).counts().select("bin_no")
     lv = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GRID.dims).cast("bigint"))).alias("level")
     anc = F.lit(0).cast("bigint")
     for level in range(1, GRID.dims + 1):
@@ -444,18 +453,18 @@ def q_bin_ancestors(spark, sf):
 
 @register(
     "dense_histogram",
-    with_base() + f"\nSELECT r.range AS bin_no, CAST(COALESCE(c.n, 0) AS BIGINT) AS n FROM range({GRID.cells}) r LEFT JOIN counts c ON c.bin_no = r.range",
+    HIST.with_base() + f"\nSELECT r.range AS bin_no, CAST(COALESCE(c.n, 0) AS BIGINT) AS n FROM range({GRID.cells}) r LEFT JOIN counts c ON c.bin_no = r.range",
 )
 def q_dense_histogram(spark, sf):
-    return dense_histogram(spark, wb(spark, sf).counts(), GRID)
+    return dense_histogram(spark, whole(spark, sf).counts(), GRID)
 
 
 # ----------------------------------------------------- E: histogram
 
 
-@register("bin_histogram", with_base() + "\nSELECT bin_no, n FROM counts")
+@register("bin_histogram", HIST.with_base() + "\nSELECT bin_no, n FROM counts")
 def q_bin_histogram(spark, sf):
-    return wb(spark, sf).counts()
+    return whole(spark, sf).counts()
 
 
 def _tree_sql() -> str:
@@ -463,7 +472,7 @@ def _tree_sql() -> str:
     coords = ", ".join(f"{coordinate_sql('bin_no', GRID, i)} AS c{i}" for i in range(d))
     cs = ", ".join(f"c{i}" for i in range(d))
     node = " + ".join(f"COALESCE(c{i}, 0) * {m}" for i, m in enumerate(GRID.multipliers))
-    return with_base(
+    return HIST.with_base(
         cc=f"SELECT n, {coords} FROM counts",
         tree=f"SELECT CAST({d} - bit_count(grouping_id({cs})) AS BIGINT) AS level, CAST({node} AS BIGINT) AS node_id, "
         f"CAST(sum(n) AS BIGINT) AS subtotal FROM cc GROUP BY ROLLUP({cs})",
@@ -472,7 +481,7 @@ def _tree_sql() -> str:
 
 @register("histogram_tree", _tree_sql() + "\nSELECT level, node_id, subtotal FROM tree")
 def q_histogram_tree(spark, sf):
-    return histogram_tree(wb(spark, sf).counts(), GRID)
+    return histogram_tree(whole(spark, sf).counts(), GRID)
 
 
 @register(
@@ -483,17 +492,17 @@ def q_histogram_tree(spark, sf):
     + " ELSE CAST(0 AS BIGINT) END AS node_id, node_id AS child_id, subtotal AS child_subtotal FROM tree WHERE level >= 1",
 )
 def q_tree_children(spark, sf):
-    return tree_children(histogram_tree(wb(spark, sf).counts(), GRID), GRID)
+    return tree_children(histogram_tree(whole(spark, sf).counts(), GRID), GRID)
 
 
 @register(
     "level_targets",
-    with_base(tg=targets_sql("counts", GRID, CFG.n_groups))
+    HIST.with_base(tg=targets_sql("counts", GRID, CFG.n_groups))
     + "\n"
     + "\nUNION ALL\n".join(f"SELECT CAST({lv} AS BIGINT) AS level, q{lv} AS target FROM tg" for lv in range(GRID.dims)),
 )
 def q_level_targets(spark, sf):
-    tot = wb(spark, sf).counts().agg(F.sum("n").alias("total"))
+    tot = whole(spark, sf).counts().agg(F.sum("n").alias("total"))
     qs = level_target_cols(F.coalesce(F.col("total"), F.lit(0)), CFG.n_groups, GRID.dims)
     stack = tot.select(*[q.alias(f"q{i}") for i, q in enumerate(qs)])
     return stack.selectExpr(
@@ -503,14 +512,14 @@ def q_level_targets(spark, sf):
 
 @register(
     "axis_cut",
-    with_groups()
+    HIST.with_groups()
     + "\n"
     + "\nUNION ALL\n".join(
         f"SELECT CAST({lv} AS BIGINT) AS level, path, s, e, CAST(tot AS BIGINT) AS total FROM g_runs{lv}" for lv in range(GRID.dims)
     ),
 )
 def q_axis_cut(spark, sf):
-    g = wb(spark, sf).grouping()
+    g = whole(spark, sf).grouping()
     out = None
     for lv in range(GRID.dims):
         r = g.runs(lv).select(F.lit(lv).cast("bigint").alias("level"), "path", "s", "e", F.col("tot").alias("total"))
@@ -521,9 +530,9 @@ def q_axis_cut(spark, sf):
 BOUNDS = [f for i in range(GRID.dims) for f in (f"lo{i}", f"hi{i}")]
 
 
-@register("equi_depth_groups", with_groups() + f"\nSELECT group_id, group_key, {', '.join(BOUNDS)}, total FROM g_groups")
+@register("equi_depth_groups", HIST.with_groups() + f"\nSELECT group_id, group_key, {', '.join(BOUNDS)}, total FROM g_groups")
 def q_equi_depth_groups(spark, sf):
-    return wb(spark, sf).grouping().groups
+    return whole(spark, sf).grouping().groups
 
 
 def _members_sql() -> str:
@@ -542,27 +551,27 @@ def _members_sql() -> str:
 MEMBERS = f"SELECT m.group_id, m.bin_no, CAST(COALESCE(c.n, 0) AS BIGINT) AS n FROM ({_members_sql()}) m LEFT JOIN counts c ON c.bin_no = m.bin_no"
 
 
-@register("group_members", with_groups(mem=MEMBERS) + "\nSELECT group_id, bin_no, n FROM mem")
+@register("group_members", HIST.with_groups(mem=MEMBERS) + "\nSELECT group_id, bin_no, n FROM mem")
 def q_group_members(spark, sf):
-    w = wb(spark, sf)
+    w = whole(spark, sf)
     return group_members(w.grouping(), w.counts())
 
 
-@register("group_totals", with_groups() + "\nSELECT group_id, total FROM g_groups")
+@register("group_totals", HIST.with_groups() + "\nSELECT group_id, total FROM g_groups")
 def q_group_totals(spark, sf):
-    return wb(spark, sf).grouping().groups.select("group_id", "total")
+    return whole(spark, sf).grouping().groups.select("group_id", "total")
 
 
-@register("group_count", with_groups() + f"\nSELECT CAST({CFG.n_groups} AS BIGINT) AS n_wanted, count(*) AS n_groups FROM g_groups")
+@register("group_count", HIST.with_groups() + f"\nSELECT CAST({CFG.n_groups} AS BIGINT) AS n_wanted, count(*) AS n_groups FROM g_groups")
 def q_group_count(spark, sf):
-    return wb(spark, sf).grouping().groups.agg(
+    return whole(spark, sf).grouping().groups.agg(
         F.lit(CFG.n_groups).cast("bigint").alias("n_wanted"), F.count(F.lit(1)).alias("n_groups")
     )
 
 
-@register("assign_bin_group", with_groups() + "\nSELECT key, bin_no, group_id FROM routed")
+@register("assign_bin_group", HIST.with_groups() + "\nSELECT key, bin_no, group_id FROM routed")
 def q_assign_bin_group(spark, sf):
-    return wb(spark, sf).routed().select("key", "bin_no", "group_id")
+    return whole(spark, sf).routed().select("key", "bin_no", "group_id")
 
 
 # ---------------------------------------------------------- G: training
@@ -670,14 +679,14 @@ def q_strategy_report(spark, sf):
 
 @register(
     "group_balance",
-    with_groups(
+    HIST.with_groups(
         mean="SELECT CASE WHEN count(*) > 0 THEN CAST(CAST(sum(total) AS BIGINT) // count(*) AS DOUBLE) END AS mean FROM g_groups"
     )
     + "\nSELECT group_id, total, mean, mean * CAST('0.9' AS DOUBLE) AS lower, mean * CAST('1.1' AS DOUBLE) AS upper, "
     "(total > mean * CAST('0.9' AS DOUBLE) AND total < mean * CAST('1.1' AS DOUBLE)) AS balanced FROM g_groups CROSS JOIN mean",
 )
 def q_group_balance(spark, sf):
-    return quality.group_balance(wb(spark, sf).grouping().groups)
+    return quality.group_balance(whole(spark, sf).grouping().groups)
 
 
 def _adjacency_sql() -> str:
@@ -691,7 +700,7 @@ def _adjacency_sql() -> str:
         f"SELECT DISTINCT c.group_id, c.bin_no FROM ({cand}) c WHERE EXISTS "
         "(SELECT 1 FROM mem o WHERE o.group_id = c.group_id AND o.bin_no = c.nb)"
     )
-    return with_groups(mem=MEMBERS, linked=linked) + (
+    return HIST.with_groups(mem=MEMBERS, linked=linked) + (
         "\nSELECT m.group_id, count(*) AS n_cells, CAST(sum(CASE WHEN l.bin_no IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_isolated, "
         "sum(CASE WHEN l.bin_no IS NULL THEN 1 ELSE 0 END) = 0 AS adjacent "
         "FROM mem m LEFT JOIN linked l ON l.group_id = m.group_id AND l.bin_no = m.bin_no GROUP BY m.group_id"
@@ -700,7 +709,7 @@ def _adjacency_sql() -> str:
 
 @register("group_adjacency", _adjacency_sql())
 def q_group_adjacency(spark, sf):
-    w = wb(spark, sf)
+    w = whole(spark, sf)
     return quality.group_adjacency(group_members(w.grouping()), GRID)
 
 
@@ -710,14 +719,14 @@ def _distance_sql() -> str:
         for i in range(GRID.dims)
     )
     cells = route_sql("counts", GRID, compatible=False)
-    return with_groups(cg=cells) + (
+    return HIST.with_groups(cg=cells) + (
         f"\nSELECT c.bin_no, c.group_id, CAST({terms} AS BIGINT) AS dist2 FROM cg c JOIN g_groups g ON g.group_id = c.group_id"
     )
 
 
 @register("bin_distance", _distance_sql())
 def q_bin_distance(spark, sf):
-    w = wb(spark, sf)
+    w = whole(spark, sf)
     cells = route(w.counts().select("bin_no"), w.grouping(), compatible=False).where(F.col("group_id").isNotNull())
     g = w.grouping().groups.select(F.col("group_id").alias("gid"), "group_key")
     j = cells.join(broadcast_if_small(g, w.grouping().n_groups), F.col("group_id") == F.col("gid"))
@@ -745,19 +754,23 @@ VEC_CFG = Config(
     n_groups=8,
     n_parts=4,
 )
-# far more cells than the training rows fill, and many groups: empty cells,
-# and held-out rows in cells of no group
+EV_HIST_CFG = replace(EV_CFG, train_share=None)
+# far more cells than rows, and many groups: most cells are empty
 SPARSE_CFG = Config(
-    view="points_ev", features=("x0", "x1", "x2"), scaled=True, train_share=0.02, partitions=8,
-    grid=Grid.of(("x0", 0.0, 1.0, 24), ("x1", 0.0, 1.0, 12), ("x2", 0.0, 1.0, 8)),
+    view="points_ev", features=("x0", "x1", "x2"), scaled=True, partitions=8,
+    grid=Grid.of(("x0", 0.0, 1.0, 96), ("x1", 0.0, 1.0, 64), ("x2", 0.0, 1.0, 24)),
     n_groups=60,
 )
+# groups of the training rows alone: held-out rows may lie in cells of no group
+SPARSE_SPLIT_CFG = replace(SPARSE_CFG, train_share=0.7)
 # rows with null and NaN features
 DIRTY_CFG = Config(
     view="points_dirty", scaled=True, train_share=0.7, partitions=8, iter_ensemble=30,
     grid=Grid.of(("x0", 0.0, 1.0, 6), ("x3", 0.0, 1.0, 6)), n_groups=4, n_parts=5,
 )
 SPARSE = Suite(SPARSE_CFG)
+SPARSE_SPLIT = Suite(SPARSE_SPLIT_CFG)
+EV_HIST = Suite(EV_HIST_CFG)
 DIRTY = Suite(DIRTY_CFG)
 EV = Suite(EV_CFG)
 VEC = Suite(VEC_CFG)
@@ -769,14 +782,14 @@ def _weights(models, spark, k):
     return t.select("model_id", "n", *[r4(F.col(f"w{j}")).alias(f"w{j}") for j in range(k)])
 
 
-@register("equi_depth_groups_events", EV.with_groups() + f"\nSELECT group_id, group_key, {', '.join(EV_BOUNDS)}, total FROM g_groups")
+@register("equi_depth_groups_events", EV_HIST.with_groups() + f"\nSELECT group_id, group_key, {', '.join(EV_BOUNDS)}, total FROM g_groups")
 def q_equi_depth_groups_events(spark, sf):
-    return workbench(spark, sf, EV_CFG).grouping().groups
+    return workbench(spark, sf, EV_HIST_CFG).grouping().groups
 
 
-@register("assign_bin_group_events", EV.with_groups() + "\nSELECT key, bin_no, group_id FROM routed")
+@register("assign_bin_group_events", EV_HIST.with_groups() + "\nSELECT key, bin_no, group_id FROM routed")
 def q_assign_bin_group_events(spark, sf):
-    return workbench(spark, sf, EV_CFG).routed().select("key", "bin_no", "group_id")
+    return workbench(spark, sf, EV_HIST_CFG).routed().select("key", "bin_no", "group_id")
 
 
 @register("train_per_part_embeddings", VEC.with_base(**VEC.trained("wpart")) + f"\nSELECT model_id, n, {VEC.w_cols} FROM wpart_final")
@@ -828,12 +841,12 @@ def q_assign_bin_group_sparse(spark, sf):
 
 @register(
     "unassigned_rows_sparse",
-    SPARSE.with_groups(strict=route_sql("bins", SPARSE_CFG.grid, compatible=False))
+    SPARSE_SPLIT.with_groups(strict=route_sql("bins", SPARSE_CFG.grid, compatible=False))
     + "\nSELECT count(*) AS n, count(*) FILTER (WHERE group_id IS NULL) AS n_unassigned FROM strict",
 )
 def q_unassigned_rows_sparse(spark, sf):
     """Rows in cells of no group, which compatible routing sends to group 0."""
-    w = workbench(spark, sf, SPARSE_CFG)
+    w = workbench(spark, sf, SPARSE_SPLIT_CFG)
     strict = route(w.binned(), w.grouping(), compatible=False)
     return strict.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("group_id").isNull(), 1)).alias("n_unassigned"))
 

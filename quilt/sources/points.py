@@ -133,6 +133,22 @@ def _embeddings(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return v.select(*_points(_s(F.col("vec_id")), F.when(F.col("label") >= 5, 1.0).otherwise(0.0), xs))
 
 
+def vector_points(spark: SparkSession, sf_dir: str, view: str, label: str | None = None) -> DataFrame:
+    """A view's points with all features in one array column: ``(key, label, x)``.
+    A plan over it stays as small as over one feature."""
+    if view != "points_vec":
+        df = points(spark, sf_dir, view, label)
+        return df.select("key", "label", F.array(*features(df)).alias("x"))
+    v = read_table(spark, sf_dir, "embeddings")
+    wrong = F.raise_error(F.concat(F.lit("embedding width: "), F.size("embedding").cast("string")))
+    none = F.array_repeat(F.lit(None).cast("double"), EMBED_DIM)
+    x = F.when(F.col("embedding").isNull(), none).when(F.size("embedding") != EMBED_DIM, wrong).otherwise(
+        F.transform("embedding", lambda e: e.cast("double") + F.lit(0.0))
+    )
+    lab = F.when(F.col("label") >= 5, 1.0).otherwise(0.0)
+    return v.select(_s(F.col("vec_id")).alias("key"), lab.alias("label"), x.alias("x"))
+
+
 def _embeddings_sql(label: str) -> str:
     return _sql(
         "CAST(vec_id AS VARCHAR)",
@@ -225,6 +241,15 @@ def unit_scaled(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFr
     ])
 
 
+def unit_scaled_array(df: DataFrame, bounds: list[tuple[float, float]], column: str = "x") -> DataFrame:
+    """The same for features in one array column, in the order of ``bounds``."""
+    lo, size = (F.array(*[F.lit(float(v)) for v in vs]) for vs in ([a for a, _ in bounds], [b - a for a, b in bounds]))
+    moved = F.transform(
+        column, lambda v, i: F.when(F.get(size, i) > 0, (v - F.get(lo, i)) / F.get(size, i)).otherwise(F.lit(0.0))
+    )
+    return df.withColumn(column, moved)
+
+
 def unit_scaled_sql(rows: str, bounds: str, columns: list[str]) -> str:
     """The same over CTEs ``rows`` and ``bounds`` (one row: lo_x0, hi_x0, ..)."""
     cols = ", ".join(
