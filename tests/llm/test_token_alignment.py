@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SF001
 
@@ -109,8 +110,8 @@ def test_units_align_as_whole_texts(one):
     for text in corpus(200, 9):
         if not text:
             continue
-        whole, parts = one.align(text), [one.align(u) for u in one.units(text)]
-        assert (whole is None) == (None in parts), text
+        (whole,), parts = one.spans([text]), one.spans(one.units(text))
+        assert (whole is None) == any(p is None for p in parts), text
         if whole is None:
             assert plain(one, text) is None
             continue
@@ -124,19 +125,24 @@ def test_units_align_as_whole_texts(one):
         assert a == [(i, e) for i, _, e in x] and b == [(i, e) for i, _, e in y]
 
 
-def test_links_and_groups_of_a_small_case():
-    got = T.Aligned([1, 2, 3], [7, 8, 9], [2, 5, 8], [3, 5, 8])
-    assert got.groups() == [([1, 2], [7, 8]), ([3], [9])]
-    assert got.links() == [(1, 7), (2, 7), (2, 8), (3, 9)]
+def test_links_and_groups_of_a_small_case(one):
+    spans = T.Spans(*map(np.array, ([1, 2, 3], [7, 8, 9], [2, 5, 8], [3, 5, 8])))
+    got = T.cut(one, spans, np.array([5, 8]))
+    assert got.written == ["1,2|7,8;", "3|9;"] and got.figures.tolist() == [[2, 2, 1, 3], [1, 1, 1, 1]]
+    assert [divmod(x, 1 << T.ID_BITS) for x in got.links.tolist()] == [(1, 7), (2, 7), (2, 8), (3, 9)] and got.first.tolist() == [0, 3, 4]
 
 
-def test_counts_handed_on_in_parts(spark, one, monkeypatch):
-    monkeypatch.setattr(T, "TASK_PAIRS", 5)
+def test_small_memos_and_chunks_change_nothing(spark, one, monkeypatch):
     monkeypatch.setattr(T, "MEMO_UNITS", 4)
     monkeypatch.setattr(T, "MEMO_CHARS", 3)
+    monkeypatch.setattr(T, "CHUNK_UNITS", 3)
+    monkeypatch.setattr(T, "TEXTS", 4)
     texts = corpus(15, 5)
-    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in T.align_tokens(table(spark, texts).coalesce(1), A, B).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(one, texts)
+    units = T.Units(one)
+    got = [units.texts(texts[i : i + 4]) for i in range(0, len(texts), 4)]
+    want = brute(one, texts)
+    assert [tuple(r) for g in got for r in g[0].tolist()] == [w[:4] for w in want]
+    assert [d for g in got for d in g[1]] == [w[6] for w in want]
 
 
 def test_empty_table(spark):
