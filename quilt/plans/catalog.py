@@ -8,6 +8,7 @@ two engines sum in different orders and agree to about 1e-12 relative.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from typing import Callable
 
@@ -24,9 +25,9 @@ from quilt.operators.metrics import accuracy, auc
 from quilt.operators.partition import filter_part, random_part_sizes, sample_hash, sample_native
 from quilt.plans.ensembles import Config, workbench
 from quilt.plans.sqlgen import cte, grouping_sql, route_sql, targets_sql, train_sql
-from quilt.session import broadcast_if_small
+from quilt.session import broadcast_if_small, ensure_checkpoint_dir
 from quilt.sources.points import VIEWS, points, points_sql, read_table, unit_scaled_sql
-from quilt.sources.text import document_lines, drop_marker_lines, parse_points, render_lines
+from quilt.sources.text import document_lines, drop_marker_lines, parse_points, render_lines, scan_lines, write_lines
 
 CFG = Config(
     label="price", scaled=True, train_share=0.7, partitions=8,
@@ -225,6 +226,35 @@ def q_drop_marker_lines(spark, sf):
     return drop_marker_lines(document_lines(read_table(spark, sf, "documents")), MARKER)
 
 
+# Documents' lines written as text files (250 ids each), some with a byte that is
+# no UTF-8, and read again from the files.
+IDS_PER_FILE, BROKEN_EVERY = 250, 7
+DOCUMENT_LINES_SQL = (
+    "SELECT doc_id, CAST(unnest(generate_series(0, len(p) - 1)) AS BIGINT) AS line_no, "
+    "unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)"
+)
+
+
+@register(
+    "scan_text_lines",
+    cte(
+        lines=DOCUMENT_LINES_SQL,
+        broken=f"SELECT doc_id, line_no, (doc_id + line_no) % {BROKEN_EVERY} = 0 AS bad, line FROM lines",
+    )
+    + f"\nSELECT doc_id // {IDS_PER_FILE} AS part, "
+    f"row_number() OVER (PARTITION BY doc_id // {IDS_PER_FILE} ORDER BY doc_id, line_no) - 1 AS line_no, "
+    "CASE WHEN bad THEN chr(65533) || line ELSE line END AS line, bad AS bad_encoding FROM broken",
+)
+def q_scan_text_lines(spark, sf):
+    lines = document_lines(read_table(spark, sf, "documents"))
+    bad = (F.col("doc_id") + F.col("line_no")) % BROKEN_EVERY == 0
+    wrong = F.concat(F.unhex(F.lit("FF")).cast("string"), F.col("line"))
+    lines = lines.select("doc_id", "line_no", F.expr(f"doc_id div {IDS_PER_FILE}").alias("part"), F.when(bad, wrong).otherwise(F.col("line")).alias("line"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    write_lines(lines, path, "part", ["doc_id", "line_no"])
+    return scan_lines(spark, path).select(F.col("part").cast("bigint").alias("part"), "line_no", "line", "bad_encoding")
+
+
 def _parse_sql() -> str:
     fields = ", ".join(["CAST(label AS VARCHAR)"] + [f"CAST(x{j} AS VARCHAR)" for j in range(len(FEATS))])
     lines = f"SELECT key, concat_ws(',', {fields}) AS line FROM pts"
@@ -806,6 +836,17 @@ def q_predict_vote_embeddings(spark, sf):
     return scored.select("key", "label", F.col("ones").cast("bigint").alias("ones"), "prediction")
 
 
+# very many small models: the vote is a matrix product
+MANY_CFG = replace(CFG, n_parts=2000, iter_ensemble=5)
+MANY = Suite(MANY_CFG)
+
+
+@register("predict_vote_many", MANY.with_base(**MANY.trained("wpart"), sv=MANY.scored_vote) + "\nSELECT key, label, ones, prediction FROM sv")
+def q_predict_vote_many(spark, sf):
+    scored = workbench(spark, sf, MANY_CFG).scored_vote()
+    return scored.select("key", "label", F.col("ones").cast("bigint").alias("ones"), "prediction")
+
+
 @register("strategy_report_embeddings", _report_sql(VEC))
 def q_strategy_report_embeddings(spark, sf):
     return workbench(spark, sf, VEC_CFG).report()

@@ -11,9 +11,11 @@ yields nulls and flags such lines as ``bad`` instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quilt.session import broadcast_if_small, cut_lineage
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A1: text file(s) -> ``line``."""
@@ -78,3 +80,32 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line")).select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line"
     )
+
+
+def write_lines(lines: DataFrame, path: str, file_col: str, order: list[str], col: str = "line") -> None:
+    """Lines as text files under ``path``, one for each value of ``file_col``
+    (folder ``file_col=value``), in the order given."""
+    rows = lines.repartition(file_col).sortWithinPartitions(file_col, *order)
+    rows.select(file_col, F.col(col).alias("value")).write.option("lineSep", "\n").partitionBy(file_col).text(path)
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A1 with a place for every line: ``(file, line_no, line, bad_encoding)`` and
+    the partition columns of the path. ``line_no`` counts from 0 in each file,
+    whatever splits it was read in: a split numbers its own lines, and a table
+    with one row per split shifts them. Only a newline ends a line. Bytes that are
+    no UTF-8 become the replacement sign, and such a line is ``bad_encoding``."""
+    read = spark.read.option("lineSep", "\n").text(path)
+    own = [c for c in read.columns if c != "value"]
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("__split")
+    # (numbers depend on the files and their splits alone, so both reads agree)
+    rows = read.select(*own, place, F.monotonically_increasing_id().alias("__id"), "value")
+    splits = rows.groupBy("__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = Window.partitionBy("__split.file_path").orderBy("__split.file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = cut_lineage(splits.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first"))
+    # a row per split: the path and two numbers
+    joined = rows.join(broadcast_if_small(shift, shift.count(), 40), "__split")
+    return joined.select(
+        *own, F.col("__split.file_path").alias("file"), (F.col("__id") + F.col("__shift")).cast("bigint").alias("line_no"),
+        F.make_valid_utf8("value").alias("line"), (~F.is_valid_utf8("value")).alias("bad_encoding"),
+    )

@@ -212,3 +212,78 @@ def test_no_rows_no_models(spark):
     df = spark.createDataFrame([], "key string, label double, x0 double, g bigint")
     m = fit(df, ["x0"], "g", iterations=3)
     assert m.weights == {} and m.counts == {}
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    rng = np.random.default_rng(11)
+    n, k = 300, 64
+    x = rng.normal(size=(n, k))
+    y = (x[:, :5].sum(axis=1) > 0).astype(float)
+    rows = [(str(i), float(y[i]), [float(v) for v in x[i]], int(i % 3)) for i in range(n)]
+    rows += [("null", 1.0, None, 0), ("short", 1.0, [1.0] * 63, 0), ("nan", 0.0, [NAN] + [1.0] * 63, 1), ("hole", 0.0, [None] + [1.0] * 63, 1)]
+    return spark.createDataFrame(rows, "key string, label double, x array<double>, g bigint"), x, y
+
+
+def test_one_array_column_is_as_good_as_many_columns(spark, wide):
+    df, x, y = wide
+    names = [f"x{j}" for j in range(64)]
+    m = fit(df, names, "g", iterations=4, array="x")
+    assert m.counts == {0: 100, 1: 100, 2: 100}
+    for i in range(3):
+        assert np.allclose(m.weights[i], numpy_gd(x[np.arange(300) % 3 == i], y[np.arange(300) % 3 == i], 4), rtol=1e-11)
+    one = fit(df, names, None, iterations=4, array="x")
+    w = np.array([m.weights[i % 3] for i in range(300)])
+    for out, want in (
+        (predict_routed(df, m, "g"), 1 / (1 + np.exp(-(x * w).sum(axis=1)))),
+        (predict_global(df, one), 1 / (1 + np.exp(-(x @ np.array(one.weights[0]))))),
+    ):
+        got = {r.key: (r.probability, r.prediction) for r in out.collect()}
+        assert np.allclose([got[str(i)][0] for i in range(300)], want, rtol=1e-11)
+        assert all(got[k] == (None, None) for k in ("null", "short", "nan", "hole"))
+    plan = predict_routed(df, m, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 5000  # as large for 64 features as for two
+
+
+@pytest.mark.parametrize("block", [32 << 20, 50_000])
+def test_a_vote_of_two_thousand_models(spark, wide, monkeypatch, block):
+    from quilt.operators import score
+
+    monkeypatch.setattr(score, "VOTE_BLOCK_BYTES", block)
+    monkeypatch.setattr(score, "VOTE_CELLS", 10_000)
+    df, x, _ = wide
+    weights = np.random.default_rng(3).normal(size=(2000, 64))
+    if block < 1 << 20:
+        weights = weights[:500]  # six blocks of 97: three passes over the rows
+    m = Models([f"x{j}" for j in range(64)], {7 * i: w.tolist() for i, w in enumerate(weights)}, {}, 1, array="x")
+    got = {r.key: (r.ones, r.prediction) for r in predict_vote(df, m, 0.499999).collect()}
+    want = (1 / (1 + np.exp(-(x @ weights.T))) > 0.499999).sum(axis=1)
+    assert [got[str(i)] for i in range(300)] == [(int(v), float(2 * v > len(weights))) for v in want]
+    assert got["nan"] == (None, None) and got["null"] == (None, None)
+
+
+def test_votes_by_expression_and_by_matrix_agree(spark, toy):
+    df, *_ = toy
+    m = fit(df, ["x0", "x1", "x2"], "g", iterations=5)
+    a, b = ({r.key: (r.ones, r.prediction) for r in predict_vote(df, m, 0.4, matrix=how).collect()} for how in (False, True))
+    assert a == b
+
+
+def test_the_least_margin_of_a_class():
+    from quilt.operators.score import _margin_above
+
+    for t in (0.5, 0.499999, 0.1, 0.999, 1e-9):
+        m = _margin_above(t)
+        assert 1 / (1 + np.exp(-m)) > t and not 1 / (1 + np.exp(-np.nextafter(m, -np.inf))) > t
+    assert _margin_above(-1) == -np.inf and _margin_above(1.0) == np.inf
+
+
+def test_several_summaries_equal_single_ones(spark):
+    from quilt.operators.metrics import class_summaries, class_summary
+
+    rows = [(float(i % 2), float(i % 3 == 0), None if i % 7 == 0 else float(i % 5 > 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "label double, p double, q double")
+    both = {r["name"]: tuple(r)[1:] for r in class_summaries(df, {"a": "p", "b": "q"}).collect()}
+    assert both == {"a": tuple(class_summary(df, "p").first()), "b": tuple(class_summary(df, "q").first())}
+    empty = class_summaries(df.where("false"), {"a": "p"}).first()
+    assert (empty["n"], empty["correct"], empty["auc"]) == (0, 0, None)

@@ -81,3 +81,29 @@ def test_embeddings_of_another_width_fail(spark, tmp_path):
     spark.createDataFrame([(1, [1.0] * 65, 3)], "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     with pytest.raises(Exception):
         points(spark, str(tmp_path), "points_vec").collect()
+
+
+def test_lines_are_numbered_per_file_whatever_the_splits(spark, tmp_path):
+    from quilt.sources.text import scan_lines
+
+    texts = {"a": [f"line {i} " + "x" * (i % 50) for i in range(3000)], "b": ["", "only\r", ""], "c": []}
+    for name, lines in texts.items():
+        (tmp_path / f"part={name}").mkdir()
+        (tmp_path / f"part={name}" / "f.txt").write_bytes("\n".join(lines).encode() + (b"\n" if lines else b""))
+    (tmp_path / "part=d").mkdir()
+    (tmp_path / "part=d" / "f.txt").write_bytes(b"ok\n\xff\xfebad\nno newline at the end")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", held):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            out = scan_lines(spark, str(tmp_path))
+            if size == "4k":
+                assert out.rdd.getNumPartitions() > 10
+            got = {}
+            for r in out.collect():
+                got.setdefault(r["part"], {})[r["line_no"]] = (r["line"], r["bad_encoding"])
+            for name, lines in texts.items():
+                assert got.get(name, {}) == {i: (x, False) for i, x in enumerate(lines)}
+            assert got["d"] == {0: ("ok", False), 1: ("��bad", True), 2: ("no newline at the end", False)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
