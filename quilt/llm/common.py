@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quilt.session import cut_lineage, ensure_checkpoint_dir
 
-# A table of ids may be broadcast up to this many rows (16 bytes each, so about
-# 64 MB in an executor); beyond it the join is left to shuffle.
-BROADCAST_IDS = 1_000_000
+# A table of ids may be broadcast up to this size of its values (a hash table of
+# it takes about twice as much in an executor); beyond it the join is shuffled.
+BROADCAST_BYTES = 64 << 20
+TEXT_BYTES = 80  # of a string or binary value, as counted
 
 SLICE_ROWS = 1024
 
@@ -56,10 +58,18 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def row_bytes(kind: T.DataType) -> int:
+    """Bytes of a value of fixed-size fields and short texts, roughly."""
+    if isinstance(kind, T.StructType):
+        return sum(row_bytes(f.dataType) for f in kind) + 8
+    return TEXT_BYTES if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
 def join_ids(left: DataFrame, ids: DataFrame, on: list[str], n_ids: int, how: str = "inner") -> DataFrame:
-    """Join with a table of ids whose row count is known: broadcast when it is
-    small enough, otherwise a shuffled join (AQE splits hot keys)."""
-    return left.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, on, how)
+    """Join with a table of ids whose row count is known: broadcast when its bytes
+    are few, otherwise a shuffled join (AQE splits hot keys)."""
+    small = n_ids * row_bytes(ids.schema) <= BROADCAST_BYTES
+    return left.join(F.broadcast(ids) if small else ids, on, how)
 
 
 def running_offsets(parts: DataFrame, key: str, size: str, out: str) -> DataFrame:

@@ -182,10 +182,10 @@ def _sizes(docs: DataFrame, text: str) -> dict[int, int]:
     return out
 
 
-def _with_node(df: DataFrame, clashes: DataFrame) -> DataFrame:
+def _with_node(df: DataFrame, clashes: DataFrame, n_clashes: int) -> DataFrame:
     """The node is the first half of the key, except where two sets share it."""
     return (
-        df.join(F.broadcast(clashes), "_k1", "left")
+        join_ids(df, clashes, ["_k1"], n_clashes, "left")
         .withColumn("_node", F.when(F.col("_clash"), F.xxhash64("_k1", "_k2")).otherwise(F.col("_k1")))
         .drop("_clash")
     )
@@ -251,28 +251,29 @@ def jaccard_components(
     def describe(batch):
         flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
         k1, k2 = _keys(flat, n)
-        posts = pa.array(postings(spec, deletions, flat, n), POSTS)
-        return {
-            "_id": batch.column("_id"), "_n": pa.array(n), "_k1": pa.array(k1), "_k2": pa.array(k2),
-            "_posts": posts,
-        }
+        return {"_id": batch.column("_id"), "_n": pa.array(n), "_k1": pa.array(k1), "_k2": pa.array(k2)}
 
     kind = base.schema["_id"].dataType.simpleString()
-    described = save(map_batches(
-        base, describe,
-        f"_id {kind}, _n bigint, _k1 bigint, _k2 bigint,"
-        " _posts array<struct<_band: int, _drop: int, _sigs: array<bigint>>>",
-    ))
+    described = save(map_batches(base, describe, f"_id {kind}, _n bigint, _k1 bigint, _k2 bigint"))
     clashes = save(
         described.where("_n > 0").groupBy("_k1")
         .agg((F.min("_k2") != F.max("_k2")).alias("_clash")).where("_clash")
     )
-    described = _with_node(described, clashes)
+    n_clashes = clashes.count()
+    described = _with_node(described, clashes, n_clashes)
 
-    # contents that several nodes have, with how many rows have them
-    posted = described.select("_node", F.explode("_posts").alias("_post")).select(
+    # signatures are many times the ids: worked out where they are used, not kept
+    def post(batch):
+        flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
+        k1, k2 = _keys(flat, n)
+        posts = pa.array(postings(spec, deletions, flat, n), POSTS)
+        return {"_k1": pa.array(k1), "_k2": pa.array(k2), "_posts": posts}
+
+    posts = map_batches(base, post, "_k1 bigint, _k2 bigint, _posts array<struct<_band: int, _drop: int, _sigs: array<bigint>>>")
+    posted = _with_node(posts, clashes, n_clashes).select("_node", F.explode("_posts").alias("_post")).select(
         "_node", "_post._band", "_post._drop", F.explode("_post._sigs").alias("_sig")
     )
+    # contents that several nodes have, with how many rows have them
     shared = save(
         posted.groupBy("_sig")
         .agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi"), F.count(F.lit(1)).alias("_rows"))
@@ -301,7 +302,7 @@ def jaccard_components(
         }
 
     wanted = save(members.select("_node").distinct())
-    sets = _with_node(map_batches(base, sets_of, "_k1 bigint, _k2 bigint, _set array<bigint>"), clashes)
+    sets = _with_node(map_batches(base, sets_of, "_k1 bigint, _k2 bigint, _set array<bigint>"), clashes, n_clashes)
     sets = save(
         join_ids(sets, wanted, ["_node"], wanted.count())
         .groupBy("_node").agg(F.first("_set").alias("_set"))
