@@ -31,11 +31,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id. Rows are told apart by id and
     text; of rows that repeat both, one stays."""
-    key = F.struct(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s"))
+    key = F.struct(F.col("doc_id").alias("i"), F.unhex("text_sha256").alias("s"))
     told = exact_dedup(docs).select("kept", key.alias("_key"))
     gone = save(told.where("not kept").select("_key").distinct())
     again = save(told.where("kept").select("_key").join(gone, "_key").distinct())
-    sha = F.sha2(F.encode(normalise(F.col("text")), "UTF-8"), 256)
+    sha = F.unhex(F.sha2(F.encode(normalise(F.col("text")), "UTF-8"), 256))
     rows = docs.withColumn("_key", F.struct(F.col("doc_id").alias("i"), sha.alias("s")))
     out = join_ids(rows, gone, ["_key"], gone.count(), "left_anti").select(docs.columns)
     n = again.count()
@@ -49,7 +49,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (word shingles of five, similarity 0.8)
     the row with the smallest id. Rows are told apart by id and text, as in
     ``drop_exact``; a row without an id stays only where no other does."""
-    sha = F.sha2(F.encode(normalise(F.col("text")), "UTF-8"), 256)
+    sha = F.unhex(F.sha2(F.encode(normalise(F.col("text")), "UTF-8"), 256))
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), sha.alias("s"))
     rows = docs.withColumn("_key", key)
     groups = jaccard_components(rows, Jaccard(width=5, num=80, den=100), id_col="_key")
