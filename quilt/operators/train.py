@@ -146,6 +146,8 @@ def fit(
     partitions: int | None = None,
     vectorized: bool | None = None,
     array: str | None = None,
+    state: str | None = None,
+    every: int = 10,
 ) -> Models:
     """One model per distinct ``model_col`` value (one model overall
     when ``model_col`` is None). Rows with a null model id, and rows that are
@@ -153,7 +155,11 @@ def fit(
     partitions once, for inputs with fewer splits than cores; by default the
     splits of the input stay as they are (they bound the bytes of a cached
     block). ``vectorized`` forces how a step is computed. ``array`` names a
-    column that holds all ``features`` as one array."""
+    column that holds all ``features`` as one array. ``state`` names a folder on
+    shared storage that belongs to these rows: every ``every`` steps the weights
+    are written there, and a run that finds steps of its own (same features,
+    pieces and step size) goes on from the last, with the same weights as a run
+    that was never interrupted."""
     spark = points.sparkSession
     k = len(features)
     mid = (F.col(model_col) if model_col else F.lit(0)).cast("bigint")
@@ -174,11 +180,15 @@ def fit(
     weights: dict[int, list[float]] = {}
     counts: dict[int, int] = {}
     history = []
+    done = 0
+    if state is not None:
+        state = f"{state.rstrip('/')}/{_run_name(features, model_col, step, array)}"
+        done, weights, counts = load_state(spark, state, iterations)
     try:
-        for t in range(1, iterations + 1):
+        for t in range(done + 1, iterations + 1):
             t0 = time.time()
             current = weights if t > 1 else None
-            if t == 2 and not wide and not _dense(weights, k):
+            if current and not wide and not _dense(weights, k):
                 # ids with wide gaps: from here on as one array per row
                 wide = True
                 xs = F.array(*[F.col(f"x{j}") for j in range(k)]).alias("x")
@@ -205,6 +215,8 @@ def fit(
                 w = weights.get(m, [0.0] * k)
                 weights[m] = [w[j] - rate * (g[j] / counts[m]) for j in range(k)]
             history.append(time.time() - t0)
+            if state is not None and (t % every == 0 or t == iterations):
+                save_state(spark, state, t, weights, counts)
     finally:
         spark.catalog.dropTempView(view)
         data.unpersist()
@@ -215,3 +227,33 @@ def _dense(weights: dict[int, list[float]], k: int) -> bool:
     """Ids 0..max with few gaps, and few enough weights for literal arrays."""
     lo, hi = min(weights), max(weights)
     return lo >= 0 and hi + 1 <= 4 * len(weights) and (hi + 1) * k <= ARRAY_MAX_WEIGHTS
+
+
+def _run_name(features: list[str], model_col: str | None, step: float, array: str | None) -> str:
+    import hashlib
+
+    return "run-" + hashlib.sha256(repr((features, model_col, step, array)).encode()).hexdigest()[:16]
+
+
+def save_state(spark: SparkSession, path: str, t: int, weights: dict[int, list[float]], counts: dict[int, int]) -> None:
+    """The weights after step ``t``: one file, which appears as a whole."""
+    rows = [(m, counts[m], weights[m]) for m in sorted(weights)]
+    table = spark.createDataFrame(rows, "model_id bigint, n bigint, w array<double>")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/step={t}")
+
+
+def load_state(spark: SparkSession, path: str, most: int) -> tuple[int, dict[int, list[float]], dict[int, int]]:
+    """The last step written that is at most ``most``, or 0 and nothing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        steps = spark.read.parquet(path).where(F.col("step") <= most)
+        last = steps.agg(F.max("step")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        last = None
+    if last is None:
+        return 0, {}, {}
+    rows = steps.where(F.col("step") == last).collect()  # one row per model
+    return int(last), {r["model_id"]: list(r["w"]) for r in rows}, {r["model_id"]: r["n"] for r in rows}

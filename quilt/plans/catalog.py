@@ -22,11 +22,13 @@ from quilt.operators import quality, stats
 from quilt.operators.grouping import group_members, level_target_cols, route
 from quilt.operators.histogram import dense_histogram, histogram_tree, tree_children, with_cell_coordinates
 from quilt.operators.metrics import accuracy, auc
+from quilt.operators.newton import fit_newton
 from quilt.operators.partition import filter_part, random_part_sizes, sample_hash, sample_native
+from quilt.operators.train_table import fit_table
 from quilt.plans.ensembles import Config, workbench
-from quilt.plans.sqlgen import cte, grouping_sql, route_sql, targets_sql, train_sql
+from quilt.plans.sqlgen import cte, grouping_sql, newton_sql, route_sql, targets_sql, train_sql
 from quilt.session import broadcast_if_small, ensure_checkpoint_dir
-from quilt.sources.points import VIEWS, points, points_sql, read_table, unit_scaled_sql
+from quilt.sources.points import VIEWS, points, points_sql, read_table, unit_scaled, unit_scaled_sql
 from quilt.sources.text import document_lines, drop_marker_lines, parse_points, render_lines, scan_lines, write_lines
 
 CFG = Config(
@@ -614,6 +616,20 @@ def q_train_global(spark, sf):
     return t.select("model_id", "n", *[r4(F.col(f"w{j}")).alias(f"w{j}") for j in range(len(FEATS))])
 
 
+# the single model at the minimum of its loss (with a small ridge)
+NEWTON_L2, NEWTON_STEPS = 1e-3, 15
+
+
+@register(
+    "train_global_converged",
+    with_base(**newton_sql("SELECT * FROM pts WHERE fit", FEATS, NEWTON_STEPS, NEWTON_L2))
+    + f"\nSELECT CAST(0 AS BIGINT) AS model_id, n, {W_COLS} FROM nw CROSS JOIN nw_n WHERE it = {NEWTON_STEPS}",
+)
+def q_train_global_converged(spark, sf):
+    w = wb(spark, sf)
+    return _weights(fit_newton(w.train(), FEATS, NEWTON_L2, partitions=CFG.partitions).models, spark, len(FEATS))
+
+
 @register("train_per_group", with_groups(**trained("wgrp")) + f"\nSELECT model_id, n, {W_COLS} FROM wgrp_final")
 def q_train_per_group(spark, sf):
     t = wb(spark, sf).models_group().table(spark)
@@ -862,6 +878,25 @@ def q_train_per_group_events(spark, sf):
     return _weights(workbench(spark, sf, EV_CFG).models_group(), spark, len(EV_CFG.features))
 
 
+# one model for every user: the weights are a table that a join updates
+USER_STEPS = 10
+_USERS = EV_HIST.with_base(
+    users="SELECT p.*, CAST(r.x1 AS BIGINT) AS user_id FROM pts p JOIN raw r ON r.key = p.key",
+    **train_sql("SELECT * FROM users", EV.feats, "user_id", USER_STEPS, name="wusr"),
+)
+
+
+@register(
+    "train_per_user",
+    _USERS + f"\nSELECT w.model_id, c.n, {EV.w_cols} FROM wusr w JOIN wusr_n c ON c.model_id = w.model_id WHERE w.it = {USER_STEPS}",
+)
+def q_train_per_user(spark, sf):
+    raw = points(spark, sf, EV_CFG.view).withColumn("user_id", F.col("x1").cast("bigint"))
+    rows = unit_scaled(raw, workbench(spark, sf, EV_HIST_CFG).bounds())
+    t = fit_table(rows, list(EV_CFG.features), "user_id", USER_STEPS, every=5)
+    return t.select("model_id", "n", *[r4(F.col(f"w{j}")).alias(f"w{j}") for j in range(len(EV_CFG.features))])
+
+
 @register("predict_routed_events", EV.with_groups(**EV.trained("wgrp"), sr=EV.scored_routed) + "\nSELECT key, group_id, label, prediction FROM sr")
 def q_predict_routed_events(spark, sf):
     return workbench(spark, sf, EV_CFG).scored_routed().select("key", "group_id", "label", "prediction")

@@ -42,6 +42,42 @@ def train_sql(points: str, features: list[str], model_expr: str, iterations: int
     }
 
 
+def newton_sql(points: str, features: list[str], iterations: int, l2: float, name: str = "nw") -> dict[str, str]:
+    """CTEs ``{name}_p`` (training rows), ``{name}_n`` and ``{name}`` (it, w0, ..):
+    Newton steps on the mean logistic loss with a ridge. The k equations of a step
+    are eliminated and solved back in nested selects, a level for each unknown."""
+    k = len(features)
+    p = f"{name}_p"
+    margin = dot_sql([f"{p}.{c}" for c in features], [f"{name}.w{j}" for j in range(k)])
+    ridge = sql_double(float(l2))
+    prob = sigmoid_sql(margin)
+    ws = [f"w{j}" for j in range(k)]
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [f"any_value({name}.{w}) AS {w}" for w in ws]
+    sums += [f"sum(({prob} - {p}.label) * {p}.{c}) / count(*) + {ridge} * any_value({name}.w{j}) AS g{j}" for j, c in enumerate(features)]
+    sums += [
+        f"sum({prob} * (CAST(1.0 AS DOUBLE) - {prob}) * {p}.{features[i]} * {p}.{features[j]}) / count(*)"
+        + (f" + {ridge}" if i == j else "") + f" AS h{i}_{j}"
+        for i, j in cells
+    ]
+    inner = f"SELECT {name}.it, {', '.join(sums)} FROM {name} CROSS JOIN {p} WHERE {name}.it < {iterations} GROUP BY {name}.it"
+    for c in range(k):  # the matrix is symmetric: only its upper half is kept
+        cols = [*ws, *[f"g{j}" if j <= c else f"g{j} - h{c}_{j} / h{c}_{c} * g{c} AS g{j}" for j in range(k)]]
+        cols += [f"h{i}_{j}" if i <= c else f"h{i}_{j} - h{c}_{i} / h{c}_{c} * h{c}_{j} AS h{i}_{j}" for i, j in cells]
+        inner = f"SELECT it, {', '.join(cols)} FROM ({inner})"
+    for c in range(k - 1, -1, -1):
+        rest = "".join(f" - h{c}_{j} * d{j}" for j in range(c + 1, k))
+        keep = [*ws, *[f"g{j}" for j in range(c)], *[f"h{i}_{j}" for i, j in cells if i < c], *[f"d{j}" for j in range(c + 1, k)]]
+        inner = f"SELECT it, {', '.join(keep)}, (g{c}{rest}) / h{c}_{c} AS d{c} FROM ({inner})"
+    step = ", ".join(f"{w} - d{j} AS {w}" for j, w in enumerate(ws))
+    zeros = ", ".join(f"CAST(0.0 AS DOUBLE) AS {w}" for w in ws)
+    return {
+        p: f"SELECT label, {', '.join(features)} FROM ({points}) WHERE {usable_sql(features)}",
+        f"{name}_n": f"SELECT count(*) AS n FROM {p}",
+        name: f"SELECT 0 AS it, {zeros} FROM {name}_n WHERE n > 0\nUNION ALL\nSELECT it + 1, {step} FROM ({inner})",
+    }
+
+
 def targets_sql(cells: str, grid: Grid, n_groups: int, weight: str = "n") -> str:
     """One row: ``q0..q{D-1}``, the level targets by repeated division."""
     f = sql_double(divide_factor(n_groups, grid.dims))
