@@ -30,11 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quilt.functions.grid import Grid, coordinate
+from quilt.operators.long_axis import long_axis_runs
 from quilt.session import broadcast_if_small, cut_lineage
 
 MEMBER_SPREAD = 100_000  # cells still to generate per row above which rows are reshuffled
 # Beyond this many coordinate prefixes a level table is counted, not bounded.
 STATIC_ROWS = 2_000_000
+# Splits of an axis up to which one row may hold it.
+LONG_AXIS = 100_000
 
 
 def divide_factor(n_groups: int, dims: int) -> float:
@@ -80,9 +83,12 @@ def cut_axis(totals: list[int], q: float) -> list[tuple[int, int, int]]:
 
 
 def axis_runs(per: DataFrame, coord: str, splits: int, target: float) -> DataFrame:
-    """Runs ``(path, s, e, tot)`` from the totals ``(path, coord, w)``. A row holds
-    the occupied coordinates of one box along one axis, at most ``splits``; the
-    greedy walk depends on all before it, so it runs inside the row."""
+    """Runs ``(path, s, e, tot)`` from the totals ``(path, coord, w)``. Up to
+    LONG_AXIS splits a row holds the occupied coordinates of one box along one
+    axis, and the greedy walk runs inside the row; a longer axis is cut in parallel
+    (see ``long_axis``)."""
+    if splits > LONG_AXIS:
+        return long_axis_runs(per, coord, splits, target)
     boxes = per.groupBy("path").agg(F.collect_list(F.struct(F.col(coord).alias("c"), F.col("w").alias("w"))).alias("cells"))
 
     def cut(batches):

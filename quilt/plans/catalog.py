@@ -910,6 +910,35 @@ def q_equi_depth_groups_sparse(spark, sf):
     return workbench(spark, sf, SPARSE_CFG).grouping().groups
 
 
+# one axis of a million splits: cut in parallel, by prefix sums
+LONG_CFG = replace(HIST_CFG, grid=Grid.of(("x1", 0.0, 1.0, 1_000_000)), n_groups=50)
+LONG = Suite(LONG_CFG)
+_OVER = "FILTER (WHERE o.cum - w.b > g.q0)"
+_LONG_RUNS = {
+    "tg": targets_sql("counts", LONG_CFG.grid, LONG_CFG.n_groups),
+    "occ": "SELECT bin_no AS c, n AS w, CAST(sum(n) OVER (ORDER BY bin_no) AS BIGINT) AS cum FROM counts",
+    "walk": (
+        "SELECT CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS b, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi, CAST(NULL AS BIGINT) AS total\n"
+        "UNION ALL\n"
+        "SELECT CASE WHEN c1 IS NULL THEN NULL ELSE e + 1 END, b + tot, s, e, tot FROM (SELECT *, "
+        "CASE WHEN c1 IS NULL THEN CAST(999999 AS BIGINT) WHEN short THEN c1 - 1 ELSE c1 END AS e, "
+        "CASE WHEN c1 IS NULL THEN most - b WHEN short THEN cum1 - w1 - b ELSE cum1 - b END AS tot FROM (SELECT *, "
+        "c1 > s AND q - (cum1 - w1 - b) < (cum1 - b) - q AS short FROM (SELECT w.s, w.b, any_value(g.q0) AS q, max(o.cum) AS most, "
+        f"min(o.c) {_OVER} AS c1, min(o.cum) {_OVER} AS cum1, arg_min(o.w, o.c) {_OVER} AS w1 "
+        "FROM walk w JOIN occ o ON o.c >= w.s CROSS JOIN tg g GROUP BY w.s, w.b)))"
+    ),
+}
+
+
+@register(
+    "equi_depth_groups_long",
+    LONG.with_base(**_LONG_RUNS)
+    + "\nSELECT CAST(row_number() OVER (ORDER BY lo) - 1 AS BIGINT) AS group_id, lo AS group_key, lo AS lo0, hi AS hi0, total FROM walk WHERE lo IS NOT NULL",
+)
+def q_equi_depth_groups_long(spark, sf):
+    return workbench(spark, sf, LONG_CFG).grouping().groups
+
+
 @register("assign_bin_group_sparse", SPARSE.with_groups() + "\nSELECT key, bin_no, group_id FROM routed")
 def q_assign_bin_group_sparse(spark, sf):
     return workbench(spark, sf, SPARSE_CFG).routed().select("key", "bin_no", "group_id")
