@@ -13,13 +13,17 @@ norm, a vector v gets the further component sqrt(M^2 - |v|^2) and a query 0;
 angles between these are in the order of the inner products. Where all norms
 are alike the component is zero and nothing changes.
 
-The index is cut by document into blocks of bounded size, each with inverted
-files of its own, and a block of queries meets a block of vectors in one task;
-blocks add up over a cluster, and no task holds more than one of each.
+The index is cut by document into blocks of bounded size, each packed into one
+row with inverted files of its own. A block is sent out once for each QUERY_BLOCK
+queries, and a task streams the queries past it: vectors are not copied for each
+query, and no task holds more than a block and a batch of queries. With a fixed
+share of each block to rerank, the work still grows as queries times vectors.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from quilt.llm.common import map_batches, save
 
 PIVOT_SAMPLE = 4096  # rows that the pivots are chosen from
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 65_536
 
 
 def valid_vector(v: Column) -> Column:
@@ -76,34 +80,50 @@ def permutation_prefixes(x: np.ndarray, pivots: np.ndarray, length: int) -> np.n
     return np.take_along_axis(top, order, 1).astype(np.int16)
 
 
-def search_block(ids, vectors, prefixes, qids, queries, qprefixes, n_pivots, k, share, least):
-    """Best ``k`` of one block for each query: (query id, id, score) arrays."""
-    by_id = np.argsort(ids, kind="stable")
-    ids, vectors, prefixes = ids[by_id], vectors[by_id], prefixes[by_id]
-    n, length = prefixes.shape
-    # inverted files: rows by pivot, with the pivot's rank in each
-    pivot = prefixes.ravel()
-    order = np.argsort(pivot, kind="stable")
-    rows = (order // length).astype(np.int64)
-    ranks = (order % length).astype(np.int64)
-    start = np.searchsorted(pivot[order], np.arange(n_pivots + 1))
-    take = min(n, max(least, int(np.ceil(n * share))))
-    out_q, out_i, out_s = [], [], []
-    for q, (qid, own) in enumerate(zip(qids, qprefixes, strict=True)):
+class Block:
+    """Vectors of one block with the inverted files of the pivots: for a pivot the
+    rows that have it in their prefix, and its rank there."""
+
+    def __init__(self, ids, uids, vectors, prefixes, n_pivots: int):
+        order = np.lexsort((uids, ids))  # ties in distance go to the smaller id
+        self.ids, self.uids, self.vectors, self.prefixes = ids[order], uids[order], vectors[order], prefixes[order]
+        n, self.length = prefixes.shape
+        pivot = self.prefixes.ravel()
+        order = np.argsort(pivot, kind="stable")
+        self.rows, self.ranks = order // self.length, (order % self.length).astype(np.int16)
+        self.start = np.searchsorted(pivot[order], np.arange(n_pivots + 1))
+        self.places = np.arange(n)
+
+    def blob(self) -> bytes:
+        out = io.BytesIO()
+        for a in (self.ids, self.uids, self.vectors, self.prefixes):
+            np.save(out, a, allow_pickle=False)
+        return out.getvalue()
+
+    @staticmethod
+    def load(blob: bytes, n_pivots: int) -> Block:
+        data = io.BytesIO(blob)
+        return Block(*(np.load(data, allow_pickle=False) for _ in range(4)), n_pivots)
+
+    def search(self, uid: int, query: np.ndarray, own: np.ndarray, k: int, share: float, least: int):
+        """Rows and scores of the best ``k`` of those at the least footrule
+        distance, the query's own row left out."""
+        n = len(self.ids)
+        files = [slice(a, b) for a, b in zip(self.start[own], self.start[own + 1])]
+        at = np.concatenate([self.rows[f] for f in files])
+        rank = np.concatenate([self.ranks[f] for f in files])
+        mine = np.repeat(np.arange(self.length, dtype=np.int16), [f.stop - f.start for f in files])
         # footrule = a constant - 2 * sum over shared pivots of (length - larger rank)
-        files = [slice(start[p], start[p + 1]) for p in own]
-        at = np.concatenate([rows[f] for f in files])
-        gain = np.concatenate([length - np.maximum(ranks[f], r) for r, f in enumerate(files)])
-        # ties in distance go to the smaller id
-        near = np.bincount(at, weights=gain, minlength=n) * n - np.arange(n)
-        cand = np.argpartition(-near, take - 1)[:take] if take < n else np.arange(n)
-        cand = cand[ids[cand] != qid]
-        score = vectors[cand] @ queries[q]
-        best = np.lexsort((ids[cand], -score))[:k]
-        out_q.append(np.full(len(best), qid))
-        out_i.append(ids[cand][best])
-        out_s.append(score[best])
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+        near = np.bincount(at, weights=self.length - np.maximum(rank, mine), minlength=n) * n - self.places
+        take = min(n, max(least, int(np.ceil(n * share))))
+        cand = np.argpartition(-near, take - 1)[:take] if take < n else self.places
+        cand = cand[self.uids[cand] != uid]
+        score = self.vectors[cand] @ query
+        if len(cand) > 4 * k:  # (with all ties of the k-th)
+            kept = score >= -np.partition(-score, k - 1)[k - 1]
+            cand, score = cand[kept], score[kept]
+        best = np.lexsort((self.uids[cand], self.ids[cand], -score))[:k]
+        return cand[best], score[best]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -112,32 +132,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def permutation_search(
-    table: DataFrame, is_query: Column, k: int = 20, n_pivots: int = 256, prefix: int = 96,
-    share: float = 0.10, least: int = 400, id_col: str = "vec_id", vector_col: str = "embedding",
+    table: DataFrame, is_query: Column, k: int = 20, n_pivots: int = 512, prefix: int = 48,
+    share: float = 0.15, least: int = 400, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank (from 1), the id and ``score`` of the nearest rows found
     for every row where ``is_query``; ties go to the smaller id.
 
     ``share`` of a block (at least ``least`` rows) is reranked. Vectors that are
     null, zero or hold null or non-finite components take no part, nor do null
-    ids; rows that repeat an id are candidates of their own, but never of a
-    query with that id; an empty table gives an empty result. All vectors must
-    have one width."""
+    ids. Rows that repeat an id are rows of their own: each query row has its own
+    answers (so a repeated query id has as many lists), and only the query's own
+    row is no candidate. An empty table gives an empty result; other columns are
+    not read. All vectors must have one width."""
+    spark = table.sparkSession
     rows = table.select(
-        F.col(id_col).alias("_vid"), F.col(vector_col).cast("array<double>").alias("_v"),
-        is_query.alias("_query"),
+        F.col(id_col).cast("bigint").alias("_vid"), F.col(vector_col).cast("array<double>").alias("_v"),
+        F.coalesce(is_query, F.lit(False)).alias("_query"),
     ).where(F.col("_vid").isNotNull() & valid_vector(F.col("_v")))
     top = F.array_max(F.transform("_v", F.abs))
     norm = top * F.sqrt(F.aggregate(F.transform("_v", lambda x: x / top), F.lit(0.0), lambda a, x: a + x * x))
     largest = rows.agg(F.max(norm)).first()[0] or 1.0
     pivots = choose_pivots(rows, n_pivots, largest)
-    schema = f"query_id bigint, {id_col} bigint, score double"
     if not len(pivots):
-        return table.sparkSession.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
+        return spark.createDataFrame([], f"query_id bigint, rank int, {id_col} bigint, score double")
+    made = len(pivots)
 
     def represent(batch):
         x = _matrix(batch.column("_v"))
-        asks = batch.column("_query").fill_null(False).to_numpy(zero_copy_only=False)
+        asks = batch.column("_query").to_numpy(zero_copy_only=False)
         p = permutation_prefixes(lifted(x, largest), pivots, prefix)
         own = permutation_prefixes(as_queries(x[asks]), pivots, prefix) if asks.any() else p[:0]
 
@@ -146,42 +168,65 @@ def permutation_search(
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(prefixes.ravel()))
 
         return {
-            "_vid": batch.column("_vid"), "_query": batch.column("_query"), "_v": batch.column("_v"),
+            "_vid": batch.column("_vid"), "_uid": batch.column("_uid"), "_query": batch.column("_query"), "_v": batch.column("_v"),
             "_p": nested(p, np.ones(len(p), np.int32)), "_own": nested(own, asks.astype(np.int32)),
         }
 
-    kind = "_vid bigint, _query boolean, _v array<double>, _p array<smallint>, _own array<smallint>"
-    indexed = save(map_batches(rows, represent, kind))
+    kind = "_vid bigint, _uid bigint, _query boolean, _v array<double>, _p array<smallint>, _own array<smallint>"
+    indexed = save(map_batches(rows.withColumn("_uid", F.monotonically_increasing_id()), represent, kind))
     n, n_queries = indexed.agg(F.count(F.lit(1)), F.count(F.when(F.col("_query"), 1))).first()
-    v_blocks, q_blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    salted = F.xxhash64("_vid", F.xxhash64("_v"))  # rows that repeat an id spread as well
-    blocks = indexed.select(
-        F.pmod(salted, F.lit(v_blocks)).cast("int").alias("vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), "_vid", "_v", "_p",
+    blocks, copies = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
+    partitions = min(blocks * copies, 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = F.pmod(F.xxhash64("_uid"), F.lit(blocks)).cast("int")
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        parts = [group[c].combine_chunks() for c in ("_v", "_p")]
+        block = Block(group["_vid"].to_numpy(), group["_uid"].to_numpy(), *map(_matrix, parts), made)
+        return pa.table({"vb": group["vb"][:1], "blob": pa.array([block.blob()], pa.binary())})
+
+    packed = (
+        indexed.select(dealt.alias("vb"), "_vid", "_uid", "_v", "_p").repartition(min(blocks, partitions), "vb")
+        .groupBy("vb").applyInArrow(pack, "vb int, blob binary")
     )
-    queries = indexed.where("_query").select(
-        F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("vb"),
-        F.pmod(salted, F.lit(q_blocks)).cast("int").alias("qb"), "_vid", "_v", F.col("_own").alias("_p"),
+    none = F.lit(None)
+    held = packed.select(
+        "vb", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("slot"), F.lit(0).alias("kind"),
+        none.cast("bigint").alias("uid"), none.cast("bigint").alias("query_id"), none.cast("array<double>").alias("v"),
+        none.cast("array<smallint>").alias("own"), "blob",
     )
-
-    def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), id_col: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-        def arrays(t):
-            t = t.combine_chunks()
-            return (
-                t["_vid"].to_numpy(), _matrix(t["_v"].combine_chunks()), _matrix(t["_p"].combine_chunks()),
+    asked = indexed.where("_query").select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"), F.pmod(F.xxhash64("_uid", F.lit(1)), F.lit(copies)).cast("int").alias("slot"),
+        F.lit(1).alias("kind"), F.col("_uid").alias("uid"), F.col("_vid").alias("query_id"), F.col("_v").alias("v"), F.col("_own").alias("own"),
+        none.cast("binary").alias("blob"),
+    )
+    met = held.unionByName(asked).repartition(partitions, "vb", "slot").sortWithinPartitions("vb", "slot", "kind", "uid")
+
+    def run(batches):
+        at = block = None
+        for batch in batches:
+            keys = list(zip(batch.column("vb").to_pylist(), batch.column("slot").to_pylist()))
+            kinds, uids, names = (batch.column(c).to_pylist() for c in ("kind", "uid", "query_id"))
+            out: list[list] = [[] for _ in range(5)]
+            for i, kind in enumerate(kinds):
+                if kind == 0:
+                    at, block = keys[i], batch.column("blob")[i].as_py()
+                    continue
+                if at != keys[i]:
+                    raise RuntimeError("a query without its block")
+                if isinstance(block, bytes):
+                    block = Block.load(block, made)
+                query, own = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("v", "own"))
+                rows, scores = block.search(uids[i], query, own, k, share, least)
+                for held_, values in zip(out, ([uids[i]] * len(rows), [names[i]] * len(rows), block.ids[rows].tolist(), block.uids[rows].tolist(), scores.tolist())):
+                    held_.extend(values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out, (*[pa.int64()] * 4, pa.float64()))], names=["uid", "query_id", id_col, "found", "score"]
             )
 
-        q, i, s = search_block(*arrays(left), *arrays(right), len(pivots), k, share, least)
-        return pa.table({"query_id": q, id_col: i, "score": s})
-
-    found = (
-        blocks.groupBy("vb", "qb").cogroup(queries.groupBy("vb", "qb")).applyInArrow(meet, schema)
-    )
+    found = met.mapInArrow(run, f"uid bigint, query_id bigint, {id_col} bigint, found bigint, score double")
     # k rows from each block of vectors meet here
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), id_col, "found")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", id_col, "score")

@@ -44,7 +44,7 @@ def test_recall_and_exact_scores(spark):
 
 def test_recall_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "VECTOR_BLOCK", 500)
-    monkeypatch.setattr(P, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(P, "QUERY_BLOCK", 30)  # two copies of each block
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 16)))]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
@@ -91,3 +91,41 @@ def test_recall_on_full_blocks_of_varying_norms(spark, tmp_path, sigma):
     got = P.permutation_search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 400 == 0).collect()
     hits = sum(r["vec_id"] in want[r["query_id"]] for r in got)
     assert hits >= 0.9 * 20 * len(want), hits / (20 * len(want))
+
+
+def test_repeated_query_ids_have_answers_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(60, 8)))]
+    rows.append((20, [float(v) for v in rng.normal(size=8)]))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = {}
+    for r in P.permutation_search(df, F.col("vec_id") % 20 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = np.array([v for _, v in rows])
+
+    def nearest(at):
+        found = sorted((-float(y @ x[at]), rows[j][0]) for j, y in enumerate(x) if j != at)[:5]
+        return [(k, i, -s) for k, (s, i) in enumerate(found, 1)]
+
+    for q, ats in {0: [0], 20: [20, 60], 40: [40]}.items():
+        want = sorted(r for at in ats for r in nearest(at))
+        assert [(a, b) for a, b, _ in sorted(got[q])] == [(a, b) for a, b, _ in want]
+        assert np.allclose([c for *_, c in sorted(got[q])], [c for *_, c in want], atol=1e-12)
+
+
+def test_the_footrule_orders_candidates():
+    """The candidates of a block are those at the least footrule distance."""
+    rng = np.random.default_rng(2)
+    n, pivots, length = 300, 20, 7
+    perms = np.argsort(rng.random((n, pivots)), axis=1)
+    block = P.Block(np.arange(n), np.arange(n), rng.normal(size=(n, 3)), perms[:, :length].astype(np.int16), pivots)
+    own = np.argsort(rng.random(pivots))[:length].astype(np.int16)
+
+    def rank(prefix):
+        return [list(prefix).index(p) if p in prefix else length for p in range(pivots)]
+
+    mine = np.array(rank(own))
+    distance = [np.abs(np.array(rank(p[:length])) - mine).sum() for p in perms]
+    want = set(sorted(range(n), key=lambda i: (distance[i], i))[:40])
+    rows, _ = block.search(-1, np.ones(3), own, 40, 0.0, 40)
+    assert set(rows.tolist()) == want
