@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import join_ids, map_batches, save
+from quilt.llm.common import join_ids, map_batches, save, slices
 from quilt.llm.components import connected_components
 from quilt.llm.segments import links_within
 from quilt.llm.shingles import mix, shingle_sets
@@ -43,6 +43,8 @@ from quilt.llm.shingles import mix, shingle_sets
 # Chance that a shingle of one text is found in another, unrelated text of the
 # band. Only the cost estimate uses it, never the result.
 COMMON_SHINGLE = 0.05
+# Signatures of one range, about: what a task sorts at a time.
+RANGE_SIGNATURES = 2_000_000
 
 
 POSTS = pa.list_(pa.struct([
@@ -153,6 +155,43 @@ def postings(spec: Jaccard, deletions: frozenset[int], flat, n) -> list[list[dic
     return out
 
 
+def shared_signatures(base: DataFrame, spec: Jaccard, deletions: frozenset[int], ranges: int) -> DataFrame:
+    """``(_sig, _rows)`` of the signatures that several rows post, and how many do.
+
+    There are hundreds of signatures for each text, so they travel packed: a task
+    counts those of some texts at a time and sends each of ``ranges`` (by the
+    signature's upper bits) its part in one row. A signature of very many texts is
+    one entry of each such part."""
+    bounds = ((np.arange(1, ranges, dtype=object) << 64) // ranges).astype(np.uint64)
+
+    def post(batches):
+        for batch in slices(batches):
+            flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
+            posts = [p["_sigs"].view(np.uint64) for of in postings(spec, deletions, flat, n) for p in of]
+            if not posts:
+                continue
+            sigs, times = np.unique(np.concatenate(posts), return_counts=True)
+            ends = np.concatenate(([0], np.searchsorted(sigs, bounds), [len(sigs)]))
+            at = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_pydict({
+                "range": pa.array(at, pa.int32()),
+                "sigs": pa.array([sigs[ends[i] : ends[i + 1]].tobytes() for i in at], pa.binary()),
+                "times": pa.array([times[ends[i] : ends[i + 1]].astype(np.uint32).tobytes() for i in at], pa.binary()),
+            })
+
+    def count(group: pa.Table) -> pa.Table:
+        sigs = np.frombuffer(b"".join(group["sigs"].to_pylist()), np.int64)
+        times = np.frombuffer(b"".join(group["times"].to_pylist()), np.uint32)
+        order = np.argsort(sigs)
+        sigs = sigs[order]
+        first = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
+        rows = np.add.reduceat(times[order].astype(np.int64), first)
+        return pa.table({"_sig": pa.array(sigs[first][rows > 1]), "_rows": pa.array(rows[rows > 1])})
+
+    parts = base.select("_text").mapInArrow(post, "range int, sigs binary, times binary")
+    return parts.groupBy("range").applyInArrow(count, "_sig bigint, _rows bigint")
+
+
 def _keys(flat, n):
     """128 bits that identify each set."""
     first = np.cumsum(n) - n
@@ -246,7 +285,8 @@ def jaccard_components(
     * an empty table gives an empty result; other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    deletions = allocate(spec, _sizes(base, "_text"))
+    sizes = _sizes(base, "_text")
+    deletions = allocate(spec, sizes)
 
     def describe(batch):
         flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
@@ -273,12 +313,10 @@ def jaccard_components(
     posted = _with_node(posts, clashes, n_clashes).select("_node", F.explode("_posts").alias("_post")).select(
         "_node", "_post._band", "_post._drop", F.explode("_post._sigs").alias("_sig")
     )
-    # contents that several nodes have, with how many rows have them
-    shared = save(
-        posted.groupBy("_sig")
-        .agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi"), F.count(F.lit(1)).alias("_rows"))
-        .where("_lo < _hi").select("_sig", "_rows")
-    )
+    # contents that several rows have, with how many do (those of equal sets alone
+    # among them: a content more only makes the choice below keep no less)
+    expected = sum(c * 2 * (spec.segments(band, band in deletions) + (BOUNDS[band + 1] if band in deletions else 0)) for band, c in sizes.items())
+    shared = save(shared_signatures(base, spec, deletions, max(1, -(-expected // RANGE_SIGNATURES))))
     # the rarest contents of each node (a node has at most one row per segment)
     own = Window.partitionBy("_node", "_band").orderBy(F.desc("_rows"), "_sig")
     kept = save(
