@@ -10,18 +10,22 @@ the corpus (copies of a line count once),
 and t discloses the share PMI / IC of what there is to know of c. Terms with
 enough support whose share exceeds a threshold are generalised to their form,
 above a second threshold removed, wherever they occur.
+
+Tables of terms go to every task while they are small; larger ones meet the terms
+of the lines or texts in a join, and each text is rewritten from its own hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import save
+from quilt.llm.common import save, slices
 
 # Patterns of the four kinds (fixed values). Those for addresses and numbers do
 # not start inside a run of digits, where no match could begin anyway.
@@ -33,10 +37,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W_]{3,}")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-WINDOW = 12  # words on either side of an entity that count as near
+WINDOW = 12  # words of its line on either side of an entity that count as near
 MIN_LINES = 3  # distinct lines that must show a term with an entity
 GENERALISE, REMOVE = 0.75, 0.95  # shares of disclosure
-TERM_BLOCK = 200_000  # terms that a pass over the texts looks for at a time
+BROADCAST_TERMS = 200_000  # terms (some 60 bytes each) that may go to every task
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -64,7 +68,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)]
     out += [
         ("ip", *m.span()) for m in IP.finditer(text)
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))
+        # (a part may have thousands of zeros before its value)
+        if all(len(v := p.lstrip("0")) <= 3 and int(v or "0") <= 255 for p in m.group().split("."))
     ]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -86,34 +91,45 @@ def _digest(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def contexts(text: str) -> list[tuple[int, int, list[str]]]:
-    """(entity, line, near terms) of every line that shows an entity."""
-    spans = base_spans(text)
-    if not spans:
-        return []
-    out, spans = [], sorted(spans, key=lambda s: (s[1], s[2]))
-    for kind, a, b in spans:
-        lo, hi = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        line = text[lo : hi if hi >= 0 else len(text)]
-        before = [m for m in TERM.finditer(text, max(lo, a - 40 * WINDOW), a)][-WINDOW:]
-        after = [m for m in TERM.finditer(text, b, min(lo + len(line), b + 40 * WINDOW))][:WINDOW]
-        near = {m.group().lower() for m in before + after if not _overlaps(spans, *m.span())}
-        value = re.sub(r"[\x20().-]", "", text[a:b].lower()) if kind in ("card", "phone") else text[a:b].lower()
-        out.append((_digest(f"{kind}:{value}"), _digest(line), sorted(near)))
+def _words(text: str, lo: int, hi: int, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, lower-cased word) of the words between ``lo`` and ``hi`` that meet
+    none of the spans, which are in order of their starts: one pass over both."""
+    out, i, covered = [], 0, -1
+    for m in TERM.finditer(text, lo, hi):
+        a, b = m.span()
+        while i < len(spans) and spans[i][1] < b:
+            covered = max(covered, spans[i][2])
+            i += 1
+        if covered <= a:
+            out.append((a, b, m.group().lower()))
     return out
 
 
-def _overlaps(spans, a: int, b: int) -> bool:
-    return any(x < b and a < y for _, x, y in spans)
+def contexts(text: str) -> list[tuple[int, int, list[str]]]:
+    """(entity, line, near terms) of every line that shows an entity: the WINDOW
+    nearest words on each side that are no part of an entity. Each line is read
+    once, however many entities it shows."""
+    spans = sorted(base_spans(text), key=lambda s: (s[1], s[2]))
+    out, i = [], 0
+    while i < len(spans):
+        lo, hi = text.rfind("\n", 0, spans[i][1]) + 1, text.find("\n", spans[i][2])
+        hi = hi if hi >= 0 else len(text)
+        j = i
+        while j < len(spans) and spans[j][1] < hi:  # (no span goes over a line's end)
+            j += 1
+        words, line = _words(text, lo, hi, spans[i:j]), _digest(text[lo:hi])
+        starts = [w[0] for w in words]
+        for kind, a, b in spans[i:j]:
+            left, right = bisect_left(starts, a), bisect_left(starts, b)
+            near = {w for *_, w in words[max(0, left - WINDOW) : left] + words[right : right + WINDOW]}
+            value = re.sub(r"[\x20().-]", "", text[a:b].lower()) if kind in ("card", "phone") else text[a:b].lower()
+            out.append((_digest(f"{kind}:{value}"), line, sorted(near)))
+        i = j
+    return out
 
 
-def _blocks(terms: DataFrame, columns: list[str]):
-    """The terms in pieces of about TERM_BLOCK rows, each small enough to go to
-    every task."""
-    n = terms.count()
-    for k in range(-(-n // TERM_BLOCK)):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(-(-n // TERM_BLOCK))) == k)
-        yield {r[0]: tuple(r[1:]) for r in part.select(*columns).collect()}
+def terms_of(text: str) -> set[str]:
+    return set(map(str.lower, TERM.findall(text)))
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -126,7 +142,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     texts = _texts(docs, text_col)
 
     def near(batch_iter):
-        for batch in batch_iter:
+        for batch in slices(batch_iter):
             rows = [c for t in batch.column(0).to_pylist() for c in contexts(t)]
             yield pa.RecordBatch.from_pydict({
                 "entity": pa.array([r[0] for r in rows], pa.int64()), "line": pa.array([r[1] for r in rows], pa.int64()),
@@ -149,15 +165,19 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # a term on more lines than that discloses nothing, whatever its exact count
     most = F.ceil(F.col("n_ct") * F.pow(known, F.lit(1 - GENERALISE))) + 1
     candidates = save(together.groupBy("term").agg(F.max(most).cast("long").alias("most")))
-    counted = None
-    for block in _blocks(candidates, ["term", "most"]):
-        found = save(texts.mapInArrow(_lines_with(block), "term string, line bigint").distinct())
-        counts = found.groupBy("term").agg(
-            F.count("line").alias("n_t"), F.max(F.col("line").isNull()).alias("common")
-        ).where("not common").drop("common")
-        counted = counts if counted is None else counted.unionByName(counts)
-    if counted is None:
+    n_candidates = candidates.count()
+    if not n_candidates:
         return docs.sparkSession.createDataFrame([], "term string, disclosure double")
+    if n_candidates <= BROADCAST_TERMS:
+        look = {r["term"]: r["most"] for r in candidates.collect()}
+        found = texts.mapInArrow(_lines_with(look), "term string, line bigint").distinct()
+    else:
+        every = texts.mapInArrow(_lines_with(None), "term string, line bigint").distinct()
+        found = every.join(candidates.select("term"), "term")
+    counted = (
+        save(found).groupBy("term").agg(F.count("line").alias("n_t"), F.max(F.col("line").isNull()).alias("common"))
+        .where("not common").drop("common")
+    )
     share = F.log(known * F.col("n_ct") / F.col("n_t")) / F.log(known)
     return save(
         together.join(counted, "term").withColumn("share", share)
@@ -165,43 +185,52 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def _lines_with(terms: dict):
+def _lines_with(terms: dict[str, int] | None):
     """(term, line) for the lines that hold each term; a term with more distinct
-    lines in one task than ``terms`` allows gets one row with a null line."""
+    lines in one task than ``terms`` allows gets one row with a null line. Without
+    ``terms``, of every term."""
 
     def run(batches):
         seen: dict[str, set | None] = {}
-        for batch in batches:
+        held_back = 0
+
+        def rows():
+            flat = [(t, x) for t, held in seen.items() for x in ([None] if held is None else held)]
+            for i in range(0, len(flat), 100_000):
+                part = flat[i : i + 100_000]
+                yield pa.RecordBatch.from_pydict({
+                    "term": pa.array([r[0] for r in part], pa.string()), "line": pa.array([r[1] for r in part], pa.int64()),
+                })
+
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                if terms.keys().isdisjoint(TERM.findall(text.lower())):
+                if terms is not None and terms.keys().isdisjoint(terms_of(text)):
                     continue
                 for line in text.split("\n"):
-                    hit = terms.keys() & {w.lower() for w in TERM.findall(line)}
+                    hit = terms_of(line) if terms is None else terms.keys() & terms_of(line)
                     open_ = [t for t in hit if seen.get(t, ()) is not None]
                     if open_:
                         digest = _digest(line)
                         for t in open_:
                             held = seen.setdefault(t, set())
                             held.add(digest)
-                            if len(held) > terms[t][0]:
+                            held_back += 1
+                            if terms is not None and len(held) > terms[t]:
                                 seen[t] = None
-        rows = [(t, x) for t, held in seen.items() for x in ([None] if held is None else held)]
-        for i in range(0, len(rows), 100_000):
-            part = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_pydict({
-                "term": pa.array([r[0] for r in part], pa.string()), "line": pa.array([r[1] for r in part], pa.int64()),
-            })
+            if terms is None and held_back > 500_000:
+                yield from rows()
+                seen, held_back = {}, 0
+        yield from rows()
 
     return run
 
 
 def term_spans(text: str, base: list, terms: dict) -> list[tuple[str, int, int]]:
-    if not terms or terms.keys().isdisjoint(TERM.findall(text.lower())):
+    """The words that are ``terms`` and meet no base span."""
+    if not terms or terms.keys().isdisjoint(terms_of(text)):
         return []
-    return [
-        ("term", *m.span()) for m in TERM.finditer(text)
-        if m.group().lower() in terms and not _overlaps(base, *m.span())
-    ]
+    spans = sorted(base, key=lambda s: (s[1], s[2]))
+    return [("term", a, b) for a, b, w in _words(text, 0, len(text), spans) if w in terms]
 
 
 def sanitised(text: str, spans: list, terms: dict) -> str:
@@ -214,7 +243,7 @@ def sanitised(text: str, spans: list, terms: dict) -> str:
         word = text[a:b]
         if kind != "term":
             put = f"[{kind}]"
-        elif terms[word.lower()][0] >= REMOVE:
+        elif terms[word.lower()] >= REMOVE:
             put = ""
         else:
             put = "[number]" if word.isdigit() else "[name]" if word[0].isupper() else "[term]"
@@ -229,63 +258,60 @@ def find_pii(
     """One row per row of ``docs``: the id, ``n_email``, ``n_ip``, ``n_card``,
     ``n_phone``, ``base_sha256`` (of the base spans as kind:start:end, comma-
     joined), ``spans`` (those and the added ``term`` spans) and ``n_term``; with
-    ``with_text`` also the sanitised ``clean_text`` (one block of terms only).
+    ``with_text`` also the sanitised ``clean_text``, however many terms disclose.
 
     Null and empty texts have no spans; rows that repeat an id are separate
-    documents; long texts are read whole, in linear time; an empty table gives
-    an empty result; other columns are not read."""
+    documents; long texts and lines of many entities are read whole, in time
+    linear in their length; an empty table gives an empty result; other columns
+    are not read."""
+    terms = disclosing_terms(docs, text_col)
+    n_terms = terms.count()
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    if n_terms <= BROADCAST_TERMS:
+        every = {r["term"]: r["disclosure"] for r in terms.collect()}
+        rows = base.withColumn("_hits", F.lit(None).cast("map<string,double>"))
+    else:
+        every, rows = None, _with_hits(base, terms)
     kind = base.schema["_id"].dataType.simpleString()
-    blocks = list(_blocks(disclosing_terms(docs, text_col), ["term", "disclosure"])) or [{}]
-    if with_text and len(blocks) > 1:
-        raise ValueError("sanitise block by block: too many disclosing terms for one pass")
-
-    def scan(terms: dict):
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                out: dict = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base", "terms", "clean_text")}
-                for text in batch.column("_text").to_pylist():
-                    found = base_spans(text)
-                    more = term_spans(text, found, terms)
-                    for k in KINDS:
-                        out[f"n_{k}"].append(sum(s[0] == k for s in found))
-                    out["base"].append(told(found))
-                    out["terms"].append(told(more))
-                    out["clean_text"].append(sanitised(text, found + more, terms) if with_text else None)
-                kinds = {c: pa.int64() if c.startswith("n_") else pa.string() for c in out}
-                yield pa.RecordBatch.from_pydict(
-                    {"_id": batch.column("_id")} | {c: pa.array(v, kinds[c]) for c, v in out.items()}
-                    | {"_h1": batch.column("_h1"), "_h2": batch.column("_h2")}
-                )
-
-        return run
-
-    keyed = base.select("_id", "_text", F.xxhash64("_text").alias("_h1"), F.xxhash64("_text", F.lit(1)).alias("_h2"))
-    schema = (
-        f"_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, terms string,"
-        " clean_text string, _h1 bigint, _h2 bigint"
-    )
-    out = keyed.mapInArrow(scan(blocks[0]), schema)
-    if len(blocks) > 1:
-        # further blocks of terms: their spans by text, put together in order
-        parts = [keyed.mapInArrow(scan(b), schema) for b in blocks[1:]]
-        more = parts[0]
-        for p in parts[1:]:
-            more = more.unionByName(p)
-        more = (
-            more.where("terms != ''").select("_h1", "_h2", F.explode(F.split("terms", ",")).alias("s")).distinct()
-            .groupBy("_h1", "_h2").agg(F.collect_list("s").alias("_more"))
-        )
-        every = F.filter(F.concat(F.split("terms", ","), F.coalesce("_more", F.array())), lambda s: s != "")
-        by_start = F.transform(every, lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("a"), s.alias("s")))
-        in_order = F.transform(F.array_sort(by_start), lambda x: x["s"])
-        out = out.join(more, ["_h1", "_h2"], "left").withColumn("terms", F.array_join(in_order, ","))
+    columns = ("n_email", "n_ip", "n_card", "n_phone", "base", "terms", "n_term", "clean_text")
+
+    def scan(batches):
+        for batch in slices(batches):
+            out: dict = {c: [] for c in columns}
+            for text, hits in zip(batch.column("_text").to_pylist(), batch.column("_hits").to_pylist(), strict=True):
+                look = dict(hits or ()) if every is None else every
+                found = base_spans(text)
+                more = term_spans(text, found, look)
+                for k in KINDS:
+                    out[f"n_{k}"].append(sum(s[0] == k for s in found))
+                out["base"].append(told(found))
+                out["terms"].append(told(more))
+                out["n_term"].append(len(more))
+                out["clean_text"].append(sanitised(text, found + more, look) if with_text else None)
+            kinds = {c: pa.int64() if c.startswith("n_") else pa.string() for c in out}
+            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id")} | {c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    schema = ", ".join([f"_id {kind}", *(f"{c} {'bigint' if c.startswith('n_') else 'string'}" for c in columns)])
     parts = F.array_remove(F.array("base", "terms"), "")
-    return out.select(
+    return rows.select("_id", "_text", "_hits").mapInArrow(scan, schema).select(
         F.col("_id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone",
-        F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), F.array_join(parts, ",").alias("spans"),
-        F.when(F.col("terms") == "", 0).otherwise(F.size(F.split("terms", ","))).cast("long").alias("n_term"),
+        F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), F.array_join(parts, ",").alias("spans"), "n_term",
         *(["clean_text"] if with_text else []),
     )
+
+
+def _with_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows with the disclosing terms of their texts (``_hits``): the different
+    terms of each different text meet the table of terms in a join."""
+    keyed = rows.withColumn("_key", F.struct(F.xxhash64("_text").alias("a"), F.xxhash64("_text", F.lit(1)).alias("b")))
+
+    def words(batches):
+        for batch in slices(batches):
+            found = [sorted(terms_of(t)) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"_key": batch.column("_key"), "terms": pa.array(found, pa.list_(pa.string()))})
+
+    texts = keyed.select("_key", "_text").mapInArrow(words, "_key struct<a: bigint, b: bigint>, terms array<string>")
+    held = texts.select("_key", F.explode("terms").alias("term")).join(terms, "term").distinct()
+    hits = save(held.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_hits")))
+    # (a list is as long as its text's different words at most)
+    return keyed.join(hits, "_key", "left").drop("_key")

@@ -50,7 +50,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_pii_disclosure")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(read_table(spark, sf_dir, "documents"))
+    return find_pii(read_table(spark, sf_dir, "documents"), with_text=True)
 
 
 @query("op4_hilbert_shards")

@@ -90,15 +90,51 @@ def test_copies_of_a_line_count_once(spark):
     assert pii.disclosing_terms(df).count() == 0
 
 
-def test_terms_in_several_blocks(spark, monkeypatch):
-    rows = [(i, f"hello word{i} Quetzal Zanzibar Xylophone x@y.org end{i}") for i in range(5)]
-    rows += [(10 + i, f"hello plain{i} some words") for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    one = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
-    monkeypatch.setattr(pii, "TERM_BLOCK", 1)
-    many = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
-    split = {k: sorted(v.split(",")) for k, v in one.items()}
-    assert split == {k: sorted(v.split(",")) for k, v in many.items()} and one[0].count("term") == 3
+def test_terms_by_a_join_as_by_a_broadcast(spark, monkeypatch):
+    """More terms than may go to every task: the same spans and the same text."""
+    rows = [(i, f"hello word{i} Quetzal Zanzibar Xylophone x@y.org end{i} İstanbul") for i in range(5)]
+    rows += [(10 + i, f"hello plain{i} some words") for i in range(200)] + [(5, "zanzibar\nQUETZAL, 1.2.3.4"), (5, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    one = sorted(map(str, pii.find_pii(df, with_text=True).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 1)
+    assert sorted(map(str, pii.find_pii(df, with_text=True).collect())) == one
+    assert sum("term:" in r for r in one) == 6 and any("\\n" in r and "[ip]" in r and "QUETZAL" not in r for r in one)
+
+
+def test_address_parts_of_many_zeros():
+    assert pii.base_spans("0" * 5000 + ".1.2.3") == [("ip", 0, 5006)]
+    assert pii.base_spans("0.0.0." + "0" * 9000) == [("ip", 0, 9006)] and pii.base_spans("1.2.3.0256") == []
+
+
+def test_lines_of_many_entities_take_linear_time():
+    import time
+
+    for text in (" ".join(f"user{i}@host{i}.org met" for i in range(8000)), "\n".join(f"user{i}@host{i}.org met" for i in range(8000))):
+        began = time.time()
+        got = pii.contexts(text)
+        assert len(got) == 8000 and time.time() - began < 2
+        began = time.time()
+        spans = pii.term_spans(text, pii.base_spans(text), {"met": 1.0})
+        assert len(spans) == 8000 and time.time() - began < 2
+
+
+def plain_contexts(text):
+    """The words near each entity by plain loops."""
+    spans, out = pii.base_spans(text), []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
+        lo, hi = text.rfind("\n", 0, a) + 1, (text.find("\n", b) + 1 or len(text) + 1) - 1
+        free = [m for m in pii.TERM.finditer(text, lo, hi) if not any(x < m.end() and m.start() < y for _, x, y in spans)]
+        before, after = [m for m in free if m.end() <= a], [m for m in free if m.start() >= b]
+        out.append(sorted({m.group().lower() for m in before[-pii.WINDOW :] + after[: pii.WINDOW]}))
+    return out
+
+
+def test_near_words_against_plain_loops():
+    rng = random.Random(3)
+    pool = ["word", "Name", "a@b.cd", "1.2.3.4", "+1 (017) 555-7713", "\n", "xy", "déjà", "4111 1111 1111 1111", "long" * 200, "9.9.9.9.9"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(1, 60)))
+        assert [n for *_, n in pii.contexts(text)] == plain_contexts(text), text
 
 
 def test_sanitised_text(spark):
