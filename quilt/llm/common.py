@@ -81,5 +81,22 @@ def running_offsets(parts: DataFrame, key: str, size: str, out: str) -> DataFram
     return parts.withColumn(out, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
 
 
+def prefix_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with the sums over the rows before, in ``order`` (``sums``: name of
+    the sum to the column summed). Rows are range-
+    partitioned and summed inside each partition, then shifted by the partitions
+    before: no task sees more than its range."""
+    from pyspark.sql import Window
+
+    ranged = save(rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    own = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_s_{name}") for name, c in sums.items()])
+    shift = parts.select("_pid", *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums])
+    out = ranged.withColumns({f"_o_{name}": F.coalesce(F.sum(c).over(own), F.lit(0)) for name, c in sums.items()})
+    out = out.join(F.broadcast(shift), "_pid")  # a row per partition
+    return out.select(*rows.columns, *[(F.col(f"_o_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums])
+
+
 def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

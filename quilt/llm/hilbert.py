@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import join_ids, running_offsets, save
+from quilt.llm.common import join_ids, prefix_sums, running_offsets, save
 
 
 def hilbert_index(cell: Sequence[Column], bits: int) -> Column:
@@ -74,9 +74,9 @@ def _trailing_ones(x: Column, n: int) -> Column:
 def _quantise(values: DataFrame, column: str, bits: int) -> DataFrame:
     """(value, bin): equi-depth bins over the rows, in the order of the values.
     ``values`` has a row per distinct value, with its rows as ``n``."""
-    upto = Window.orderBy(F.asc_nulls_first(column)).rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy(F.lit(1))
-    share = F.coalesce(F.sum("n").over(upto), F.lit(0)) / F.sum("n").over(all_)
+    total = values.agg(F.sum("n")).first()[0] or 1
+    values = prefix_sums(values, [F.asc_nulls_first(column)], {"_before": "n"})
+    share = F.col("_before") / F.lit(total)
     return values.select(
         F.struct(column).alias(f"_v_{column}"),
         F.least(F.floor(share * (1 << bits)), F.lit((1 << bits) - 1)).cast("int").alias(f"_b_{column}"),

@@ -82,7 +82,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_raking_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_to_targets(read_table(spark, sf_dir, "documents"))
+    return mix_to_targets(read_table(spark, sf_dir, "documents"), tokenizer=public_path("word_bpe_49k.json"))
 
 
 @query("op8_binary_packing")
