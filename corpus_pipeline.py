@@ -59,7 +59,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample that meets the target shares of source, language and topic."""
-    return sample_mix(docs)
+    return sample_mix(docs, tokenizer=public_path(TOKENIZER))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
