@@ -71,12 +71,20 @@ def links_within(
 
     ``members``: _sig, _node and the segment's _hub, its least node; ``more``:
     further candidate pairs (a, b). Each member is first verified against its
-    hub. Members of one segment that the links so far leave in different
+    hubs, where these lie in another component by then. Members of one segment that the links so far leave in different
     components are then compared in blocks by ``find`` on their ``_load``
     (``loads``: _node, _load), and what it finds passes ``verify_found``."""
     tried = members.where("_node > _hub").select(F.col("_hub").alias("a"), F.col("_node").alias("b"))
     tried = save((tried if more is None else tried.unionByName(more)).distinct())
-    links = save(verify(tried))
+    # a member is first verified against the least of its hubs alone: members of a
+    # group of copies share many segments, and that joins most of them
+    least = save(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    first = save(verify(least))
+    place = connected_components(first, "a", "b")
+    ends = [place.select(F.col("node").alias(c), F.col("root").alias(f"_r{c}")) for c in ("a", "b")]
+    rest = tried.join(least, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    apart = F.coalesce("_ra", "a") != F.coalesce("_rb", "b")
+    links = save(first.unionByName(verify(save(rest.where(apart).select("a", "b")))))
     roots = connected_components(links, "a", "b")
     # (the hub has met everybody: only the others can still be apart)
     others = members.where("_node > _hub").select("_sig", "_node")

@@ -56,7 +56,7 @@ def test_one_of_each_near_group_stays(steps):
 def test_mixing_and_packing(steps):
     from quilt.llm.mixing import mix_to_targets
 
-    assert ids(steps[4]) == ids(mix_to_targets(steps[3]).where("kept"))
+    assert ids(steps[4]) == ids(mix_to_targets(steps[3], tokenizer=P.public_path(P.TOKENIZER)).where("kept"))
     total = steps[5].groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("m"))
     assert ids(steps[5]) == ids(steps[4]) and total.where("n != m").count() == 0
 
