@@ -96,6 +96,7 @@ def exact_dedup(
     * exactly one row of each group is kept: of several that repeat the largest
       id, any one; a group whose ids are all null keeps one row, with a null
       ``keep_id``;
+    * long texts are cut into as many chunks as they hold, and only chunks move;
     * an empty table gives an empty result; other columns are not read.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()

@@ -94,7 +94,9 @@ def hilbert_shards(
 
     Dimensions should have few distinct values (round continuous ones); nulls
     are a value below all others; rows that repeat in everything get slots of
-    their own; with fewer rows than shards the last shards stay empty."""
+    their own; with fewer rows than shards the last shards stay empty; texts are
+    not read, however long; an empty table gives an empty result; other columns
+    are not read."""
     if len(dimensions) < 2 or len(dimensions) * bits > 62:
         raise ValueError("two dimensions at least, and 62 bits at most")
     rows = docs.select(

@@ -282,6 +282,7 @@ def jaccard_components(
     * equal sets are linked; rows that repeat an id are separate documents;
     * a null id takes part in links but is never a component's id unless the
       component has no other;
+    * long texts are read whole: their sets fall into size bands of their own;
     * an empty table gives an empty result; other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

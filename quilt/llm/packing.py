@@ -40,8 +40,10 @@ def binary_pieces(
     """The pieces of every row of ``docs``: id, ``start`` (ids of the document
     before the piece), ``length``, ``ids_crc32`` (of the ids as little-endian
     unsigned 32-bit integers), ``doc_tokens``, and with ``with_ids`` the ``ids``
-    as binary. A null or empty text has the end id alone; rows that repeat an
-    id are separate documents; an empty table gives an empty result."""
+    as binary. A null or empty text has the end id alone; long texts are encoded
+    whole and cut into as many pieces as they need; rows that repeat an id are
+    separate documents; an empty table gives an empty result; other columns are
+    not read, whatever their names."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest length must be a power of two")
     end = end_id.to_bytes(4, "little")

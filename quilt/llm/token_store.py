@@ -9,7 +9,7 @@ Files of a store, all in one folder of a store that every executor reaches:
   Shards hold documents in ascending order of id, shard after shard;
 * ``index-NNNNN.npz``: the keys of one bucket (by a hash of the id). Each key is
   an edge of three vertices of a random 3-partite hypergraph that can be peeled;
-  two bits a vertex tell which of its three a key owns, and the rank of that
+  a byte a vertex tells which of its three a key owns, and an 8-byte rank of that
   vertex is the key's slot: 0 to n - 1, no gaps, nothing else stored of the key
   but a 32-bit fingerprint. The slot holds the document's first row and its
   number of rows. A look-up reads one bucket, three bits fields and one slot;
@@ -173,8 +173,8 @@ def write_store(
 
     Null and empty texts hold the end id alone. Rows that repeat an id lie next
     to each other and are found together; a null id is a key too and comes
-    first. An empty table gives a store without shards. Other columns are not
-    read."""
+    first; long texts are encoded whole and lie in one shard. An empty table gives
+    a store without shards. Other columns are not read."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-store")
     files, root = file_system(folder)
