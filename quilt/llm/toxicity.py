@@ -10,8 +10,8 @@ Three parts, each learnt here:
   for each. A suspicious token becomes a lattice of possible letters, and
   Viterbi search takes its most probable reading under channel and model;
 * a scorer: words and word beginnings whose document frequency differs between
-  the labels beyond chance, from labelled rows, and a logistic curve over their
-  summed evidence. Texts are scored on their restored words.
+  the labels beyond chance, from labelled rows, and a logistic curve over the
+  evidence of a text's strongest words. Texts are scored on their restored words.
 
 Language, source and ids never enter a score.
 """
@@ -46,6 +46,7 @@ FEATURE_LENGTHS = (4, 5, 6)
 MAX_ROWS_PER_LABEL = 20_000
 MAX_FEATURES = 20_000
 MEMO_TOKENS = 300_000
+STRONGEST = 3  # words of a text whose evidence counts
 
 _LETTER = r"[^\W\d_]"
 _WORDS = re.compile(rf"{_LETTER}+")
@@ -245,9 +246,11 @@ class ToxicityModel:
 
 
 def _summer(model: ToxicityModel):
-    """The summed evidence of texts; what it remembers goes with the task."""
+    """The evidence of texts: that of their strongest words, summed. (Over all
+    words, the many weak ones of a long text would outweigh a short text's plain
+    ones.) What it remembers goes with the task."""
     restore = Restorer(Decoder(model.log_p), model.evidence)
-    return lambda texts: [math.fsum(sorted(restore(t).values())) if t else 0.0 for t in texts]
+    return lambda texts: [math.fsum(sorted(restore(t).values())[-STRONGEST:]) if t else 0.0 for t in texts]
 
 
 RIDGE = 0.1  # of the slope per standard deviation of the evidence
@@ -364,7 +367,7 @@ def fit(
 
 
 def _evidence(rows: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """``keep`` and the summed evidence of ``_text``."""
+    """``keep`` and the evidence of ``_text``."""
 
     def run(batches):
         sums = _summer(model)

@@ -131,7 +131,11 @@ def test_documents_held_out(spark):
     got = {r["doc_id"]: r for r in QUERIES["op10_toxicity_channel"](spark, SF01).collect()}
     labels = spark.read.parquet(f"{SF01}/labels.parquet").collect()
     held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in labels if got[r["doc_id"]]["held_out"]]
-    assert np.mean([p == y for p, y in held]) >= 0.9
+    assert np.mean([p == y for p, y in held]) >= 0.95
+    # (a constant would be right for nine in ten)
+    caught = [p for p, y in held if y == 1]
+    left = [p for p, y in held if y == 0]
+    assert sum(caught) >= 0.9 * len(caught) and sum(left) <= 0.02 * len(left)
 
 
 def test_disguises_reach_the_decoder(spark, model):
@@ -205,3 +209,24 @@ def test_overlapping_labels_give_a_prediction_that_varies(spark):
     assert 0 < sum(got) < 300
     empty = {r["doc_id"]: r for r in T.score(spark.createDataFrame([(1, ""), (2, None)], "doc_id bigint, text string"), model).collect()}
     assert all(r["predicted"] == 0 for r in empty.values())
+
+
+def test_length_is_no_evidence(spark):
+    """Short texts with one toxic word or two, among long clean ones whose words
+    differ a little in how often they stand in toxic texts."""
+    rng = random.Random(12)
+    rare = [f"{a}{b}" for a in ("bran", "clot", "drif", "emb", "flin", "gras") for b in ("ker", "tle", "mond", "sup", "wick", "yard")]
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = int(i % 8 == 0)
+        long = rng.random() < (0.5 if toxic else 0.3)
+        words = [rng.choice(CLEAN + rare) for _ in range(400 if long else 25)]
+        if toxic:
+            for w in rng.sample(BAD, rng.randint(1, 2)):
+                words.insert(rng.randrange(len(words)), w)
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    model = T.fit(d, spark.createDataFrame(labels, "doc_id bigint, toxic int"), T.fold() != 0)
+    wrong = [r["doc_id"] for r in T.score(d, model).collect() if r["predicted"] != labels[r["doc_id"]][1]]
+    assert len(wrong) < 15, wrong
