@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quilt.llm import toxicity as T
 
+SF1 = SF01.replace("0.01", "0.1")
 BAD = ["idiot", "stupid", "pathetic", "moron", "scum"]
 CLEAN = "the table stands near window and people walk along river every morning with their small dogs".split()
 
@@ -128,8 +129,8 @@ def test_nothing_to_learn_from(spark):
 def test_documents_held_out(spark):
     from quilt.llm.queries import QUERIES
 
-    got = {r["doc_id"]: r for r in QUERIES["op10_toxicity_channel"](spark, SF01).collect()}
-    labels = spark.read.parquet(f"{SF01}/labels.parquet").collect()
+    got = {r["doc_id"]: r for r in QUERIES["op10_toxicity_channel"](spark, SF1).collect()}
+    labels = spark.read.parquet(f"{SF1}/labels.parquet").collect()
     held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in labels if got[r["doc_id"]]["held_out"]]
     assert np.mean([p == y for p, y in held]) >= 0.95
     # (a constant would be right for nine in ten)
