@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import join_ids, map_batches, save, slices
+from quilt.llm.common import BROADCAST_BYTES, join_ids, map_batches, save, slices
 from quilt.llm.components import connected_components
 from quilt.llm.segments import links_within
 from quilt.llm.shingles import mix, shingle_sets
@@ -47,11 +47,6 @@ COMMON_SHINGLE = 0.05
 RANGE_SIGNATURES = 2_000_000
 
 
-POSTS = pa.list_(pa.struct([
-    ("_band", pa.int32()), ("_drop", pa.int32()), ("_sigs", pa.list_(pa.int64())),
-]))
-
-
 def _band_bounds() -> list[int]:
     out = [1]
     while out[-1] < 2**40:
@@ -192,6 +187,43 @@ def shared_signatures(base: DataFrame, spec: Jaccard, deletions: frozenset[int],
     return parts.groupBy("range").applyInArrow(count, "_sig bigint, _rows bigint")
 
 
+def _posted(base: DataFrame, spec: Jaccard, deletions: frozenset[int], shared: DataFrame) -> DataFrame:
+    """``(_k1, _k2, _band, _drop, _sig, _rows)``: the shared signatures of each row.
+    Signatures are many times the ids: they are worked out again here, not kept,
+    and those that nobody shares go before they leave the task, as long as the
+    shared ones (two longs each) are few enough to be there; else in a join."""
+    small = shared.count() * 16 <= BROADCAST_BYTES
+    if small:
+        table = shared.toArrow()
+        order = np.argsort(table["_sig"].to_numpy())
+        held = base.sparkSession.sparkContext.broadcast((table["_sig"].to_numpy()[order], table["_rows"].to_numpy()[order]))
+
+    def post(batch):
+        flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
+        k1, k2 = _keys(flat, n)
+        posts = postings(spec, deletions, flat, n)
+        of = [(i, p["_band"], p["_drop"], p["_sigs"].view(np.int64)) for i, row in enumerate(posts) for p in row]
+        if not of:
+            return None
+        owner, band, drop, sigs = zip(*of, strict=True)
+        each = np.repeat(np.arange(len(of)), [len(s) for s in sigs])
+        sig = np.concatenate(sigs)
+        rows = np.zeros(len(sig), np.int64)
+        if small:
+            known, counts = held.value
+            at = np.minimum(np.searchsorted(known, sig), max(0, len(known) - 1))
+            hit = known[at] == sig if len(known) else np.zeros(len(sig), bool)
+            each, sig, rows = each[hit], sig[hit], counts[at[hit]] if len(known) else rows[hit]
+        row = np.array(owner)[each]
+        return {
+            "_k1": pa.array(k1[row]), "_k2": pa.array(k2[row]), "_band": pa.array(np.array(band, np.int32)[each]),
+            "_drop": pa.array(np.array(drop, np.int32)[each]), "_sig": pa.array(sig), "_rows": pa.array(rows),
+        }
+
+    found = map_batches(base.select("_text"), post, "_k1 bigint, _k2 bigint, _band int, _drop int, _sig bigint, _rows bigint")
+    return found if small else found.drop("_rows").join(shared, "_sig")
+
+
 def _keys(flat, n):
     """128 bits that identify each set."""
     first = np.cumsum(n) - n
@@ -303,25 +335,15 @@ def jaccard_components(
     n_clashes = clashes.count()
     described = _with_node(described, clashes, n_clashes)
 
-    # signatures are many times the ids: worked out where they are used, not kept
-    def post(batch):
-        flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
-        k1, k2 = _keys(flat, n)
-        posts = pa.array(postings(spec, deletions, flat, n), POSTS)
-        return {"_k1": pa.array(k1), "_k2": pa.array(k2), "_posts": posts}
-
-    posts = map_batches(base, post, "_k1 bigint, _k2 bigint, _posts array<struct<_band: int, _drop: int, _sigs: array<bigint>>>")
-    posted = _with_node(posts, clashes, n_clashes).select("_node", F.explode("_posts").alias("_post")).select(
-        "_node", "_post._band", "_post._drop", F.explode("_post._sigs").alias("_sig")
-    )
     # contents that several rows have, with how many do (those of equal sets alone
     # among them: a content more only makes the choice below keep no less)
     expected = sum(c * 2 * (spec.segments(band, band in deletions) + (BOUNDS[band + 1] if band in deletions else 0)) for band, c in sizes.items())
     shared = save(shared_signatures(base, spec, deletions, max(1, -(-expected // RANGE_SIGNATURES))))
     # the rarest contents of each node (a node has at most one row per segment)
+    posted = _with_node(_posted(base, spec, deletions, shared), clashes, n_clashes)
     own = Window.partitionBy("_node", "_band").orderBy(F.desc("_rows"), "_sig")
     kept = save(
-        join_ids(posted, shared, ["_sig"], shared.count()).distinct()
+        posted.select("_node", "_band", "_drop", "_sig", "_rows").distinct()
         .withColumn("_rank", F.row_number().over(own))
         .where("_rank > _drop").select("_node", "_sig").distinct()
     )

@@ -18,7 +18,7 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _DELIM = np.zeros(256, bool)
 _DELIM[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _POWERS: dict[str, np.ndarray] = {}
 
 

@@ -129,3 +129,36 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["node"]: r["root"] for r in connected_components(df, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{1000 + i: 1000 for i in range(1, 50)}}
     assert connected_components(df.where("a > 10000"), "a", "b").count() == 0
+
+
+def test_many_ranges_and_a_join_beyond_the_broadcast(spark, monkeypatch):
+    """Signatures dealt to many ranges, and more shared ones than may be broadcast."""
+    monkeypatch.setattr(N, "RANGE_SIGNATURES", 50)
+    monkeypatch.setattr(N, "BROADCAST_BYTES", 0)
+    for spec in (N.Jaccard(3, 90, 100), N.Jaccard(5, 80, 100)):
+        rows = near_copies()
+        assert run(spark, rows, spec) == brute(rows, spec.width, spec.num, spec.den)
+
+
+def near_copies(n=150, seed=21):
+    """Chains and stars of near copies, exact copies and texts of their own."""
+    import random
+
+    rng = random.Random(seed)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.randint(3, 200))] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+        if rng.random() < 0.3:
+            base[rng.randrange(len(base))] = w
+    return rows
+
+
+def test_chains_of_near_copies(spark):
+    """Links that no common hub shows are found as well."""
+    for seed in (1, 2, 3):
+        rows = near_copies(seed=seed)
+        assert run(spark, rows, N.Jaccard(5, 80, 100)) == brute(rows, 5, 80, 100)
