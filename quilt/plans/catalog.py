@@ -228,9 +228,9 @@ def q_drop_marker_lines(spark, sf):
     return drop_marker_lines(document_lines(read_table(spark, sf, "documents")), MARKER)
 
 
-# Documents' lines written as text files (250 ids each), some with a byte that is
-# no UTF-8, and read again from the files.
-IDS_PER_FILE, BROKEN_EVERY = 250, 7
+# Documents' lines written as text files (250 ids each), those with the marker
+# with a byte that is no UTF-8 before them, and read again from the files.
+IDS_PER_FILE = 250
 DOCUMENT_LINES_SQL = (
     "SELECT doc_id, CAST(unnest(generate_series(0, len(p) - 1)) AS BIGINT) AS line_no, "
     "unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)"
@@ -241,7 +241,7 @@ DOCUMENT_LINES_SQL = (
     "scan_text_lines",
     cte(
         lines=DOCUMENT_LINES_SQL,
-        broken=f"SELECT doc_id, line_no, (doc_id + line_no) % {BROKEN_EVERY} = 0 AS bad, line FROM lines",
+        broken=f"SELECT doc_id, line_no, contains(line, '{MARKER}') AS bad, line FROM lines",
     )
     + f"\nSELECT doc_id // {IDS_PER_FILE} AS part, "
     f"row_number() OVER (PARTITION BY doc_id // {IDS_PER_FILE} ORDER BY doc_id, line_no) - 1 AS line_no, "
@@ -249,7 +249,7 @@ DOCUMENT_LINES_SQL = (
 )
 def q_scan_text_lines(spark, sf):
     lines = document_lines(read_table(spark, sf, "documents"))
-    bad = (F.col("doc_id") + F.col("line_no")) % BROKEN_EVERY == 0
+    bad = F.col("line").contains(MARKER)
     wrong = F.concat(F.unhex(F.lit("FF")).cast("string"), F.col("line"))
     lines = lines.select("doc_id", "line_no", F.expr(f"doc_id div {IDS_PER_FILE}").alias("part"), F.when(bad, wrong).otherwise(F.col("line")).alias("line"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
