@@ -45,6 +45,8 @@ from quilt.llm.shingles import mix, shingle_sets
 COMMON_SHINGLE = 0.05
 # Signatures of one range, about: what a task sorts at a time.
 RANGE_SIGNATURES = 2_000_000
+# Cells (sets x images) that are compared at a time in a block of a segment.
+FINDER_CELLS = 1 << 22
 
 
 def _band_bounds() -> list[int]:
@@ -288,10 +290,14 @@ def _finder(spec: Jaccard):
         flat = np.concatenate(images)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        column = np.cumsum(np.concatenate(([0], flat[1:] != flat[:-1])))
+        # (an image that one set alone has is shared by none)
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        times = np.diff(first, append=len(flat))
+        owner = owner[np.repeat(times > 1, times)]
+        column = np.repeat(np.arange(int((times > 1).sum())), times[times > 1])
         both = np.minimum(hidden[:, None], hidden[None, :])
-        width = 1 << 15
-        for at in range(0, int(column[-1]) + 1, width):
+        width = max(64, FINDER_CELLS // len(sets))
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             lo, hi = np.searchsorted(column, (at, at + width))
             table = np.zeros((len(sets), width), np.float32)
             table[owner[lo:hi], column[lo:hi] - at] = 1
