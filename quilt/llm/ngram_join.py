@@ -47,6 +47,8 @@ COMMON_SHINGLE = 0.05
 RANGE_SIGNATURES = 2_000_000
 # Cells (sets x images) that are compared at a time in a block of a segment.
 FINDER_CELLS = 1 << 22
+# Pairs of a block that are counted one by one; more are counted together.
+FINDER_PAIRS = 20_000
 
 
 def _band_bounds() -> list[int]:
@@ -277,35 +279,52 @@ def _verify(pairs: DataFrame, sets: DataFrame, spec: Jaccard) -> DataFrame:
 
 
 def _finder(spec: Jaccard):
-    """Pairs of sets of different components that can be links, by counting the
-    shingles that each two sets share (a product of 0/1 matrices, in column
-    slices). The sets come as 32-bit images, half the bytes; each image that a
-    set holds twice hides one shingle at most, which the bound allows for."""
+    """Pairs of sets of different components that can be links, within a block.
+
+    Two linked sets share one of the rarest n - ceil(n * num / den) + 1 shingles
+    of each (rarity in the block): only pairs that do are counted, so sets that
+    have a passage in common, and little else, cost next to nothing. The sets come
+    as 32-bit images, half the bytes; each image that a set holds twice hides one
+    shingle at most, which the bound allows for."""
+
+    def shared(owner, column, sets):
+        """Products of 0/1 matrices of the columns that several sets have."""
+        columns, back, times = np.unique(column, return_inverse=True, return_counts=True)
+        keep = times[back] > 1
+        place = np.cumsum(times > 1) - 1
+        owner, column = owner[keep], place[back[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((sets, sets), np.int64)
+        width = max(64, FINDER_CELLS // sets)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            lo, hi = np.searchsorted(column, (at, at + width))
+            table = np.zeros((sets, min(width, int(column[-1]) + 1 - at)), np.float32)
+            table[owner[lo:hi], column[lo:hi] - at] = 1
+            both += (table @ table.T).astype(np.int64)
+        return both
 
     def find(nodes, roots, sets):
         n = np.array([len(s) for s in sets], np.int64)
         images = [np.unique(s) for s in sets]
-        hidden = n - np.array([len(s) for s in images])
-        owner = np.repeat(np.arange(len(sets)), n - hidden)
-        flat = np.concatenate(images)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        # (an image that one set alone has is shared by none)
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        times = np.diff(first, append=len(flat))
-        owner = owner[np.repeat(times > 1, times)]
-        column = np.repeat(np.arange(int((times > 1).sum())), times[times > 1])
-        both = np.minimum(hidden[:, None], hidden[None, :])
-        width = max(64, FINDER_CELLS // len(sets))
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            lo, hi = np.searchsorted(column, (at, at + width))
-            table = np.zeros((len(sets), width), np.float32)
-            table[owner[lo:hi], column[lo:hi] - at] = 1
-            both = both + (table @ table.T).astype(np.int64)
-        union = n[:, None] + n[None, :] - both
+        sizes = np.array([len(s) for s in images])
+        hidden = n - sizes
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, times = np.unique(np.concatenate(images), return_inverse=True, return_counts=True)
+        rarest = np.lexsort((column, times[column], owner))
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = rarest[within < (n + (-n * spec.num // spec.den) + 1)[owner]]
         r, x = np.asarray(roots), np.asarray(nodes)
-        found = (spec.den * both >= spec.num * union) & (r[:, None] != r[None, :])
-        return [(int(x[i]), int(x[j])) for i, j in np.argwhere(found) if x[i] < x[j]]
+        met = (shared(owner[first], column[first], len(sets)) > 0) & (r[:, None] != r[None, :]) & (x[:, None] < x[None, :])
+        pairs = np.argwhere(met)
+        if len(pairs) <= FINDER_PAIRS:
+            both = np.array([len(np.intersect1d(images[i], images[j], assume_unique=True)) for i, j in pairs], np.int64)
+        else:
+            both = shared(owner, column, len(sets))[pairs[:, 0], pairs[:, 1]]
+        i, j = pairs[:, 0], pairs[:, 1]
+        both = both + np.minimum(hidden[i], hidden[j])
+        found = spec.den * both >= spec.num * (n[i] + n[j] - both)
+        return [(int(a), int(b)) for a, b in zip(x[i[found]], x[j[found]])]
 
     return find
 

@@ -52,8 +52,8 @@ _LATIN_UNITS = {
     "byte": re.compile(rf"{_CLITICS}| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?{_OTHER}|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
     "word": re.compile(rf"{_CLITICS}|[A-Za-z{_LATIN}]+|[0-9]|{_OTHER}"),
 }
-# Units that a process remembers: some 200 MB at most.
-MEMO_UNITS = 800_000
+# Units that a process remembers, in each of two memos: some 130 MB at most.
+MEMO_UNITS = 250_000
 
 
 def _byte_letters() -> list[str]:

@@ -162,3 +162,32 @@ def test_chains_of_near_copies(spark):
     for seed in (1, 2, 3):
         rows = near_copies(seed=seed)
         assert run(spark, rows, N.Jaccard(5, 80, 100)) == brute(rows, 5, 80, 100)
+
+
+@pytest.mark.parametrize("pairs", [20_000, 0])
+def test_pairs_of_a_block_against_all_pairs(monkeypatch, pairs):
+    """Also with images that stand for several shingles of a set."""
+    monkeypatch.setattr(N, "FINDER_PAIRS", pairs)
+    monkeypatch.setattr(N, "FINDER_CELLS", 500)
+    rng = np.random.default_rng(5)
+    for num in (80, 90, 67):
+        spec = N.Jaccard(5, num, 100)
+        base = [rng.integers(0, 3000, rng.integers(3, 60)) for _ in range(8)]
+        common = rng.integers(0, 3000, 30)
+        sets = []
+        for _ in range(120):
+            s = np.unique(base[rng.integers(8)])
+            s = np.concatenate((s[rng.random(len(s)) > 0.08], rng.integers(0, 3000, rng.integers(0, 4)), common if rng.random() < 0.4 else common[:0]))
+            sets.append(np.unique(s))
+        sets = [s if len(s) else np.array([1]) for s in sets]
+        image = rng.integers(0, 2**31, 3000).astype(np.int32)
+        image[rng.integers(0, 3000, 600)] = 7  # many shingles with one image
+        roots = [i % 5 for i in range(len(sets))]
+        got = set(N._finder(spec)([10 + i for i in range(len(sets))], roots, [image[s] for s in sets]))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                b = sets[j]
+                inter = len(np.intersect1d(a, b))
+                if roots[i] != roots[j] and 100 * inter >= num * (len(a) + len(b) - inter):
+                    assert (10 + j, 10 + i) in got
+        assert all(roots[a - 10] != roots[b - 10] and a < b for a, b in got)
