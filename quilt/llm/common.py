@@ -13,7 +13,7 @@ from quilt.session import cut_lineage, ensure_checkpoint_dir
 
 # A table of ids may be broadcast up to this size of its values (a hash table of
 # it takes about twice as much in an executor); beyond it the join is shuffled.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 TEXT_BYTES = 80  # of a string or binary value, as counted
 
 SLICE_ROWS = 1024

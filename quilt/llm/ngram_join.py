@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import BROADCAST_BYTES, join_ids, map_batches, save, slices
+from quilt.llm.common import join_ids, map_batches, save, slices
 from quilt.llm.components import connected_components
 from quilt.llm.segments import links_within
 from quilt.llm.shingles import mix, shingle_sets
@@ -45,6 +45,8 @@ from quilt.llm.shingles import mix, shingle_sets
 COMMON_SHINGLE = 0.05
 # Signatures of one range, about: what a task sorts at a time.
 RANGE_SIGNATURES = 2_000_000
+# Bytes of shared signatures that may go to every task, as arrays.
+SIGNATURE_BYTES = 64 << 20
 # Cells (sets x images) that are compared at a time in a block of a segment.
 FINDER_CELLS = 1 << 22
 # Pairs of a block that are counted one by one; more are counted together.
@@ -196,7 +198,7 @@ def _posted(base: DataFrame, spec: Jaccard, deletions: frozenset[int], shared: D
     Signatures are many times the ids: they are worked out again here, not kept,
     and those that nobody shares go before they leave the task, as long as the
     shared ones (two longs each) are few enough to be there; else in a join."""
-    small = shared.count() * 16 <= BROADCAST_BYTES
+    small = shared.count() * 16 <= SIGNATURE_BYTES
     if small:
         table = shared.toArrow()
         order = np.argsort(table["_sig"].to_numpy())
@@ -295,13 +297,13 @@ def _finder(spec: Jaccard):
         owner, column = owner[keep], place[back[keep]]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        both = np.zeros((sets, sets), np.int64)
+        both = np.zeros((sets, sets), np.float32)  # (counts stay far below 2^24)
         width = max(64, FINDER_CELLS // sets)
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             lo, hi = np.searchsorted(column, (at, at + width))
             table = np.zeros((sets, min(width, int(column[-1]) + 1 - at)), np.float32)
             table[owner[lo:hi], column[lo:hi] - at] = 1
-            both += (table @ table.T).astype(np.int64)
+            both += table @ table.T
         return both
 
     def find(nodes, roots, sets):
@@ -320,7 +322,7 @@ def _finder(spec: Jaccard):
         if len(pairs) <= FINDER_PAIRS:
             both = np.array([len(np.intersect1d(images[i], images[j], assume_unique=True)) for i, j in pairs], np.int64)
         else:
-            both = shared(owner, column, len(sets))[pairs[:, 0], pairs[:, 1]]
+            both = shared(owner, column, len(sets))[pairs[:, 0], pairs[:, 1]].astype(np.int64)
         i, j = pairs[:, 0], pairs[:, 1]
         both = both + np.minimum(hidden[i], hidden[j])
         found = spec.den * both >= spec.num * (n[i] + n[j] - both)

@@ -134,7 +134,7 @@ def test_components_of_a_path_and_a_star(spark):
 def test_many_ranges_and_a_join_beyond_the_broadcast(spark, monkeypatch):
     """Signatures dealt to many ranges, and more shared ones than may be broadcast."""
     monkeypatch.setattr(N, "RANGE_SIGNATURES", 50)
-    monkeypatch.setattr(N, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(N, "SIGNATURE_BYTES", 0)
     for spec in (N.Jaccard(3, 90, 100), N.Jaccard(5, 80, 100)):
         rows = near_copies()
         assert run(spark, rows, spec) == brute(rows, spec.width, spec.num, spec.den)
