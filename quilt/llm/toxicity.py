@@ -45,7 +45,7 @@ FEATURE_LENGTHS = (4, 5, 6)
 # Labelled rows to learn from, per label, and features kept: bounds of the model.
 MAX_ROWS_PER_LABEL = 20_000
 MAX_FEATURES = 20_000
-MEMO_TOKENS = 120_000
+MEMO_TOKENS = 240_000
 STRONGEST = 3  # words of a text whose evidence counts
 
 _LETTER = r"[^\W\d_]"
