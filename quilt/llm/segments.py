@@ -12,7 +12,7 @@ from quilt.llm.common import join_ids, save
 from quilt.llm.components import connected_components
 
 # Members of one segment that a task compares at a time are about twice this.
-BLOCK = 1024
+BLOCK = 512
 
 #: (nodes, roots, loads) of a block -> pairs of nodes with different roots
 Find = Callable[[list, list, list], Sequence[tuple[int, int]]]
