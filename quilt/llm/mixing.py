@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import join_ids, prefix_sums, save, slices
+from quilt.llm.common import join_ids, prefix_sums, save, save_files, slices
 from quilt.llm.tokens import encoder
-from quilt.llm.topics import Topics, fit_topics
+from quilt.llm.topics import Topics, fit_packed, packed, with_topic
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -115,12 +115,15 @@ def describe(
     docs: DataFrame, topics: Topics | None, tokenizer: str | None, topic: Column | None, tokens: Column | None, text_col: str,
 ) -> DataFrame:
     """``docs`` with ``topic`` and ``n_tokens``: given columns, or the learnt topic
-    and the ids that the tokenizer makes of the text with one at its end."""
-    given = {"topic": topic if topic is not None else F.lit(None).cast("string"), "n_tokens": tokens if tokens is not None else F.lit(None).cast("long")}
+    and the ids that the tokenizer makes of the text with one at its end. Without
+    either topics the vector ``_vec``, that they are learnt from, is in its place."""
+    learn, count = topic is None, tokens is None and tokenizer is not None
+    label = "_vec" if learn and topics is None else "topic"
+    empty = F.lit(None).cast("binary" if label == "_vec" else "string")
+    given = {label: empty if learn else topic, "n_tokens": tokens if tokens is not None else F.lit(None).cast("long")}
     if tokens is None and tokenizer is None:
         given["n_tokens"] = text_tokens(F.col(text_col))
     rows = docs.withColumns(given)
-    learn, count = topic is None, tokens is None and tokenizer is not None
     if not (learn or count):
         return rows
 
@@ -130,7 +133,7 @@ def describe(
             texts = batch.column(text_col).to_pylist()
             new = dict(zip(batch.schema.names, batch.columns))
             if learn:
-                new["topic"] = pa.array(topics.of(texts), pa.string())
+                new[label] = packed(texts) if topics is None else pa.array(topics.of(texts), pa.string())
             if count:
                 new["n_tokens"] = pa.array([len(x) // 4 + 1 for x in encode([t or "" for t in texts])], pa.int64())
             yield pa.RecordBatch.from_pydict(new)
@@ -173,8 +176,10 @@ def mix_to_targets(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"),
         *([topic.alias("_topic")] if topic is not None else []), *([tokens.cast("long").alias("_tokens")] if tokens is not None else []),
     )
-    learnt = fit_topics(docs, id_col=id_col, text_col=text_col) if topic is None else None
-    rows = describe(slim, learnt, tokenizer, None if topic is None else F.col("_topic"), None if tokens is None else F.col("_tokens"), "_text")
+    rows = describe(slim, None, tokenizer, None if topic is None else F.col("_topic"), None if tokens is None else F.col("_tokens"), "_text")
+    if topic is None:
+        rows = save_files(rows.select("_id", "source", "lang", "n_tokens", "_vec"), "vectors")
+        rows = with_topic(rows, fit_packed(rows))
     rows = save(rows.select("_id", "source", "lang", "topic", "n_tokens"))
     return _with_probability(rows, budget, exponent, shares).select(
         F.col("_id").alias(id_col), "source", "lang", "topic", "n_tokens", "probability",
@@ -189,9 +194,11 @@ def sample_mix(
 ) -> DataFrame:
     """The rows of ``docs``, whole, that ``mix_to_targets`` keeps. Texts are read
     once for the cells and once, with their topic alone, for the draw."""
-    learnt = fit_topics(docs, id_col=id_col, text_col=text_col)
     slim = docs.select(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
-    cells = describe(slim, learnt, tokenizer, None, None, "_text").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
+    slim = describe(slim, None, tokenizer, None, None, "_text").select("source", "lang", "n_tokens", "_vec")
+    vectors = save_files(slim, "vectors")
+    learnt = fit_packed(vectors)
+    cells = with_topic(vectors, learnt).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     whole = F.struct(*[F.col(c) for c in docs.columns])
     rows = docs.select(
         whole.alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"),

@@ -1,13 +1,16 @@
 """Topics of texts, learnt from the texts: spherical k-means over their words.
 
 A text is the counts of its words, dampened by their square root and hashed to
-WIDTH columns, each weighted by how few texts of the sample hold it, at length 1.
-The centres are learnt from a bounded sample of texts (the model alone is); every
-text is then given the centre it is nearest to.
+WIDTH columns, each weighted by how few texts hold it, at length 1. Weights and
+centres are learnt from every text with words: the vectors are written before, and
+each round is one job over them, of which a sum per centre and column comes back.
+Vectors of length 1 are whole numbers of 1 / UNIT, so that products and sums are
+exact and no result depends on how the rows are dealt to tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import slices
+from quilt.llm.common import SLICE_ROWS, save_files, slices
 from quilt.llm.shingles import mix, word_hashes
 
 WIDTH = 512
-SAMPLE_TEXTS = 4096  # that the centres are learnt from, about
+UNIT = 2048  # (products of two vectors stay below 2^24, exact in float32)
+BLOCK = 8  # vectors of one row of the table that the rounds read
 ROUNDS = 25
 EMPTY = "empty"  # the topic of a text without words
 
@@ -40,9 +44,20 @@ def word_counts(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def packed(texts: list[str | None]) -> pa.Array:
+    """The dampened counts of each text, as half floats; null without words."""
+    x = np.sqrt(word_counts(texts)).astype(np.float16)
+    return pa.array([row.tobytes() if some else None for row, some in zip(x, x.any(axis=1))], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in whole numbers of 1 / UNIT."""
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.rint(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0) * UNIT).astype(np.float32)
 
 
 @dataclass
@@ -51,53 +66,117 @@ class Topics:
     centres: np.ndarray
 
     def of(self, texts: list[str | None]) -> list[str]:
-        counts = word_counts(texts)
-        if not len(self.centres):
-            return [EMPTY] * len(texts)
-        near = np.argmax(np.sqrt(counts) * self.weight @ self.centres.T, axis=1)
-        return [f"topic{t}" if some else EMPTY for t, some in zip(near.tolist(), counts.any(axis=1).tolist())]
-
-
-def k_means(x: np.ndarray, k: int) -> np.ndarray:
-    """Centres of length 1 of rows of length 1: each first one the farthest from
-    those before, then rounds of means until no row moves."""
-    if not len(x):
-        return np.zeros((0, x.shape[1]), x.dtype)
-    picked, near = [], np.full(len(x), -np.inf)
-    for _ in range(min(k, len(x))):
-        at = int(np.argmin(near)) if picked else int(np.argmax(x @ x.sum(axis=0)))
-        if picked and near[at] > 1 - 1e-6:
-            break  # every row stands on a centre
-        picked.append(at)
-        near = np.maximum(near, x @ x[at])
-    centres, held = x[picked], None
+        return self.of_packed(packed(texts))
+
+    def of_packed(self, column: pa.Array) -> list[str]:
+        out, some = np.full(len(column), EMPTY, object), np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        if len(some) and len(self.centres):
+            near = np.argmax(_unit(_unpacked(column.drop_null()) * self.weight) @ self.centres.T, axis=1)
+            out[some] = [f"topic{t}" for t in near.tolist()]
+        return out.tolist()
+
+
+def with_topic(rows: DataFrame, topics: Topics, column: str = "_vec") -> DataFrame:
+    """``rows`` with ``topic`` in place of the packed vector."""
+    names = [c for c in rows.columns if c != column]
+
+    def run(batches):
+        for batch in slices(batches):
+            topic = pa.array(topics.of_packed(batch.column(column)), pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], topic], [*names, "topic"])
+
+    out = rows.select(*names, F.lit(None).cast("string").alias("topic"))
+    return rows.mapInArrow(run, out.schema)
+
+
+def _sums(rows: DataFrame, read: Callable[[pa.Array], np.ndarray], part: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all vectors of ``part`` (of some vectors: ``size`` whole numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in slices(batches, SLICE_ROWS // BLOCK):
+            if batch.num_rows:
+                total += part(read(batch.column(0))).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "v": pa.array(total[at])})
+
+    out = np.zeros(size, np.int64)
+    for at, v in rows.mapInArrow(run, "at int, v bigint").groupBy("at").agg(F.sum("v")).collect():
+        out[at] = v
+    return out
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, WIDTH).astype(np.float32)
+
+
+def _most(units: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
+    """The largest score, and the vector that has it (of several the last in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in slices(batches, SLICE_ROWS // BLOCK):
+            if batch.num_rows:
+                x = _units(batch.column(0))
+                s = score(x)
+                if best is None or s.max() >= best[0]:
+                    top = max(row.tobytes() for row in np.unique(x[s == s.max()], axis=0).astype(">i2"))
+                    best = max(best or (-1, b""), (int(s.max()), top))
+        if best:
+            yield pa.RecordBatch.from_pydict({"s": pa.array([best[0]], pa.int64()), "x": pa.array([best[1]], pa.binary())})
+
+    m = units.mapInArrow(run, "s bigint, x binary").agg(F.max(F.struct("s", "x")).alias("m")).first()["m"]
+    return m["s"], np.frombuffer(bytes(m["x"]), ">i2").astype(np.float32)
+
+
+def fit_packed(rows: DataFrame, k: int = 8, column: str = "_vec") -> Topics:
+    """Weights and centres from the packed vectors of all rows: each first centre
+    the farthest from those before, then rounds of means until none moves."""
+    vectors = rows.select(column).where(F.col(column).isNotNull())
+    held = _sums(vectors, _unpacked, lambda x: np.append((x > 0).sum(axis=0), len(x)), WIDTH + 1)
+    n = int(held[-1])
+    # (a word of every text still counts a little)
+    weight = (np.log((n + 1) / (held[:-1] + 1)) + 0.1).astype(np.float32)
+    if not n:
+        return Topics(weight, np.zeros((0, WIDTH), np.float32))
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = _unit(_unpacked(batch.column(0)) * weight).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i : i + BLOCK].tobytes() for i in range(0, len(x), BLOCK)], pa.binary())], ["x"])
+
+    units = save_files(vectors.mapInArrow(weighted, "x binary"), "units")
+    middle = _unit(_sums(units, _units, lambda x: x.sum(axis=0), WIDTH).astype(float)[None])[0]
+    centres = _most(units, lambda x: x @ middle)[1][None]
+    while len(centres) < min(k, n):
+
+        def apart(x: np.ndarray, c=centres) -> np.ndarray:
+            return ((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * (x @ c.T)).min(axis=1)
+
+        far, x = _most(units, apart)
+        if not far:
+            break  # every text stands on a centre
+        centres = np.concatenate((centres, x[None]))
+    before = None
     for _ in range(ROUNDS):
-        own = np.argmax(x @ centres.T, axis=1)
-        if held is not None and (own == held).all():
+
+        def means(x: np.ndarray, c=centres) -> np.ndarray:
+            own = np.argmax(x @ c.T, axis=1)
+            return ((own == np.arange(len(c))[:, None]).astype(np.float32) @ x).ravel()
+
+        sums = _sums(units, _units, means, centres.size).reshape(centres.shape)
+        if before is not None and (sums == before).all():
             break
-        held = own
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        empty = ~sums.any(axis=1)
-        centres = np.where(empty[:, None], centres, _unit(sums))
-    return centres
+        before = sums
+        centres = np.where(sums.any(axis=1)[:, None], _unit(sums.astype(float)), centres)
+    return Topics(weight, centres)
 
 
-def fit_topics(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> Topics:
-    """Centres from about SAMPLE_TEXTS texts, drawn by a hash of id and text."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).cast("string").alias("_id"))
-    rows = rows.where(F.length("_text") > 0)
-    n = rows.count()
+def fit_topics(docs: DataFrame, k: int = 8, text_col: str = "text") -> Topics:
+    """Topics learnt from every text of ``docs``."""
 
-    def vectors(batches):
+    def run(batches):
         for batch in slices(batches):
-            x = word_counts(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_pydict({"x": pa.array(x.tolist(), pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_arrays([packed(batch.column(0).to_pylist())], ["_vec"])
 
-    drawn = rows.where(F.pmod(F.xxhash64("_text", "_id"), F.lit(max(1, -(-n // SAMPLE_TEXTS)))) == 0)
-    got = drawn.mapInArrow(vectors, "x array<float>").limit(2 * SAMPLE_TEXTS).collect()
-    x = np.array([r[0] for r in got], np.float32).reshape(-1, WIDTH)
-    x = x[np.lexsort(x.T)]  # in an order of its own, however the rows came
-    # (a word of every text still counts a little)
-    weight = (np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)) + 0.1).astype(np.float32)
-    return Topics(weight, k_means(_unit(np.sqrt(x) * weight)[x.any(axis=1)] if len(x) else x, k))
+    return fit_packed(save_files(docs.select(text_col).mapInArrow(run, "_vec binary"), "topics"), k)

@@ -79,3 +79,26 @@ def test_prefix_sums_over_many_partitions(spark):
         assert got[i]["before"] == n and abs(got[i]["light"] - w) < 1e-9
         n, w = n + x, w + y
     assert prefix_sums(df.where("false"), [F.asc("k")], {"before": "n"}).collect() == []
+
+
+def test_topics_are_learnt_from_every_text(spark):
+    rows = corpus(9000, 3)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, topic string").repartition(6)
+    got = T.fit_topics(df.select("doc_id", "text"))
+    counts = T.word_counts([r[1] for r in rows])
+    weight = np.log((len(rows) + 1) / ((counts > 0).sum(axis=0) + 1)) + 0.1
+    assert np.allclose(got.weight, weight, atol=1e-5)
+    # rounds end where each centre is the mean of all texts that are nearest to it
+    x = np.sqrt(counts).astype(np.float16) * got.weight
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.argmax(x @ got.centres.T, axis=1)
+    for k, centre in enumerate(got.centres):
+        mean = x[own == k].sum(axis=0)
+        assert (mean / np.linalg.norm(mean)) @ centre / T.UNIT > 0.99
+
+
+def test_a_topic_of_few_texts_is_found(spark):
+    # 2 of 6,000 texts: most samples of them have none
+    rows = [(i, "ship wave harbour sail storm anchor") for i in range(5998)] + [(i, "court judge appeal statute") for i in (5998, 5999)]
+    t = T.fit_topics(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert len(t.centres) == 2 and t.of([rows[0][1]]) != t.of([rows[-1][1]])
