@@ -57,6 +57,7 @@ _EDGE = ".,;:?\"')]}<>"
 _SUSPICIOUS = re.compile(
     rf"{_LETTER}[{_SIGNS}.\-_~'`^:,]|[{_SIGNS}.\-_~'`^:,]{_LETTER}|({_LETTER})\1"
 )
+_REPEATED = re.compile(rf"({_LETTER})\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _GAP = re.compile(r"\s+")
 
@@ -125,9 +126,21 @@ class Decoder:
 
     log_p: np.ndarray
     lists: list = field(default=None, repr=False)
+    rows: list = field(default=None, repr=False)
+    signs: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"log_p": self.log_p, "lists": None}
+        return {"log_p": self.log_p, "lists": None, "rows": None, "signs": {}}
+
+    def _sign(self, ch: str) -> tuple:
+        """What a sign may stand for (letter, cost, class), whether it is a letter,
+        and the cost of leaving it out (None: it stays)."""
+        letter = ch.isalpha()
+        options = [(ch, 0.0)] if letter else [(c, COST_SIGN) for c in LOOKALIKE.get(ch, "")]
+        found = [(x, cost, char_class(x)) for x, cost in options], letter, COST_DROP_SEPARATOR if ch in SEPARATORS else None
+        if len(self.signs) < CLASSES**2:
+            self.signs[ch] = found
+        return found
 
     def decode(self, token: str, split: bool = False) -> str:
         """The most probable word behind a lower-case token; '' if it holds no
@@ -135,39 +148,48 @@ class Decoder:
         joined by blanks. Linear in the token's length."""
         if self.lists is None:
             self.lists = self.log_p.tolist()
-        log_p = self.lists
-        if not any(c.isalpha() for c in token):
+            self.rows = [last for first in self.lists for last in first]
+        log_p, known = self.rows, self.signs
+        signs = [known.get(ch) or self._sign(ch) for ch in token]
+        if not any(sign[1] for sign in signs):
             return ""
-        # a state: the classes of the last two letters; its value: score, text
-        # links, and the last raw letter kept (repeats of it may be dropped)
-        states = {(0, 0): (0.0, None)}
+        # a state: the classes of the last two letters, as one number; its value:
+        # score and text links. While there is one only, it is held in variables.
+        state, score, link, states = 0, 0.0, None, None
         before = ""
-        for ch in token:
-            options = [(ch, 0.0)] if ch.isalpha() else [(c, COST_SIGN) for c in LOOKALIKE.get(ch, "")]
-            if split and ch == " ":
-                options = [(ch, COST_WORD_END)]
-            options = [(letter, cost, char_class(letter)) for letter, cost in options]
-            drop = COST_DROP_REPEAT if ch == before and ch.isalpha() else (
-                COST_DROP_SEPARATOR if ch in SEPARATORS else None
-            )
+        for ch, (options, is_letter, drop) in zip(token, signs):
+            if is_letter:
+                if ch == before:
+                    drop = COST_DROP_REPEAT  # (a repeat may be left out)
+                elif states is None and drop is None:
+                    k = options[0][2]
+                    score += log_p[state][k]
+                    state, link, before = state % CLASSES * CLASSES + k, (link, ch), ch
+                    continue
+            elif split and ch == " ":
+                options = [(ch, COST_WORD_END, 0)]
+            before = ch
             if not options and drop is None:
-                options = [("", 0.0, 0)]  # an unknown sign ends nothing and says nothing
+                continue  # an unknown sign ends nothing and says nothing
             following: dict = {}
-            for state, (score, link) in states.items():
+            for state, (score, link) in states.items() if states else ((state, (score, link)),):
                 if drop is not None:
                     held = following.get(state)
                     if held is None or score + drop > held[0]:
                         following[state] = (score + drop, link)
-                last = log_p[state[0]][state[1]]
+                last, context = log_p[state], state % CLASSES * CLASSES
                 for letter, cost, k in options:
-                    after = (state[1], k) if letter else state
-                    total = score + cost + last[k] if letter else score
-                    held = following.get(after)
+                    total = score + cost + last[k]
+                    held = following.get(context + k)
                     if held is None or total > held[0]:
-                        following[after] = (total, (link, letter) if letter else link)
-            states, before = following, ch
-        best = max(states.items(), key=lambda s: s[1][0] + log_p[s[0][0]][s[0][1]][0])
-        out, link = [], best[1][1]
+                        following[context + k] = (total, (link, letter))
+            states = following
+            if len(states) == 1:
+                (state, (score, link)), = states.items()
+                states = None
+        if states:
+            link = max(states.items(), key=lambda s: s[1][0] + log_p[s[0]][0])[1][1]
+        out = []
         while link:
             out.append(link[1])
             link = link[0]
@@ -186,11 +208,14 @@ class Restorer:
         self.decoder, self.keep, self.memo = decoder, keep, {}
 
     def _token(self, token: str) -> tuple:
-        words = set(_WORDS.findall(token))
-        core = token.strip(_EDGE)
-        if _SUSPICIOUS.search(core):
-            words.update(map(self.decoder.decode, {core, core.strip("#%&*$!")}))
-        return tuple((w, v) for w in words if w and (v := self.keep(w)) is not None)
+        if token.isalpha():  # a word as it stands; only repeats can disguise it
+            words = {token, self.decoder.decode(token)} if _REPEATED.search(token) else (token,)
+        else:
+            words = set(_WORDS.findall(token))
+            core = token.strip(_EDGE)
+            if _SUSPICIOUS.search(core):
+                words.update(map(self.decoder.decode, {core, core.strip("#%&*$!")}))
+        return tuple([(w, v) for w in words if w and (v := self.keep(w)) is not None])
 
     def _run_words(self, run: str) -> set:
         """The words of a run of single signs: of each part between its wider
@@ -212,14 +237,17 @@ class Restorer:
         memo, found = self.memo, {}
         if len(memo) > MEMO_TOKENS:
             memo.clear()
-        tokens = set(text.split())
-        for token in tokens:
-            got = memo.get(token)
-            if got is None:
-                got = memo[token] = self._token(token)
-            if got:
-                found.update(got)
-        for run in _SPACED.findall(text):
+        tokens = text.split()
+        single = bytes([len(token) == 1 for token in tokens])
+        tokens = list(set(tokens))
+        got = list(map(memo.get, tokens))
+        if None in got:
+            for i, known in enumerate(got):
+                if known is None:
+                    got[i] = memo[tokens[i]] = self._token(tokens[i])
+        for words in filter(None, got):
+            found.update(words)
+        for run in _SPACED.findall(text) if b"\1\1\1" in single else ():
             for w in self._run_words(run):
                 if (v := self.keep(w)) is not None:
                     found[w] = v
@@ -237,8 +265,15 @@ class ToxicityModel:
 
     def evidence(self, word: str) -> float | None:
         """Of the word's features, the strongest evidence."""
-        found = [w for f in features_of(word) if (w := self.weights.get(f)) is not None]
-        return max(found) if found else None
+        weight = self.weights.get
+        best = weight("=" + word)
+        for k in FEATURE_LENGTHS:
+            if len(word) < k:
+                break
+            w = weight(word[:k])
+            if w is not None and (best is None or w > best):
+                best = w
+        return best
 
     def probability(self, evidence: float) -> float:
         z = self.intercept + self.slope * evidence

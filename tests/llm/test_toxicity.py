@@ -231,3 +231,44 @@ def test_length_is_no_evidence(spark):
     model = T.fit(d, spark.createDataFrame(labels, "doc_id bigint, toxic int"), T.fold() != 0)
     wrong = [r["doc_id"] for r in T.score(d, model).collect() if r["predicted"] != labels[r["doc_id"]][1]]
     assert len(wrong) < 15, wrong
+
+
+def _plain_decode(log_p, token, split=False):
+    """Viterbi search with every state in a table, whatever the token."""
+    if not any(c.isalpha() for c in token):
+        return ""
+    states, before = {(0, 0): (0.0, "")}, ""
+    for ch in token:
+        options = [(ch, 0.0)] if ch.isalpha() else [(c, T.COST_SIGN) for c in T.LOOKALIKE.get(ch, "")]
+        if split and ch == " ":
+            options = [(ch, T.COST_WORD_END)]
+        drop = T.COST_DROP_REPEAT if ch == before and ch.isalpha() else (
+            T.COST_DROP_SEPARATOR if ch in T.SEPARATORS else None
+        )
+        following = dict(states) if not options and drop is None else {}
+        for state, (score, text) in states.items():
+            ways = [(state, score + drop, text)] if drop is not None else []
+            for x, cost in options:
+                k = T.char_class(x)
+                ways.append(((state[1], k), score + cost + float(log_p[state[0]][state[1]][k]), text + x))
+            for after, total, found in ways:
+                if after not in following or total > following[after][0]:
+                    following[after] = (total, found)
+        states, before = following, ch
+    return max(states.items(), key=lambda s: s[1][0] + float(log_p[s[0][0]][s[0][1]][0]))[1][1]
+
+
+def test_decoder_reads_as_the_plain_search():
+    rng = random.Random(5)
+    log_p = np.log(np.random.default_rng(5).dirichlet(np.ones(64), (64, 64))).astype(np.float32)
+    decoder = T.Decoder(log_p)
+    signs = "abcdeeilostyé0123@$!|+€*#(.-_~' ^:,%?中ßñ\U0001d4d0"
+    for _ in range(3000):
+        token = "".join(rng.choice(signs) for _ in range(rng.randint(1, 12)))
+        for split in (False, True):
+            assert decoder.decode(token, split) == _plain_decode(log_p, token, split), token
+    # words of plain letters are not searched
+    calls = []
+    decoder.decode = lambda token, split=False: calls.append(token) or token
+    restore = T.Restorer(decoder, lambda w: 1.0)
+    assert set(restore("plain words a b here")) == {"plain", "words", "a", "b", "here"} and not calls
