@@ -128,14 +128,14 @@ def describe(
         return rows
 
     def run(batches):
-        encode = encoder(tokenizer).encode if count else None
+        ids = encoder(tokenizer).count if count else None
         for batch in slices(batches):
             texts = batch.column(text_col).to_pylist()
             new = dict(zip(batch.schema.names, batch.columns))
             if learn:
                 new[label] = packed(texts) if topics is None else pa.array(topics.of(texts), pa.string())
             if count:
-                new["n_tokens"] = pa.array([len(x) // 4 + 1 for x in encode([t or "" for t in texts])], pa.int64())
+                new["n_tokens"] = pa.array([n + 1 for n in ids([t or "" for t in texts])], pa.int64())
             yield pa.RecordBatch.from_pydict(new)
 
     return rows.mapInArrow(run, rows.schema)

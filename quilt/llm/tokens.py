@@ -46,6 +46,8 @@ _UNITS = {
 # can be cut as the tokenizers' own patterns cut them: far fewer different units.
 _LATIN = _class(0xC0, 0xD6, 0xD8, 0xF6, 0xF8, 0x12F, 0x131, 0x17F)
 _NOT_LATIN = re.compile(rf"[^\x00-\x7f{_LATIN}]")
+# (of these, Python's split cuts at the white space of the libraries and no more)
+_NOT_PLAIN = re.compile(rf"[^\x00-\x1b\x20-\x7f{_LATIN}]")
 _CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
 _OTHER = rf"[^{_WS}0-9A-Za-z{_LATIN}]+"
 _LATIN_UNITS = {
@@ -108,6 +110,9 @@ class Encoder:
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.memo: dict[str, bytes] = {}  # of larger units
         self.pieces: dict[str, bytes] = {}  # of units of the tokenizer's pattern
+        # where ids are only counted: how many those of a word and of a unit are
+        self.word_sizes: dict[str, int] = {}
+        self.piece_sizes: dict[str, int] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -116,12 +121,15 @@ class Encoder:
         ends = np.cumsum([4 * len(x) for x in ids]).tolist()
         return [flat[e - 4 * len(x) : e] for e, x in zip(ends, ids, strict=True)]
 
-    def _pieces(self, units: list[str]) -> list[bytes]:
-        """Ids of units of the tokenizer's own pattern: its model is all that is
+    def _tokenized(self, units: list[str]) -> list:
+        """Tokens of units of the tokenizer's own pattern: its model is all that is
         left to run."""
         tokenize, letter = self.tokenizer.model.tokenize, _LETTERS.__getitem__
-        ids = [[t.id for t in tokenize("".join(map(letter, u.encode())))] for u in units]
-        out = [array("I", x) for x in ids]
+        return [tokenize(u if u.isascii() and u.isalnum() else "".join(map(letter, u.encode()))) for u in units]
+
+    def _pieces(self, units: list[str]) -> list[bytes]:
+        """Ids of units of the tokenizer's own pattern."""
+        out = [array("I", [t.id for t in tokens]) for tokens in self._tokenized(units)]
         if sys.byteorder == "big":
             for x in out:
                 x.byteswap()
@@ -150,6 +158,39 @@ class Encoder:
                 out.append(b"".join(map(memo.__getitem__, units)))
         return out
 
+    def _size(self, word: str) -> int:
+        """How many ids a run of other characters than white space has."""
+        sizes, n = self.piece_sizes, 0
+        for unit in _LATIN_UNITS["word"].findall(word):
+            k = sizes.get(unit)
+            if k is None:
+                k = sizes[unit] = len(self._tokenized([unit])[0])
+            n += k
+        return n
+
+    def count(self, texts: list[str]) -> list[int]:
+        """How many ids ``encode`` makes of each text. For tokenizers that drop
+        white space the numbers of whole words are remembered in place of ids."""
+        out, memo = [], self.word_sizes
+        for text in texts:
+            if self.kind != "word" or _NOT_PLAIN.search(text) or self.added(text):
+                out.append(len(self.encode([text])[0]) // 4)
+                continue
+            words = (text.lower() if self.lower else text).split()
+            for sizes in (memo, self.piece_sizes):
+                if len(sizes) > MEMO_UNITS:
+                    sizes.clear()
+            got = list(map(memo.get, words))
+            if None in got:
+                for i, n in enumerate(got):
+                    if n is None:
+                        word = words[i]
+                        got[i] = n = memo.get(word)
+                        if n is None:
+                            got[i] = memo[word] = self._size(word)
+            out.append(sum(got))
+        return out
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

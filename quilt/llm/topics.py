@@ -50,8 +50,15 @@ def packed(texts: list[str | None]) -> pa.Array:
     return pa.array([row.tobytes() if some else None for row, some in zip(x, x.any(axis=1))], pa.binary())
 
 
+def _values(column: pa.Array, kind: type) -> np.ndarray:
+    """The vectors of a column of binary values without nulls, read where they lie."""
+    _, ends, data = column.buffers()
+    kept = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[kept[0] : kept[-1]].view(kind).reshape(-1, WIDTH).astype(np.float32)
+
+
 def _unpacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    return _values(column, np.float16)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -107,7 +114,7 @@ def _sums(rows: DataFrame, read: Callable[[pa.Array], np.ndarray], part: Callabl
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, WIDTH).astype(np.float32)
+    return _values(column, np.int16)
 
 
 def _most(units: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
