@@ -223,6 +223,79 @@ def fit(
     return Models(list(features), weights, counts, iterations, step, history, array)
 
 
+def joint_gradient_sql(view: str, k: int, weights: dict[str, dict[int, list[float]]]) -> str:
+    """One step for several ways to cut the same rows, in one pass: rows and
+    ``sum((sigmoid(w.x) - y) * x_j)`` of each way, by the ids of all ways. ``m_i`` is
+    the column of the i-th; no weights are the first step's zero weights."""
+    xs = ", ".join(f"t.x{j}" for j in range(k))
+    names = list(weights)
+    margins = {}
+    for name, of in weights.items():
+        size = max(of) + 1 if of else 0
+        cols = [[of[m][j] if m in of else 0.0 for m in range(size)] for j in range(k)]
+        margins[name] = " + ".join(
+            f"t.x{j} * element_at(array({', '.join(spark_double(v) for v in cols[j])}), CAST(t.{name} + 1 AS INT))"
+            for j in range(k)
+        ) if of else "0.0D"
+    residuals = ", ".join(f"(1.0D / (1.0D + exp(-({margins[n]}))) - t.label) AS r_{n}" for n in names)
+    ids = ", ".join(names)
+    rows = f"SELECT {', '.join(f't.{n}' for n in names)}, {xs}, t.label, {residuals} FROM {view} t"
+    sums = ", ".join(f"sum(r_{n} * x{j}) AS g_{n}_{j}" for n in names for j in range(k))
+    bad = "sum(CASE WHEN label = 0.0D OR label = 1.0D THEN 0 ELSE 1 END) AS bad"
+    return f"SELECT {ids}, count(1) AS n, {sums}, {bad} FROM ({rows}) GROUP BY {ids}"
+
+
+# Combinations of ids that one pass may bring back to the driver in a step.
+JOINT_MAX_GROUPS = 10_000
+
+
+def fit_joint(
+    points: DataFrame, features: list[str], ways: dict[str, tuple[str | None, int]], step: float = 1.0,
+    partitions: int | None = None,
+) -> dict[str, Models] | None:
+    """The models that ``fit`` gives for each of ``ways`` (name -> model column or
+    None for one model, iterations), from one kept copy of narrow rows and one
+    pass a step for all of them: a step reads the rows once and looks each row up
+    once. A row takes part in the ways in which it has an id. None where the ids of
+    a way have wide gaps, or too many occur together: fit the ways one by one."""
+    spark, k = points.sparkSession, len(features)
+    cols = [F.col(c).cast("double") for c in features]
+    names = {name: f"m_{i}" for i, name in enumerate(ways)}
+    ids = [(F.col(of) if of else F.lit(0)).cast("bigint").alias(names[name]) for name, (of, _) in ways.items()]
+    rows = points.where(usable(cols)).select(*ids, F.col("label").cast("double").alias("label"), *[c.alias(f"x{j}") for j, c in enumerate(cols)])
+    data = persist(spread(rows.where(F.coalesce(*names.values()).isNotNull()), partitions))
+    view = f"__quilt_train_{uuid.uuid4().hex}"
+    data.createOrReplaceTempView(view)
+    out = {name: Models(list(features), {}, {}, n, step) for name, (_, n) in ways.items()}
+    try:
+        for t in range(1, max(n for _, n in ways.values()) + 1):
+            t0 = time.time()
+            live = [name for name, (_, n) in ways.items() if t <= n]
+            weights = {names[name]: out[name].weights for name in live}
+            sums: dict[str, dict[int, list]] = {name: {} for name in live}
+            found = spark.sql(joint_gradient_sql(view, k, weights)).collect()  # a row per combination of ids
+            if any(r["bad"] for r in found):
+                raise ValueError("training labels must be 0 or 1 (binary logistic models)")
+            for r in found:
+                for name in live:
+                    if (m := r[names[name]]) is not None:
+                        sums[name].setdefault(m, []).append((r["n"], [r[f"g_{names[name]}_{j}"] for j in range(k)]))
+            if t == 1 and (len(found) > JOINT_MAX_GROUPS or not all(not of or _dense(of, k) for of in sums.values())):
+                return None
+            rate = step / math.sqrt(t)
+            for name in live:
+                models = out[name]
+                for m, parts in sums[name].items():
+                    models.counts[m] = n = sum(p[0] for p in parts)
+                    w = models.weights.get(m, [0.0] * k)
+                    models.weights[m] = [w[j] - rate * (math.fsum(p[1][j] for p in parts) / n) for j in range(k)]
+                models.history.append(time.time() - t0)
+    finally:
+        spark.catalog.dropTempView(view)
+        data.unpersist()
+    return out
+
+
 def _dense(weights: dict[int, list[float]], k: int) -> bool:
     """Ids 0..max with few gaps, and few enough weights for literal arrays."""
     lo, hi = min(weights), max(weights)
