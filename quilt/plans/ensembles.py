@@ -77,6 +77,11 @@ class Workbench:
         column do not grow with them)."""
         return "x" if len(self.cfg.features) > ARRAY_MAX_FEATURES else None
 
+    @property
+    def partitions(self) -> int | None:
+        """The partitions to deal rows to: one for each core at least."""
+        return self.cfg.partitions and max(self.cfg.partitions, self.spark.sparkContext.defaultParallelism)
+
     # -------------------------------------------------------------- data
     def bounds(self) -> dict[str, tuple[float, float]]:
         def measure():
@@ -134,16 +139,16 @@ class Workbench:
 
     # ------------------------------------------------------------ models
     def models_global(self) -> Models:
-        return self._get("m_global", lambda: fit(self.train(), list(self.cfg.features), None, self.cfg.iter_global, partitions=self.cfg.partitions, array=self.array))
+        return self._get("m_global", lambda: fit(self.train(), list(self.cfg.features), None, self.cfg.iter_global, partitions=self.partitions, array=self.array))
 
     def models_group(self) -> Models:
         return self._get(
-            "m_group", lambda: fit(self.train(self.routed()), list(self.cfg.features), "group_id", self.cfg.iter_ensemble, partitions=self.cfg.partitions, array=self.array)
+            "m_group", lambda: fit(self.train(self.routed()), list(self.cfg.features), "group_id", self.cfg.iter_ensemble, partitions=self.partitions, array=self.array)
         )
 
     def models_part(self) -> Models:
         return self._get(
-            "m_part", lambda: fit(self.train(self.parted()), list(self.cfg.features), "part_id", self.cfg.iter_ensemble, partitions=self.cfg.partitions, array=self.array)
+            "m_part", lambda: fit(self.train(self.parted()), list(self.cfg.features), "part_id", self.cfg.iter_ensemble, partitions=self.partitions, array=self.array)
         )
 
     def fit_all(self) -> None:
@@ -153,7 +158,7 @@ class Workbench:
         if not self.array and not made & self._memo.keys():
             rows = assign_random_part(self.train(self.routed()), cfg.n_parts, cfg.seed)
             ways = {"m_group": ("group_id", cfg.iter_ensemble), "m_part": ("part_id", cfg.iter_ensemble), "m_global": (None, cfg.iter_global)}
-            self._memo.update(fit_joint(rows, list(cfg.features), ways, partitions=cfg.partitions) or {})
+            self._memo.update(fit_joint(rows, list(cfg.features), ways, partitions=self.partitions) or {})
         self.models_group()
         self.models_part()
         self.models_global()
@@ -167,14 +172,14 @@ class Workbench:
 
     def scored_vote(self) -> DataFrame:
         # every row is scored by every model: give the stage all cores
-        return predict_vote(spread(self.held_out(), self.cfg.partitions), self.models_part(), self.cfg.threshold)
+        return predict_vote(spread(self.held_out(), self.partitions), self.models_part(), self.cfg.threshold)
 
     def report(self) -> DataFrame:
         """Accuracy and AUC of the three strategies side by side: the held-out
         rows are scored by all three in one pass, and aggregated once."""
         self.fit_all()
         t = self.cfg.threshold
-        rows = spread(self.held_out(self.routed()), self.cfg.partitions)
+        rows = spread(self.held_out(self.routed()), self.partitions)
         rows = predict_global(rows, self.models_global(), t, ("__p1", "__single"))
         rows = predict_routed(rows, self.models_group(), "group_id", t, ("__p2", "__histogram"))
         rows = predict_vote(rows, self.models_part(), t, ("__ones", "__random"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from quilt.operators.train import fit, fit_joint
-from quilt.session import spread
+from quilt.plans.ensembles import Config, Workbench
 
 WAYS = {"by_a": ("a", 7), "by_b": ("b", 7), "one": (None, 3)}
 
@@ -37,5 +37,6 @@ def test_joint_leaves_what_it_cannot_hold(spark):
 
 def test_rows_are_dealt_to_every_core(spark):
     cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(10), 1).rdd.getNumPartitions() == max(1, cores)
-    assert spread(spark.range(10), cores + 3).rdd.getNumPartitions() == cores + 3
+    assert Workbench(spark, "", Config(partitions=1)).partitions == cores
+    assert Workbench(spark, "", Config(partitions=cores + 3)).partitions == cores + 3
+    assert Workbench(spark, "", Config(partitions=None)).partitions is None
