@@ -28,6 +28,7 @@ in blocks, inside a task.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import join_ids, map_batches, save, slices
+from quilt.llm.common import join_ids, map_batches, save, save_arrays, slices
 from quilt.llm.components import connected_components
 from quilt.llm.segments import links_within
 from quilt.llm.shingles import mix, shingle_sets
@@ -45,7 +46,7 @@ from quilt.llm.shingles import mix, shingle_sets
 COMMON_SHINGLE = 0.05
 # Signatures of one range, about: what a task sorts at a time.
 RANGE_SIGNATURES = 2_000_000
-# Bytes of shared signatures that may go to every task, as arrays.
+# Bytes of shared signatures, or of their hubs, that every task may read as arrays.
 SIGNATURE_BYTES = 64 << 20
 # Cells (sets x images) that are compared at a time in a block of a segment.
 FINDER_CELLS = 1 << 22
@@ -193,16 +194,33 @@ def shared_signatures(base: DataFrame, spec: Jaccard, deletions: frozenset[int],
     return parts.groupBy("range").applyInArrow(count, "_sig bigint, _rows bigint")
 
 
-def _posted(base: DataFrame, spec: Jaccard, deletions: frozenset[int], shared: DataFrame) -> DataFrame:
+def _looked_up(read: Callable[[], list[np.ndarray]]) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For a task: which keys the table (keys and values) holds, and their values.
+    The table is read at the first call."""
+    held: list[np.ndarray] = []
+
+    def look_up(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not held:
+            held.extend(read())
+        known, values = held
+        if not len(known):
+            return np.zeros(len(keys), bool), values
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        return hit, values[at[hit]]
+
+    return look_up
+
+
+def _posted(
+    base: DataFrame, spec: Jaccard, deletions: frozenset[int], shared: DataFrame, read: Callable[[], list[np.ndarray]],
+) -> DataFrame:
     """``(_k1, _k2, _band, _drop, _sig, _rows)``: the shared signatures of each row.
     Signatures are many times the ids: they are worked out again here, not kept,
     and those that nobody shares go before they leave the task, as long as the
-    shared ones (two longs each) are few enough to be there; else in a join."""
+    shared ones (two longs each) are few enough to be read there; else in a join."""
     small = shared.count() * 16 <= SIGNATURE_BYTES
-    if small:
-        table = shared.toArrow()
-        order = np.argsort(table["_sig"].to_numpy())
-        held = base.sparkSession.sparkContext.broadcast((table["_sig"].to_numpy()[order], table["_rows"].to_numpy()[order]))
+    look_up = _looked_up(read)
 
     def post(batch):
         flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
@@ -216,10 +234,8 @@ def _posted(base: DataFrame, spec: Jaccard, deletions: frozenset[int], shared: D
         sig = np.concatenate(sigs)
         rows = np.zeros(len(sig), np.int64)
         if small:
-            known, counts = held.value
-            at = np.minimum(np.searchsorted(known, sig), max(0, len(known) - 1))
-            hit = known[at] == sig if len(known) else np.zeros(len(sig), bool)
-            each, sig, rows = each[hit], sig[hit], counts[at[hit]] if len(known) else rows[hit]
+            hit, rows = look_up(sig)
+            each, sig = each[hit], sig[hit]
         row = np.array(owner)[each]
         return {
             "_k1": pa.array(k1[row]), "_k2": pa.array(k2[row]), "_band": pa.array(np.array(band, np.int32)[each]),
@@ -230,6 +246,22 @@ def _posted(base: DataFrame, spec: Jaccard, deletions: frozenset[int], shared: D
     return found if small else found.drop("_rows").join(shared, "_sig")
 
 
+def _with_hub(kept: DataFrame, hubs: DataFrame, read: Callable[[], list[np.ndarray]]) -> DataFrame:
+    """``(_sig, _node, _hub)`` of the kept contents that several nodes share."""
+    n = hubs.count()
+    if n * 16 > SIGNATURE_BYTES:
+        return join_ids(kept, hubs, ["_sig"], n)
+    look_up = _looked_up(read)
+
+    def find(batches):
+        for batch in batches:
+            hit, hub = look_up(batch.column("_sig").to_numpy())
+            some = batch.filter(pa.array(hit))
+            yield pa.RecordBatch.from_pydict({"_sig": some.column("_sig"), "_node": some.column("_node"), "_hub": pa.array(hub)})
+
+    return kept.select("_sig", "_node").mapInArrow(find, "_sig bigint, _node bigint, _hub bigint")
+
+
 def _keys(flat, n):
     """128 bits that identify each set."""
     first = np.cumsum(n) - n
@@ -311,11 +343,14 @@ def _finder(spec: Jaccard):
         images = [np.unique(s) for s in sets]
         sizes = np.array([len(s) for s in images])
         hidden = n - sizes
-        owner = np.repeat(np.arange(len(sets)), sizes)
+        # (arrays of all images are as narrow as they can be: several tasks share a memory)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         _, column, times = np.unique(np.concatenate(images), return_inverse=True, return_counts=True)
-        rarest = np.lexsort((column, times[column], owner))
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        first = rarest[within < (n + (-n * spec.num // spec.den) + 1)[owner]]
+        column, times = column.astype(np.int32), times.astype(np.int32)
+        rarest = np.lexsort((column, times[column], owner)).astype(np.int32)
+        most, start = n + (-n * spec.num // spec.den) + 1, np.cumsum(sizes) - sizes
+        first = np.concatenate([rarest[a : a + k] for a, k in zip(start, np.minimum(most, sizes))])
+        del rarest
         r, x = np.asarray(roots), np.asarray(nodes)
         met = (shared(owner[first], column[first], len(sets)) > 0) & (r[:, None] != r[None, :]) & (x[:, None] < x[None, :])
         pairs = np.argwhere(met)
@@ -365,20 +400,20 @@ def jaccard_components(
     # contents that several rows have, with how many do (those of equal sets alone
     # among them: a content more only makes the choice below keep no less)
     expected = sum(c * 2 * (spec.segments(band, band in deletions) + (BOUNDS[band + 1] if band in deletions else 0)) for band, c in sizes.items())
-    shared = save(shared_signatures(base, spec, deletions, max(1, -(-expected // RANGE_SIGNATURES))))
+    shared, counts = save_arrays(shared_signatures(base, spec, deletions, max(1, -(-expected // RANGE_SIGNATURES))), "signatures")
     # the rarest contents of each node (a node has at most one row per segment)
-    posted = _with_node(_posted(base, spec, deletions, shared), clashes, n_clashes)
+    posted = _with_node(_posted(base, spec, deletions, shared, counts), clashes, n_clashes)
     own = Window.partitionBy("_node", "_band").orderBy(F.desc("_rows"), "_sig")
     kept = save(
         posted.select("_node", "_band", "_drop", "_sig", "_rows").distinct()
         .withColumn("_rank", F.row_number().over(own))
         .where("_rank > _drop").select("_node", "_sig").distinct()
     )
-    hubs = save(
+    hubs, least_of = save_arrays(
         kept.groupBy("_sig").agg(F.min("_node").alias("_hub"), F.max("_node").alias("_hi"))
-        .where("_hub < _hi").select("_sig", "_hub")
+        .where("_hub < _hi").select("_sig", "_hub"), "hubs"
     )
-    members = save(join_ids(kept, hubs, ["_sig"], hubs.count()))
+    members = save(_with_hub(kept, hubs, least_of))
 
     def sets_of(batch):
         flat, n = shingle_sets(_texts(batch, "_text"), spec.width)

@@ -23,7 +23,6 @@ replaces a file by the same bytes.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from dataclasses import asdict, dataclass
 from io import BytesIO
@@ -34,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quilt.llm.common import map_batches, save, shared_folder, utf8
+from quilt.llm.common import file_system, map_batches, save, shared_folder, utf8
 from quilt.llm.shingles import mix
 from quilt.llm.tokens import encoder
 
@@ -44,15 +43,6 @@ KEYS_PER_BUCKET = 100_000  # about
 READ_AHEAD = 4 << 20
 
 
-def file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder as Spark names it."""
-    if not re.match(r"^[a-z0-9+.-]+:", folder):
-        return fs.LocalFileSystem(), folder
-    if folder.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    return fs.FileSystem.from_uri(folder)
-
-
 def _publish(files: fs.FileSystem, root: str, name: str, attempt: int, data: bytes) -> None:
     own = f"{root}/_{name}.{attempt}"
     with files.open_output_stream(own) as out:

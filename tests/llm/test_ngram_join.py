@@ -191,3 +191,34 @@ def test_pairs_of_a_block_against_all_pairs(monkeypatch, pairs):
                 if roots[i] != roots[j] and 100 * inter >= num * (len(a) + len(b) - inter):
                     assert (10 + j, 10 + i) in got
         assert all(roots[a - 10] != roots[b - 10] and a < b for a, b in got)
+
+
+def test_tables_of_the_join_stay_out_of_the_driver(spark, monkeypatch):
+    """Shared signatures and hubs go to the tasks by files; the links are the same
+    when they are too many for that."""
+    from pyspark import SparkContext
+
+    def refused(*_):
+        raise AssertionError("passed through the driver")
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} x{i % 7}") for i in range(30)] + [(50, "alone here now"), (51, None)]
+    spec = N.Jaccard(width=3, num=80, den=100)
+    with monkeypatch.context() as m:
+        m.setattr(SparkContext, "broadcast", refused)
+        m.setattr(N.DataFrame, "toArrow", refused)
+        got = run(spark, rows, spec)
+        assert got == brute(rows, 3, 80, 100)
+    monkeypatch.setattr(N, "SIGNATURE_BYTES", 0)
+    assert run(spark, rows, spec) == got
+
+
+def test_arrays_of_a_table_without_rows(spark):
+    from quilt.llm.common import save_arrays
+
+    rows, read = save_arrays(spark.range(9).selectExpr("7 - id as k", "id as v").where("k > 3"), "some")
+    k, v = read()
+    assert rows.count() == 4 and k.tolist() == [4, 5, 6, 7] and v.tolist() == [3, 2, 1, 0]
+    none, read = save_arrays(spark.range(9).selectExpr("id as k", "id as v").where("k > 30"), "none")
+    hit, values = N._looked_up(read)(np.arange(3))
+    assert none.count() == 0 and not hit.any() and not len(values)
