@@ -3,7 +3,7 @@
 A text is the counts of its words, dampened by their square root and hashed to
 WIDTH columns, each weighted by how few texts hold it, at length 1. Weights and
 centres are learnt from every text with words: the vectors are written before, and
-each round is one job over them, of which a sum per centre and column comes back.
+each round is one job over their files, of which a sum per centre and column comes back.
 Vectors of length 1 are whole numbers of 1 / UNIT, so that products and sums are
 exact and no result depends on how the rows are dealt to tasks.
 """
@@ -15,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quilt.llm.common import SLICE_ROWS, save_files, slices
+from quilt.llm.common import SLICE_ROWS, file_system, save_files, shared_folder, slices
 from quilt.llm.shingles import mix, word_hashes
 
 WIDTH = 512
@@ -96,14 +98,44 @@ def with_topic(rows: DataFrame, topics: Topics, column: str = "_vec") -> DataFra
     return rows.mapInArrow(run, out.schema)
 
 
-def _sums(rows: DataFrame, read: Callable[[pa.Array], np.ndarray], part: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+#: what a task makes of the rows it is given: some vectors at a time
+Read = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in slices(batches, SLICE_ROWS // BLOCK):
+        if batch.num_rows:
+            yield _unpacked(batch.column(0))
+
+
+def _in_files(units: DataFrame) -> tuple[DataFrame, Read]:
+    """``units`` written to files, as one row a file, and what reads the vectors of
+    such rows. The rounds are many: the tasks take the vectors from the shared
+    folder, which costs a part of passing them through the executor each time."""
+    spark, path = units.sparkSession, shared_folder(units.sparkSession, "units")
+    units.write.parquet(path)
+    files, root = file_system(path)
+    names = sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        files, _ = file_system(path)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                with files.open_input_file(names[k]) as f:
+                    for some in pq.ParquetFile(f).iter_batches(SLICE_ROWS // BLOCK, use_threads=False):
+                        if some.num_rows:
+                            yield _units(some.column(0))
+
+    return spark.range(0, len(names), 1, max(1, len(names))), read
+
+
+def _sums(rows: DataFrame, read: Read, part: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """The sum over all vectors of ``part`` (of some vectors: ``size`` whole numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in slices(batches, SLICE_ROWS // BLOCK):
-            if batch.num_rows:
-                total += part(read(batch.column(0))).astype(np.int64)
+        for x in read(batches):
+            total += part(x).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "v": pa.array(total[at])})
 
@@ -117,22 +149,20 @@ def _units(column: pa.Array) -> np.ndarray:
     return _values(column, np.int16)
 
 
-def _most(units: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
+def _most(rows: DataFrame, read: Read, score: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
     """The largest score, and the vector that has it (of several the last in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for batch in slices(batches, SLICE_ROWS // BLOCK):
-            if batch.num_rows:
-                x = _units(batch.column(0))
-                s = score(x)
-                if best is None or s.max() >= best[0]:
-                    top = max(row.tobytes() for row in np.unique(x[s == s.max()], axis=0).astype(">i2"))
-                    best = max(best or (-1, b""), (int(s.max()), top))
+        for x in read(batches):
+            s = score(x)
+            if best is None or s.max() >= best[0]:
+                top = max(row.tobytes() for row in np.unique(x[s == s.max()], axis=0).astype(">i2"))
+                best = max(best or (-1, b""), (int(s.max()), top))
         if best:
             yield pa.RecordBatch.from_pydict({"s": pa.array([best[0]], pa.int64()), "x": pa.array([best[1]], pa.binary())})
 
-    m = units.mapInArrow(run, "s bigint, x binary").agg(F.max(F.struct("s", "x")).alias("m")).first()["m"]
+    m = rows.mapInArrow(run, "s bigint, x binary").agg(F.max(F.struct("s", "x")).alias("m")).first()["m"]
     return m["s"], np.frombuffer(bytes(m["x"]), ">i2").astype(np.float32)
 
 
@@ -140,7 +170,7 @@ def fit_packed(rows: DataFrame, k: int = 8, column: str = "_vec") -> Topics:
     """Weights and centres from the packed vectors of all rows: each first centre
     the farthest from those before, then rounds of means until none moves."""
     vectors = rows.select(column).where(F.col(column).isNotNull())
-    held = _sums(vectors, _unpacked, lambda x: np.append((x > 0).sum(axis=0), len(x)), WIDTH + 1)
+    held = _sums(vectors, _halves, lambda x: np.append((x > 0).sum(axis=0), len(x)), WIDTH + 1)
     n = int(held[-1])
     # (a word of every text still counts a little)
     weight = (np.log((n + 1) / (held[:-1] + 1)) + 0.1).astype(np.float32)
@@ -152,15 +182,15 @@ def fit_packed(rows: DataFrame, k: int = 8, column: str = "_vec") -> Topics:
             x = _unit(_unpacked(batch.column(0)) * weight).astype(np.int16)
             yield pa.RecordBatch.from_arrays([pa.array([x[i : i + BLOCK].tobytes() for i in range(0, len(x), BLOCK)], pa.binary())], ["x"])
 
-    units = save_files(vectors.mapInArrow(weighted, "x binary"), "units")
-    middle = _unit(_sums(units, _units, lambda x: x.sum(axis=0), WIDTH).astype(float)[None])[0]
-    centres = _most(units, lambda x: x @ middle)[1][None]
+    units, read = _in_files(vectors.mapInArrow(weighted, "x binary"))
+    middle = _unit(_sums(units, read, lambda x: x.sum(axis=0), WIDTH).astype(float)[None])[0]
+    centres = _most(units, read, lambda x: x @ middle)[1][None]
     while len(centres) < min(k, n):
 
         def apart(x: np.ndarray, c=centres) -> np.ndarray:
             return ((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * (x @ c.T)).min(axis=1)
 
-        far, x = _most(units, apart)
+        far, x = _most(units, read, apart)
         if not far:
             break  # every text stands on a centre
         centres = np.concatenate((centres, x[None]))
@@ -171,7 +201,7 @@ def fit_packed(rows: DataFrame, k: int = 8, column: str = "_vec") -> Topics:
             own = np.argmax(x @ c.T, axis=1)
             return ((own == np.arange(len(c))[:, None]).astype(np.float32) @ x).ravel()
 
-        sums = _sums(units, _units, means, centres.size).reshape(centres.shape)
+        sums = _sums(units, read, means, centres.size).reshape(centres.shape)
         if before is not None and (sums == before).all():
             break
         before = sums

@@ -102,3 +102,15 @@ def test_a_topic_of_few_texts_is_found(spark):
     rows = [(i, "ship wave harbour sail storm anchor") for i in range(5998)] + [(i, "court judge appeal statute") for i in (5998, 5999)]
     t = T.fit_topics(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
     assert len(t.centres) == 2 and t.of([rows[0][1]]) != t.of([rows[-1][1]])
+
+
+def test_rounds_read_the_vectors_from_their_files(spark):
+    """The rounds' jobs are over one row a file; vectors and sums are those of the rows."""
+    x = np.random.default_rng(5).integers(0, 200, (40, T.WIDTH)).astype(np.int16)
+    blocks = [(bytearray(x[i : i + T.BLOCK].tobytes()),) for i in range(0, 40, T.BLOCK)]
+    rows, read = T._in_files(spark.createDataFrame(blocks, "x binary").repartition(3))
+    assert rows.count() <= 3 and rows.columns == ["id"]
+    sums = T._sums(rows, read, lambda v: v.sum(axis=0), T.WIDTH)
+    assert (sums == x.sum(axis=0)).all()
+    most, one = T._most(rows, read, lambda v: v[:, 0])
+    assert most == x[:, 0].max() and one[0] == most
