@@ -54,8 +54,8 @@ _LATIN_UNITS = {
     "byte": re.compile(rf"{_CLITICS}| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?{_OTHER}|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
     "word": re.compile(rf"{_CLITICS}|[A-Za-z{_LATIN}]+|[0-9]|{_OTHER}"),
 }
-# Units that a process remembers, in each of two memos: some 130 MB at most.
-MEMO_UNITS = 250_000
+# Units that a process remembers, in each of two memos: some 200 MB at most.
+MEMO_UNITS = 400_000
 
 
 def _byte_letters() -> list[str]:
@@ -70,6 +70,13 @@ def _byte_letters() -> list[str]:
 _LETTERS = _byte_letters()
 
 
+def _make_room(memo: dict) -> None:
+    """Of a full memo the fifth that was learnt last goes: common units are met early."""
+    if len(memo) > MEMO_UNITS:
+        while len(memo) > MEMO_UNITS * 4 // 5:
+            memo.popitem()
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -110,9 +117,8 @@ class Encoder:
         self.lower = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.memo: dict[str, bytes] = {}  # of larger units
         self.pieces: dict[str, bytes] = {}  # of units of the tokenizer's pattern
-        # where ids are only counted: how many those of a word and of a unit are
+        # where ids are only counted: how many those of a word or of a unit are
         self.word_sizes: dict[str, int] = {}
-        self.piece_sizes: dict[str, int] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -148,8 +154,7 @@ class Encoder:
                 units, memo, learn = cut(text), self.memo, self._library
             else:
                 units, memo, learn = cut_latin(text.lower() if self.lower else text), self.pieces, self._pieces
-            if len(memo) > MEMO_UNITS:
-                memo.clear()
+            _make_room(memo)
             try:
                 out.append(b"".join(map(memo.__getitem__, units)))
             except KeyError:
@@ -159,9 +164,10 @@ class Encoder:
         return out
 
     def _size(self, word: str) -> int:
-        """How many ids a run of other characters than white space has."""
-        sizes, n = self.piece_sizes, 0
-        for unit in _LATIN_UNITS["word"].findall(word):
+        """How many ids a run of other characters than white space has. (A unit of
+        it is a word of one unit, and remembered as such.)"""
+        sizes, n = self.word_sizes, 0
+        for unit in [word] if word.isalpha() else _LATIN_UNITS["word"].findall(word):
             k = sizes.get(unit)
             if k is None:
                 k = sizes[unit] = len(self._tokenized([unit])[0])
@@ -177,9 +183,7 @@ class Encoder:
                 out.append(len(self.encode([text])[0]) // 4)
                 continue
             words = (text.lower() if self.lower else text).split()
-            for sizes in (memo, self.piece_sizes):
-                if len(sizes) > MEMO_UNITS:
-                    sizes.clear()
+            _make_room(memo)
             got = list(map(memo.get, words))
             if None in got:
                 for i, n in enumerate(got):

@@ -32,3 +32,26 @@ def test_vectors_are_read_where_they_lie(kind):
     assert topics._units(pa.array([], kind)).shape == (0, topics.WIDTH)
     halves = pa.array([b"\0" * 2 * topics.WIDTH, None, x[0].astype(np.float16).tobytes()], kind)
     assert (topics._unpacked(halves.drop_null())[1] == x[0]).all()
+
+
+def test_common_units_stay_in_a_full_memo(monkeypatch):
+    from quilt.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_UNITS", 100)
+    encoder = Encoder(public_path("word_bpe_49k.json"))
+    learnt = []
+    tokenized = encoder._tokenized
+    monkeypatch.setattr(encoder, "_tokenized", lambda units: learnt.extend(units) or tokenized(units))
+    texts = [f"often {a}{b}zq," for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    want = [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert encoder.count(texts) == want
+    assert learnt.count("often") == 1 and len(encoder.word_sizes) <= 110
+    learnt.clear()
+    assert [len(x) // 4 for x in encoder.encode(texts)] == want
+    assert learnt.count("often") == 1 and len(encoder.pieces) <= 110
+
+
+def test_a_unit_is_remembered_once_alone_and_in_words():
+    encoder = Encoder(public_path("word_bpe_49k.json"))
+    first = encoder.count(["qwyx, qwyx"])
+    assert sorted(encoder.word_sizes) == [",", "qwyx", "qwyx,"] and encoder.count(["qwyx , qwyx"]) == first
