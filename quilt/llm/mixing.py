@@ -12,12 +12,14 @@ the cell table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import join_ids, prefix_sums, save, save_files, slices
-from quilt.llm.tokens import encoder
+from quilt.llm.common import SLICE_ROWS, join_ids, prefix_sums, save, save_files, slices
+from quilt.llm.tokens import encoder, forget
 from quilt.llm.topics import Topics, fit_packed, packed, with_topic
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -111,34 +113,47 @@ def draw(id_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(bits, 11) / F.lit(float(1 << 53))
 
 
-def describe(
-    docs: DataFrame, topics: Topics | None, tokenizer: str | None, topic: Column | None, tokens: Column | None, text_col: str,
-) -> DataFrame:
-    """``docs`` with ``topic`` and ``n_tokens``: given columns, or the learnt topic
-    and the ids that the tokenizer makes of the text with one at its end. Without
-    either topics the vector ``_vec``, that they are learnt from, is in its place."""
+def describe(docs: DataFrame, tokenizer: str | None, topic: Column | None, tokens: Column | None, text_col: str) -> DataFrame:
+    """``docs`` with ``topic`` and ``n_tokens`` in place of the text: given columns,
+    or the vector ``_vec`` that topics are learnt from, and the ids that the
+    tokenizer makes of the text with one at its end."""
     learn, count = topic is None, tokens is None and tokenizer is not None
-    label = "_vec" if learn and topics is None else "topic"
-    empty = F.lit(None).cast("binary" if label == "_vec" else "string")
-    given = {label: empty if learn else topic, "n_tokens": tokens if tokens is not None else F.lit(None).cast("long")}
+    given = {"n_tokens": tokens if tokens is not None else F.lit(None).cast("long")}
+    given["_vec" if learn else "topic"] = F.lit(None).cast("binary") if learn else topic
     if tokens is None and tokenizer is None:
         given["n_tokens"] = text_tokens(F.col(text_col))
     rows = docs.withColumns(given)
+    kept = rows.drop(text_col)
     if not (learn or count):
-        return rows
+        return kept
 
     def run(batches):
         ids = encoder(tokenizer).count if count else None
         for batch in slices(batches):
-            texts = batch.column(text_col).to_pylist()
+            # (texts do not come back: the executor would hold them twice)
             new = dict(zip(batch.schema.names, batch.columns))
+            texts = new.pop(text_col).to_pylist()
             if learn:
-                new[label] = packed(texts) if topics is None else pa.array(topics.of(texts), pa.string())
+                new["_vec"] = packed(texts)
             if count:
                 new["n_tokens"] = pa.array([n + 1 for n in ids([t or "" for t in texts])], pa.int64())
             yield pa.RecordBatch.from_pydict(new)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, kept.schema)
+
+
+def topic_of(text: Column, topics: Topics) -> Column:
+    """The learnt topic of a text. The text alone goes to Python, and the topic alone
+    comes back. No ids are made from here on: what the encoder holds is let go."""
+
+    @F.arrow_udf("string")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
+        for some in texts:
+            parts = [topics.of(some.slice(i, SLICE_ROWS).to_pylist()) for i in range(0, len(some), SLICE_ROWS)]
+            yield pa.array([x for part in parts for x in part], pa.string())
+
+    return of(text)
 
 
 def _with_probability(rows: DataFrame, budget: float, exponent: float, shares: dict[str, dict] | None) -> DataFrame:
@@ -176,7 +191,7 @@ def mix_to_targets(
         F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"),
         *([topic.alias("_topic")] if topic is not None else []), *([tokens.cast("long").alias("_tokens")] if tokens is not None else []),
     )
-    rows = describe(slim, None, tokenizer, None if topic is None else F.col("_topic"), None if tokens is None else F.col("_tokens"), "_text")
+    rows = describe(slim, tokenizer, None if topic is None else F.col("_topic"), None if tokens is None else F.col("_tokens"), "_text")
     if topic is None:
         rows = save_files(rows.select("_id", "source", "lang", "n_tokens", "_vec"), "vectors")
         rows = with_topic(rows, fit_packed(rows))
@@ -195,15 +210,14 @@ def sample_mix(
     """The rows of ``docs``, whole, that ``mix_to_targets`` keeps. Texts are read
     once for the cells and once, with their topic alone, for the draw."""
     slim = docs.select(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
-    slim = describe(slim, None, tokenizer, None, None, "_text").select("source", "lang", "n_tokens", "_vec")
+    slim = describe(slim, tokenizer, None, None, "_text").select("source", "lang", "n_tokens", "_vec")
     vectors = save_files(slim, "vectors")
     learnt = fit_packed(vectors)
     cells = with_topic(vectors, learnt).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     whole = F.struct(*[F.col(c) for c in docs.columns])
     rows = docs.select(
         whole.alias("_doc"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"),
+        F.col(lang_col).alias("lang"), topic_of(F.col(text_col), learnt).alias("topic"),
     )
-    rows = describe(rows, learnt, None, None, F.lit(0).cast("long"), "_text")
     kept = _probable(rows, save(cells), budget, exponent, shares).where(draw("_id", seed) < F.col("probability"))
     return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

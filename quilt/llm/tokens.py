@@ -204,3 +204,9 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Lets go of the encoders of this process and of what they remember, before
+    work that needs none: a worker goes from stage to stage."""
+    _ENCODERS.clear()

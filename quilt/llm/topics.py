@@ -27,6 +27,7 @@ WIDTH = 512
 UNIT = 2048  # (products of two vectors stay below 2^24, exact in float32)
 BLOCK = 8  # vectors of one row of the table that the rounds read
 ROUNDS = 25
+CHARS = 1 << 18  # of texts hashed at a time (a longer one by itself): some 40 bytes of arrays for each
 EMPTY = "empty"  # the topic of a text without words
 
 
@@ -36,7 +37,7 @@ def word_counts(texts: list[str | None]) -> np.ndarray:
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size < 1 << 20):
+        while j < len(texts) and (j == i or size < CHARS):
             size += len(texts[j] or "")
             j += 1
         h, n = word_hashes([t or "" for t in texts[i:j]])

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quilt.llm.common import save, slices
+from quilt.llm.tokens import forget
 
 # Look-alikes of letters (fixed values). '*' and '#' mask any vowel.
 LOOKALIKE = {
@@ -283,7 +284,8 @@ class ToxicityModel:
 def _summer(model: ToxicityModel):
     """The evidence of texts: that of their strongest words, summed. (Over all
     words, the many weak ones of a long text would outweigh a short text's plain
-    ones.) What it remembers goes with the task."""
+    ones.) What it remembers goes with the task, and has the process to itself."""
+    forget()
     restore = Restorer(Decoder(model.log_p), model.evidence)
     return lambda texts: [math.fsum(sorted(restore(t).values())[-STRONGEST:]) if t else 0.0 for t in texts]
 

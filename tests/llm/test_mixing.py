@@ -100,3 +100,30 @@ def test_draw_is_even(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string, lang string")
     assert M.mix_to_targets(df).count() == 0 and M.sample_mix(df).count() == 0
+
+
+def test_the_draw_sends_texts_alone(spark):
+    """A document goes to Python once, as its text, and does not come back."""
+    from quilt.llm import topics
+    from quilt.llm.tokens import public_path
+
+    rows = [(i, ["red apple pie", "blue sea wave", None, ""][i % 4], f"s{i % 2}", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    path = public_path("word_bpe_49k.json")
+    kept = M.sample_mix(df, tokenizer=path)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    decided = {r["doc_id"] for r in M.mix_to_targets(df, tokenizer=path).where("kept").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == decided
+    assert "text" not in M.describe(df, path, None, None, "text").columns
+    learnt = topics.fit_topics(df, 2)
+    got = df.coalesce(1).select("doc_id", M.topic_of(F.col("text"), learnt).alias("topic")).orderBy("doc_id")
+    assert [r["topic"] for r in got.collect()] == learnt.of([r[1] for r in rows])
+
+
+def test_encoders_are_let_go():
+    from quilt.llm import tokens
+
+    tokens.encoder(tokens.public_path("word_bpe_49k.json"))
+    tokens.forget()
+    assert not tokens._ENCODERS
