@@ -18,7 +18,10 @@ Cost-based allocation: for every band the scheme with the lower expected cost
 is taken, posted rows x (1 + accidental partners), from the number of sets in
 the band: larger corpora move to the larger, more selective segments.
 
-Candidates are then verified on the whole shingle sets. Groups are not
+Candidates are then compared by sketches, how many shingles fall on each of some
+places: these differ in no more than the sets do, so that no link is lost and sets
+that only have a few shingles in common are told apart by a few dozen bytes. What
+is left is verified on the whole shingle sets. Groups are not
 expanded into pairs: equal sets are one node; the nodes that share a posted
 segment are first compared with the least of them, and only nodes which the
 links found so far leave in different components are compared with each other,
@@ -36,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quilt.llm.common import join_ids, map_batches, save, save_arrays, slices
+from quilt.llm.common import join_ids, let_go, map_batches, save, save_arrays, slices
 from quilt.llm.components import connected_components
-from quilt.llm.segments import links_within
+from quilt.llm.segments import hub_pairs, links_within
 from quilt.llm.shingles import mix, shingle_sets
 
 # Chance that a shingle of one text is found in another, unrelated text of the
@@ -48,6 +51,13 @@ COMMON_SHINGLE = 0.05
 RANGE_SIGNATURES = 2_000_000
 # Bytes of shared signatures, or of their hubs, that every task may read as arrays.
 SIGNATURE_BYTES = 64 << 20
+# Upper bits of a signature that tell its place among 64 bits of a word, when the
+# shared ones are too many for that: bits of 32 MB at most.
+WORD_BITS = 22
+# Places of a sketch, at least; else a quarter to a half of the shingles.
+SKETCH_PLACES = 64
+# Cells (pairs x places) of sketches that are compared at a time.
+SKETCH_CELLS = 1 << 20
 # Cells (sets x images) that are compared at a time in a block of a segment.
 FINDER_CELLS = 1 << 22
 # Pairs of a block that are counted one by one; more are counted together.
@@ -212,15 +222,50 @@ def _looked_up(read: Callable[[], list[np.ndarray]]) -> Callable[[np.ndarray], t
     return look_up
 
 
-def _posted(
+def _may_be_shared(shared: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """For a task: which signatures may be among the shared ones (none of these is
+    missed). Read at the first call, 32 MB whatever their number."""
+    word = F.shiftrightunsigned("_sig", 64 - WORD_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_sig, {58 - WORD_BITS}) & 63 as int))")
+    _, read = save_arrays(shared.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")), "signature-bits")
+    held: list[np.ndarray] = []
+
+    def look_up(sigs: np.ndarray) -> np.ndarray:
+        if not held:
+            words, bits = read()
+            held.append(np.zeros(1 << WORD_BITS, np.uint64))
+            held[0][words] = bits.view(np.uint64)
+        sigs = sigs.view(np.uint64)
+        found = held[0][(sigs >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+        return (found >> ((sigs >> np.uint64(58 - WORD_BITS)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    return look_up
+
+
+def _rarest(each: np.ndarray, sig: np.ndarray, rows: np.ndarray, drop: np.ndarray) -> np.ndarray:
+    """Which signatures stay, of groups numbered by ``each``: all but the ``drop``
+    commonest of the group (of equally common ones the lesser are dropped first)."""
+    order = np.lexsort((sig, -rows, each))
+    of, s = each[order], sig[order]
+    once = np.ones(len(of), bool)
+    once[1:] = (of[1:] != of[:-1]) | (s[1:] != s[:-1])
+    order, of = order[once], of[once]
+    start = np.searchsorted(of, of)
+    return order[np.arange(len(of)) - start >= drop[of]]
+
+
+def _kept(
     base: DataFrame, spec: Jaccard, deletions: frozenset[int], shared: DataFrame, read: Callable[[], list[np.ndarray]],
+    with_node: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """``(_k1, _k2, _band, _drop, _sig, _rows)``: the shared signatures of each row.
-    Signatures are many times the ids: they are worked out again here, not kept,
-    and those that nobody shares go before they leave the task, as long as the
-    shared ones (two longs each) are few enough to be read there; else in a join."""
+    """``(_node, _sig)``: of the shared signatures of each row and band, all but the
+    commonest that it may drop. Signatures are many times the ids: they are worked
+    out again here, not kept, and those that nobody shares go before they leave the
+    task, with all of a row that has no more than it may drop. Commonness is looked
+    up in the task as long as the shared ones (two longs each) are few enough to be
+    read there; else a few bits tell those that may be shared, and a join the rest."""
     small = shared.count() * 16 <= SIGNATURE_BYTES
-    look_up = _looked_up(read)
+    look_up = _looked_up(read) if small else _may_be_shared(shared)
 
     def post(batch):
         flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
@@ -231,19 +276,35 @@ def _posted(
             return None
         owner, band, drop, sigs = zip(*of, strict=True)
         each = np.repeat(np.arange(len(of)), [len(s) for s in sigs])
-        sig = np.concatenate(sigs)
-        rows = np.zeros(len(sig), np.int64)
+        sig, drop = np.concatenate(sigs), np.array(drop, np.int32)
         if small:
             hit, rows = look_up(sig)
             each, sig = each[hit], sig[hit]
+            at = _rarest(each, sig, rows, drop)
+        else:
+            hit = look_up(sig)
+            each, sig = each[hit], sig[hit]
+            some = np.bincount(each, minlength=len(of)) > drop
+            at = np.flatnonzero(some[each])
+        each, sig = each[at], sig[at]
         row = np.array(owner)[each]
-        return {
-            "_k1": pa.array(k1[row]), "_k2": pa.array(k2[row]), "_band": pa.array(np.array(band, np.int32)[each]),
-            "_drop": pa.array(np.array(drop, np.int32)[each]), "_sig": pa.array(sig), "_rows": pa.array(rows),
-        }
-
-    found = map_batches(base.select("_text"), post, "_k1 bigint, _k2 bigint, _band int, _drop int, _sig bigint, _rows bigint")
-    return found if small else found.drop("_rows").join(shared, "_sig")
+        out = {"_k1": pa.array(k1[row]), "_k2": pa.array(k2[row]), "_sig": pa.array(sig)}
+        if not small:
+            out |= {"_band": pa.array(np.array(band, np.int32)[each]), "_drop": pa.array(drop[each])}
+        return out
+
+    found = with_node(map_batches(
+        base.select("_text"), post, "_k1 bigint, _k2 bigint, _sig bigint" + ("" if small else ", _band int, _drop int")
+    ))
+    if small:
+        return found.select("_node", "_sig").distinct()
+    # (dealt once for both: a node has few signatures)
+    found = found.select("_node", "_band", "_drop", "_sig").join(shared, "_sig").repartition("_node", "_band")
+    own = Window.partitionBy("_node", "_band").orderBy(F.desc("_rows"), "_sig")
+    return (
+        found.distinct().withColumn("_rank", F.row_number().over(own))
+        .where("_rank > _drop").select("_node", "_sig").distinct()
+    )
 
 
 def _with_hub(kept: DataFrame, hubs: DataFrame, read: Callable[[], list[np.ndarray]]) -> DataFrame:
@@ -312,6 +373,87 @@ def _verify(pairs: DataFrame, sets: DataFrame, spec: Jaccard) -> DataFrame:
     )
 
 
+def sketches(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Of each set its size (4 bytes) and how many of its shingles fall on each of
+    some places (a byte each, 255 for more). The places of a larger set are those
+    of a smaller one, cut in two, four and so on."""
+    places = np.maximum(SKETCH_PLACES, 1 << (np.maximum(np.frexp(n)[1], 2) - 2).astype(np.int64))
+    first, out = np.cumsum(n) - n, [b""] * len(n)
+    where = mix(flat, 31)
+    for k in np.unique(places).tolist():
+        at = np.flatnonzero(places == k)
+        part = np.concatenate([where[first[i] : first[i] + n[i]] for i in at])
+        cell = (part >> np.uint64(65 - k.bit_length())).astype(np.int64) + np.repeat(np.arange(len(at)), n[at]) * k
+        counts = np.minimum(np.bincount(cell, minlength=len(at) * k), 255).astype(np.uint8).reshape(-1, k)
+        for i, row in zip(at.tolist(), counts, strict=True):
+            out[i] = int(n[i]).to_bytes(4, "little") + row.tobytes()
+    return out
+
+
+def _folded(loads: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and counts of sketches, on the same ``k`` places for all."""
+    n = np.array([int.from_bytes(x[:4], "little") for x in loads], np.int64)
+    counts = np.zeros((len(loads), k), np.int16)
+    length = np.array([len(x) - 4 for x in loads])
+    for own in np.unique(length).tolist():
+        at = np.flatnonzero(length == own)
+        x = np.frombuffer(b"".join([loads[i][4:] for i in at]), np.uint8).reshape(len(at), k, own // k)
+        counts[at] = np.minimum(x.sum(axis=2, dtype=np.int32), 255)
+    return n, counts
+
+
+def _can_link(spec: Jaccard, x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Of pairs of sketches: False where the sets differ in more shingles than
+    linked ones do."""
+    k = np.minimum([len(s) for s in x], [len(s) for s in y]) - 4
+    out = np.zeros(len(k), bool)
+    for own in np.unique(k).tolist():
+        at = np.flatnonzero(k == own)
+        for some in np.array_split(at, -(-len(at) * own // SKETCH_CELLS)):
+            (a, one), (b, two) = (_folded([of[i] for i in some], own) for of in (x, y))
+            apart = np.maximum(np.abs(one - two).sum(axis=1, dtype=np.int64), np.abs(a - b))
+            out[some] = (spec.den + spec.num) * apart <= (spec.den - spec.num) * (a + b)
+    return out
+
+
+def _within(pairs: DataFrame, loads: DataFrame, spec: Jaccard) -> DataFrame:
+    """The pairs (a, b) that can be links by their sketches."""
+    one = loads.select(F.col("_node").alias("a"), F.col("_load").alias("x"))
+    two = loads.select(F.col("_node").alias("b"), F.col("_load").alias("y"))
+
+    def keep(batch):
+        near = _can_link(spec, batch.column("x").to_pylist(), batch.column("y").to_pylist())
+        return batch.select(["a", "b"]).filter(pa.array(near))
+
+    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), keep, "a bigint, b bigint")
+
+
+def _thinner(spec: Jaccard):
+    """The sets of a block that can be links, by their sketches, with one of
+    another component."""
+
+    def thin(nodes, roots, loads):
+        k = min(map(len, loads)) - 4
+        n, x = _folded(loads, k)
+        order = np.argsort(n, kind="stable")
+        n, x, r = n[order], x[order], np.asarray(roots)[order]
+        # (a partner that is not smaller has at most n * den / num shingles)
+        last = np.searchsorted(n, n * spec.den // spec.num, "right")
+        stays, a = np.zeros(len(n), bool), 0
+        while a < len(n):
+            b = a + max(1, min(len(n) - a, SKETCH_CELLS // ((int(last[a]) - a) * k)))
+            end = int(last[b - 1])
+            apart = np.abs(x[a:b, None] - x[None, a:end]).sum(axis=2, dtype=np.int64)
+            near = (spec.den + spec.num) * apart <= (spec.den - spec.num) * (n[a:b, None] + n[None, a:end])
+            near &= r[a:b, None] != r[None, a:end]
+            stays[a:b] |= near.any(axis=1)
+            stays[a:end] |= near.any(axis=0)
+            a = b
+        return np.asarray(nodes)[order][stays].tolist()
+
+    return thin
+
+
 def _finder(spec: Jaccard):
     """Pairs of sets of different components that can be links, within a block.
 
@@ -386,34 +528,43 @@ def jaccard_components(
     def describe(batch):
         flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
         k1, k2 = _keys(flat, n)
-        return {"_id": batch.column("_id"), "_n": pa.array(n), "_k1": pa.array(k1), "_k2": pa.array(k2)}
+        return {
+            "_id": batch.column("_id"), "_n": pa.array(n), "_k1": pa.array(k1), "_k2": pa.array(k2),
+            "_load": pa.array(sketches(flat, n), pa.binary()),
+        }
 
     kind = base.schema["_id"].dataType.simpleString()
-    described = save(map_batches(base, describe, f"_id {kind}, _n bigint, _k1 bigint, _k2 bigint"))
+    described = save(map_batches(base, describe, f"_id {kind}, _n bigint, _k1 bigint, _k2 bigint, _load binary"))
     clashes = save(
         described.where("_n > 0").groupBy("_k1")
         .agg((F.min("_k2") != F.max("_k2")).alias("_clash")).where("_clash")
     )
     n_clashes = clashes.count()
-    described = _with_node(described, clashes, n_clashes)
+
+    def with_node(df: DataFrame) -> DataFrame:
+        return _with_node(df, clashes, n_clashes)
+
+    described = with_node(described)
 
     # contents that several rows have, with how many do (those of equal sets alone
     # among them: a content more only makes the choice below keep no less)
     expected = sum(c * 2 * (spec.segments(band, band in deletions) + (BOUNDS[band + 1] if band in deletions else 0)) for band, c in sizes.items())
     shared, counts = save_arrays(shared_signatures(base, spec, deletions, max(1, -(-expected // RANGE_SIGNATURES))), "signatures")
+    let_go(docs.sparkSession)
     # the rarest contents of each node (a node has at most one row per segment)
-    posted = _with_node(_posted(base, spec, deletions, shared, counts), clashes, n_clashes)
-    own = Window.partitionBy("_node", "_band").orderBy(F.desc("_rows"), "_sig")
-    kept = save(
-        posted.select("_node", "_band", "_drop", "_sig", "_rows").distinct()
-        .withColumn("_rank", F.row_number().over(own))
-        .where("_rank > _drop").select("_node", "_sig").distinct()
-    )
+    kept = save(_kept(base, spec, deletions, shared, counts, with_node))
     hubs, least_of = save_arrays(
         kept.groupBy("_sig").agg(F.min("_node").alias("_hub"), F.max("_node").alias("_hi"))
         .where("_hub < _hi").select("_sig", "_hub"), "hubs"
     )
     members = save(_with_hub(kept, hubs, least_of))
+    del kept, hubs, shared
+    let_go(docs.sparkSession)
+    wanted = save(members.select("_node").distinct())
+    loads = save(
+        join_ids(described.where("_n > 0").select("_node", "_load"), wanted, ["_node"], wanted.count())
+        .groupBy("_node").agg(F.first("_load").alias("_load"))
+    )
 
     def sets_of(batch):
         flat, n = shingle_sets(_texts(batch, "_text"), spec.width)
@@ -424,22 +575,30 @@ def jaccard_components(
             "_set": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
         }
 
-    wanted = save(members.select("_node").distinct())
-    sets = _with_node(map_batches(base, sets_of, "_k1 bigint, _k2 bigint, _set array<bigint>"), clashes, n_clashes)
-    sets = save(
-        join_ids(sets, wanted, ["_node"], wanted.count())
-        .groupBy("_node").agg(F.first("_set").alias("_set"))
-    )
+    every = with_node(map_batches(base, sets_of, "_k1 bigint, _k2 bigint, _set array<bigint>"))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        nodes = save(nodes.select("_node").distinct())
+        return save(
+            join_ids(every, nodes, ["_node"], nodes.count()).groupBy("_node").agg(F.first("_set").alias("_set"))
+        )
 
-    images = F.transform("_set", lambda x: F.shiftright(x, 32).cast("int"))
+    tried = save(_within(hub_pairs(members), loads, spec))
+    ready = sets(tried.select(F.explode(F.array("a", "b")).alias("_node")))
+    let_go(docs.sparkSession)
+    opened: list[DataFrame] = []
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return _verify(pairs, sets, spec)
+    def images(open_: DataFrame) -> DataFrame:
+        opened.append(sets(open_))
+        return opened[0].select("_node", F.transform("_set", lambda x: F.shiftright(x, 32).cast("int")).alias("_load"))
 
     links = links_within(
-        members, sets.select("_node", images.alias("_load")), verify, _finder(spec), verify_found=verify
+        members, images, lambda pairs: _verify(pairs, ready, spec), _finder(spec), tried=tried,
+        thin=(loads, _thinner(spec)), verify_found=lambda pairs: _verify(pairs, opened[0], spec),
     )
     roots = save(connected_components(links, "a", "b"))
+    del members, loads, tried, ready, opened, links
+    let_go(docs.sparkSession)
 
     # the least id of a component; a row without links is its own
     n_roots = roots.count()

@@ -222,3 +222,98 @@ def test_arrays_of_a_table_without_rows(spark):
     none, read = save_arrays(spark.range(9).selectExpr("id as k", "id as v").where("k > 30"), "none")
     hit, values = N._looked_up(read)(np.arange(3))
     assert none.count() == 0 and not hit.any() and not len(values)
+
+
+def shingle_hashes(rng, n):
+    return rng.integers(0, 2**64, n, dtype=np.uint64)
+
+
+def pairs_of_sets(seed=9):
+    """Sets of many sizes with partners that lie around the threshold, or far away."""
+    rng = np.random.default_rng(seed)
+    pairs = []
+    for size in (1, 2, 9, 40, 63, 64, 120, 127, 128, 250, 257, 511, 520, 2100):
+        for share in (0.7, 0.85, 0.89, 0.9, 0.95, 1.0):
+            a = shingle_hashes(rng, size)
+            own = rng.random(size) < share
+            pairs.append((a, np.concatenate((a[own], shingle_hashes(rng, int((~own).sum()) + size // 30)))))
+        pairs.append((shingle_hashes(rng, size), shingle_hashes(rng, size)))
+    return [(a, b) for a, b in pairs if len(b)]
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 300])
+def test_sketches_lose_no_link_and_tell_strangers(monkeypatch, cells):
+    monkeypatch.setattr(N, "SKETCH_CELLS", cells)
+    pairs = pairs_of_sets()
+    flat = np.concatenate([s for p in pairs for s in p])
+    made = N.sketches(flat, np.array([len(s) for p in pairs for s in p]))
+    for spec in (N.Jaccard(5, 80, 100), N.Jaccard(3, 90, 100)):
+        got = N._can_link(spec, made[::2], made[1::2])
+        for (a, b), kept in zip(pairs, got.tolist(), strict=True):
+            both = len(np.intersect1d(a, b))
+            if spec.den * both >= spec.num * (len(a) + len(b) - both):
+                assert kept
+            if not both:
+                assert not kept
+        # in a block: whoever has a possible partner of another root stays
+        for roots in ([i // 2 for i in range(len(made))], [i % 2 for i in range(len(made))]):
+            some = [i for i in range(len(made)) if len(made[i]) < 200]
+            stay = set(N._thinner(spec)([100 + i for i in some], [roots[i] for i in some], [made[i] for i in some]))
+            for k, near in enumerate(got.tolist()):
+                if near and 2 * k in some and 2 * k + 1 in some and roots[2 * k] != roots[2 * k + 1]:
+                    assert {100 + 2 * k, 101 + 2 * k} <= stay
+            if roots[1] == 0:  # partners have one root: all others are strangers
+                assert all(len(made[x - 100]) < 200 and int.from_bytes(made[x - 100][:4], "little") < 20 for x in stay)
+
+
+def test_full_places_of_a_sketch():
+    """Counts of 255 and more stay a lower bound, also on fewer places."""
+    spec = N.Jaccard(5, 80, 100)
+    same = np.zeros(40_000, np.uint64)  # (all on one place)
+    made = N.sketches(np.concatenate((same, same[:9000], same[:8000])), np.array([40_000, 9000, 8000]))
+    assert len(made[0]) > len(made[1]) > 4 + N.SKETCH_PLACES
+    assert N._can_link(spec, made[1:2], made[2:]).all() and not N._can_link(spec, made[:1], made[1:2]).any()
+    assert N._folded(made, N.SKETCH_PLACES)[1].max() == 255
+
+
+def test_strangers_of_a_common_segment_stay_out_of_the_comparison(spark, monkeypatch):
+    """Texts that share common segments, and little else, are neither compared by
+    their shingles nor do these travel."""
+    rng = np.random.default_rng(4)
+    common = [" ".join(f"c{k}_{i}" for i in range(12)) for k in range(9)]
+    rows = []
+    for i in range(160):
+        own = [f"w{rng.integers(10**6)}" for _ in range(60)]
+        at = rng.integers(0, 9, 4)
+        rows.append((i, " ".join([*own[:30], *(common[k] for k in at), *own[30:]])))
+    rows += [(200, rows[0][1] + " x"), (201, rows[7][1] + " y z"), (202, rows[7][1].replace("w", "v"))]
+    seen = []
+    real = N._verify
+    monkeypatch.setattr(N, "_verify", lambda pairs, sets, spec: seen.append((pairs.count(), sets.count())) or real(pairs, sets, spec))
+    spec = N.Jaccard(5, 80, 100)
+    assert run(spark, rows, spec) == brute(rows, 5, 80, 100)
+    assert sum(p for p, _ in seen) < 10 and max(s for _, s in seen) < 10, seen
+
+
+@pytest.mark.parametrize("word_bits", [22, 3])
+def test_bits_tell_the_shared_signatures(spark, monkeypatch, word_bits):
+    """None is missed, and with bits enough few others pass."""
+    monkeypatch.setattr(N, "WORD_BITS", word_bits)
+    rng = np.random.default_rng(3)
+    sigs = np.concatenate((rng.integers(-(2**63), 2**63 - 1, 300), [0, -1, 2**63 - 1, -(2**63)]))
+    shared = spark.createDataFrame([(int(x), 2) for x in sigs], "_sig bigint, _rows bigint")
+    look_up = N._may_be_shared(shared)
+    assert look_up(sigs).all()
+    other = look_up(rng.integers(-(2**63), 2**63 - 1, 2000))
+    assert other.sum() < (10 if word_bits == 22 else 1500)
+
+
+def test_rarest_signatures_of_a_row():
+    each = np.array([1, 0, 0, 1, 0, 1, 1, 3])
+    sig = np.array([7, 5, 9, 7, 3, 2, 8, 4])
+    rows = np.array([4, 2, 2, 4, 9, 3, 2, 6])
+    drop = np.array([1, 2, 0, 1], np.int32)
+    kept = sorted((int(each[i]), int(sig[i])) for i in N._rarest(each, sig, rows, drop))
+    assert kept == [(0, 5), (0, 9), (1, 8)]
+    none = np.zeros(0, np.int64)
+    assert len(N._rarest(none, none, none, drop)) == 0
